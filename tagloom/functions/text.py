@@ -93,18 +93,18 @@ NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 def parse_judge_score(reply, low: float = 1.0, high: float = 10.0, default: float = 5.0) -> Column:
     """Score of the last ``Score:`` line, ``8/10`` read as 8, clamped; the default when there is none."""
-    lines = F.transform(F.split(_c(reply), "\n"), lambda l: F.trim(l))
+    lines = F.transform(F.split(_c(reply), "\n"), strip)
     line = F.get(F.reverse(F.filter(lines, lambda l: l.startswith("Score:"))), F.lit(0))
-    value = F.trim(F.get(F.split(F.replace(line, F.lit("Score:"), F.lit("")), "/"), F.lit(0)))
-    token = F.get(F.split(value, " "), F.lit(0))
+    value = strip(F.get(F.split(F.replace(line, F.lit("Score:"), F.lit("")), "/"), F.lit(0)))
+    token = F.get(F.split(value, WHITESPACE), F.lit(0))
     number = F.when(token.rlike(NUMBER), token.try_cast("double"))
     return F.when(number.isNull(), F.lit(default)).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), number)))
 
 
 def parse_judge_reasoning(reply, default: str = "No reasoning provided") -> Column:
-    lines = F.transform(F.split(_c(reply), "\n"), lambda l: F.trim(l))
+    lines = F.transform(F.split(_c(reply), "\n"), strip)
     line = F.get(F.reverse(F.filter(lines, lambda l: l.startswith("Reasoning:"))), F.lit(0))
-    text = F.trim(F.replace(line, F.lit("Reasoning:"), F.lit("")))
+    text = strip(F.replace(line, F.lit("Reasoning:"), F.lit("")))
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit(default)).otherwise(text)
 
 
