@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tagloom.functions.bind import let
+
 TWO_32 = 4294967296.0
 
 
@@ -35,11 +37,6 @@ def hash_uniform(*parts) -> Column:
 def hash_normal(*parts) -> Column:
     """Standard normal double: Box-Muller over two 32-bit words of one md5."""
     digest = F.md5(F.concat_ws(":", *[_c(p).cast("string") for p in parts]))
-    return F.element_at(
-        F.transform(
-            F.array(digest),
-            lambda d: F.sqrt(F.lit(-2.0) * F.ln((F.conv(F.substring(d, 1, 8), 16, 10).cast("bigint") + 1) / F.lit(TWO_32)))
-            * F.cos(F.lit(2.0 * math.pi) * _hex_unit(F.substring(d, 9, 8))),
-        ),
-        1,
-    )
+    first = lambda d: (F.conv(F.substring(d, 1, 8), 16, 10).cast("bigint") + 1) / F.lit(TWO_32)
+    second = lambda d: _hex_unit(F.substring(d, 9, 8))
+    return let(lambda v: F.sqrt(F.lit(-2.0) * F.ln(first(v["d"]))) * F.cos(F.lit(2.0 * math.pi) * second(v["d"])), d=digest)

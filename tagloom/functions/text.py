@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tagloom.functions.bind import let
+
 # The characters Python's str.split() treats as white space.
 WHITESPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
 
@@ -136,13 +138,16 @@ def tokens_rouge(text) -> Column:
 
 
 def ngrams(tokens, n: int) -> Column:
-    t = _c(tokens)
     if n == 1:
-        return t
-    return F.when(
-        F.size(t) >= n,
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " ")),
-    ).otherwise(F.array().cast("array<string>"))
+        return _c(tokens)
+
+    def grams(v: Column) -> Column:
+        t = v["t"]
+        starts = F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1)))
+        some = F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, some).otherwise(F.array().cast("array<string>"))
+
+    return let(grams, t=_c(tokens))
 
 
 def multiset_overlap(a, b) -> Column:
@@ -151,7 +156,6 @@ def multiset_overlap(a, b) -> Column:
     Both arrays are sorted once and merged in one linear pass, so a row is scored where it lies and no
     n-gram is ever shuffled.
     """
-    pair = F.array(F.struct(F.sort_array(_c(a)).alias("x"), F.sort_array(_c(b)).alias("y")))
 
     def merged(p: Column) -> Column:
         start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("m"))
@@ -170,4 +174,4 @@ def multiset_overlap(a, b) -> Column:
         steps = F.sequence(F.lit(0), F.size(p["x"]) + F.size(p["y"]))
         return F.aggregate(steps, start, step, lambda s: s["m"].cast("bigint"))
 
-    return F.element_at(F.transform(pair, merged), 1)
+    return let(merged, x=F.sort_array(_c(a)), y=F.sort_array(_c(b)))

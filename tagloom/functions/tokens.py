@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tagloom.functions.bind import let
+
 IGNORED = -100  # fixed value: label of a position the loss skips
 
 
@@ -35,27 +37,27 @@ def attention_mask(ids, length, side: str = "right") -> Column:
 
 def prompt_end(ids, delimiter: list[int]) -> Column:
     """Number of tokens up to and including the first delimiter; 0 when there is none."""
-    a, m = _c(ids), len(delimiter)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(a) - (m - 1), F.lit(1)))
-    first = delimiter[0]
+    m = len(delimiter)
+
+    def first_end(v: Column) -> Column:
+        a = v["a"]
+
+        def matches(j: Column) -> Column:
+            hit = F.get(a, j - 1) == delimiter[0]
+            for k, token in enumerate(delimiter[1:], start=1):
+                hit = hit & (F.get(a, j - 1 + k) == token)
+            return F.coalesce(hit, F.lit(False))
 
-    def matches(j: Column) -> Column:
-        hit = F.get(a, j - 1) == first
-        for k, token in enumerate(delimiter[1:], start=1):
-            hit = hit & (F.get(a, j - 1 + k) == token)
-        return F.coalesce(hit, F.lit(False))
+        starts = F.sequence(F.lit(1), F.greatest(F.size(a) - (m - 1), F.lit(1)))
+        return F.coalesce(F.get(F.filter(starts, matches), F.lit(0)) + (m - 1), F.lit(0))
 
-    found = F.get(F.filter(starts, matches), F.lit(0))
-    return F.coalesce(found + (m - 1), F.lit(0))
+    return let(first_end, a=_c(ids))
 
 
 def mask_labels(ids, delimiter: list[int]) -> Column:
     """Labels for causal training: the prompt is ignored, and so is a row without a delimiter."""
-    pair = F.array(F.struct(_c(ids).alias("a"), prompt_end(ids, delimiter).alias("e")))
 
     def masked(p: Column) -> Column:
-        return F.transform(
-            p["a"], lambda x, i: F.when((p["e"] == 0) | (i < p["e"]), F.lit(IGNORED)).otherwise(x)
-        )
+        return F.transform(p["a"], lambda x, i: F.when((p["e"] == 0) | (i < p["e"]), F.lit(IGNORED)).otherwise(x))
 
-    return F.element_at(F.transform(pair, masked), 1)
+    return let(masked, a=_c(ids), e=prompt_end(ids, delimiter))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tagloom.functions.bind import let
+
 
 def _c(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
@@ -37,9 +39,8 @@ def squared_distance(a, b) -> Column:
 
 def l2_normalize(v, eps: float = 0.0) -> Column:
     """``v / (|v| + eps)``; a zero vector stays zero."""
-    pair = F.array(F.struct(as_double(v).alias("v"), (norm(v) + eps).alias("n")))
     scaled = lambda p: F.transform(p["v"], lambda x: F.when(p["n"] == 0.0, F.lit(0.0)).otherwise(F.try_divide(x, p["n"])))
-    return F.element_at(F.transform(pair, scaled), 1)
+    return let(scaled, v=as_double(v), n=norm(v) + eps)
 
 
 def sigmoid(x, temperature=1.0) -> Column:
@@ -54,9 +55,8 @@ def clip(v, low: float = -1.0, high: float = 1.0) -> Column:
 
 def peak_normalize(v, floor: float = 1e-6) -> Column:
     """Divide by the largest magnitude; a silent signal is left alone."""
-    pair = F.array(F.struct(as_double(v).alias("v"), F.array_max(F.transform(as_double(v), F.abs)).alias("p")))
     scaled = lambda s: F.when(s["p"] > 0, F.transform(s["v"], lambda x: x / F.greatest(s["p"], F.lit(floor)))).otherwise(s["v"])
-    return F.element_at(F.transform(pair, scaled), 1)
+    return let(scaled, v=as_double(v), p=F.array_max(F.transform(as_double(v), F.abs)))
 
 
 def fix_length(v, length: int) -> Column:
