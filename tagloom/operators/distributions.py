@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-RANGES = 256
+from tagloom.operators.ordered import range_index
 
 
 def _cumulative(df: DataFrame, value: str, side: str) -> DataFrame:
@@ -19,12 +19,7 @@ def _cumulative(df: DataFrame, value: str, side: str) -> DataFrame:
     counts = df.groupBy(F.col(value).cast("double").alias("v")).agg(
         F.count(F.when(F.col(side) == "a", 1)).alias("na"), F.count(F.when(F.col(side) == "b", 1)).alias("nb")
     )
-    share = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    borders = counts.agg(F.array_distinct(F.percentile_approx("v", share, F.lit(10_000)))).first()[0]  # at most 255 numbers
-    ranged = counts.withColumn("range", F.lit(0))
-    if borders:
-        at = F.array(*[F.lit(float(b)) for b in borders])
-        ranged = counts.withColumn("range", F.size(F.filter(at, lambda x: x < F.col("v"))))
+    ranged = counts.withColumn("range", range_index(counts, "v"))
     totals = ranged.groupBy("range").agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"), F.min("v").alias("start"))
     over = W.partitionBy(F.lit(0)).orderBy("range")
     every = W.partitionBy(F.lit(0))

@@ -33,9 +33,9 @@ def missing_file_count(df: DataFrame, files: DataFrame, name_col: str) -> DataFr
     return lost.agg(F.count("*").alias("n_missing"))
 
 
-def attach_binary(df: DataFrame, spark: SparkSession, root: str, name_col: str, pattern: str = "*") -> DataFrame:
-    """Add ``content`` by file name; the bytes are only read when a later step selects them."""
+def attach_binary(df: DataFrame, root: str, path_col: str = "path", pattern: str = "*") -> DataFrame:
+    """Add ``content`` by path; the bytes are only read when a later step selects them."""
     files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
+        df.sparkSession.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
     )
-    return df.join(files.select(file_name("path").alias(name_col), "content"), name_col, "left")
+    return df.join(files.select(F.col("path").alias(path_col), "content"), path_col, "left")
