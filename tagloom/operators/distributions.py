@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tagloom.operators.ordered import range_index
+from tagloom.operators.ordered import with_range
 
 
 def _cumulative(df: DataFrame, value: str, side: str) -> DataFrame:
@@ -19,7 +19,7 @@ def _cumulative(df: DataFrame, value: str, side: str) -> DataFrame:
     counts = df.groupBy(F.col(value).cast("double").alias("v")).agg(
         F.count(F.when(F.col(side) == "a", 1)).alias("na"), F.count(F.when(F.col(side) == "b", 1)).alias("nb")
     )
-    ranged = counts.withColumn("range", range_index(counts, "v"))
+    ranged = with_range(counts, "v")
     totals = ranged.groupBy("range").agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"), F.min("v").alias("start"))
     over = W.partitionBy(F.lit(0)).orderBy("range")
     every = W.partitionBy(F.lit(0))

@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.operators import splits, tags as T
+from tagloom.functions.text import render_tag_literal
+from tagloom.operators import splits
+from tagloom.operators import tags as T
 from tagloom.operators.taxonomy import Taxonomy
 from tagloom.operators.vectors import batch_scores, matrix
 
@@ -56,27 +58,41 @@ def reconstruct(df: DataFrame, keys: Sequence[str], x: str, w: Weights) -> DataF
     return batch_scores(df, keys, x, lambda v: {"probs": _sigmoid(decoder_logits(encode(v, w)[0], w))}, ["probs"])
 
 
-def decode_grid(df: DataFrame, keys: Sequence[str], z: str, w: Weights, temperatures: Sequence[float], threshold: float, apply_sigmoid: int = 2) -> DataFrame:
-    """``(keys..., slot, temperature, idx)``: positions at or above the threshold at every temperature."""
+def decode_grid(
+    df: DataFrame, keys: Sequence[str], z: str, seeds: str, w: Weights, temperatures: Sequence[float], threshold: float,
+    ranges: Sequence[tuple[int, int]], min_categories: int, apply_sigmoid: int = 2,
+) -> DataFrame:
+    """``(keys..., slot, temperature, idx)``: positions at or above the threshold, or seeded, at every temperature.
+
+    Sets that touch fewer than ``min_categories`` of the index ranges are left out before they leave the task.
+    """
     keys = list(keys)
     schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + ["slot int", "temperature double", "idx array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
             raw = decoder_logits(matrix(batch.column(len(keys))), w)
-            if apply_sigmoid == 2:
-                raw = _sigmoid(raw)
+            raw = _sigmoid(raw) if apply_sigmoid == 2 else raw
+            lists = batch.column(len(keys) + 1)
+            forced = np.zeros(raw.shape, dtype=bool)
+            sizes = np.diff(lists.offsets.to_numpy())
+            forced[np.repeat(np.arange(n), sizes), lists.flatten().to_numpy(zero_copy_only=False)] = True
             for slot, t in enumerate(temperatures):
-                on = _sigmoid(raw / t) >= threshold
+                on = (_sigmoid(raw / t) >= threshold) | forced
+                touched = sum(on[:, lo:hi].any(axis=1).astype(int) for lo, hi in ranges)
+                rows = np.nonzero(touched >= min_categories)[0]
+                on = on[rows]
                 offsets = np.concatenate([[0], on.sum(axis=1).cumsum()]).astype(np.int32)
                 idx = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(on)[1].astype(np.int32)))
-                n = batch.num_rows
-                cols = [batch.column(i) for i in range(len(keys))] + [pa.array([slot] * n, pa.int32()), pa.array([float(t)] * n), idx]
+                take = pa.array(rows)
+                cols = [batch.column(i).take(take) for i in range(len(keys))]
+                cols += [pa.array([slot] * len(rows), pa.int32()), pa.array([float(t)] * len(rows), pa.float64()), idx]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keys, "slot", "temperature", "idx"])
 
-    return df.select(*keys, F.col(z).cast("array<double>")).mapInArrow(run, schema)
+    return df.select(*keys, F.col(z).cast("array<double>"), F.col(seeds).cast("array<int>")).mapInArrow(run, schema)
 
 
 def generate_tag_sets(
@@ -87,20 +103,21 @@ def generate_tag_sets(
 
     Every sample is decoded at every temperature twice: around seed tags drawn from its own categories, and
     from the same latent vector without seeds, which is recorded with an empty original list at the last
-    temperature. Sets that cover too few categories are dropped.
+    temperature. Sets that cover too few categories are dropped. ``aspect_list`` is sorted, ``idx`` holds
+    the same tags as taxonomy positions.
     """
     base = T.categorize_tags(df.select("id", "tags"), tax)
-    seeds = T.seed_tags([c + "_tags" for c in seed_categories], "id", seed)
-    base = splits.latent_normal(base.select("id", "tags", seeds.alias("seeds")), "id", latent_dim, seed, "z")
-    empty = F.array().cast("array<string>")
-    seeded = decode_grid(base, ["id", "tags", "seeds"], "z", w, temperatures, threshold)
-    prior = decode_grid(base, ["id"], "z", w, [temperatures[-1]] * len(temperatures), threshold)
-    prior = prior.select("id", empty.alias("tags"), empty.alias("seeds"), (F.col("slot") + len(temperatures)).alias("slot"), "temperature", "idx")
-    both = seeded.unionByName(prior)
-    decoded = both.select(
-        "id", F.col("tags").alias("original"), "slot", "temperature",
-        F.array_sort(F.array_distinct(F.concat(tax.decode("idx"), F.col("seeds")))).alias("aspect_list"),
-    )
-    out = T.categorize_tags(decoded, tax, "aspect_list")
-    kept = T.min_categories(out, [c + "_tags" for c in tax.categories], min_categories)
-    return kept.withColumn("key", T.surrogate_key("id", "original", "temperature"))
+    picks = T.seed_tags([c + "_tags" for c in seed_categories], "id", seed)
+    base = tax.encode(base.select("id", "tags", picks.alias("seeds")), "seeds").withColumnRenamed("tag_idx", "seed_idx")
+    base = splits.latent_normal(base.select("id", render_tag_literal("tags").alias("original"), "seed_idx"), "id", latent_dim, seed, "z")
+    spans: dict[str, list[int]] = {}
+    for category, _, _, _, idx in tax.rows:
+        spans.setdefault(category, [idx, idx])[1] = idx + 1
+    ranges = [(lo, hi) for lo, hi in spans.values()]
+    rest = (threshold, ranges, min_categories)
+    seeded = decode_grid(base, ["id", "original"], "z", "seed_idx", w, temperatures, *rest)
+    free = base.select("id", F.lit("[]").alias("original"), "z", F.array().cast("array<int>").alias("seed_idx"))
+    prior = decode_grid(free, ["id", "original"], "z", "seed_idx", w, [temperatures[-1]] * len(temperatures), *rest)
+    both = seeded.unionByName(prior.withColumn("slot", F.col("slot") + len(temperatures)))
+    key = F.md5(F.concat_ws("_", F.col("id").cast("string"), "original", F.col("temperature").cast("string")))
+    return both.select("id", "slot", "temperature", "idx", F.array_sort(tax.decode("idx")).alias("aspect_list"), key.alias("key"))

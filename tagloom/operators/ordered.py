@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RANGES = 256
+WHOLE_ROWS = 1_000_000  # up to this many rows are ordered as one range
 
 
-def range_index(df: DataFrame, col: str, ranges: int = RANGES) -> Column:
-    """Index of the value range a row lies in.
+def with_range(df: DataFrame, col: str, name: str = "range") -> DataFrame:
+    """Add the index of the value range a row lies in.
 
-    The borders, at most ``ranges - 1`` numbers, come from a mergeable quantile sketch, so ranges hold about
-    the same number of rows whatever the distribution.
+    The borders, at most 255 numbers, come from a mergeable quantile sketch, so ranges hold about the same
+    number of rows whatever the distribution. Equal values share a range. A short table is one range.
     """
-    share = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    borders = df.agg(F.array_distinct(F.percentile_approx(F.col(col).cast("double"), share, F.lit(10_000)))).first()[0]
-    if not borders:
-        return F.lit(0)
-    at = F.array(*[F.lit(float(b)) for b in borders])
-    return F.size(F.filter(at, lambda x: x < F.col(col)))
+    from pyspark.ml.feature import Bucketizer
+
+    share = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    value = F.col(col).cast("double")
+    n, borders = df.agg(F.count("*"), F.array_distinct(F.percentile_approx(value, share, F.lit(10_000)))).first()
+    if n <= WHOLE_ROWS or not borders:
+        return df.withColumn(name, F.lit(0.0))
+    splits = [float("-inf"), *sorted(borders), float("inf")]
+    cut = Bucketizer(splits=splits, inputCol="_value", outputCol=name, handleInvalid="keep")
+    return cut.transform(df.withColumn("_value", value)).drop("_value")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tagloom.operators.ordered import range_index
+from tagloom.operators.ordered import with_range
 from tagloom.operators.tags import top_per_group
 
 
@@ -61,7 +61,7 @@ def early_stop_step(log: DataFrame, run: str = "run", step: str = "step", value:
     """
     v = F.col(value) if mode == "min" else -F.col(value)
     d = log.select(F.col(run).alias("run"), F.col(step).alias("step"), v.alias("v"))
-    d = d.withColumn("range", range_index(d, "step"))
+    d = with_range(d, "step")
     parts = d.groupBy("run", "range").agg(F.min("v").alias("m"), F.count("*").alias("c"))
     before = W.partitionBy("run").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.select("run", "range", F.min("m").over(before).alias("m0"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -37,15 +37,15 @@ def category_dataset_stats(df: DataFrame, tax: Taxonomy, dataset_col: str, tags_
     """
     tags = F.col(tags_col)
     counts = [
-        F.struct(F.lit(c).alias("category"), F.size(F.filter(tags, _in(tax.tags_column(c)))).alias("n_tags")) for c in tax.categories
+        F.struct(F.lit(c).alias("category"), F.size(F.filter(tags, _in(tax.tags(c)))).alias("n_tags")) for c in tax.categories
     ]
     counts.append(F.struct(F.lit("All Tags").alias("category"), F.size(tags).alias("n_tags")))
     long = df.select(dataset_col, F.inline(F.array(*counts)))
     return describe(long, "n_tags", [dataset_col, "category"])
 
 
-def _in(names: Column):
-    return lambda t: F.array_contains(names, t)
+def _in(names: Sequence[str]):
+    return lambda t: t.isin(*names)
 
 
 def value_counts(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:

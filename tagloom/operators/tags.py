@@ -38,12 +38,12 @@ def categorize_tags(
     """One array column per category in the row's own order; unknown tags are dropped or kept apart."""
     tags = F.transform(F.col(tags_col), F.lower) if normalize_case else F.col(tags_col)
 
-    def among(names: Column, wanted: bool = True) -> Column:
-        return F.filter(tags, lambda t: F.array_contains(names, t) == wanted)
+    def among(names: Sequence[str], wanted: bool = True) -> Column:
+        return F.filter(tags, lambda t: t.isin(*names) == wanted)
 
-    added = {c + suffix: among(tax.tags_column(c)) for c in tax.categories}
+    added = {c + suffix: among(tax.tags(c)) for c in tax.categories}
     if on_unknown == "collect":
-        added["None" + suffix] = among(tax.tags_column(), wanted=False)
+        added["None" + suffix] = among(tax.tags(), wanted=False)
     elif on_unknown != "drop":
         raise ValueError("on_unknown is 'drop' or 'collect'")
     return df.withColumns(added)

@@ -11,7 +11,7 @@ from tagloom.plans.registry import query
 from tagloom.plans.stat_queries import rounded
 from tagloom.plans.tag_queries import SEED_SQL, TAG_COLS, joined, wide
 from tagloom.operators import tags as T
-from tagloom.plans.views import samples, tagged, taxonomy, with_probs, with_views
+from tagloom.plans.views import sql_prob, tagged, taxonomy, with_probs, with_views
 
 
 def predictions(spark, sf):
@@ -73,7 +73,8 @@ def cmp_ctes(t: float) -> str:
 @query("cooccurrence_compare", with_views("probs kept taxonomy", "SELECT round(cosine_similarity, 6) AS cosine_similarity, round(kl_divergence, 6) AS kl_divergence, round(hellinger_distance, 6) AS hellinger_distance, round(pearson_correlation, 6) AS pearson_correlation FROM cmp", cmp_ctes(0.9)))
 def cooccurrence_compare(spark, sf):
     d, n = predictions(spark, sf).withColumn("guess", M.predicted("probs", 0.9)), taxonomy(spark, sf).size
-    out = co.compare_cooccurrence(co.cooccurrence(d, n, "guess"), co.cooccurrence(d, n), n)
+    pairs = co.cooccurrence_of(d, n, {"predicted": "guess", "original": "tag_idx"})
+    out = co.compare_cooccurrence(pairs, n, "predicted", "original")
     return rounded(out, *out.columns)
 
 
@@ -107,15 +108,14 @@ def sampling_stats(spark, sf):
     return rounded(M.sampling_stats(predictions(spark, sf)), *cols)
 
 
-MU = "(('0x' || substr(md5('mu' || id || ':' || j), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
 @query("vae_loss_terms", with_views("scored tagged", f"""SELECT round(bce + 0.5::DOUBLE * kld, 3) AS loss, round(bce, 3) AS bce, round(kld, 3) AS kld FROM
     (SELECT sum(CASE WHEN y = 1 THEN -greatest(ln(CASE WHEN prob <= 0 THEN 1e-300 ELSE prob END), -100) ELSE -greatest(ln(1 - prob), -100) END) AS bce FROM scored),
-    (SELECT -0.5::DOUBLE * sum(1 + lv - m * m - exp(lv)) AS kld FROM (SELECT {MU} AS m, {MU.replace("'mu'", "'lv'")} - 0.5::DOUBLE AS lv FROM tagged, (SELECT unnest(range(8)) AS j)))"""))
+    (SELECT -0.5::DOUBLE * sum(1 + lv - m * m - exp(lv)) AS kld FROM (SELECT {sql_prob('j', 5)} AS m, {sql_prob('j', 7)} - 0.5::DOUBLE AS lv FROM tagged, (SELECT unnest(range(8)) AS j)))"""))
 def vae_loss_terms(spark, sf):
-    d = with_probs(predictions(spark, sf).withColumnRenamed("probs", "p"), 8, "mu").withColumnRenamed("probs", "mu")
-    d = with_probs(d, 8, "lv").withColumn("logvar", F.transform("probs", lambda x: x - 0.5)).drop("probs").withColumnRenamed("p", "probs")
+    d = with_probs(predictions(spark, sf).withColumnRenamed("probs", "p"), 8, 5).withColumnRenamed("probs", "mu")
+    d = with_probs(d, 8, 7).withColumn("logvar", F.transform("probs", lambda x: x - 0.5)).drop("probs").withColumnRenamed("p", "probs")
     out = M.vae_loss_terms(d, "mu", "logvar", beta=0.5)
     return out.select(*[F.round(c, 3).alias(c) for c in out.columns])
 
@@ -123,7 +123,7 @@ def vae_loss_terms(spark, sf):
 @query("decode_tags", with_views("samples taxonomy wide", f"""SELECT p.id, string_agg(t.tag, ', ' ORDER BY t.tag_idx) AS tags FROM
     (SELECT id, tags, [s FOR s IN [{SEED_SQL.format(c='genre')}, {SEED_SQL.format(c='instrument')}, {SEED_SQL.format(c='mood')}] IF s IS NOT NULL] AS seeds
      FROM (SELECT id, tags, genre AS genre_tags, instrument AS instrument_tags, mood AS mood_tags FROM wide)) p, taxonomy t
-    WHERE (('0x' || substr(md5(p.id || ':' || t.tag_idx), 1, 8))::BIGINT / 4294967296.0::DOUBLE) >= 0.9 OR list_contains(p.seeds, t.tag) GROUP BY 1"""))
+    WHERE {sql_prob('t.tag_idx', id_col='p.id')} >= 0.9 OR list_contains(p.seeds, t.tag) GROUP BY 1"""))
 def decode_tags(spark, sf):
     tax = taxonomy(spark, sf)
     d = with_probs(wide(spark, sf), tax.size).withColumn("seeds", T.seed_tags(["genre_tags", "instrument_tags", "mood_tags"], "id", 7))

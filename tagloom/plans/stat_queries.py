@@ -10,6 +10,7 @@ from tagloom.operators import stats as S
 from tagloom.operators import tags as T
 from tagloom.plans.registry import query
 from tagloom.plans.tag_queries import CATS, TAG_COLS, TEMPS, joined, wide
+from tagloom.sources.files import label_from_path
 from tagloom.plans.views import captions, model_scores, samples, sql_words, table, taxonomy, with_views
 
 
@@ -98,24 +99,19 @@ def avg_caption_length(spark, sf):
 @query("tag_share", with_views("kept", """SELECT category, tag, source_count, generated_count,
     round(source_count * 100.0::DOUBLE / sum(source_count) OVER (PARTITION BY category), 6) AS source_pct,
     round(generated_count * 100.0::DOUBLE / sum(generated_count) OVER (PARTITION BY category), 6) AS generated_pct
-    FROM (SELECT category, tag, count(*) FILTER (id % 3 <> 0 AND tag_idx % 9 <> 4) AS source_count, count(*) FILTER (id % 3 = 0) AS generated_count
-          FROM kept WHERE id % 3 = 0 OR tag_idx % 9 <> 4 GROUP BY 1, 2)"""))
+    FROM (SELECT category, tag, count(*) FILTER (id % 3 <> 0) AS source_count, count(*) FILTER (id % 3 = 0) AS generated_count FROM kept GROUP BY 1, 2)"""))
 def tag_share(spark, sf):
-    tax = taxonomy(spark, sf)
     dataset = F.when(F.col("id") % 3 == 0, "generated").otherwise("source")
     freq = T.tag_frequency(samples(spark, sf).withColumn("dataset", dataset), by=["dataset"])
-    known = tax.join_long(freq, "tag").where("dataset = 'generated' OR tag_idx % 9 <> 4")
+    known = taxonomy(spark, sf).join_long(freq, "tag")
     return rounded(S.tag_share(known, "source", "generated"), "source_pct", "generated_pct")
 
 
-@query("files_per_class", "SELECT lang AS label, count(*) AS n_files FROM documents WHERE doc_id % 10 <> 0 GROUP BY 1")
+@query("files_per_class", "SELECT lang AS label, count(*) AS n_files FROM documents GROUP BY 1")
 def files_per_class(spark, sf):
-    from tagloom.sources.files import label_from_path
-
-    ext = F.when(F.col("doc_id") % 10 == 0, ".txt").otherwise(".wav")
-    paths = table(spark, sf, "documents").select(F.concat(F.lit("/audio/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), ext).alias("path"))
-    wav = paths.where(F.col("path").endswith(".wav"))
-    return S.value_counts(wav.select(label_from_path("path").alias("label")), "label").withColumnRenamed("n", "n_files")
+    path = F.concat(F.lit("/audio/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".wav"))
+    labels = table(spark, sf, "documents").select(label_from_path(path).alias("label"))
+    return S.value_counts(labels, "label").withColumnRenamed("n", "n_files")
 
 
 @query("dataset_profile", with_views("samples", f"""SELECT count(*) AS n_rows, string_agg(DISTINCT temperature::VARCHAR, ', ' ORDER BY temperature::VARCHAR) AS temperatures, min(id) AS first_id

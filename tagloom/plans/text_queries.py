@@ -221,15 +221,16 @@ def token_vectors(spark, sf):
     sides = F.array(*[F.struct(F.lit(s).alias("side"), X.words(F.lower(c)).alias("t")) for s, c in (("p", "prediction"), ("r", "reference"))])
     d = text_pairs(spark, sf).select("id", F.inline(sides)).select("id", "side", F.explode("t").alias("w"))
     d = d.groupBy("id", "side", "w").agg(F.count("*").alias("n"))
-    slot = F.conv(F.substring(F.md5("w"), 1, 6), 16, 10).cast("bigint") % 500
-    return d.withColumn("slot", slot).join(embeddings(spark, sf).select(F.col("id").alias("slot"), "vec"), "slot").select("id", "side", "n", "vec")
+    vocab = embeddings(spark, sf).select(F.col("id").alias("slot"), "vec")
+    slot = F.conv(F.substring(F.md5("w"), 1, 6), 16, 10).cast("bigint") % vocab.agg(F.count("*")).scalar()
+    return d.withColumn("slot", slot).join(vocab, "slot").select("id", "side", "n", "vec")
 
 
 @query("bertscore", with_views("pairs vecs", """SELECT p.id, round(p.s, 6) AS precision, round(r.s, 6) AS recall, round(2 * p.s * r.s / (p.s + r.s), 6) AS f1
     FROM (SELECT id, sum(best * n) / sum(n) AS s FROM (SELECT id, pw, any_value(pn) AS n, max(c) AS best FROM sim GROUP BY 1, 2) GROUP BY 1) p
     JOIN (SELECT id, sum(best * n) / sum(n) AS s FROM (SELECT id, rw, any_value(rn) AS n, max(c) AS best FROM sim GROUP BY 1, 2) GROUP BY 1) r ON r.id = p.id""",
     f"""tok AS (SELECT id, side, w, count(*) AS n FROM (SELECT id, 'p' AS side, unnest({sql_words('lower(prediction)')}) AS w FROM pairs UNION ALL SELECT id, 'r', unnest({sql_words('lower(reference)')}) FROM pairs) GROUP BY 1, 2, 3),
-    tv AS (SELECT t.id, t.side, t.w, t.n, v.vec FROM tok t JOIN vecs v ON v.id = ('0x' || substr(md5(t.w), 1, 6))::BIGINT % 500),
+    tv AS (SELECT t.id, t.side, t.w, t.n, v.vec FROM tok t JOIN vecs v ON v.id = ('0x' || substr(md5(t.w), 1, 6))::BIGINT % (SELECT count(*) FROM vecs)),
     sim AS (SELECT p.id, p.w AS pw, p.n AS pn, r.w AS rw, r.n AS rn, list_dot_product(p.vec, r.vec) / sqrt(list_dot_product(p.vec, p.vec) * list_dot_product(r.vec, r.vec)) AS c
       FROM tv p JOIN tv r ON p.id = r.id AND p.side = 'p' AND r.side = 'r')"""))
 def bertscore(spark, sf):
@@ -267,10 +268,10 @@ def perplexity(spark, sf):
 
 
 @query("perplexity_stats", with_views("model_scores", """SELECT round(avg(p), 6) AS mean, round(stddev_pop(p), 6) AS std, round(min(p), 6) AS min, round(max(p), 6) AS max, round(median(p), 6) AS median
-    FROM (SELECT exp(score) AS p FROM model_scores WHERE id % 50 <> 0)"""))
+    FROM (SELECT exp(score) AS p FROM model_scores WHERE score <= 0.5)"""))
 def perplexity_stats(spark, sf):
     from tagloom.plans.views import model_scores
 
-    failed = F.when(F.col("id") % 50 == 0, F.lit(float("inf"))).otherwise(F.exp("score"))
+    failed = F.when(F.col("score") > 0.5, F.lit(float("inf"))).otherwise(F.exp("score"))
     out = M.perplexity_stats(model_scores(spark, sf).select(failed.alias("p")), "p")
     return rounded(out, *out.columns)

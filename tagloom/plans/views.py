@@ -9,18 +9,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.functions.hashing import hash_uniform
 from tagloom.functions.text import words
 from tagloom.operators.taxonomy import Taxonomy
+from tagloom.session import is_small_scan, spread
 
 # Category order of the taxonomy.
 CATEGORIES = ("tempo", "genre", "mood", "instrument")
 
+_SMALL_SCANS: dict[tuple[int, str, str], bool] = {}
 _TAXONOMIES: dict[tuple[int, str], Taxonomy] = {}
 
 
+_HEAVY = {"lineitem", "orders", "documents", "conversations", "embeddings", "events", "pages"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    if name not in _HEAVY:
+        return df
+    key = (id(spark), sf, name)
+    if key not in _SMALL_SCANS:
+        _SMALL_SCANS[key] = is_small_scan(df)
+    return spread(df) if _SMALL_SCANS[key] else df
 
 
 def _part_tags() -> Column:
@@ -68,10 +78,24 @@ def kept(spark: SparkSession, sf: str) -> DataFrame:
     return tax.join_long(samples(spark, sf).select("id", F.explode("tags").alias("tag")), "tag")
 
 
-def with_probs(df: DataFrame, n: int, salt: str = "", id_col: str = "id") -> DataFrame:
-    """A probability vector per row, hashed from the id: stands for a model's output."""
-    prob = lambda j: hash_uniform(F.concat(F.lit(salt), F.col(id_col).cast("string")), j)
-    return df.withColumn("probs", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), prob))
+# Two multiplicative generators modulo primes below 2^31.
+_M1, _M2 = 2147483647, 2147483399
+
+
+def _unit(id_col: Column, j: Column, salt: int) -> Column:
+    a = ((id_col % _M1) * 48271 + j * 69621 + salt) % _M1
+    return (((a * 40692) % _M2) * 48271 % _M1) / F.lit(float(_M1))
+
+
+def with_probs(df: DataFrame, n: int, salt: int = 11, id_col: str = "id") -> DataFrame:
+    """A probability vector per row, mixed from the id: stands for a model's output."""
+    position = F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+    return df.withColumn("probs", F.transform(position, lambda j: _unit(F.col(id_col), j, salt)))
+
+
+def sql_prob(j: str, salt: int = 11, id_col: str = "id") -> str:
+    a = f"((({id_col} % {_M1}) * 48271 + {j} * 69621 + {salt}) % {_M1})"
+    return f"(((({a} * 40692) % {_M2}) * 48271 % {_M1}) / {_M1}.0::DOUBLE)"
 
 
 def embeddings(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,14 +152,6 @@ def judge_replies(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), reply.alias("reply"))
 
 
-_UNIT = "(('0x' || substr(md5({0}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
-
-
-def sql_unit(text: str) -> str:
-    """SQL of :func:`hash_uniform` over one text expression."""
-    return _UNIT.format(text)
-
-
 WS = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
 
 
@@ -188,7 +204,7 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "tagged": (("kept",), "SELECT id, list(tag_idx ORDER BY tag_idx) AS tag_idx FROM kept GROUP BY id"),
     "probs": (
         ("tagged", "taxonomy"),
-        f"""SELECT id, j AS tag_idx, {_UNIT.format("id || ':' || j")} AS prob
+        f"""SELECT id, j AS tag_idx, {sql_prob("j")} AS prob
           FROM tagged, (SELECT tag_idx AS j FROM taxonomy)""",
     ),
     "scored": (

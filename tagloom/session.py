@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tagloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -15,6 +15,7 @@ def build_session(app: str = "tagloom", master: str | None = None, **conf: str)
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",  # rows here are costly, not large
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
@@ -36,3 +37,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         base = tempfile.mkdtemp(prefix="run-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def is_small_scan(df: DataFrame) -> bool:
+    """Whether a scan has fewer splits than the cluster has cores."""
+    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small scan out to all cores.
+
+    Few splits would leave most cores idle during row-heavy work. A large table has more splits than there
+    are cores and must not be shuffled for this: ask :func:`is_small_scan` first.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
