@@ -9,19 +9,19 @@ RANGES = 256
 WHOLE_ROWS = 1_000_000  # up to this many rows are ordered as one range
 
 
-def with_range(df: DataFrame, col: str, name: str = "range") -> DataFrame:
-    """Add the index of the value range a row lies in.
+def with_range(df: DataFrame, col: str, name: str = "range", whole_rows: int = WHOLE_ROWS) -> DataFrame | None:
+    """Add the index of the value range a row lies in, or return None for a short table: one range will do.
 
     The borders, at most 255 numbers, come from a mergeable quantile sketch, so ranges hold about the same
-    number of rows whatever the distribution. Equal values share a range. A short table is one range.
+    number of rows whatever the distribution. Equal values share a range.
     """
     from pyspark.ml.feature import Bucketizer
 
     share = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
     value = F.col(col).cast("double")
     n, borders = df.agg(F.count("*"), F.array_distinct(F.percentile_approx(value, share, F.lit(10_000)))).first()
-    if n <= WHOLE_ROWS or not borders:
-        return df.withColumn(name, F.lit(0.0))
+    if n <= whole_rows or not borders:
+        return None
     splits = [float("-inf"), *sorted(borders), float("inf")]
     cut = Bucketizer(splits=splits, inputCol="_value", outputCol=name, handleInvalid="keep")
     return cut.transform(df.withColumn("_value", value)).drop("_value")

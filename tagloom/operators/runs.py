@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tagloom.operators.ordered import with_range
+from tagloom.operators.ordered import WHOLE_ROWS, with_range
 from tagloom.operators.tags import top_per_group
 
 
@@ -52,35 +52,38 @@ def best_run(log: DataFrame, run: str = "run", value: str = "value", mode: str =
     return best.orderBy(F.col(value).asc() if mode == "min" else F.col(value).desc(), run).limit(1)
 
 
-def early_stop_step(log: DataFrame, run: str = "run", step: str = "step", value: str = "value", patience: int = 3, mode: str = "min") -> DataFrame:
-    """``(run, stop_step)``: first check after ``patience`` checks in a row without a new best, or the first
+def early_stop_step(
+    log: DataFrame, run: str = "run", step: str = "step", value: str = "value", patience: int = 3, mode: str = "min",
+    whole_rows: int = WHOLE_ROWS,
+) -> DataFrame:
+    """``(run, stop_step)``: first check with ``patience`` checks in a row without a new best, or the first
     value that is not finite; NULL when a run is never stopped.
 
-    Running minima and positions are carried over ranges of steps, so the longest run is worked on in as many
-    parts as there are ranges. Only improvements and the checks ``patience`` after them are compared.
+    In a long log the best value, the position and the last improvement are carried over ranges of steps, so
+    the longest run is worked on in as many parts as there are ranges.
     """
     v = F.col(value) if mode == "min" else -F.col(value)
     d = log.select(F.col(run).alias("run"), F.col(step).alias("step"), v.alias("v"))
-    d = with_range(d, "step")
-    parts = d.groupBy("run", "range").agg(F.min("v").alias("m"), F.count("*").alias("c"))
-    before = W.partitionBy("run").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.select("run", "range", F.min("m").over(before).alias("m0"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"))
-    inside = W.partitionBy("run", "range").orderBy("step")
-    so_far = F.least("m0", F.min("v").over(inside.rowsBetween(W.unboundedPreceding, -1)))
-    rows = d.join(parts, ["run", "range"]).select(
-        "run", "range", "step", "v", (F.col("c0") + F.row_number().over(inside)).alias("pos"),
-        F.coalesce(F.col("v") < so_far, so_far.isNull()).alias("better"),
-    )
-    better = rows.where("better").select("run", "range", "pos")
-    starts = better.groupBy("run", "range").agg(F.min("pos").alias("first"))
-    after = W.partitionBy("run").orderBy("range").rowsBetween(1, W.unboundedFollowing)
-    starts = starts.select("run", "range", F.min("first").over(after).alias("next_range"))
-    gaps = better.join(starts, ["run", "range"]).withColumn(
-        "next", F.coalesce(F.lead("pos").over(W.partitionBy("run", "range").orderBy("pos")), F.col("next_range"))
-    )
-    stops = gaps.where(F.col("next").isNull() | (F.col("next") > F.col("pos") + patience))
-    stops = stops.groupBy("run").agg((F.min("pos") + patience).alias("pos"))
-    at = rows.join(stops, ["run", "pos"]).select("run", "step")
-    broken = d.where(F.isnan("v") | (F.abs("v") == float("inf"))).select("run", "step")
-    first = at.unionByName(broken).groupBy("run").agg(F.min("step").alias("stop_step"))
-    return d.select("run").distinct().join(first, "run", "left")
+    ranged = with_range(d, "step", whole_rows=whole_rows)
+    parted = ["run"] if ranged is None else ["run", "range"]
+    inside = W.partitionBy(*parted).orderBy("step")
+    earlier = W.partitionBy("run").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    best = F.min("v").over(inside.rowsBetween(W.unboundedPreceding, -1))
+    pos = F.row_number().over(inside).cast("bigint")
+    if ranged is None:
+        rows = d.withColumns({"best": best, "pos": pos})
+    else:
+        parts = ranged.groupBy("run", "range").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        parts = parts.select("run", "range", F.min("m").over(earlier).alias("m0"), F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("c0"))
+        rows = ranged.join(parts, ["run", "range"]).withColumns({"best": F.least("m0", best), "pos": F.col("c0") + pos})
+    better = F.col("best").isNull() | (F.col("v") < F.col("best"))
+    rows = rows.withColumn("improved", F.when(better, F.col("pos")))
+    last = F.max("improved").over(inside)
+    if ranged is None:
+        rows = rows.withColumn("last", last)
+    else:
+        carried = rows.groupBy("run", "range").agg(F.max("improved").alias("i"))
+        carried = carried.select("run", "range", F.max("i").over(earlier).alias("i0"))
+        rows = rows.join(carried, ["run", "range"]).withColumn("last", F.greatest("i0", last))
+    stopped = (F.col("pos") - F.col("last") >= patience) | F.isnan("v") | (F.abs("v") == float("inf"))
+    return rows.groupBy("run").agg(F.min(F.when(stopped, F.col("step"))).alias("stop_step"))

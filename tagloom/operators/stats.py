@@ -125,11 +125,12 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
         F.struct(F.lit(float(p)).alias("p"), F.get("e", F.lit(2 * i)).alias("lo"), F.get("e", F.lit(2 * i + 1)).alias("hi"))
         for i, p in enumerate(probs)
     ])
-    brackets = sketch.select(*by, "n", plans.alias("plans"))
     if by:
-        seen = values.join(small_side(brackets), by)
+        seen = values.join(small_side(sketch.select(*by, "n", plans.alias("plans"))), by)
     else:
-        seen = values.withColumns({"n": brackets.select("n").scalar(), "plans": brackets.select("plans").scalar()})
+        n, e = sketch.first()  # one row
+        found = F.array(*[F.lit(x) for x in e]) if e else F.lit(None).cast("array<double>")
+        seen = values.withColumns({"n": F.lit(n), "e": found}).withColumn("plans", plans)
     seen = seen.select(*by, "v", "n", F.inline("plans"))
     v = F.col("v")
     zone = F.when(v < F.col("lo"), -1).when(v > F.col("hi"), 1).otherwise(0)
