@@ -199,7 +199,7 @@ def bertscore_rows(tokens: DataFrame, block: int = 1024) -> DataFrame:
         unit = {}
         for side in ("p", "r"):
             part = d[d["side"] == side]
-            x = np.array(part["vec"].tolist(), dtype=np.float64).reshape(len(part), -1)
+            x = np.array(part["vec"].tolist(), dtype=np.float64).reshape(len(part), len(d["vec"].iloc[0]))
             n = np.linalg.norm(x, axis=1, keepdims=True)
             unit[side] = (np.divide(x, n, out=np.zeros_like(x), where=n > 0), part["n"].to_numpy(dtype=np.float64))
         (p, cp), (r, cr) = unit["p"], unit["r"]
