@@ -20,6 +20,7 @@ MIN_CONCEPT_ACCURACY = 0.65
 ALIGNED = 0.1
 MAX_CONCEPTS = 10_000
 MAX_GROUP = 20_000
+ROWS_PER_TASK = 20_000
 
 
 def train_cav(df: DataFrame, vec: str, y: str, c: float = 0.1, max_iter: int = 30) -> DataFrame:
@@ -34,6 +35,7 @@ def train_cav(df: DataFrame, vec: str, y: str, c: float = 0.1, max_iter: int = 3
     n = sum(counts.values())
     weight = F.when(F.col(y) == 1, n / (2.0 * counts[1])).otherwise(n / (2.0 * counts[0]))
     x = df.select(array_to_vector(l2_normalize(vec)).alias("features"), F.col(y).cast("double").alias("label"), weight.alias("w"))
+    x = x.coalesce(n // ROWS_PER_TASK + 1)  # every step is a pass over all tasks
     svm = LinearSVC(maxIter=max_iter, tol=1e-4, regParam=1.0 / (c * n), standardization=False, weightCol="w")
     model = svm.fit(x)
     coef = np.asarray(model.coefficients.toArray())

@@ -155,13 +155,14 @@ def silhouette(df: DataFrame, id_col: str, vec: str, label: str, block_rows: int
     d = d.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     other = F.sequence(F.lit(0), F.lit(blocks - 1))
     left = d.select(F.col("b").alias("i"), F.explode(other).alias("j"), "id", "v", "label")
-    right = d.select(F.explode(other).alias("i"), F.col("b").alias("j"), "v", "label")
+    # own names for the right side: both sides come from one table and must not share columns
+    right = d.select(F.explode(other).alias("i"), F.col("b").alias("j"), F.col("v").alias("w"), F.col("label").alias("cluster"))
 
     def distances(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"id": [], "own": [], "label": [], "s": []})
-        x, y = np.stack(a["v"].to_list()), np.stack(b["v"].to_list())
-        labels, code = np.unique(b["label"].to_numpy(), return_inverse=True)
+        x, y = np.stack(a["v"].to_list()), np.stack(b["w"].to_list())
+        labels, code = np.unique(b["cluster"].to_numpy(), return_inverse=True)
         onehot = np.zeros((len(y), len(labels)))
         onehot[np.arange(len(y)), code] = 1.0
         sums = np.empty((len(x), len(labels)))

@@ -25,12 +25,14 @@ _HEAVY = {"lineitem", "orders", "documents", "conversations", "embeddings", "eve
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    if name not in _HEAVY:
-        return df
-    key = (id(spark), sf, name)
+    return spread(df) if name in _HEAVY and _is_small(df, sf, name) else df
+
+
+def _is_small(df: DataFrame, sf: str, name: str) -> bool:
+    key = (id(df.sparkSession), sf, name)
     if key not in _SMALL_SCANS:
         _SMALL_SCANS[key] = is_small_scan(df)
-    return spread(df) if _SMALL_SCANS[key] else df
+    return _SMALL_SCANS[key]
 
 
 def _part_tags() -> Column:
@@ -62,7 +64,10 @@ def taxonomy(spark: SparkSession, sf: str) -> Taxonomy:
 def samples(spark: SparkSession, sf: str) -> DataFrame:
     """``(id, tags)``: the distinct raw tags of every sample, sorted; a set per id, bounded by the vocabulary."""
     part = table(spark, sf, "part").select("p_partkey", F.transform(_part_tags(), lambda t: t["tag"]).alias("tags"))
-    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), "l_partkey")
+    scan = spark.read.parquet(f"{sf}/lineitem.parquet")
+    lines = scan.select(F.col("l_orderkey").alias("id"), "l_partkey")
+    if _is_small(scan, sf, "lineitem"):
+        lines = spread(lines, "id")  # a large scan is combined per id before its shuffle instead
     long = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select("id", F.explode("tags").alias("tag"))
     return long.groupBy("id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
 

@@ -44,10 +44,10 @@ def is_small_scan(df: DataFrame) -> bool:
     return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small scan out to all cores.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows of a small scan out to all cores, by key if one is given.
 
     Few splits would leave most cores idle during row-heavy work. A large table has more splits than there
     are cores and must not be shuffled for this: ask :func:`is_small_scan` first.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
