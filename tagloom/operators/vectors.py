@@ -14,8 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.bind import let
-from tagloom.functions.vectors import cosine, l2_normalize, squared_distance
+from tagloom.functions.vectors import cosine, squared_distance
 from tagloom.operators.splits import small_side
 
 MAX_DIM = 4096

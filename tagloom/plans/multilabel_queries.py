@@ -9,7 +9,7 @@ from tagloom.operators import cooccurrence as co
 from tagloom.operators import multilabel as M
 from tagloom.plans.registry import query
 from tagloom.plans.stat_queries import rounded
-from tagloom.plans.tag_queries import SEED_SQL, TAG_COLS, joined, wide
+from tagloom.plans.tag_queries import SEED_SQL, joined, wide
 from tagloom.operators import tags as T
 from tagloom.plans.views import sql_prob, tagged, taxonomy, with_probs, with_views
 

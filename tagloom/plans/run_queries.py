@@ -11,7 +11,7 @@ from tagloom.operators import sets as J
 from tagloom.operators import tags as T
 from tagloom.plans.registry import query
 from tagloom.plans.stat_queries import rounded
-from tagloom.plans.views import captions, embeddings, kept, metric_log, samples, table, taxonomy, text_pairs, with_views
+from tagloom.plans.views import captions, kept, metric_log, samples, table, text_pairs, with_views
 from tagloom.session import scratch_path
 from tagloom.sources import datasets as DS
 from tagloom.sources import documents as JS

@@ -8,8 +8,8 @@ from tagloom.functions import text as X
 from tagloom.operators import splits as R
 from tagloom.operators import tags as T
 from tagloom.plans.registry import query
-from tagloom.plans.tag_queries import joined, wide
-from tagloom.plans.views import captions, samples, sql_words, table, taxonomy, with_views
+from tagloom.plans.tag_queries import joined
+from tagloom.plans.views import captions, samples, table, taxonomy, with_views
 from tagloom.session import scratch_path
 from tagloom.sources import datasets as DS
 

@@ -9,7 +9,7 @@ from tagloom.operators import distributions as D
 from tagloom.operators import stats as S
 from tagloom.operators import tags as T
 from tagloom.plans.registry import query
-from tagloom.plans.tag_queries import CATS, TAG_COLS, TEMPS, joined, wide
+from tagloom.plans.tag_queries import TAG_COLS, TEMPS, wide
 from tagloom.sources.files import label_from_path
 from tagloom.plans.views import captions, model_scores, samples, sql_words, table, taxonomy, with_views
 
