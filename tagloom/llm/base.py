@@ -89,3 +89,9 @@ def texts(column: pa.Array) -> list[bytes | None]:
 def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     """Consecutive runs of the values, as a list column."""
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(values))
+
+
+def bounded(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """The table, stored; marked for broadcast only if it has at most so many rows, else joined by shuffle."""
+    kept = stored(df, name)
+    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
