@@ -4,7 +4,7 @@ Positions modulo ``period`` are sampled at a difference cover: for any two posit
 period takes both to sampled ones. Two equal runs of ``window`` words therefore share an anchor of
 ``window - period + 1`` words that starts at a sampled position of both documents, so hashing 3 of 7
 positions finds every match. Anchors of a single document, nearly all, go no further. Around the others
-every window is extended to its full length and compared by a 96-bit hash.
+every window is extended to its full length and compared by an 88-bit hash.
 
 Data flow: the text is dealt out by id once and that exchange is used three times. An anchor is grouped
 only for the documents that are the first of their chunk of input to have it. The others of the chunk
@@ -27,7 +27,9 @@ PERIOD = 7
 #: A perfect difference set modulo 7.
 COVER = (1, 2, 4)
 #: Anchors only select, so fewer bits than a full hash do: a chance match costs work, not truth.
-ANCHOR_BITS = np.uint64((1 << 48) - 1)
+ANCHOR_BITS = np.uint64((1 << 64) - (1 << 16))
+#: What a window's second hash adds to the 64 bits of its first.
+MORE_BITS = np.uint64((1 << 64) - (1 << 40))
 CHUNK = 1_500_000
 
 
@@ -78,7 +80,7 @@ def _per_id(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.ListArr
 
 
 def _emit(g: np.ndarray, g2: np.ndarray, k: np.ndarray, hs: pa.Array) -> pa.RecordBatch:
-    return batch(g=g.view(np.int64), g2=pa.array(g2.astype(np.int32)), k=k, hs=hs.cast(pa.list_(pa.int64())))
+    return batch(g2=g2.view(np.int64), g=g.view(np.int64), k=k, hs=hs.cast(pa.list_(pa.int64())))
 
 
 def _witnesses(h: np.ndarray, h2: np.ndarray, k: np.ndarray, keep_first: bool) -> Iterator[pa.RecordBatch]:
@@ -90,12 +92,13 @@ def _witnesses(h: np.ndarray, h2: np.ndarray, k: np.ndarray, keep_first: bool) -
         return
     order, first, count = _grouped([h, h2], k)
     h, h2, k = h[order], h2[order], k[order]
-    lead = h[first]
-    yield _emit(lead, h2[first], k[first], pa.nulls(len(lead), pa.list_(pa.int64())))
+    lead = np.flatnonzero(first)
+    lead = lead[np.argsort(k[lead], kind="stable")]  # rows of one id together compress best
+    yield _emit(h[lead], h2[lead], k[lead], pa.nulls(len(lead), pa.list_(pa.int64())))
     known = (count > 1) if keep_first else ~first
     ids, hs = _per_id(k[known], h[known])
     if len(ids):
-        yield _emit(mixed(ids.view(np.uint64)), np.zeros(len(ids)), ids, hs)
+        yield _emit(mixed(ids.view(np.uint64)), np.zeros(len(ids), np.uint64), ids, hs)
 
 
 def _chunked(rows: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, int]]], keep_first: bool):
@@ -121,7 +124,7 @@ def _chunked(rows: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndar
     return run
 
 
-_ROWS = "g long, g2 int, k long, hs array<long>"
+_ROWS = "g2 long, g long, k long, hs array<long>"
 
 
 def _known(rows: DataFrame, larger_only: bool) -> DataFrame:
@@ -159,7 +162,7 @@ def substring_dedup(
             w = words_of(text)
             if len(w) >= window:
                 _, a = tool.anchors(tool.hashes.of(w))
-                yield a, np.zeros(len(a), np.int32), k
+                yield a, np.zeros(len(a), np.uint64), k
 
     def windows(b: pa.RecordBatch):
         tool = _tool()
@@ -169,7 +172,7 @@ def substring_dedup(
             if len(w) >= window:
                 h = tool.hashes.of(w)
                 at = tool.candidates(h, hs[i].values.to_numpy().view(np.uint64))
-                yield window_hashes(h, window)[at], window_hashes(h, window, 2)[at].view(np.int64).astype(np.int32), k
+                yield window_hashes(h, window)[at], window_hashes(h, window, 2)[at] & MORE_BITS, k
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = _tool()
