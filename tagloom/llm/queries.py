@@ -13,6 +13,7 @@ from tagloom.llm.language_id import identify_language
 from tagloom.llm.mixing import mixed_sources
 from tagloom.llm.secrets import scan_secrets
 from tagloom.llm.substring_dedup import substring_dedup
+from tagloom.llm.topk import exact_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +105,15 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixed_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return exact_topk(vectors, vectors.filter("vec_id % 50 = 0"), 5)
