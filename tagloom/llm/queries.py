@@ -14,6 +14,7 @@ from tagloom.llm.mixing import mixed_sources
 from tagloom.llm.secrets import scan_secrets
 from tagloom.llm.substring_dedup import substring_dedup
 from tagloom.llm.topk import exact_topk
+from tagloom.llm.warc import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +51,21 @@ def _joined(parts) -> F.Column:
     return F.array_join(F.transform(parts, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS sha, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((('0x' || substr(sha, (j // 4 * 5 + 1)::INT, 5))::BIGINT >> (5 * (3 - j % 4))) & 31), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM g
+""")
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).cast("long")
+    out = round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select(number("name").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), number("refers_to").alias("refers_to"))
+
+
 @query()
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_secrets(table(spark, sf_dir, "documents"))
