@@ -54,7 +54,7 @@ class _Anchors:
         """Starts of the windows that hold an anchor which another document has."""
         at, a = self.anchors(h)
         marks = np.zeros(len(h) + 1, np.int32)
-        marks[at[np.isin(a, alive)] + 1] = 1
+        marks[at[np.isin(_upper(a), alive)] + 1] = 1
         seen = np.cumsum(marks)
         starts = np.arange(len(h) - self.window + 1)
         return starts[seen[starts + self.period] > seen[starts]]
@@ -72,21 +72,26 @@ def _grouped(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.nd
     return order, first, np.repeat(np.diff(np.append(start, len(order))), np.diff(np.append(start, len(order))))
 
 
+def _upper(h: np.ndarray) -> np.ndarray:
+    return (h.view(np.int64) >> 32).astype(np.int32)
+
+
 def _per_id(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
     order = np.argsort(ids, kind="stable")
     ids, values = ids[order], values[order]
     start = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
-    return ids[start], lists(values.view(np.int64), np.diff(np.append(start, len(ids))))
+    return ids[start], lists(values, np.diff(np.append(start, len(ids))))
 
 
 def _emit(g: np.ndarray, g2: np.ndarray, k: np.ndarray, hs: pa.Array) -> pa.RecordBatch:
-    return batch(g2=g2.view(np.int64), g=g.view(np.int64), k=k, hs=hs.cast(pa.list_(pa.int64())))
+    return batch(g2=g2.view(np.int64), g=g.view(np.int64), k=k, hs=hs)
 
 
 def _witnesses(h: np.ndarray, h2: np.ndarray, k: np.ndarray, keep_first: bool) -> Iterator[pa.RecordBatch]:
     """Rows of one chunk: one for each key, grouped over the corpus; and lists of what is already known, one for each id.
 
-    ``keep_first``: a key of two ids is news for both of them, not only for the larger.
+    ``keep_first``: a key of two ids is news for both of them, not only for the larger. Such keys only select, so
+    lists of them hold their upper halves.
     """
     if not len(h):
         return
@@ -94,9 +99,9 @@ def _witnesses(h: np.ndarray, h2: np.ndarray, k: np.ndarray, keep_first: bool) -
     h, h2, k = h[order], h2[order], k[order]
     lead = np.flatnonzero(first)
     lead = lead[np.argsort(k[lead], kind="stable")]  # rows of one id together compress best
-    yield _emit(h[lead], h2[lead], k[lead], pa.nulls(len(lead), pa.list_(pa.int64())))
+    yield _emit(h[lead], h2[lead], k[lead], pa.nulls(len(lead), pa.list_(pa.int32() if keep_first else pa.int64())))
     known = (count > 1) if keep_first else ~first
-    ids, hs = _per_id(k[known], h[known])
+    ids, hs = _per_id(k[known], _upper(h[known]) if keep_first else h[known].view(np.int64))
     if len(ids):
         yield _emit(mixed(ids.view(np.uint64)), np.zeros(len(ids), np.uint64), ids, hs)
 
@@ -124,7 +129,7 @@ def _chunked(rows: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndar
     return run
 
 
-_ROWS = "g2 long, g long, k long, hs array<long>"
+_ROWS = "g2 long, g long, k long, hs array<%s>"
 
 
 def _known(rows: DataFrame, larger_only: bool) -> DataFrame:
@@ -134,7 +139,7 @@ def _known(rows: DataFrame, larger_only: bool) -> DataFrame:
     found = (low < F.col("k")) if larger_only else (low < high)
     return (
         rows.withColumn("found", found).filter("found or hs is not null")
-        .select("k", F.coalesce("hs", F.array("g")).alias("hs"))
+        .select("k", F.coalesce("hs", F.array("g" if larger_only else F.shiftright("g", 32).cast("int"))).alias("hs"))
         .groupBy("k").agg(F.flatten(F.collect_list("hs")).alias("hs"))
     )
 
@@ -171,7 +176,7 @@ def substring_dedup(
             w = words_of(text)
             if len(w) >= window:
                 h = tool.hashes.of(w)
-                at = tool.candidates(h, hs[i].values.to_numpy().view(np.uint64))
+                at = tool.candidates(h, hs[i].values.to_numpy())
                 yield window_hashes(h, window)[at], window_hashes(h, window, 2)[at] & MORE_BITS, k
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +211,8 @@ def substring_dedup(
             cached.append(_Anchors(window, period, cover))
         return cached[0]
 
-    shared = _known(data.mapInArrow(_chunked(anchors, True), _ROWS), False)
-    smaller = _known(data.join(shared, "k").mapInArrow(_chunked(windows, False), _ROWS), True)
+    shared = _known(data.mapInArrow(_chunked(anchors, True), _ROWS % "int"), False)
+    smaller = _known(data.join(shared, "k").mapInArrow(_chunked(windows, False), _ROWS % "long"), True)
     row_type = data.schema["row"].dataType.simpleString()
     out = data.join(smaller, "k", "left").mapInArrow(removed, f"row {row_type}, n_words long, n_removed long, kept_text string")
     return out.select("row.*", "n_words", "n_removed", "kept_text")
