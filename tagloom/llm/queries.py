@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.base import held_back, table
 from tagloom.llm.decontaminate import decontaminate
+from tagloom.llm.html_layout import extract_text
 from tagloom.llm.language_id import identify_language
 from tagloom.llm.mixing import mixed_sources
+from tagloom.llm.near_dedup import near_duplicates
+from tagloom.llm.ngram_trie import score_texts
 from tagloom.llm.secrets import scan_secrets
 from tagloom.llm.substring_dedup import substring_dedup
 from tagloom.llm.topk import exact_topk
@@ -77,6 +80,17 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
+@query()
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_back("doc_id", 7, 2)).withColumn("train", ~F.col("held_out"))
+    return score_texts(docs, "train").select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query()
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_back("doc_id", 4, 2))
@@ -123,6 +137,11 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@query()
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
