@@ -18,10 +18,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.base import WordHashes, batch, bounded, id_key, lists, mixed, odd_multipliers, stored, texts, window_hashes, words_of
+from tagloom.llm.base import LAST_ID, WordHashes, batch, bounded, lists, mixed, odd_multipliers, stored, texts, window_hashes, words_of
 from tagloom.llm.components import components
 
 SHINGLE = 5
@@ -33,6 +33,8 @@ SKETCH_ROWS, SKETCH_WIDTH, SKETCH_BLOCK = 3, 1 << 17, 1 << 12
 PIECE = 60_000
 #: Ids of texts to compare are broadcast up to so many, else joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Ids from here on stand for rows without one.
+NO_ID = LAST_ID - (1 << 44)
 
 
 def shingles(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,19 +196,29 @@ def _verified(shared, n: int, threshold: float) -> Callable:
     return run
 
 
+def text_key(text_col: str) -> Column:
+    return F.md5(F.coalesce(text_col, F.lit("")))
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """With ``k``, the id or else a number beyond all ids for each text, and ``tk``, a hash of the text."""
+    none = F.lit(NO_ID) + F.pmod(F.xxhash64(text_col), F.lit(LAST_ID - NO_ID))
+    return docs.withColumn("k", F.coalesce(F.col(id_col).cast("long"), none)).withColumn("tk", text_key(text_col))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
-    """(id_col, text_key, class_id) for each row: the smallest id of its class of near-duplicates.
+    """(id_col, text_key, class_id, first) for each row: the smallest id of its class of near-duplicates, and whether it is the row's.
 
     Texts are in one class if they are equal or joined by a chain of pairs that share a band and have a weighted
     Jaccard similarity of at least ``threshold`` over shingles of ``n`` words. Fewer words are one shingle. Null
-    texts and texts without a word are in no class but their own, also if equal. A null id counts as larger
-    than all others and is given back as null. Rows that repeat an id and text are in one class. Rows with one id
+    texts and texts without a word are in no class but their own, also if equal. Rows without an
+    id count as larger than all others, by text; a class of only such rows has the class id null. Rows that repeat an id and text are in one class. Rows with one id
     and different texts are judged by their own texts, and classes that share an id are one.
     """
     spark = docs.sparkSession
-    data = docs.select(F.col(id_col).alias("id"), id_key(id_col).alias("k"), F.col(text_col).alias("text"), F.md5(F.coalesce(text_col, F.lit(""))).alias("tk"))
+    data = keyed(docs, id_col, text_col).select(F.col(id_col).alias("id"), "k", F.col(text_col).alias("text"), "tk")
     shared = spark.sparkContext.broadcast(document_frequencies(data, "text", n))
     signed = data.select("k", "tk", "text").mapInArrow(_signatures(shared, "text", n, bands, rows), "k long, tk string, weight double, bands array<long>")
     unique = stored(signed.groupBy("tk").agg(F.min("k").alias("rep"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "signatures")
@@ -249,5 +261,12 @@ def near_duplicates(
         step *= 2
     classes = unique.join(labels, F.col("rep") == F.col("k"), "left").select("tk", F.coalesce("label", "rep").alias("class_id"))
     out = data.select("id", "k", "tk").join(classes, "tk", "left")
-    hidden = F.when(F.coalesce("class_id", "k") < F.lit((1 << 63) - 1), F.coalesce("class_id", "k"))
-    return out.select(F.col("id").alias(id_col), F.col("tk").alias("text_key"), hidden.alias("class_id"))
+    found = F.coalesce("class_id", "k")
+    return out.select(F.col("id").alias(id_col), F.col("tk").alias("text_key"), F.when(found < NO_ID, found).alias("class_id"), (F.col("k") == found).alias("first"))
+
+
+def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows that have the smallest id of their class; rows that repeat an id and text stay once."""
+    chosen = near_duplicates(docs, id_col, text_col, **options).filter("first").select(F.col(id_col).alias("i"), F.col("text_key").alias("t")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("i"), text_key(text_col).alias("t")).dropDuplicates(["i", "t"])
+    return rows.join(chosen, rows["i"].eqNullSafe(chosen["i"]) & (rows["t"] == chosen["t"]), "left_semi").select("row.*")
