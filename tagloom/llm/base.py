@@ -86,6 +86,13 @@ def texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def nullable(kind: pa.DataType) -> pa.DataType:
+    """The type with nulls allowed in all its parts, which is how Spark reads a schema from text."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, nullable(f.type)) for f in kind])
+    return pa.list_(nullable(kind.value_type)) if pa.types.is_list(kind) else kind
+
+
 def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     """Consecutive runs of the values, as a list column."""
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(values))

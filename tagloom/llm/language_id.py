@@ -32,7 +32,8 @@ def features(group: list[str], slots: int) -> tuple[np.ndarray, np.ndarray, np.n
 
     All that is not a letter is a space. Slot 0 is for n-grams without a letter and counts for nothing.
     """
-    parts = [t.lower() + "   " for t in group]
+    pad = " " * (max(ORDERS) - 1)  # at both ends, so that no n-gram has letters of two texts
+    parts = [pad + t.lower() + pad for t in group]
     points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.array([len(p) for p in parts])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -128,7 +129,7 @@ def identify_language(docs: DataFrame, labelled: DataFrame, text_col: str = "tex
     """Each row of ``docs`` with ``lang_pred`` and ``score``, the posterior probability of that language.
 
     The model is fitted on all rows of ``labelled`` with a language. A null text, a text without a letter and
-    every text when nothing was learned get ``und`` with score 0. Equal texts get equal results; ties go to the
+    every text when nothing was learned get ``und`` with score 0. Equal texts get equal results, up to rounding of the score; ties go to the
     language that sorts first. Input columns of the result's names are replaced.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(labelled, text_col, lang_col))

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.base import WordHashes, mixed, stored, texts
+from tagloom.llm.base import WordHashes, mixed, nullable, stored, texts
 
 #: Text bytes of a chunk; a task needs some ten times that memory.
 CHUNK_BYTES = 16_000_000
@@ -307,8 +307,9 @@ def _score(shards: int, tokens: int, distinct: int, training_docs: int):
     fields = [("row", None), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = docs["row"].cast(nullable(docs["row"].type))
         if not docs.num_rows:
-            return pa.table({"row": docs["row"], **{n: pa.array([], t) for n, t in fields[1:]}})
+            return pa.table({"row": rows, **{n: pa.array([], t) for n, t in fields[1:]}})
         c = Chunk(docs["text"].combine_chunks(), _train(docs))
         c.bigrams()
         of_words = answers["of_words"].to_numpy()
@@ -321,7 +322,7 @@ def _score(shards: int, tokens: int, distinct: int, training_docs: int):
         pair = LEVELS[codes] + PRIOR / (contexts[c.context] + PRIOR) * word[c.next]
         add = lambda x: np.add.reduceat(x, c.starts)
         return pa.table({
-            "row": docs["row"], "n_tokens": pa.array(c.sizes, pa.int64()), "n_known": pa.array(add((total > 0).astype(np.int64)[c.word])),
+            "row": rows, "n_tokens": pa.array(c.sizes, pa.int64()), "n_known": pa.array(add((total > 0).astype(np.int64)[c.word])),
             "base_score": pa.array(add(np.log10(word)[c.word])), "score": pa.array(add(np.log10(pair)[c.pair])),
         })
 
