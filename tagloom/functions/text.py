@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,17 +14,32 @@ from tagloom.functions.bind import let
 WHITESPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
 
 
+# The characters that Python's repr() escapes, other than quotes and backslashes.
+UNPRINTED = r"[\p{C}\p{Z}&&[^ ]]"
+
+
 def _c(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+_STRING = r"""(?:'(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+")"""
+
+
 def parse_tag_literal(text) -> Column:
-    """A list literal such as ``['a', "b's"]`` as an array of strings; NULL when it does not parse."""
-    return F.from_json(
-        _c(text),
-        "array<string>",
-        {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"},
-    )
+    """A list or tuple literal such as ``['a', "b's"]`` as an array of strings; NULL when it does not parse.
+
+    As in Python a comma may follow the last element, and strings side by side are one string. Escapes are those
+    of JSON, ``\\xNN`` and any escaped character.
+    """
+    t = _c(text)
+    plain = F.regexp_replace(F.regexp_replace(t, f"(?s){_STRING}", "S"), r"\s+", "")
+    rest = F.regexp_replace(F.regexp_replace(plain, "S+", "S"), "S,", "")
+    tuple_ = plain.startswith("(") & ((rest == "()") | ((rest == "(S)") & plain.contains(",")))
+    elements = F.regexp_extract_all(t, F.lit(f"(?s){_STRING}(?:\\s*{_STRING})*"), F.lit(0))
+    hexed = lambda e: F.regexp_replace(e, r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})", r"$1\\u00$2")
+    options = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true", "allowUnquotedControlChars": "true"}
+    read = lambda e: F.array_join(F.from_json(F.concat(F.lit("["), F.array_join(F.regexp_extract_all(hexed(e), F.lit(f"(?s){_STRING}"), F.lit(0)), ","), F.lit("]")), "array<string>", options), "")
+    return F.when(rest.isin("[]", "[S]") | tuple_, F.transform(elements, read))
 
 
 def split_tags(text, sep: str, trim: bool = True, legacy_empty: bool = False) -> Column:
@@ -37,8 +53,21 @@ def split_tags(text, sep: str, trim: bool = True, legacy_empty: bool = False) ->
 def render_tag_literal(tags) -> Column:
     """The text Python prints for a list of strings, so that keys hashed from it stay comparable."""
 
+    def escape(c: Column) -> Column:
+        code = F.ascii(c)
+        number = F.lower(F.hex(code))
+        named = [("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]
+        out = F.when(~c.rlike(UNPRINTED), c)
+        for plain, name in named:
+            out = out.when(c == plain, F.lit(name))
+        out = out.when(code < 256, F.concat(F.lit("\\x"), F.lpad(number, 2, "0"))).when(code < 65536, F.concat(F.lit("\\u"), F.lpad(number, 4, "0")))
+        return out.otherwise(F.concat(F.lit("\\U"), F.lpad(number, 8, "0")))
+
+    def printed(t: Column) -> Column:
+        return F.when(t.rlike(UNPRINTED), F.array_join(F.transform(F.split(t, ""), escape), "")).otherwise(t)
+
     def quoted(t: Column) -> Column:
-        body = F.replace(t, F.lit("\\"), F.lit("\\\\"))
+        body = printed(F.replace(t, F.lit("\\"), F.lit("\\\\")))
         single = F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'"))
         double = F.concat(F.lit('"'), body, F.lit('"'))
         return F.when(t.contains("'") & ~t.contains('"'), double).otherwise(single)
@@ -64,16 +93,26 @@ def char_count(text) -> Column:
 
 
 def fill_template(template, **values) -> Column:
-    """Fill ``{name}`` placeholders. Text that is put in is never searched for placeholders again."""
-    pieces = re.split(r"\{(\w+)\}", template)
+    """Fill ``{name}`` placeholders; doubled braces are braces. Text that is put in is never searched again."""
     out: list[Column] = []
-    for i, piece in enumerate(pieces):
-        if i % 2 == 0:
-            out.append(F.lit(piece))
-        else:
-            value = values[piece]
+    for piece in re.split(r"(\{\{|\}\}|\{\w+\})", template):
+        if piece in ("{{", "}}"):
+            out.append(F.lit(piece[0]))
+        elif re.fullmatch(r"\{\w+\}", piece):
+            value = values[piece[1:-1]]
             out.append((value if isinstance(value, Column) else F.lit(value)).cast("string"))
-    return F.concat(*out)
+        elif piece:
+            out.append(F.lit(piece))
+    return F.concat(*out, F.lit(""))
+
+
+def check_template(template: str, placeholders: Sequence[str], delimiter: str = "") -> None:
+    """ValueError before any row is read if a prompt template lacks a placeholder or the delimiter of its answer."""
+    found = {p[1:-1] for p in re.split(r"(\{\{|\}\}|\{\w+\})", template) if re.fullmatch(r"\{\w+\}", p)}
+    if missing := [p for p in placeholders if p not in found]:
+        raise ValueError(f"template without {missing}")
+    if delimiter and delimiter not in template:
+        raise ValueError(f"template without the delimiter {delimiter!r}")
 
 
 def strip(text) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.vectors import l2_normalize
 from tagloom.operators import splits
+from tagloom.operators.ordered import join_null_safe
 from tagloom.operators.vectors import matrix, mean_vector
 
 # Acceptance of a single run, of a concept, and the alignment threshold of a score.
@@ -19,7 +20,7 @@ MIN_RUN_ACCURACY = 0.60
 MIN_CONCEPT_ACCURACY = 0.65
 ALIGNED = 0.1
 MAX_CONCEPTS = 10_000
-MAX_GROUP = 20_000
+MAX_GROUP = 4_000
 ROWS_PER_TASK = 20_000
 
 
@@ -44,6 +45,19 @@ def train_cav(df: DataFrame, vec: str, y: str, c: float = 0.1, max_iter: int = 3
     return right.select(F.lit([float(v) for v in unit]).alias("cav"), F.lit(float(model.intercept)).alias("intercept"), "accuracy")
 
 
+def largest_eigenvalue(gram: np.ndarray, steps: int = 100) -> float:
+    """An upper estimate by power iteration: the last quotient with a margin, never above the trace."""
+    v = np.ones(len(gram)) + np.arange(len(gram)) / max(len(gram), 1)
+    found = 0.0
+    for _ in range(steps):
+        w = gram @ v
+        size = float(np.linalg.norm(w))
+        if size == 0.0 or abs(size - found) <= 1e-9 * size:
+            break
+        v, found = w / size, size
+    return min(float(np.trace(gram)), 1.01 * max(found, float(np.linalg.norm(gram @ v))))
+
+
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float, steps: int = 1000, bias: float = 10.0) -> np.ndarray:
     """Weights of a class-balanced hinge-loss SVM; the last one is the intercept.
 
@@ -53,7 +67,7 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float, steps: int = 1000, bias: flo
     signed = np.hstack([x, np.full((len(x), 1), bias)]) * y[:, None]
     cost = np.where(y > 0, len(y) / (2.0 * max((y > 0).sum(), 1)), len(y) / (2.0 * max((y < 0).sum(), 1))) * c
     gram = signed @ signed.T
-    rate = 1.0 / max(np.linalg.eigvalsh(gram)[-1], 1e-12)
+    rate = 1.0 / max(largest_eigenvalue(gram), 1e-12)
     alpha = ahead = np.zeros(len(y))
     momentum = 1.0
     for _ in range(steps):
@@ -69,23 +83,25 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float, steps: int = 1000, bias: flo
     return w
 
 
-def train_cavs(concepts: DataFrame, random: DataFrame, runs: int, test: float = 0.2, c: float = 0.1) -> DataFrame:
+def train_cavs(concepts: DataFrame, random: DataFrame, runs: int, test: float = 0.2, c: float = 0.1, max_rows: int = MAX_GROUP) -> DataFrame:
     """``(concept, run, cav, accuracy)``: repeated stratified fits of every concept against the random set.
 
     ``concepts`` is ``(concept, id, vec)`` with a fixed number of samples per concept, ``random`` is
-    ``(id, vec)``. Both come from the samplers, so a fit sees a bounded number of rows; larger sets belong
-    to :func:`train_cav`.
+    ``(id, vec)``. Both come from the samplers, so a fit sees a bounded number of rows, ``max_rows`` at most: its
+    solver holds a matrix of rows by rows. Larger sets belong to :func:`train_cav`.
     """
-    names = [r["concept"] for r in concepts.select("concept").distinct().limit(MAX_CONCEPTS).collect()]
-    against = random.select(F.explode(F.array(*[F.lit(n) for n in names])).alias("concept"), "id", "vec", F.lit(0).alias("y"))
+    names = concepts.select("concept").distinct().withColumn("_all", F.lit(1))
+    # every concept meets the whole random set: one side has a row per concept, the other a bounded sample
+    packed = random.groupBy().agg(F.collect_list(F.struct("id", "vec")).alias("sample"))
+    against = names.withColumn("sample", packed.select("sample").scalar()).select("concept", F.inline("sample"), F.lit(0).alias("y"))
     rows = concepts.select("concept", "id", "vec", F.lit(1).alias("y")).unionByName(against)
     parts = splits.repeated_splits(rows, "id", runs, test, ["concept", "y"])
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    parts = parts.repartition(max(cores, min(len(names) * runs, 2000)), "concept", "run")  # fits are costly, their rows few
+    parts = parts.repartition(max(cores, 200), "concept", "run")  # fits are costly, their rows few
 
     def fit(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
-        if len(d) > MAX_GROUP:
-            raise ValueError(f"more than {MAX_GROUP} rows in a fit: use train_cav")
+        if len(d) > max_rows:
+            raise ValueError(f"more than {max_rows} rows in a fit: use train_cav")
         x, y = np.stack(d["vec"].to_list()).astype(float), np.where(d["y"].to_numpy() == 1, 1.0, -1.0)
         train = (d["split"] == "train").to_numpy()
         q1, mid, q3 = np.quantile(x[train], [0.25, 0.5, 0.75], axis=0)
@@ -112,7 +128,9 @@ def aggregate_cavs(runs: DataFrame, min_accuracy: float = MIN_RUN_ACCURACY) -> D
         F.count(F.when(F.col("accuracy") > min_accuracy, 1)).alias("num_successful_runs"),
     )
     means = mean_vector(good, "cav", ["concept"]).select("concept", l2_normalize("mean", 1e-8).alias("cav"))
-    return stats.join(means, "concept", "left")
+    width = runs.agg(F.max(F.size("cav")).alias("d")).scalar()
+    joined = join_null_safe(stats, means, ["concept"], "left").withColumn("_d", width)
+    return joined.withColumn("cav", F.coalesce("cav", F.array_repeat(F.lit(0.0), F.col("_d")))).drop("_d")
 
 
 def concept_gate(aggregated: DataFrame, found: DataFrame, n_samples: int, min_accuracy: float = MIN_CONCEPT_ACCURACY) -> DataFrame:
@@ -120,19 +138,19 @@ def concept_gate(aggregated: DataFrame, found: DataFrame, n_samples: int, min_ac
     return aggregated.join(found, "concept").where((F.col("n") >= n_samples) & (F.col("accuracy") >= min_accuracy))
 
 
-def _cav_matrix(cavs: DataFrame) -> tuple[list, np.ndarray]:
-    rows = cavs.where(F.col("cav").isNotNull()).select("concept", "cav").limit(MAX_CONCEPTS + 1).toArrow()
-    if rows.num_rows > MAX_CONCEPTS:
-        raise ValueError(f"more than {MAX_CONCEPTS} concept vectors")
+def _cav_matrix(cavs: DataFrame, most: int) -> tuple[list, np.ndarray]:
+    rows = cavs.where(F.col("cav").isNotNull()).select("concept", "cav").limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        raise ValueError(f"more than {most} concept vectors: raise max_concepts if they fit in a task")
     return rows.column("concept").to_pylist(), matrix(rows.column("cav").combine_chunks())
 
 
-def tcav_scores(acts: DataFrame, cavs: DataFrame, vec: str, cls: str, threshold: float = ALIGNED) -> DataFrame:
+def tcav_scores(acts: DataFrame, cavs: DataFrame, vec: str, cls: str, threshold: float = ALIGNED, max_concepts: int = MAX_CONCEPTS) -> DataFrame:
     """``(concept, class, n, score)``: share of activations aligned with each concept vector.
 
     The few concept vectors travel with the task as one matrix; a task ships two counts per concept and class.
     """
-    names, c = _cav_matrix(cavs)
+    names, c = _cav_matrix(cavs, max_concepts)
     c = c / (np.linalg.norm(c, axis=1, keepdims=True) + 1e-8)
     name_type, cls_type = cavs.schema["concept"].dataType, acts.schema[cls].dataType
 
@@ -165,9 +183,9 @@ def tcav_scores(acts: DataFrame, cavs: DataFrame, vec: str, cls: str, threshold:
     return sums.select("concept", "class", "n", (F.col("hits") / F.col("n")).alias("score"))
 
 
-def directional_derivative(grads: DataFrame, cavs: DataFrame, id_col: str, grad: str) -> DataFrame:
+def directional_derivative(grads: DataFrame, cavs: DataFrame, id_col: str, grad: str, max_concepts: int = MAX_CONCEPTS) -> DataFrame:
     """``(id, concept, derivative)``: gradient times concept vector."""
-    names, c = _cav_matrix(cavs)
+    names, c = _cav_matrix(cavs, max_concepts)
     id_type, name_type = grads.schema[id_col].dataType, cavs.schema["concept"].dataType
 
     def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

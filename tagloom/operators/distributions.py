@@ -6,26 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tagloom.operators.ordered import WHOLE_ROWS, with_range
+from tagloom.operators.ordered import RANGES, with_value_range
 
 
-def _cumulative(df: DataFrame, value: str, side: str, whole_rows: int = WHOLE_ROWS) -> DataFrame:
+def _cumulative(df: DataFrame, value: str, side: str, ranges: int = RANGES) -> DataFrame:
     """``(v, na, nb, ca, cb, next_v, n, m)``: counts of both sides per distinct value with running totals.
 
-    Running totals over many distinct values are built in two levels, inside value ranges and over the table
-    of at most 256 ranges, so no task has to order everything.
+    Running totals are built in two levels, inside value ranges and over the table of ranges, at most
+    ``ranges`` rows, so no task has to order everything.
     """
     counts = df.groupBy(F.col(value).cast("double").alias("v")).agg(
         F.count(F.when(F.col(side) == "a", 1)).alias("na"), F.count(F.when(F.col(side) == "b", 1)).alias("nb")
     )
     every = W.partitionBy(F.lit(0))
-    ranged = with_range(counts, "v", whole_rows=whole_rows)
-    if ranged is None:
-        w = every.orderBy("v")
-        return counts.select(
-            "v", "na", "nb", F.sum("na").over(w).alias("ca"), F.sum("nb").over(w).alias("cb"), F.lead("v").over(w).alias("next_v"),
-            F.sum("na").over(every).alias("n"), F.sum("nb").over(every).alias("m"),
-        )
+    ranged = with_value_range(counts, "v", ranges=ranges)
     totals = ranged.groupBy("range").agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"), F.min("v").alias("start"))
     over = every.orderBy("range")
     totals = totals.select(
@@ -39,20 +33,20 @@ def _cumulative(df: DataFrame, value: str, side: str, whole_rows: int = WHOLE_RO
     )
 
 
-def ks_statistic(df: DataFrame, value: str, side: str, whole_rows: int = WHOLE_ROWS) -> DataFrame:
+def ks_statistic(df: DataFrame, value: str, side: str, ranges: int = RANGES) -> DataFrame:
     """Largest gap between the two empirical distribution functions."""
-    c = _cumulative(df, value, side, whole_rows)
+    c = _cumulative(df, value, side, ranges)
     return c.agg(F.max(F.abs(F.col("ca") / F.col("n") - F.col("cb") / F.col("m"))).alias("ks"))
 
 
-def mann_whitney_u(df: DataFrame, value: str, side: str, whole_rows: int = WHOLE_ROWS) -> DataFrame:
+def mann_whitney_u(df: DataFrame, value: str, side: str, ranges: int = RANGES) -> DataFrame:
     """U of side ``a``, ties counted half."""
-    c = _cumulative(df, value, side, whole_rows)
+    c = _cumulative(df, value, side, ranges)
     below = F.col("cb") - F.col("nb")
     return c.agg(F.sum(F.col("na") * (below + F.col("nb") / F.lit(2.0))).alias("u"), F.max("n").alias("n"), F.max("m").alias("m"))
 
 
-def wasserstein_1d(df: DataFrame, value: str, side: str, whole_rows: int = WHOLE_ROWS) -> DataFrame:
-    c = _cumulative(df, value, side, whole_rows)
+def wasserstein_1d(df: DataFrame, value: str, side: str, ranges: int = RANGES) -> DataFrame:
+    c = _cumulative(df, value, side, ranges)
     gap = F.abs(F.col("ca") / F.col("n") - F.col("cb") / F.col("m")) * (F.col("next_v") - F.col("v"))
     return c.agg(F.sum(gap).alias("wasserstein"))

@@ -2,26 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RANGES = 256
-WHOLE_ROWS = 1_000_000  # up to this many rows are ordered as one range
+RANGE_ROWS = 100_000
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a NULL key meets a NULL key; the keys come from the left side."""
+    names = {b: f"_right_{i}" for i, b in enumerate(by)}
+    renamed = right.withColumnsRenamed(names)
+    same = [F.col(b).eqNullSafe(F.col(n)) for b, n in names.items()]
+    return left.join(renamed, same, how).drop(*names.values())
 
 
-def with_range(df: DataFrame, col: str, name: str = "range", whole_rows: int = WHOLE_ROWS) -> DataFrame | None:
-    """Add the index of the value range a row lies in, or return None for a short table: one range will do.
+def with_value_range(df: DataFrame, col: str, name: str = "range", ranges: int = RANGES) -> DataFrame:
+    """Add the index of the value range a row lies in.
 
-    The borders, at most 255 numbers, come from a mergeable quantile sketch, so ranges hold about the same
-    number of rows whatever the distribution. Equal values share a range.
+    The borders come from a mergeable quantile sketch, so ranges hold about the same number of rows whatever the
+    distribution. Equal values share a range; NULL and NaN lie in the last one.
     """
-    from pyspark.ml.feature import Bucketizer
-
-    share = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    value = F.col(col).cast("double")
-    n, borders = df.agg(F.count("*"), F.array_distinct(F.percentile_approx(value, share, F.lit(10_000)))).first()
-    if n <= whole_rows or not borders:
-        return None
-    splits = [float("-inf"), *sorted(borders), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="_value", outputCol=name, handleInvalid="keep")
-    return cut.transform(df.withColumn("_value", value)).drop("_value")
+    share = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    borders = df.agg(F.array_distinct(F.percentile_approx(F.col(col).cast("double"), share, F.lit(10_000))).alias("b")).select("b").scalar()
+    placed = df.withColumn("_borders", borders)
+    below = F.size(F.filter("_borders", lambda b: ~(F.col(col).cast("double") < b)))
+    return placed.withColumn(name, F.coalesce(below, F.lit(ranges))).drop("_borders")
+
+
+def with_step_range(df: DataFrame, key: str, step: str, per_range: int = RANGE_ROWS) -> DataFrame:
+    """Add the index of the part of its group that a row lies in: even cuts between the first and the last step, as
+    many as the group has rows for. ``key`` is a column that is never NULL, such as a struct."""
+    x = F.col(step).cast("double")
+    size = df.groupBy(key).agg(F.count("*").alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    parts = F.ceil(F.col("_n") / F.lit(per_range))
+    at = F.coalesce(F.try_divide(x - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    placed = df.join(size, key).withColumn("range", F.least(F.floor(at * parts), parts - 1))
+    return placed.drop("_n", "_lo", "_hi")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tagloom.operators.ordered import WHOLE_ROWS, with_range
+from tagloom.operators.ordered import RANGE_ROWS, with_step_range
 from tagloom.operators.tags import top_per_group
 
 
@@ -25,13 +25,16 @@ def latest_metrics(log: DataFrame, keys: Sequence[str], step: str = "step", valu
 
 def flatten_metrics(df: DataFrame, keys: Sequence[str], json_col: str) -> DataFrame:
     """``(keys..., name, value)`` of metric JSON: numbers as they are, lists as their mean, one nested level
-    as ``name_sub``; anything else is left out."""
-    number = lambda c: c.try_cast("double")
+    as ``name_sub`` with numbers and lists treated alike; anything else is left out."""
+
+    def number(text: Column) -> Column:
+        listed = F.from_json(text, "array<double>")
+        mean = F.try_divide(F.aggregate(listed, F.lit(0.0), lambda s, x: s + x), F.size(listed).cast("double"))
+        return F.when(text.startswith("["), mean).otherwise(text.try_cast("double"))
+
     top = df.select(*keys, F.explode(F.map_entries(F.from_json(json_col, "map<string,string>"))).alias("e"))
     name, text = F.col("e.key"), F.col("e.value")
-    listed = F.from_json(text, "array<double>")
-    mean = F.try_divide(F.aggregate(listed, F.lit(0.0), lambda s, x: s + x), F.size(listed).cast("double"))
-    one = F.array(F.struct(name.alias("name"), F.when(text.startswith("["), mean).otherwise(number(text)).alias("value")))
+    one = F.array(F.struct(name.alias("name"), number(text).alias("value")))
     sub = F.transform(
         F.map_entries(F.from_json(text, "map<string,string>")),
         lambda s: F.struct(F.concat_ws("_", name, s["key"]).alias("name"), number(s["value"]).alias("value")),
@@ -54,36 +57,56 @@ def best_run(log: DataFrame, run: str = "run", value: str = "value", mode: str =
 
 def early_stop_step(
     log: DataFrame, run: str = "run", step: str = "step", value: str = "value", patience: int = 3, mode: str = "min",
-    whole_rows: int = WHOLE_ROWS,
+    min_delta: float = 0.0, stopping: float | None = None, divergence: float | None = None, per_range: int = RANGE_ROWS,
 ) -> DataFrame:
-    """``(run, stop_step)``: first check with ``patience`` checks in a row without a new best, or the first
-    value that is not finite; NULL when a run is never stopped.
+    """``(run, stop_step)`` of one monitored metric: the first check with ``patience`` checks in a row that are not
+    better than the best so far by more than ``min_delta``, or whose value is not finite, is better than
+    ``stopping`` or worse than ``divergence``; NULL when a run is never stopped. A NULL run is a run.
 
-    In a long log the best value, the position and the last improvement are carried over ranges of steps, so
-    the longest run is worked on in as many parts as there are ranges.
+    With a positive ``min_delta`` a new best depends on the one kept before it, so a run is folded in order: each run
+    is cut into ranges of steps, and a range is one array. With none, the best value, the position and the last
+    improvement are running totals that are carried over the ranges.
     """
     v = F.col(value) if mode == "min" else -F.col(value)
-    d = log.select(F.col(run).alias("run"), F.col(step).alias("step"), v.alias("v"))
-    ranged = with_range(d, "step", whole_rows=whole_rows)
-    parted = ["run"] if ranged is None else ["run", "range"]
-    inside = W.partitionBy(*parted).orderBy("step")
-    earlier = W.partitionBy("run").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    best = F.min("v").over(inside.rowsBetween(W.unboundedPreceding, -1))
-    pos = F.row_number().over(inside).cast("bigint")
-    if ranged is None:
-        rows = d.withColumns({"best": best, "pos": pos})
+    bound = lambda b: F.lit(None).cast("double") if b is None else F.lit(float(b if mode == "min" else -b))
+    d = log.select(F.struct(F.col(run).alias("run")).alias("key"), F.col(step).alias("step"), v.alias("v"))
+    d = d.withColumn("hard", F.isnan("v") | (F.abs("v") == float("inf")) | F.coalesce(F.col("v") < bound(stopping), F.lit(False)) | F.coalesce(F.col("v") > bound(divergence), F.lit(False)))
+    if min_delta:
+        rows = _folded(d, min_delta)
     else:
-        parts = ranged.groupBy("run", "range").agg(F.min("v").alias("m"), F.count("*").alias("c"))
-        parts = parts.select("run", "range", F.min("m").over(earlier).alias("m0"), F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("c0"))
-        rows = ranged.join(parts, ["run", "range"]).withColumns({"best": F.least("m0", best), "pos": F.col("c0") + pos})
+        rows = _carried(d, per_range)
+    stopped = (F.col("pos") - F.col("last") >= patience) | F.col("hard")
+    return rows.groupBy("key").agg(F.min(F.when(stopped, F.col("step"))).alias("stop_step")).select(F.col("key.run").alias("run"), "stop_step")
+
+
+def _carried(d: DataFrame, per_range: int) -> DataFrame:
+    """Adds the position of each check and of the last improvement; a run is worked on in as many parts as it has ranges."""
+    ranged = with_step_range(d, "key", "step", per_range)
+    inside = W.partitionBy("key", "range").orderBy("step")
+    earlier = W.partitionBy("key").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    best = F.min("v").over(inside.rowsBetween(W.unboundedPreceding, -1))
+    parts = ranged.groupBy("key", "range").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+    parts = parts.select("key", "range", F.min("m").over(earlier).alias("m0"), F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("c0"))
+    rows = ranged.join(parts, ["key", "range"]).withColumns({"best": F.least("m0", best), "pos": F.col("c0") + F.row_number().over(inside).cast("bigint")})
     better = F.col("best").isNull() | (F.col("v") < F.col("best"))
     rows = rows.withColumn("improved", F.when(better, F.col("pos")))
-    last = F.max("improved").over(inside)
-    if ranged is None:
-        rows = rows.withColumn("last", last)
-    else:
-        carried = rows.groupBy("run", "range").agg(F.max("improved").alias("i"))
-        carried = carried.select("run", "range", F.max("i").over(earlier).alias("i0"))
-        rows = rows.join(carried, ["run", "range"]).withColumn("last", F.greatest("i0", last))
-    stopped = (F.col("pos") - F.col("last") >= patience) | F.isnan("v") | (F.abs("v") == float("inf"))
-    return rows.groupBy("run").agg(F.min(F.when(stopped, F.col("step"))).alias("stop_step"))
+    carried = rows.groupBy("key", "range").agg(F.max("improved").alias("i"))
+    carried = carried.select("key", "range", F.max("i").over(earlier).alias("i0"))
+    return rows.join(carried, ["key", "range"]).withColumn("last", F.greatest("i0", F.max("improved").over(inside)))
+
+
+def _folded(d: DataFrame, min_delta: float) -> DataFrame:
+    """The same with a least improvement, by one fold over the checks of a run, which a run of training logs allows."""
+    checks = F.array_sort(F.collect_list(F.struct("step", "v", "hard")))
+    zero = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("last"))
+
+    def step(s: Column, x: Column) -> Column:
+        new = s["best"].isNull() | (x["v"] < s["best"] - F.lit(float(min_delta)))
+        return F.struct(F.when(new, x["v"]).otherwise(s["best"]).alias("best"), (s["pos"] + 1).alias("pos"), F.when(new, s["pos"] + 1).otherwise(s["last"]).alias("last"))
+
+    def states(s: Column, x: Column) -> Column:
+        return F.struct(step(s["now"], x).alias("now"), F.concat(s["all"], F.array(step(s["now"], x))).alias("all"))
+
+    seen = F.aggregate("checks", F.struct(zero.alias("now"), F.array().cast("array<struct<best:double,pos:bigint,last:bigint>>").alias("all")), states, lambda s: s["all"])
+    rows = d.groupBy("key").agg(checks.alias("checks")).select("key", F.inline(F.arrays_zip(F.col("checks").alias("c"), seen.alias("s"))))
+    return rows.select("key", "c.step", "c.v", "c.hard", "s.pos", "s.last")

@@ -16,6 +16,7 @@ from pyspark.sql import types as ST
 from pyspark.sql import Window as W
 
 from tagloom.functions.hashing import hash_key, hash_normal, hash_uniform
+from tagloom.operators.ordered import join_null_safe
 from tagloom.operators.taxonomy import Taxonomy
 
 PREFIX_DIGITS = 3  # 4,096 buckets
@@ -38,16 +39,19 @@ def _key(id_col: str, seed, by: Sequence[str]) -> Column:
     return F.struct(hash_key(seed, *[F.col(b) for b in by], F.col(id_col)).alias("m"), F.col(id_col).alias("id"))
 
 
-def cut_keys(df: DataFrame, id_col: str, seed, ranks: Ranks, by: Sequence[str] = ()) -> DataFrame:
+def cut_keys(df: DataFrame, id_col: str, seed, ranks: Ranks, by: Sequence[str] = (), sizes: DataFrame | None = None) -> DataFrame:
     """``(by..., part, key)``: for every wanted rank the key of the last row at or below it.
 
     ``ranks`` maps the row count to increasing ranks. Ranks outside 1..n get a key below or above all rows.
+    ``sizes`` adds columns for ``ranks`` to each group. A NULL in ``by`` is a group like any other.
     """
     by = list(by)
     keyed = df.select(*by, _key(id_col, seed, by).alias("key")).withColumn("prefix", F.substring("key.m", 1, PREFIX_DIGITS))
     counts = keyed.groupBy(*by, "prefix").agg(F.count("*").alias("c"))
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     counts = counts.withColumns({"upto": F.sum("c").over(group.orderBy("prefix")), "n": F.sum("c").over(group)})
+    if sizes is not None:
+        counts = join_null_safe(counts, sizes, by)
     wanted = F.posexplode(F.array(*[r.cast("bigint") for r in ranks(F.col("n"))])).alias("part", "r")
     seen = counts.select(*by, "prefix", "c", "upto", "n", wanted)
     r, before, upto = F.col("r"), F.col("upto") - F.col("c"), F.col("upto")
@@ -57,7 +61,7 @@ def cut_keys(df: DataFrame, id_col: str, seed, ranks: Ranks, by: Sequence[str] =
         *by, "prefix", "part", F.when(inside, r - before).alias("need"), F.when(r <= 0, BELOW).otherwise(ABOVE).alias("edge")
     )
     located = small_side(located)
-    near = keyed.join(located.where("need IS NOT NULL"), [*by, "prefix"])
+    near = join_null_safe(keyed, located.where("need IS NOT NULL"), [*by, "prefix"])
     ties = near.groupBy(*by, "part", "need", "key").agg(F.count("*").alias("c"))
     reached = ties.withColumn("upto", F.sum("c").over(W.partitionBy(*by, "part").orderBy("key")))
     found = reached.where("upto >= need").groupBy(*by, "part").agg(F.min("key").alias("key"))
@@ -66,15 +70,15 @@ def cut_keys(df: DataFrame, id_col: str, seed, ranks: Ranks, by: Sequence[str] =
     return found.unionByName(edges)
 
 
-def with_part(df: DataFrame, id_col: str, seed, ranks: Ranks, by: Sequence[str] = (), name: str = "part") -> DataFrame:
+def with_part(df: DataFrame, id_col: str, seed, ranks: Ranks, by: Sequence[str] = (), name: str = "part", sizes: DataFrame | None = None) -> DataFrame:
     """Add the 0-based part a row falls into: how many of the wanted ranks its own rank exceeds."""
     by = list(by)
     n_cuts = len(ranks(F.lit(1)))
     key_type = ST.StructType([ST.StructField("m", ST.StringType()), ST.StructField("id", df.schema[id_col].dataType)])
-    cuts = cut_keys(df, id_col, seed, ranks, by)
+    cuts = cut_keys(df, id_col, seed, ranks, by, sizes)
     if by:
         lists = cuts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("part", "key"))).alias("_cuts"))
-        joined = df.join(small_side(lists), by)
+        joined = join_null_safe(df, small_side(lists), by)
         bounds = [F.get("_cuts", F.lit(i))["key"].cast(key_type) for i in range(n_cuts)]
     else:
         joined = df
@@ -92,10 +96,10 @@ def with_part(df: DataFrame, id_col: str, seed, ranks: Ranks, by: Sequence[str]
 
 def assign_splits(
     df: DataFrame, id_col: str, seed, ranks: Ranks, names: Sequence[str] = ("train", "validation", "test"),
-    by: Sequence[str] = (), name: str = "split",
+    by: Sequence[str] = (), name: str = "split", sizes: DataFrame | None = None,
 ) -> DataFrame:
     labels = F.array(*[F.lit(x) for x in names])
-    return with_part(df, id_col, seed, ranks, by, "_part").withColumn(name, F.get(labels, F.col("_part"))).drop("_part")
+    return with_part(df, id_col, seed, ranks, by, "_part", sizes).withColumn(name, F.get(labels, F.col("_part"))).drop("_part")
 
 
 def keep_first(df: DataFrame, id_col: str, seed, size: Callable[[Column], Column], by: Sequence[str] = ()) -> DataFrame:
@@ -135,15 +139,31 @@ def ranks_truncated(test: float, valid: float) -> Ranks:
     return ranks
 
 
-def ranks_test_share(test: float) -> Ranks:
-    """Test share of one stratum, rounded to the nearest row."""
-    return lambda n: [n - F.floor(F.lit(test) * n + F.lit(0.5))]
+def held_per_stratum(df: DataFrame, test: float, by: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """``(within..., by..., held)``: the ``ceil(test * n)`` test rows of each table of strata, dealt out by largest remainder.
+
+    Only the table of strata is put in order. Among equal remainders the larger stratum comes first, then by name.
+    """
+    strata = df.groupBy(*within, *by).agg(F.count("*").alias("c"))
+    each = W.partitionBy(*within) if within else W.partitionBy(F.lit(0))
+    quota = F.col("total") * F.col("c") / F.col("n")
+    strata = strata.withColumn("n", F.sum("c").over(each)).withColumn("total", F.ceil(F.lit(test) * F.col("n")))
+    strata = strata.withColumn("whole", F.floor(quota)).withColumn("rest", F.round(quota - F.col("whole"), 9))
+    place = F.row_number().over(each.orderBy(F.desc("rest"), F.desc("c"), *[F.col(b).asc_nulls_first() for b in by]))
+    more = place <= F.col("total") - F.sum("whole").over(each)
+    return strata.select(*within, *by, (F.col("whole") + more.cast("bigint")).alias("held"))
+
+
+def stratified_split(df: DataFrame, id_col: str, seed, test: float, by: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """Train/test split with ``ceil(test * n)`` test rows in all, every stratum as near to its share as that allows."""
+    sizes = held_per_stratum(df, test, by, within)
+    return assign_splits(df, id_col, seed, lambda n: [n - F.col("held")], ("train", "test"), [*within, *by], sizes=sizes)
 
 
 def repeated_splits(df: DataFrame, id_col: str, runs: int, test: float, by: Sequence[str] = ()) -> DataFrame:
     """``runs`` independent train/test splits, each stratified by ``by``."""
     many = df.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
-    return assign_splits(many, id_col, "run", ranks_test_share(test), ("train", "test"), ["run", *by])
+    return stratified_split(many, id_col, "run", test, by, ["run"])
 
 
 def sample_fraction(df: DataFrame, id_col: str, fraction: float, seed, exact: bool = True) -> DataFrame:
@@ -154,8 +174,7 @@ def sample_fraction(df: DataFrame, id_col: str, fraction: float, seed, exact: bo
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed) -> DataFrame:
-    if n <= 10_000:
-        return df.orderBy(hash_key(seed, F.col(id_col)), id_col).limit(n)
+    """``n`` rows drawn by seeded rank. Rows that repeat an id stay together, so the last id can make it a few more."""
     return keep_first(df, id_col, seed, lambda _: F.lit(n))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tagloom.operators.ordered import join_null_safe
 from tagloom.operators.splits import small_side
 from tagloom.operators.taxonomy import Taxonomy
 
@@ -58,9 +59,9 @@ def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = ()) -> Dat
     ``density`` is the count over group size and bin width.
     """
     lim = df.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))
-    lo, hi = lim.select("lo").scalar(), lim.select("hi").scalar()
     counted = df.groupBy(*by, F.col(col).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    placed = counted.select(*by, "c", "v", lo.alias("lo"), ((hi - lo) / F.lit(float(bins))).alias("w"))
+    placed = counted.withColumn("_lim", lim.select(F.struct("lo", "hi").alias("s")).scalar())
+    placed = placed.select(*by, "c", "v", F.col("_lim.lo").alias("lo"), ((F.col("_lim.hi") - F.col("_lim.lo")) / F.lit(float(bins))).alias("w"))
     at = F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("w")), F.lit(0.0))
     placed = placed.withColumn("bin", F.least(F.floor(at), F.lit(bins - 1)).cast("bigint"))
     binned = placed.groupBy(*by, "bin", "lo", "w").agg(F.sum("c").alias("n"))
@@ -85,7 +86,7 @@ def kde_grid(df: DataFrame, col: str, by: Sequence[str] = (), points: int = 200,
     per_group = per_group.select(*by, "n", h.alias("h"), (F.col("lo") - cut * h).alias("a"), (F.col("hi") + cut * h).alias("b"))
     counted = values.groupBy(*by, "v").agg(F.count("*").alias("c"))
     if by:
-        counted = counted.join(small_side(per_group), by)
+        counted = join_null_safe(counted, small_side(per_group), by)
     else:
         for name in ("n", "h", "a", "b"):
             counted = counted.withColumn(name, per_group.select(name).scalar())
@@ -126,7 +127,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
         for i, p in enumerate(probs)
     ])
     if by:
-        seen = values.join(small_side(sketch.select(*by, "n", plans.alias("plans"))), by)
+        seen = join_null_safe(values, small_side(sketch.select(*by, "n", plans.alias("plans"))), by)
     else:
         n, e = sketch.first()  # one row
         found = F.array(*[F.lit(x) for x in e]) if e else F.lit(None).cast("array<double>")
@@ -151,9 +152,9 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
 
 
 def dataset_profile(df: DataFrame, id_col: str, temperature_col: str) -> DataFrame:
-    """Row count, distinct temperatures and the first row by id."""
+    """Row count, distinct temperatures and the first row by id, as ``sample``. Temperatures are a setting with few values."""
     return df.agg(
         F.count("*").alias("n_rows"),
         F.array_join(F.array_sort(F.collect_set(temperature_col)).cast("array<string>"), ", ").alias("temperatures"),
-        F.min(id_col).alias("first_id"),
+        F.min(id_col).alias("first_id"), F.min_by(F.struct(*df.columns), id_col).alias("sample"),
     )

@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from tagloom.functions.vectors import cosine, squared_distance
 from tagloom.operators.splits import small_side
 
-MAX_DIM = 4096
-
 
 def matrix(column: pa.Array) -> np.ndarray:
     """A list column of equal lengths as a 2-D array."""
@@ -56,8 +54,6 @@ def covariance(df: DataFrame, vec: str, by: Sequence[str] = ()) -> DataFrame:
         acc: dict[tuple, list] = {}
         for batch in batches:
             x = matrix(batch.column(len(by)))
-            if x.shape[1] > MAX_DIM:
-                raise ValueError(f"vectors longer than {MAX_DIM}")
             keys = list(zip(*[batch.column(i).to_pylist() for i in range(len(by))])) if by else [()] * len(x)
             index: dict[tuple, list[int]] = {}
             for pos, key in enumerate(keys):
@@ -112,7 +108,7 @@ def frechet(mu1: np.ndarray, s1: np.ndarray, mu2: np.ndarray, s2: np.ndarray, ep
 
 
 def frechet_distance(generated: DataFrame, reference: DataFrame, vec: str = "vec") -> DataFrame:
-    """One row with the distance; infinite when a side is empty.
+    """One row with the distance; infinite when a side is empty. A side of one row has covariance zero.
 
     Means and covariances are distributed sums. The last step sees only the ``2 * dim`` matrix rows.
     """
@@ -124,7 +120,7 @@ def frechet_distance(generated: DataFrame, reference: DataFrame, vec: str = "vec
         if not {"g", "r"} <= part.keys():
             return pd.DataFrame({"frechet_distance": [math.inf]})
         mu = {s: np.asarray(g["mean"].iloc[0]) for s, g in part.items()}
-        cov = {s: np.stack(g["cov"].to_list()) for s, g in part.items()}
+        cov = {s: np.nan_to_num(np.stack(g["cov"].to_list())) for s, g in part.items()}  # one row has no spread
         return pd.DataFrame({"frechet_distance": [frechet(mu["g"], cov["g"], mu["r"], cov["r"])]})
 
     out = rows.groupBy().applyInPandas(last, "frechet_distance double")
@@ -196,11 +192,10 @@ def robust_scale(df: DataFrame, id_col: str, vec: str) -> DataFrame:
     long = df.select(F.posexplode(F.col(vec).cast("array<double>")).alias("dim", "x"))
     q = exact_quantiles(long, "x", [0.25, 0.5, 0.75], ["dim"])
     at = lambda p: F.max(F.when(F.col("p") == p, F.col("value")))
-    per_dim = q.groupBy("dim").agg(at(0.5).alias("m"), (at(0.75) - at(0.25)).alias("r")).orderBy("dim").limit(MAX_DIM).collect()
-    center = F.array(*[F.lit(float(r["m"])) for r in per_dim])
-    scale = F.array(*[F.lit(float(r["r"]) or 1.0) for r in per_dim])
-    centred = F.zip_with(F.col(vec).cast("array<double>"), center, lambda x, m: x - m)
-    return df.select(id_col, F.zip_with(centred, scale, lambda x, s: x / s).alias("scaled"))
+    per_dim = q.groupBy("dim").agg(at(0.5).alias("m"), (at(0.75) - at(0.25)).alias("r"))
+    dims = per_dim.agg(F.array_sort(F.collect_list(F.struct("dim", "m", F.when(F.col("r") != 0, F.col("r")).otherwise(F.lit(1.0)).alias("r")))).alias("d"))
+    scaled = F.zip_with(F.col(vec).cast("array<double>"), F.col("_dims"), lambda x, d: (x - d["m"]) / d["r"])
+    return df.withColumn("_dims", dims.select("d").scalar()).select(id_col, scaled.alias("scaled"))
 
 
 def project_2d(df: DataFrame, id_col: str, vec: str) -> DataFrame:

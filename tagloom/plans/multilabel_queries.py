@@ -84,6 +84,8 @@ RECON = """SELECT 'hamming_loss' AS name, avg(((prob > 0.9)::INT <> y)::INT) AS
       unnest([num_active_units, pct_active_units, total_units, mean_variance, min_variance, max_variance, mean_std]::DOUBLE[]) FROM au
     UNION ALL SELECT unnest(['diversity_unique_combinations', 'diversity_pct_unique_combinations', 'diversity_entropy', 'diversity_gini_coefficient']),
       unnest([unique_combinations, pct_unique_combinations, entropy, gini_coefficient]::DOUBLE[]) FROM dv
+    UNION ALL SELECT 'silhouette_score', avg(CASE WHEN greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) FROM (
+      SELECT id, max(m) FILTER (own = label) AS a, min(m) FILTER (own <> label) AS b FROM (SELECT x.id, x.label AS own, y.label, avg(list_distance(x.z, y.z)) AS m FROM lat x, lat y GROUP BY 1, 2, 3) GROUP BY id)
     UNION ALL SELECT unnest(['cooccurrence_cosine_similarity', 'cooccurrence_kl_divergence', 'cooccurrence_hellinger_distance', 'cooccurrence_pearson_correlation']),
       unnest([cosine_similarity, kl_divergence, hellinger_distance, pearson_correlation]) FROM cmp"""
 LATENT = """(SELECT id, unnest(range(8)) AS dim, unnest(list_transform(range(8), lambda j: sqrt(-2.0::DOUBLE * ln((('0x' || substr(md5('21:' || id || ':' || j), 1, 8))::BIGINT + 1) / 4294967296.0::DOUBLE))
@@ -91,7 +93,7 @@ LATENT = """(SELECT id, unnest(range(8)) AS dim, unnest(list_transform(range(8),
 
 
 @query("recon_metrics", with_views("scored probs kept taxonomy tagged", f"SELECT name, round(value, 5) AS value FROM ({RECON})",
-    cmp_ctes(0.9) + f", au AS ({AU.format(0).replace('(SELECT unnest(vec) AS x, unnest(range(64)) AS dim FROM vecs)', LATENT)}), dv AS ({DIV.format('SELECT t.id, string_agg(g.tag_idx::VARCHAR, chr(44) ORDER BY g.tag_idx) AS combo FROM tagged t LEFT JOIN guess g ON g.id = t.id GROUP BY 1')})"))
+    cmp_ctes(0.9) + f", au AS ({AU.format(0).replace('(SELECT unnest(vec) AS x, unnest(range(64)) AS dim FROM vecs)', LATENT)}), dv AS ({DIV.format('SELECT t.id, string_agg(g.tag_idx::VARCHAR, chr(44) ORDER BY g.tag_idx) AS combo FROM tagged t LEFT JOIN guess g ON g.id = t.id GROUP BY 1')}), lat AS (SELECT l.id, list(l.x ORDER BY l.dim) AS z, any_value(t.tag_idx[1]) AS label FROM {LATENT} l JOIN tagged t ON t.id = l.id GROUP BY 1)"))
 def recon_metrics(spark, sf):
     z = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: hash_normal(F.lit(21), F.col("id"), j))
     d = predictions(spark, sf).withColumn("latent", z)
@@ -120,15 +122,14 @@ def vae_loss_terms(spark, sf):
     return out.select(*[F.round(c, 3).alias(c) for c in out.columns])
 
 
-@query("decode_tags", with_views("samples taxonomy wide", f"""SELECT p.id, string_agg(t.tag, ', ' ORDER BY t.tag_idx) AS tags FROM
+@query("decode_tags", with_views("samples taxonomy wide", f"""SELECT p.id, coalesce(string_agg(t.tag, ', ' ORDER BY t.tag_idx) FILTER ({sql_prob('t.tag_idx', id_col='p.id')} >= 0.9 OR list_contains(p.seeds, t.tag)), '') AS tags FROM
     (SELECT id, tags, [s FOR s IN [{SEED_SQL.format(c='genre')}, {SEED_SQL.format(c='instrument')}, {SEED_SQL.format(c='mood')}] IF s IS NOT NULL] AS seeds
-     FROM (SELECT id, tags, genre AS genre_tags, instrument AS instrument_tags, mood AS mood_tags FROM wide)) p, taxonomy t
-    WHERE {sql_prob('t.tag_idx', id_col='p.id')} >= 0.9 OR list_contains(p.seeds, t.tag) GROUP BY 1"""))
+     FROM (SELECT id, tags, genre AS genre_tags, instrument AS instrument_tags, mood AS mood_tags FROM wide)) p, taxonomy t GROUP BY 1"""))
 def decode_tags(spark, sf):
     tax = taxonomy(spark, sf)
     d = with_probs(wide(spark, sf), tax.size).withColumn("seeds", T.seed_tags(["genre_tags", "instrument_tags", "mood_tags"], "id", 7))
     out = d.select("id", M.decode_tags(d, tax, "probs", "seeds", 0.9).alias("t"))
-    return out.where(F.size("t") > 0).select("id", joined("t").alias("tags"))
+    return out.select("id", joined("t").alias("tags"))
 
 
 @query("sigmoid_temperature", with_views("vecs", """SELECT id, round(1 / (1 + exp(-vec[1] / 0.75::DOUBLE)), 6) AS first, round(list_sum(list_transform(vec, lambda x: 1 / (1 + exp(-x / 0.75::DOUBLE)))), 5) AS once,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tagloom.functions import text as X
 from tagloom.operators import concepts as C
@@ -31,19 +32,20 @@ def latest_metrics(spark, sf):
 
 @query("flatten_metrics", with_views("metric_log", """SELECT step, name, round(value, 6) AS value FROM (
     SELECT step, 'bleu' AS name, value FROM metric_log UNION ALL SELECT step, 'precisions', (value + 1 + 3) / 3 FROM metric_log
-    UNION ALL SELECT step, 'rouge_one', value * 2 FROM metric_log WHERE step % 3 = 0)"""))
+    UNION ALL SELECT step, 'rouge_one', value * 2 FROM metric_log WHERE step % 3 = 0
+    UNION ALL SELECT step, 'rouge_all', (value + 0.5) / 2 FROM metric_log WHERE step % 3 = 0)"""))
 def flatten_metrics(spark, sf):
     v = F.col("value").cast("string")
-    nested = F.when(F.col("step") % 3 == 0, F.concat(F.lit(', "rouge": {"one": '), (F.col("value") * 2).cast("string"), F.lit(', "kind": "text"}'))).otherwise(F.lit(""))
+    nested = F.when(F.col("step") % 3 == 0, F.concat(F.lit(', "rouge": {"one": '), (F.col("value") * 2).cast("string"), F.lit(', "all": ['), v, F.lit(', 0.5], "kind": "text"}'))).otherwise(F.lit(""))
     text = F.concat(F.lit('{"bleu": '), v, F.lit(', "precisions": ['), v, F.lit(', 1.0, 3.0], "note": "abc"'), nested, F.lit("}"))
     return rounded(R.flatten_metrics(metric_log(spark, sf).select("step", text.alias("json")), ["step"], "json"), "value")
 
 
 @query("early_stop_step", with_views("metric_log", """SELECT run, min(step) FILTER (idx - best_idx >= 10) AS stop_step FROM (
     SELECT run, step, idx, max(CASE WHEN m IS NULL OR value < m THEN idx END) OVER (PARTITION BY run ORDER BY step) AS best_idx FROM (
-      SELECT run, step, value, row_number() OVER (PARTITION BY run ORDER BY step) AS idx, min(value) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM metric_log)) GROUP BY run"""))
+      SELECT run, step, value, row_number() OVER (PARTITION BY run ORDER BY step) AS idx, min(value) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM metric_log WHERE name = 'view')) GROUP BY run"""))
 def early_stop_step(spark, sf):
-    return R.early_stop_step(metric_log(spark, sf), patience=10)
+    return R.early_stop_step(metric_log(spark, sf).where("name = 'view'"), patience=10)
 
 
 @query("best_checkpoints", with_views("metric_log", "SELECT run, step, value, rnk FROM (SELECT run, step, value, row_number() OVER (PARTITION BY run ORDER BY value, step) AS rnk FROM metric_log WHERE name = 'view') WHERE rnk <= 3"))
@@ -101,7 +103,7 @@ def score_matrix(spark, sf):
 @query("rank_concepts_by_genre", with_views("kept", f"SELECT genre, concept, round(score, 6) AS score, row_number() OVER (PARTITION BY genre ORDER BY round(score, 9), concept) AS rnk FROM ({SCORES})"))
 def rank_concepts_by_genre(spark, sf):
     d = concept_scores(spark, sf).withColumn("order_score", F.round("score", 9))
-    ranked = T.top_per_group(d, ["genre"], [F.col("order_score"), F.col("concept")], 1000)
+    ranked = d.withColumn("rnk", F.row_number().over(W.partitionBy("genre").orderBy("order_score", "concept")))
     return ranked.select("genre", "concept", F.round("score", 6).alias("score"), "rnk")
 
 

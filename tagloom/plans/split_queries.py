@@ -60,15 +60,25 @@ def split_shuffle(spark, sf):
     return R.assign_splits(orders(spark, sf).select("id"), "id", 1, R.ranks_truncated(0.1, 0.2))
 
 
-@query("split_stratified", f"SELECT id, o_orderstatus, CASE WHEN r <= n - floor(0.2::DOUBLE * n + 0.5::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM ({ranked('9', by='o_orderstatus', cols='o_orderstatus')})")
+def held(source: str, by: str, within: str = "") -> str:
+    """SQL: the test rows of each stratum, 20 % in all, by largest remainder."""
+    lead, over = (f"{within}, ", f"PARTITION BY {within}") if within else ("", "")
+    return f"""s AS (SELECT {lead}{by}, count(*) AS c FROM {source} GROUP BY ALL),
+    t AS (SELECT *, sum(c) OVER ({over}) AS nn, ceil(0.2::DOUBLE * sum(c) OVER ({over})) AS total FROM s),
+    q AS (SELECT *, floor(total * c / nn) AS whole, round(total * c / nn - floor(total * c / nn), 9) AS rest FROM t),
+    h AS (SELECT {lead}{by}, whole + (row_number() OVER ({over} ORDER BY rest DESC, c DESC, {by}) <= total - sum(whole) OVER ({over}))::INT AS held FROM q)"""
+
+
+@query("split_stratified", f"WITH {held('orders', 'o_orderstatus')} SELECT id, o_orderstatus, CASE WHEN r <= n - held THEN 'train' ELSE 'test' END AS split FROM ({ranked('9', by='o_orderstatus', cols='o_orderstatus')}) JOIN h USING (o_orderstatus)")
 def split_stratified(spark, sf):
     d = orders(spark, sf).select("id", "o_orderstatus")
-    return R.assign_splits(d, "id", 9, R.ranks_test_share(0.2), ("train", "test"), ["o_orderstatus"])
+    return R.stratified_split(d, "id", 9, 0.2, ["o_orderstatus"])
 
 
-@query("repeated_splits", """SELECT id, label, run::BIGINT AS run, CASE WHEN r <= n - floor(0.2::DOUBLE * n + 0.5::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM (
+@query("repeated_splits", f"""WITH e AS (SELECT label::BIGINT AS label, run FROM embeddings, (SELECT unnest(range(5)) AS run)), {held('e', 'label', 'run')}
+    SELECT id, label, run::BIGINT AS run, CASE WHEN r <= n - held THEN 'train' ELSE 'test' END AS split FROM (
     SELECT id, label, run, row_number() OVER (PARTITION BY run, label ORDER BY md5('run:' || run || ':' || label || ':' || id), id) AS r, count(*) OVER (PARTITION BY run, label) AS n
-    FROM (SELECT vec_id AS id, label::BIGINT AS label, run FROM embeddings, (SELECT unnest(range(5)) AS run)))""")
+    FROM (SELECT vec_id AS id, label::BIGINT AS label, run FROM embeddings, (SELECT unnest(range(5)) AS run))) JOIN h USING (run, label)""")
 def repeated_splits(spark, sf):
     d = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("label"))
     out = R.repeated_splits(d, "id", 5, 0.2, ["label"])

@@ -114,11 +114,11 @@ def files_per_class(spark, sf):
     return S.value_counts(labels, "label").withColumnRenamed("n", "n_files")
 
 
-@query("dataset_profile", with_views("samples", f"""SELECT count(*) AS n_rows, string_agg(DISTINCT temperature::VARCHAR, ', ' ORDER BY temperature::VARCHAR) AS temperatures, min(id) AS first_id
+@query("dataset_profile", with_views("samples", f"""SELECT count(*) AS n_rows, string_agg(DISTINCT temperature::VARCHAR, ', ' ORDER BY temperature::VARCHAR) AS temperatures, min(id) AS first_id, min(id) AS sample_id
     FROM samples, (SELECT unnest([{', '.join(map(str, TEMPS))}]::DOUBLE[]) AS temperature)"""))
 def dataset_profile(spark, sf):
     grid = samples(spark, sf).select("id", F.explode(F.array(*[F.lit(t) for t in TEMPS])).alias("temperature"))
-    return S.dataset_profile(grid, "id", "temperature")
+    return S.dataset_profile(grid, "id", "temperature").select("n_rows", "temperatures", "first_id", F.col("sample.id").alias("sample_id"))
 
 
 TWO = "SELECT CASE WHEN lang = 'en' THEN 'a' ELSE 'b' END AS side, len(" + sql_words("text") + ")::DOUBLE AS v FROM documents"

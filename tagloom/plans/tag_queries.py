@@ -245,9 +245,9 @@ def conditional_tag_model(spark, sf):
     return model.select("a", "b", F.round("prob", 6).alias("prob"))
 
 
-@query("sample_conditional", with_views("kept tagged", """SELECT t.id, m.a::BIGINT AS a, string_agg(m.b::VARCHAR, ',' ORDER BY m.b) AS tags
-    FROM (SELECT id, tag_idx[1] AS a FROM tagged) t JOIN model m ON m.a = t.a
-    WHERE (('0x' || substr(md5('5:' || t.id || ':' || m.b), 1, 8))::BIGINT / 4294967296.0::DOUBLE) < m.prob GROUP BY 1, 2""", PAIRS_CTE))
+@query("sample_conditional", with_views("kept tagged", """SELECT t.id, t.a::BIGINT AS a, coalesce(string_agg(m.b::VARCHAR, ',' ORDER BY m.b) FILTER (
+      (('0x' || substr(md5('5:' || t.id || ':' || m.b), 1, 8))::BIGINT / 4294967296.0::DOUBLE) < m.prob), '') AS tags
+    FROM (SELECT id, tag_idx[1] AS a FROM tagged) t LEFT JOIN model m ON m.a = t.a GROUP BY 1, 2""", PAIRS_CTE))
 def sample_conditional(spark, sf):
     rows = tagged(spark, sf)
     model = co.conditional_tag_model(co.cooccurrence(rows, taxonomy(spark, sf).size))

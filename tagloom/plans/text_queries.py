@@ -114,13 +114,15 @@ def mask_labels(spark, sf):
     return d.select("id", n.alias("n_masked"), F.md5(ids_text(F.col("l"))).alias("digest"))
 
 
-@query("extract_prompt", with_views("doc_tokens", f"""SELECT id, e::BIGINT AS prompt_len, md5(array_to_string(list_concat(list_slice(ids, 1, e), list_transform(range(longest - e), lambda x: {PAD_ID})), ',')) AS digest FROM (
+@query("extract_prompt", with_views("doc_tokens", f"""SELECT id, e::BIGINT AS prompt_len, md5(array_to_string(list_concat(list_slice(ids, 1, e), list_transform(range(longest - e), lambda x: {PAD_ID})), ',')) AS digest,
+    md5(array_to_string(list_concat(list_transform(list_slice(ids, 1, e), lambda x: (x % 5 > 0)::INT), list_transform(range(longest - e), lambda x: 0)), ',')) AS mask FROM (
     SELECT id, ids, e, max(e) OVER (PARTITION BY source) AS longest FROM (SELECT id, source, ids, {DELIM_END} AS e FROM doc_tokens) WHERE e > 0)"""))
 def extract_prompt(spark, sf):
     from tagloom.operators.prompts import extract_prompt as cut
 
-    d = cut(doc_tokens(spark, sf), "source", "ids", DELIM, PAD_ID)
-    return d.select("id", "prompt_len", F.md5(ids_text(F.col("prompt"))).alias("digest"))
+    masked = doc_tokens(spark, sf).withColumn("mask", F.transform("ids", lambda x: (x % 5 > 0).cast("int")))
+    d = cut(masked, "source", "ids", DELIM, PAD_ID, "mask")
+    return d.select("id", "prompt_len", F.md5(ids_text(F.col("prompt"))).alias("digest"), F.md5(ids_text(F.col("attention_mask"))).alias("mask"))
 
 
 WAVE = "SELECT page_id AS id, list_transform(range(1, length(url) + 1), lambda j: (ascii(substr(url, j, 1)) - 90) / 20.0::DOUBLE) AS w FROM pages"

@@ -118,18 +118,18 @@ def test_perplexity(spark):
     assert tuple(none) == (0.0, 0.0, 0.0, 0.0)
 
 
-@pytest.mark.parametrize("whole", [1_000_000, 10])
-def test_two_samples(spark, whole):
+@pytest.mark.parametrize("ranges", [256, 3])
+def test_two_samples(spark, ranges):
     rng = np.random.default_rng(5)
     a, b = np.round(rng.normal(size=700), 1), np.round(rng.normal(0.4, 2, size=400), 1)
     rows = [("a", float(x)) for x in a] + [("b", float(x)) for x in b]
     d = spark.createDataFrame(rows, "side string, v double")
     v = np.unique(np.concatenate([a, b]))
     fa, fb = np.searchsorted(np.sort(a), v, "right") / len(a), np.searchsorted(np.sort(b), v, "right") / len(b)
-    assert D.ks_statistic(d, "v", "side", whole).first()[0] == pytest.approx(np.abs(fa - fb).max())
+    assert D.ks_statistic(d, "v", "side", ranges).first()[0] == pytest.approx(np.abs(fa - fb).max())
     u = sum((x > b).sum() + 0.5 * (x == b).sum() for x in a)
-    assert D.mann_whitney_u(d, "v", "side", whole).first()[0] == pytest.approx(u)
-    assert D.wasserstein_1d(d, "v", "side", whole).first()[0] == pytest.approx(np.sum(np.abs(fa - fb)[:-1] * np.diff(v)))
+    assert D.mann_whitney_u(d, "v", "side", ranges).first()[0] == pytest.approx(u)
+    assert D.wasserstein_1d(d, "v", "side", ranges).first()[0] == pytest.approx(np.sum(np.abs(fa - fb)[:-1] * np.diff(v)))
 
 
 @pytest.mark.parametrize("accuracy", [10_000, 20])
@@ -271,15 +271,26 @@ def stop(values, patience):
     return None
 
 
-@pytest.mark.parametrize("whole", [1_000_000, 10])
-def test_early_stop(spark, whole):
+@pytest.mark.parametrize("size", [1_000_000, 10])
+def test_early_stop(spark, size):
     rng = np.random.default_rng(9)
     runs = {k: list(rng.random(60) + 3 * np.exp(-np.arange(60) / 8)) for k in range(6)}
     runs[6] = [float(60 - i) for i in range(60)]
     runs[7] = [5.0, math.nan, 4.0]
     d = spark.createDataFrame([(k, i, float(v)) for k, vs in runs.items() for i, v in enumerate(vs)], "run int, step int, value double")
-    got = {r["run"]: r["stop_step"] for r in R.early_stop_step(d, patience=5, whole_rows=whole).collect()}
+    got = {r["run"]: r["stop_step"] for r in R.early_stop_step(d, patience=5, per_range=size).collect()}
     assert got == {k: stop(vs, 5) for k, vs in runs.items()}
+    null = d.withColumn("run", F.when(F.col("run") != 6, F.col("run")))
+    assert {r["run"]: r["stop_step"] for r in R.early_stop_step(null, patience=5, per_range=size).collect()} == {**{k: v for k, v in got.items() if k != 6}, None: got[6]}
+
+
+def test_early_stop_limits(spark):
+    values = [5.0, 4.9, 4.85, 4.0, 3.99, 3.98, 3.97, 2.0, 9.0, 0.5]
+    d = spark.createDataFrame([("r", i, v) for i, v in enumerate(values)], "run string, step int, value double")
+    at = lambda **kw: R.early_stop_step(d, **kw).first()["stop_step"]
+    assert at(patience=3) is None and at(patience=3, min_delta=0.1) == 6 and at(patience=2, min_delta=0.2) == 2
+    assert at(patience=9, stopping=2.5) == 7 and at(patience=9, divergence=8.0) == 8 and at(patience=9, min_delta=0.1, divergence=8.0) == 8
+    assert at(patience=3, mode="max", min_delta=0.01) == 3
 
 
 def test_run_logs(spark):
@@ -287,6 +298,6 @@ def test_run_logs(spark):
     assert R.best_run(d).first()["run"] == "a" and R.best_run(d, mode="max").first()["run"] == "a"
     assert {(r["run"], r["value"]) for r in R.latest_metrics(d, ["run"]).collect()} == {("a", 1.0), ("b", 1.0)}
     assert [r["step"] for r in R.best_checkpoints(d, ["run"], 1).orderBy("run").collect()] == [2, 1]
-    text = '{"bleu": 0.5, "p": [1, 2], "rouge": {"r1": 0.25, "note": "x"}, "name": "y", "empty": []}'
+    text = '{"bleu": 0.5, "p": [1, 2], "rouge": {"r1": 0.25, "note": "x", "all": [1, 3]}, "name": "y", "empty": []}'
     flat = R.flatten_metrics(spark.createDataFrame([(1, text)], "id int, j string"), ["id"], "j")
-    assert {r["name"]: r["value"] for r in flat.collect()} == {"bleu": 0.5, "p": 1.5, "rouge_r1": 0.25}
+    assert {r["name"]: r["value"] for r in flat.collect()} == {"bleu": 0.5, "p": 1.5, "rouge_r1": 0.25, "rouge_all": 2.0}

@@ -41,7 +41,7 @@ def test_empty_table(spark):
 
 def test_string_ids_and_groups(spark):
     df = spark.range(300).select(F.concat(F.lit("k"), "id").alias("id"), (F.col("id") % 3 == 0).cast("int").alias("y"))
-    out = R.assign_splits(df, "id", 5, R.ranks_test_share(0.2), ("train", "test"), ["y"])
+    out = R.stratified_split(df, "id", 5, 0.2, ["y"])
     got = {(r["y"], r["split"]): r["count"] for r in out.groupBy("y", "split").count().collect()}
     assert got == {(0, "train"): 160, (0, "test"): 40, (1, "train"): 80, (1, "test"): 20}
 
@@ -64,6 +64,16 @@ def test_repeated_splits_differ(spark):
     assert len(set(tests)) == 4
 
 
+def test_null_groups_and_totals(spark):
+    df = spark.range(100).select("id", F.when(F.col("id") % 4 > 0, F.col("id") % 4).alias("y"))
+    out = R.keep_first(df, "id", 1, lambda n: F.floor(n / 5), ["y"])
+    assert out.count() == 20 and out.where("y is null").count() == 5
+    nine = R.stratified_split(spark.range(9).withColumn("y", F.col("id") % 3), "id", 1, 0.2, ["y"])
+    assert sizes(nine) == {"train": 7, "test": 2}
+    twice = spark.createDataFrame([(i % 700,) for i in range(1400)], "id long")
+    assert R.sample_n(twice, "id", 101, 1).count() == 102
+
+
 def test_sample_n_both_ways(spark):
     small = {r["id"] for r in R.sample_n(spark.range(12_000), "id", 50, 3).collect()}
     large = {r["id"] for r in R.sample_n(spark.range(12_000), "id", 11_000, 3).collect()}
