@@ -5,20 +5,24 @@
 2. A text's signature is, for each hash function, the smallest key of Ioffe's sampling over its weighted
    shingles; two signatures agree with the probability of the weighted Jaccard similarity. Runs of ROWS
    keys are bands. Equal texts are one from here on.
-3. In a bucket of equal bands members are compared with pivots, not with each other: first with its smallest
-   id, then, as long as members of different classes are left that were no pivot, with 1, 2, 4, ... more.
-   A pivot is compared with everyone of another class, so in the end every pair of the bucket is either
-   compared or in one class. Groups of copies end after the first round, whatever their size.
+3. In a bucket of equal bands all members are compared with one of them, the pivot. Groups of copies are of one
+   class then, whatever their size. In buckets that still hold several classes, every member outside the largest
+   one is compared with all members of other classes, by signatures inside the join, and by their texts if the
+   keys that agree may mean a similarity at the threshold (fewest_keys). That is done twice, for likely links
+   first, as these leave few classes. So each pair of a bucket is compared or in one class, and only pairs that
+   look alike are emitted.
 4. Classes are the connected components of pairs whose weighted Jaccard similarity reaches the threshold.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.base import LAST_ID, WordHashes, batch, bounded, lists, mixed, odd_multipliers, stored, texts, window_hashes, words_of
@@ -28,15 +32,27 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 IDF_RANGE = 0.25
+#: How seldom a pair at the threshold may fail the comparison of signatures.
+MISSED = 2e-4
 SKETCH_ROWS, SKETCH_WIDTH, SKETCH_BLOCK = 3, 1 << 17, 1 << 12
 #: Shingles sampled at once.
 PIECE = 60_000
+#: Shingles of texts kept while pairs are compared.
+CACHED_SHINGLES = 3_000_000
 #: Ids of texts to compare are broadcast up to so many, else joined by shuffle.
 BROADCAST_IDS = 500_000
 #: Ids from here on stand for rows without one.
 NO_ID = LAST_ID - (1 << 44)
 
 
+def fewest_keys(n: int, threshold: float) -> int:
+    """So many of n keys agree for all but MISSED of the pairs at the threshold (28 of 48 at 0.8, where 38 are expected)."""
+    below, m = 0.0, 0
+    while (below := below + math.comb(n, m) * threshold**m * (1 - threshold) ** (n - m)) <= MISSED:
+        m += 1
+    return m
+
+
 def shingles(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of a text and how often each occurs; fewer than n words are one shingle."""
     if not len(h):
@@ -106,30 +122,53 @@ def document_frequencies(docs: DataFrame, text_col: str, n: int) -> Sketch:
     return Sketch(counts.reshape(SKETCH_ROWS, SKETCH_WIDTH), docs.count())
 
 
+@cache
+def gamma_quantiles() -> np.ndarray:
+    """65536 quantiles of the gamma distribution of shape 2, by Newton steps from those of its tails."""
+    p = (np.arange(65536) + 0.5) / 65536
+    x = np.maximum(np.sqrt(2 * p), -np.log1p(-p))
+    for _ in range(60):
+        x = np.maximum(x - (1 - (1 + x) * np.exp(-x) - p) / (x * np.exp(-x)), x / 2)
+    return x
+
+
 class Sampler:
     """Keys of improved consistent weighted sampling, from tables of the quantiles of its distributions."""
 
     def __init__(self, bands: int, rows: int):
         self.bands, self.rows = bands, rows
-        x = np.linspace(0, 40, 4_000_001)
-        gamma = np.interp((np.arange(65536) + 0.5) / 65536, 1 - (1 + x) * np.exp(-x), x)
-        self.r, self.ln_c = gamma.astype(np.float32), np.log(gamma).astype(np.float32)
+        self.r, self.ln_c = gamma_quantiles().astype(np.float32), np.log(gamma_quantiles()).astype(np.float32)
         self.seeds, self.factors = odd_multipliers(bands * rows, 4), odd_multipliers(rows, 5)
 
-    def keys(self, h: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Texts x bands; ``starts`` are the texts' first shingles, no text is without."""
-        low16, ln_w = np.uint64(0xFFFF), np.log(weights).astype(np.float32)
+    def keys(self, h: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bands and single keys of each text; ``starts`` are the texts' first shingles, no text is without."""
+        ln_w = np.log(weights).astype(np.float32)
         out = np.zeros((len(starts), self.bands), np.uint64)
+        single = np.empty((len(starts), len(self.seeds)), np.int32)
+        z, high, r, t, c, beta = np.empty_like(h), np.empty_like(h), *(np.empty(len(h), np.float32) for _ in range(4))
+        parts = z.view(np.uint16).reshape(-1, 4)  # independent draws from one hash
         for k, seed in enumerate(self.seeds):
-            z = (h ^ seed) * seed
-            z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            r = self.r[z & low16]
-            beta = ((z >> np.uint64(16)) & low16).astype(np.float32) * np.float32(1 / 65536)
-            t = np.floor(ln_w / r + beta)
-            key = np.minimum.reduceat(self.ln_c[z >> np.uint64(48)] - r * (t - beta + np.float32(1)), starts)
+            np.bitwise_xor(h, seed, out=z)
+            np.multiply(z, seed, out=z)
+            np.right_shift(z, np.uint64(32), out=high)
+            np.bitwise_xor(z, high, out=z)
+            np.multiply(z, np.uint64(0xD6E8FEB86659FD93), out=z)
+            np.take(self.r, parts[:, 0], out=r, mode="clip")
+            np.take(self.ln_c, parts[:, 3], out=c, mode="clip")
+            np.multiply(parts[:, 1], np.float32(1 / 65536), out=beta)
+            np.divide(ln_w, r, out=t)
+            np.add(t, beta, out=t)
+            np.floor(t, out=t)
+            # ln c - r (t - beta + 1)
+            np.subtract(t, beta, out=t)
+            np.add(t, np.float32(1), out=t)
+            np.multiply(t, r, out=t)
+            np.subtract(c, t, out=c)
+            key = np.minimum.reduceat(c, starts)
+            single[:, k] = key.view(np.int32)
             band, row = divmod(k, self.rows)
             out[:, band] += (key.view(np.uint32).astype(np.uint64) + np.uint64(1)) * self.factors[row]
-        return mixed(out + np.arange(self.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return mixed(out + np.arange(self.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), single
 
 
 def _signatures(shared, text_col: str, n: int, bands: int, rows: int) -> Callable:
@@ -144,10 +183,10 @@ def _signatures(shared, text_col: str, n: int, bands: int, rows: int) -> Callabl
                 h, times = (np.concatenate([x[i] for x in held]) for i in (1, 2))
                 weights = sketch.weights(h, times)
                 starts = np.cumsum(sizes) - sizes
-                keys = sampler.keys(h, weights, starts)
+                keys, single = sampler.keys(h, weights, starts)
                 yield batch(
                     k=pa.array([ks[i] for i, _, _ in held], pa.int64()), tk=pa.array([tks[i] for i, _, _ in held]), weight=np.add.reduceat(weights, starts),
-                    bands=lists(keys.view(np.int64).ravel(), np.full(len(held), bands)),
+                    bands=lists(keys.view(np.int64).ravel(), np.full(len(held), bands)), keys=lists(single.ravel(), np.full(len(held), bands * rows)),
                 )
 
             size = 0
@@ -177,14 +216,16 @@ def similarity(a: tuple[np.ndarray, np.ndarray, float], b: tuple[np.ndarray, np.
 
 def _verified(shared, n: int, threshold: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last = WordHashes(), {}
+        hashes, last, held = WordHashes(), {}, {"n": 0}
 
         def weighed(key: int, text: bytes):
             if key not in last:
-                if len(last) > 64:
-                    last.clear()
                 h, times = shingles(hashes.of(words_of(text)), n)
                 w = shared.value.weights(h, times)
+                held["n"] += len(h)
+                if held["n"] > CACHED_SHINGLES:
+                    last.clear()
+                    held["n"] = len(h)
                 last[key] = h, w, float(w.sum())
             return last[key]
 
@@ -196,6 +237,25 @@ def _verified(shared, n: int, threshold: float) -> Callable:
     return run
 
 
+def _across_classes(member: DataFrame, unique: DataFrame, labels: DataFrame, threshold: float, rows: int, least: int) -> DataFrame:
+    """Pairs of a bucket and of different classes of which ``least`` keys agree, one end outside the bucket's largest class.
+
+    A pair comes from the first band that it shares only. Of the members of one class none are paired.
+    """
+    now = member.join(labels, F.col("node") == F.col("k"), "left").select("band", "place", "node", "weight", F.coalesce("label", "node").alias("label"))
+    several = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band")
+    live = stored(now.join(several, "band").join(unique.select("node", "keys").dropDuplicates(["node"]), "node"), "live")
+    largest = live.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "label"))["label"].alias("largest"))
+    live = live.join(largest, "band")
+    other = live.filter("label <> largest").select("band", *[F.col(c).alias(f"{c}_p") for c in ("node", "weight", "label", "keys")])
+    same = F.zip_with("keys", "keys_p", lambda x, y: x == y)
+    earlier = F.exists(F.sequence(F.lit(0), F.col("place")), lambda j: (j < F.col("place")) & F.forall(F.slice(same, j * rows + 1, rows), lambda x: x))
+    alike = F.least("weight", "weight_p") >= F.lit(threshold) * F.greatest("weight", "weight_p")
+    once = (F.col("label") == F.col("largest")) | (F.col("node") < F.col("node_p"))
+    pairs = live.join(other, "band").filter((F.col("label") != F.col("label_p")) & once & alike & (F.size(F.filter(same, lambda x: x)) >= least) & ~earlier)
+    return pairs.select(F.greatest("node", "node_p").alias("a"), F.least("node", "node_p").alias("p")).distinct()
+
+
 def text_key(text_col: str) -> Column:
     return F.md5(F.coalesce(text_col, F.lit("")))
 
@@ -213,53 +273,43 @@ def near_duplicates(
 
     Texts are in one class if they are equal or joined by a chain of pairs that share a band and have a weighted
     Jaccard similarity of at least ``threshold`` over shingles of ``n`` words. Fewer words are one shingle. Null
-    texts and texts without a word are in no class but their own, also if equal. Rows without an
-    id count as larger than all others, by text; a class of only such rows has the class id null. Rows that repeat an id and text are in one class. Rows with one id
-    and different texts are judged by their own texts, and classes that share an id are one.
+    texts and texts without a word are in no class but their own, also if equal. Rows without an id count as
+    larger than all others, by text; a class of only such rows has the class id null. Rows with one id and
+    different texts are judged by their own texts. Repeated rows stay.
     """
     spark = docs.sparkSession
     data = keyed(docs, id_col, text_col).select(F.col(id_col).alias("id"), "k", F.col(text_col).alias("text"), "tk")
     shared = spark.sparkContext.broadcast(document_frequencies(data, "text", n))
-    signed = data.select("k", "tk", "text").mapInArrow(_signatures(shared, "text", n, bands, rows), "k long, tk string, weight double, bands array<long>")
-    unique = stored(signed.groupBy("tk").agg(F.min("k").alias("rep"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "signatures")
+    signed = data.select("k", "tk", "text").mapInArrow(_signatures(shared, "text", n, bands, rows), "k long, tk string, weight double, bands array<long>, keys array<int>")
+    unique = signed.groupBy("tk").agg(F.min("k").alias("id_of"), F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("keys").alias("keys"))
+    unique = stored(unique.withColumn("node", F.xxhash64("tk")), "signatures")  # a node is a text
 
-    member = unique.select("rep", "weight", F.explode("bands").alias("band"))
+    member = unique.select("node", "id_of", "weight", F.posexplode("bands").alias("place", "band"))
     many = member.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     member = stored(member.join(many, "band"), "buckets")
-    wanted = bounded(member.select("rep").distinct(), BROADCAST_IDS, "members").withColumnRenamed("rep", "of")
-    text = data.join(wanted, F.col("k") == F.col("of"), "left_semi").select("k", "tk", "text")
-    text = stored(text.join(unique.select(F.col("rep").alias("k"), "tk"), ["k", "tk"], "left_semi").dropDuplicates(["k"]).select("k", "text"), "texts")
+    wanted = bounded(member.select(F.col("node").alias("of"), "id_of").distinct(), BROADCAST_IDS, "members")
+    rows_of = data.select("k", "text", F.xxhash64("tk").alias("node"))
+    text = rows_of.join(wanted, (F.col("node") == F.col("of")) & (F.col("k") == F.col("id_of")), "left_semi")
+    text = stored(text.dropDuplicates(["node"]).select("node", "text"), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(text.withColumnRenamed("text", "text_a"), F.col("a") == F.col("k")).drop("k")
-        both = left.join(text.withColumnRenamed("text", "text_p"), F.col("p") == F.col("k")).select("a", "text_a", "p", "text_p")
+        left = pairs.join(text.withColumnRenamed("text", "text_a"), F.col("a") == F.col("node")).drop("node")
+        both = left.join(text.withColumnRenamed("text", "text_p"), F.col("p") == F.col("node")).select("a", "text_a", "p", "text_p")
         return stored(both.mapInArrow(_verified(shared, n, threshold), "a long, b long, similarity double"), "pairs")
 
     near = lambda: F.least("weight", "pivot_weight") >= F.lit(threshold) * F.greatest("weight", "pivot_weight")
-    pivot = member.groupBy("band").agg(F.min(F.struct(F.col("rep").alias("p"), F.col("weight").alias("pivot_weight"))).alias("v")).select("band", "v.*")
-    pairs = member.join(pivot, "band").filter(F.col("rep") != F.col("p")).filter(near()).select(F.col("rep").alias("a"), "p").distinct()
+    pivot = member.groupBy("band").agg(F.min("node").alias("p"), F.min_by("weight", "node").alias("pivot_weight"))
+    pairs = member.join(pivot, "band").filter(F.col("node") != F.col("p")).filter(near()).select(F.col("node").alias("a"), "p").distinct()
     edges = verify(pairs).select("a", "b")
-    tried = stored(pivot.select("band", "p"), "pivots")
-    step = 1
-    while True:
-        labels = components(edges)
-        now = member.join(labels, F.col("rep") == F.col("k"), "left").select("band", "rep", "weight", F.coalesce("label", "rep").alias("label"))
-        fresh = now.join(tried.withColumnRenamed("p", "rep"), ["band", "rep"], "left_anti")
-        # a bucket goes on while members that were no pivot are of different classes
-        open_ = stored(fresh.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band"), "open")
-        if open_.isEmpty():
-            break
-        live = stored(now.join(open_, "band"), "live")
-        size = live.groupBy("band", "label").agg(F.count("*").alias("size"))
-        order = Window.partitionBy("band").orderBy("size", "rep")
-        chosen = fresh.join(open_, "band").join(size, ["band", "label"]).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= step)
-        chosen = stored(chosen.select("band", F.col("rep").alias("p"), F.col("weight").alias("pivot_weight"), F.col("label").alias("pivot_label")), "pivots")
-        pairs = live.join(chosen, "band").filter((F.col("label") != F.col("pivot_label")) & near())
-        pairs = pairs.select(F.greatest("rep", "p").alias("a"), F.least("rep", "p").alias("p")).distinct()
-        edges = edges.union(verify(pairs).select("a", "b"))
-        tried = tried.union(chosen.select("band", "p"))
-        step *= 2
-    classes = unique.join(labels, F.col("rep") == F.col("k"), "left").select("tk", F.coalesce("label", "rep").alias("class_id"))
+    labels = components(edges)
+    # what is left: buckets with several classes. First the pairs that look like links, then all that may be one
+    for least in (math.ceil(threshold * bands * rows), fewest_keys(bands * rows, threshold)):
+        found = verify(_across_classes(member, unique, labels, threshold, rows, least)).select("a", "b")
+        if not found.isEmpty():
+            edges = edges.union(found)
+            labels = components(edges)
+    label = unique.join(labels, F.col("node") == F.col("k"), "left").select("tk", "id_of", F.coalesce("label", "node").alias("label"))
+    classes = label.join(label.groupBy("label").agg(F.min("id_of").alias("class_id")), "label").select("tk", "class_id")
     out = data.select("id", "k", "tk").join(classes, "tk", "left")
     found = F.coalesce("class_id", "k")
     return out.select(F.col("id").alias(id_col), F.col("tk").alias("text_key"), F.when(found < NO_ID, found).alias("class_id"), (F.col("k") == found).alias("first"))
