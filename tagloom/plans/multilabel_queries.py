@@ -110,6 +110,18 @@ def sampling_stats(spark, sf):
     return rounded(M.sampling_stats(predictions(spark, sf)), *cols)
 
 
+SILHOUETTE = """SELECT round(avg(CASE WHEN greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM (
+    SELECT id, max(m) FILTER (own = label) AS a, min(m) FILTER (own <> label) AS b FROM (
+      SELECT x.id, x.label AS own, y.label, avg(list_distance(x.vec, y.vec)) AS m FROM l x, l y GROUP BY 1, 2, 3) GROUP BY id)"""
+
+
+@query("silhouette_multi_hot", with_views("vecs", SILHOUETTE, "l AS (SELECT id, vec, id % 7 AS label FROM vecs WHERE id % 7 < 5)"))
+def silhouette_multi_hot(spark, sf):
+    from tagloom.plans.views import embeddings
+
+    first = F.col("id") % 7
+    tags = F.when(first < 5, F.array(first, first + 3)).otherwise(F.array().cast("array<bigint>"))
+    return rounded(M.silhouette_multi_hot(embeddings(spark, sf).withColumn("tag_idx", tags), "id", "vec"), "silhouette")
 
 
 @query("vae_loss_terms", with_views("scored tagged", f"""SELECT round(bce + 0.5::DOUBLE * kld, 3) AS loss, round(bce, 3) AS bce, round(kld, 3) AS kld FROM

@@ -68,6 +68,20 @@ def metrics_json(spark, sf):
     return spark.read.text(root).select(F.from_json("value", "run bigint, json string").alias("r")).select("r.run", "r.json")
 
 
+@query("metric_store_json", with_views("metric_log", """SELECT run, '{' || string_agg('"' || stage || '": {' || coalesce(o, '') || '}', ', ' ORDER BY pos) || '}' AS json FROM (
+    SELECT r.run, s.stage, s.pos, string_agg('"' || v.name || '": ' || v.value, ', ' ORDER BY v.name) AS o
+    FROM (SELECT DISTINCT run FROM metric_log) r CROSS JOIN (SELECT unnest(['train', 'val', 'test']) AS stage, unnest([0, 1, 2]) AS pos) s
+    LEFT JOIN (SELECT run, stage, name, CASE WHEN name = 'error' THEN '"at ' || max(step) || '"' ELSE max(step)::VARCHAR END AS value
+      FROM (SELECT *, CASE step % 3 WHEN 0 THEN 'train' ELSE 'test' END AS stage FROM metric_log) GROUP BY 1, 2, 3) v ON v.run = r.run AND v.stage = s.stage
+    GROUP BY 1, 2, 3) GROUP BY run"""))
+def metric_store_json(spark, sf):
+    from tagloom.operators.reports import metric_store_json as store
+
+    step = F.col("step").cast("string")
+    d = metric_log(spark, sf).withColumn("stage", F.when(F.col("step") % 3 == 0, "train").otherwise("test"))
+    return store(d.withColumn("value", F.when(F.col("name") == "error", F.concat(F.lit("at "), step)).otherwise(step)), ["run"])
+
+
 GENRES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")  # order priorities stand for genres
 SCORES = "SELECT k.category, k.tag AS concept, o.o_orderpriority AS genre, avg((o.o_totalprice > 200000)::INT) AS score FROM kept k JOIN orders o ON o.o_orderkey = k.id WHERE k.category IN ('tempo', 'instrument') GROUP BY 1, 2, 3"
 

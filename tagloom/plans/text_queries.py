@@ -8,7 +8,7 @@ from tagloom.functions import text as X
 from tagloom.functions import tokens as K
 from tagloom.functions.hashing import hash_uniform
 from tagloom.operators import textmetrics as M
-from tagloom.plans.registry import query
+from tagloom.plans.registry import ORACLES, query
 from tagloom.plans.stat_queries import rounded
 from tagloom.plans.views import (
     captions, doc_tokens, embeddings, judge_replies, sql_words, table, text_pairs, with_views, WS,
@@ -218,6 +218,18 @@ def meteor_exact(spark, sf):
     return M.meteor_rows(text_pairs(spark, sf)).withColumn("meteor", F.round("meteor", 9))
 
 
+@query("text_metric_report", f"""SELECT name, round(value, 5) AS value FROM (
+    SELECT unnest(['bleu_bleu', 'bleu_brevity_penalty', 'bleu_length_ratio', 'bleu_translation_length', 'bleu_reference_length']) AS name,
+      unnest([bleu, brevity_penalty, length_ratio, translation_length, reference_length]::DOUBLE[]) AS value FROM ({ORACLES['corpus_bleu']})
+    UNION ALL SELECT 'bleu_precisions', avg(matches / possible::DOUBLE) FROM ({ORACLES['bleu_precisions']})
+    UNION ALL SELECT 'rouge_' || metric, f1 FROM ({ORACLES['rouge_n']}) UNION ALL SELECT 'meteor_meteor', avg(meteor) FROM ({ORACLES['meteor_exact']}))""")
+def text_metric_report(spark, sf):
+    from tagloom.operators.reports import text_metric_report as report
+
+    metrics = [{"name": "bleu"}, {"name": "rouge", "kwargs": {"orders": (1, 2), "lcs": False}}, {"name": "meteor", "kwargs": {}}]
+    return report(text_pairs(spark, sf), metrics).withColumn("value", F.round("value", 5))
+
+
 def token_vectors(spark, sf):
     """Distinct words of both sides of each pair, each with the vector its hash selects."""
     sides = F.array(*[F.struct(F.lit(s).alias("side"), X.words(F.lower(c)).alias("t")) for s, c in (("p", "prediction"), ("r", "reference"))])
