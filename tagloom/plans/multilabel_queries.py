@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tagloom.functions.hashing import hash_normal
 from tagloom.operators import cooccurrence as co
 from tagloom.operators import multilabel as M
-from tagloom.plans.registry import query
+from tagloom.plans.registry import ORACLES, query
 from tagloom.plans.stat_queries import rounded
 from tagloom.plans.tag_queries import SEED_SQL, joined, wide
 from tagloom.operators import tags as T
@@ -110,6 +110,18 @@ def sampling_stats(spark, sf):
     return rounded(M.sampling_stats(predictions(spark, sf)), *cols)
 
 
+LATENT_STATS = AU.format(0.01).replace("(SELECT unnest(vec) AS x, unnest(range(64)) AS dim FROM vecs)", LATENT)
+
+
+@query("sampling_report", f"""SELECT s.*, 1.0::DOUBLE AS temperature, 0.5::DOUBLE AS threshold, {', '.join(f'a.{c} AS latent_{c}' for c in ('num_active_units', 'total_units', *AU_COLS))}
+    FROM ({ORACLES['sampling_stats']}) s, ({with_views('tagged', LATENT_STATS)}) a""")
+def sampling_report(spark, sf):
+    z = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: hash_normal(F.lit(21), F.col("id"), j))
+    out = M.sampling_report(predictions(spark, sf).withColumn("z", z), 1.0)
+    whole = ("min_tags_per_sample", "max_tags_per_sample", "unique_combinations", "num_samples", "latent_num_active_units", "latent_total_units", "temperature", "threshold")
+    return rounded(out, *[c for c in out.columns if c not in whole])
+
+
 SILHOUETTE = """SELECT round(avg(CASE WHEN greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM (
     SELECT id, max(m) FILTER (own = label) AS a, min(m) FILTER (own <> label) AS b FROM (
       SELECT x.id, x.label AS own, y.label, avg(list_distance(x.vec, y.vec)) AS m FROM l x, l y GROUP BY 1, 2, 3) GROUP BY id)"""
