@@ -239,7 +239,7 @@ def test_concept_vectors(spark):
     whole = C.train_cav(both, "vec", "y").first()
     assert whole["accuracy"] > 0.9 and whole["cav"][0] > 0.7
     failed = C.aggregate_cavs(spark.createDataFrame([("d", 0, [1.0], 0.5)], "concept string, run int, cav array<double>, accuracy double")).first()
-    assert (failed["accuracy"], failed["num_successful_runs"], failed["cav"]) == (0.0, 0, None)
+    assert (failed["accuracy"], failed["num_successful_runs"], failed["cav"]) == (0.0, 0, [0.0])
     acts = concept.select(F.lit("k").alias("cls"), "vec")
     score = C.tcav_scores(acts, C.aggregate_cavs(runs).select("concept", "cav"), "vec", "cls").first()
     assert score["n"] == 40 and score["score"] > 0.9
