@@ -256,6 +256,12 @@ def _count_words(table: pa.Table) -> pa.Table:
     return _table([*rows, (-1, shard, [packed(np.array([total.sum(), (total > 0).sum()]))])], _BLOB)
 
 
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [unpacked(d[0]).astype(np.int64) for d in b.column("data").to_pylist()]
+        yield pa.RecordBatch.from_pydict({"tokens": pa.array([int(r[0]) for r in rows], pa.int64()), "distinct_": pa.array([int(r[1]) for r in rows], pa.int64())})
+
+
 def _word_totals(c: Chunk, answers: dict[int, list[bytes]], shards: int) -> np.ndarray:
     shard = mixed(c.words) % np.uint64(shards)
     order = np.argsort(shard, kind="stable")
@@ -348,8 +354,8 @@ def score_texts(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_co
     data = docs.select(carried.alias("row"), text.alias("text"), train.alias("train"), F.pmod(F.xxhash64(id_col, text_col), F.lit(n)).cast("int").alias("chunk"))
 
     words = stored(data.groupBy("chunk").applyInArrow(_send_words(n), _BLOB_DDL).groupBy("shard").applyInArrow(_count_words, _BLOB_DDL), "words")
-    sums = words.filter("chunk = -1").select(F.element_at("data", 1).alias("data")).toArrow()["data"].to_pylist()
-    tokens, distinct = (int(sum(int(unpacked(d)[i]) for d in sums)) for i in (0, 1))
+    sums = words.filter("chunk = -1").mapInArrow(_numbers, "tokens long, distinct_ long").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct_"), F.lit(0)))
+    tokens, distinct = sums.first()
     words = words.filter("chunk >= 0")
     by_chunk = data.groupBy("chunk")
     sent = by_chunk.cogroup(words.groupBy("chunk")).applyInArrow(_send_bigrams(n, training_docs), _BLOB_DDL)
