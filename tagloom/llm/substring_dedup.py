@@ -137,10 +137,11 @@ def _known(rows: DataFrame, larger_only: bool) -> DataFrame:
     over = Window.partitionBy("g", "g2")
     low, high = F.min("k").over(over), F.max("k").over(over)
     found = (low < F.col("k")) if larger_only else (low < high)
+    one = F.col("g") if larger_only else F.shiftright("g", 32).cast("int")
     return (
         rows.withColumn("found", found).filter("found or hs is not null")
-        .select("k", F.coalesce("hs", F.array("g" if larger_only else F.shiftright("g", 32).cast("int"))).alias("hs"))
-        .groupBy("k").agg(F.flatten(F.collect_list("hs")).alias("hs"))
+        .select("k", "hs", F.when(F.col("hs").isNull(), one).alias("one"))
+        .groupBy("k").agg(F.concat(F.collect_list("one"), F.flatten(F.collect_list("hs"))).alias("hs"))
     )
 
 
