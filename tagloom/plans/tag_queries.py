@@ -8,8 +8,10 @@ from tagloom.functions import text as X
 from tagloom.operators import cooccurrence as co
 from tagloom.operators import tags as T
 from tagloom.operators.taxonomy import taxonomy_summary
-from tagloom.plans.registry import query
+from tagloom.plans.registry import ORACLES, query
 from tagloom.plans.views import kept, samples, table, tagged, taxonomy, with_views
+from tagloom.session import scratch_path
+from tagloom.sources import datasets as DS
 
 CATS = ("tempo", "genre", "mood", "instrument")
 TAG_COLS = [c + "_tags" for c in CATS]
@@ -189,6 +191,15 @@ def tag_frequency(spark, sf):
     return T.tag_frequency(samples(spark, sf))
 
 
+@query("tag_frequency_csv", ORACLES["tag_frequency"])
+def tag_frequency_csv(spark, sf):
+    """The table written as CSV and read back; tags have no line breaks, so its files are read in splits."""
+    root = scratch_path(spark, "frequency")
+    freq = tag_frequency(spark, sf)
+    DS.write_csv(freq, root)
+    return DS.read_csv(spark, root, freq.schema, multi_line=False)
+
+
 @query("top_tags", with_views("item_tags", "SELECT tag, count(*) AS n FROM item_tags GROUP BY 1 ORDER BY n DESC, tag LIMIT 20"))
 def top_tags(spark, sf):
     return T.top_tags(T.tag_frequency(samples(spark, sf)), 20)

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+SPREAD_SPLITS = 64
+
+
 def build_session(app: str = "tagloom", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -40,8 +43,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def is_small_scan(df: DataFrame) -> bool:
-    """Whether a scan has fewer splits than the cluster has cores."""
-    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+    """Whether a scan has fewer splits than the cluster has cores, and few at all: a table of many splits is never
+    shuffled for the sake of idle cores."""
+    return df.rdd.getNumPartitions() < min(df.sparkSession.sparkContext.defaultParallelism, SPREAD_SPLITS)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

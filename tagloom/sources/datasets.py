@@ -13,10 +13,14 @@ from pyspark.sql import types as T
 PUBLISHED = ("id", "caption", "aspect_list", "genre_aspects", "mood_aspects", "instrument_aspects", "tempo_aspects")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, fill: str | None = "") -> DataFrame:
-    """CSV with quoted commas, quotes and line breaks; missing text becomes ``fill``."""
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, fill: str | None = "", multi_line: bool = True) -> DataFrame:
+    """CSV with quoted commas, quotes and line breaks; missing text becomes ``fill``.
+
+    A file with line breaks inside of quotes can only be read by one task. Files without any are cut into splits
+    with ``multi_line=False``.
+    """
     df = (
-        spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+        spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"').csv(path)
     )
     return df if fill is None else df.na.fill(fill)
 
@@ -33,8 +37,8 @@ def read_splits(spark: SparkSession, paths: Mapping[str, str], schema, fill: str
 
 
 def write_splits(df: DataFrame, path: str, split_col: str = "split") -> None:
-    """One folder per split; reading ``path`` itself gives all of them."""
-    write_csv(df, path, [split_col])
+    """One folder per split, in files of about even size; reading ``path`` itself gives all of them."""
+    write_csv(df.hint("rebalance", split_col), path, [split_col])
 
 
 def read_dataset(spark: SparkSession, root: str, config: str | None = None, split: str = "all") -> DataFrame:
@@ -46,8 +50,12 @@ def read_dataset(spark: SparkSession, root: str, config: str | None = None, spli
 
 
 def publish(df: DataFrame, root: str, configs_col: str = "configs", max_records_per_file: int = 1_000_000) -> None:
-    """Write each row into every configuration it belongs to, in one pass and without a shuffle."""
-    rows = df.withColumn("config", F.explode(configs_col)).drop(configs_col)
+    """Write each row into every configuration it belongs to.
+
+    Rows are rebalanced by folder: large folders are written by many tasks, small ones by one, so the number of
+    files follows the data and not the number of tasks.
+    """
+    rows = df.withColumn("config", F.explode(configs_col)).drop(configs_col).hint("rebalance", "config", "split")
     rows.write.option("maxRecordsPerFile", max_records_per_file).partitionBy("config", "split").parquet(root)
 
 
