@@ -12,7 +12,7 @@ from tagloom.llm.decontaminate import decontaminate
 from tagloom.llm.language_id import UNKNOWN, identify_language
 from tagloom.llm.mixing import mixed_sources
 from tagloom.llm.near_dedup import first_of_each_class
-from tagloom.llm.secrets import scan_secrets
+from tagloom.llm.secrets import MOST_TEXTS, scan_secrets
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents with secrets up to this number are looked up by broadcast, more by shuffle.
@@ -47,8 +47,8 @@ def redacted(text: str, spans: str) -> Column:
 
 
 def without_live_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets that a single source has; widely copied examples stay, and so do all documents."""
-    live = scan_secrets(docs).select(id_key("doc_id").alias("k"), "text_key", F.filter("spans", lambda s: s["live"]).alias("live"))
+    """Replaces secrets that few unequal texts or a single source have; widely copied examples stay, and so do all documents."""
+    live = scan_secrets(docs, most_texts=MOST_TEXTS).select(id_key("doc_id").alias("k"), "text_key", F.filter("spans", lambda s: s["live"]).alias("live"))
     live = bounded(live.filter(F.size("live") > 0).dropDuplicates(["k", "text_key"]), BROADCAST_SECRETS, "live")
     rows = docs.withColumn("k", id_key("doc_id")).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))).join(live, ["k", "text_key"], "left")
     text = F.when(F.col("live").isNull(), F.col("text")).otherwise(redacted("text", "live"))

@@ -14,7 +14,7 @@ from tagloom.llm.language_id import identify_language
 from tagloom.llm.mixing import mixed_sources
 from tagloom.llm.near_dedup import near_duplicates
 from tagloom.llm.ngram_trie import score_texts
-from tagloom.llm.secrets import scan_secrets
+from tagloom.llm.secrets import MOST_TEXTS, scan_secrets
 from tagloom.llm.substring_dedup import substring_dedup
 from tagloom.llm.topk import exact_topk
 from tagloom.llm.warc import round_trip
@@ -71,7 +71,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scan_secrets(table(spark, sf_dir, "documents"))
+    out = scan_secrets(table(spark, sf_dir, "documents"), most_texts=MOST_TEXTS)
     base = F.filter("spans", lambda s: s["rank"] < 3)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select(

@@ -1,7 +1,7 @@
-"""Secrets in texts, and by how many owners and documents each candidate value is shared.
+"""Secrets in texts, and by how many owners, documents and distinct texts each candidate value is shared.
 
-A value that many owners have is an example that was copied around; one that a single owner has looks live.
-Candidates are counted over the whole corpus by a hash of their value, so values never leave a task.
+A value in many unequal texts is an example that was copied around; one in few of them looks live, however many
+owners hold copies of those texts. Candidates are counted over the whole corpus by a hash of their value, so values never leave a task.
 """
 
 from __future__ import annotations
@@ -28,10 +28,15 @@ KEYWORD = re.compile(r"passw(?:or)?d|secret|token|api_?key", re.ASCII)
 #: Other candidates: runs of these characters with letters and digits in them that look random.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 LEAST_BITS = 3.5
-#: A value of at most so many owners looks live.
+#: A value of at most so many owners looks live unless it is in more than HOT_TEXTS unequal texts.
 MOST_OWNERS = 1
+#: So does a value of more owners in at most so many unequal texts; what the queries and the pipeline go by.
+MOST_TEXTS = 10
+HOT_TEXTS = 100
+#: A value with this word in it says itself that it is an example; of more than MOST_OWNERS owners it is believed.
+EXAMPLE = "example"
 
-SPAN = "struct<start:int,rank:int,end:int,h:bigint>"
+SPAN = "struct<start:int,rank:int,end:int,h:bigint,named:boolean>"
 
 
 def bits(value: str) -> float:
@@ -57,12 +62,12 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
 
 def _scan(text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32()), ("h", pa.int64())])
+        kind = pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32()), ("h", pa.int64()), ("named", pa.bool_())])
         for b in batches:
             out = []
             for text in b.column("t").to_pylist():
                 spans = candidates(text) if text else []
-                out.append([{"start": s, "rank": k, "end": e, "h": xxhash.xxh3_64_intdigest(v) - (1 << 63)} for s, k, e, v in spans])
+                out.append([{"start": s, "rank": k, "end": e, "h": xxhash.xxh3_64_intdigest(v) - (1 << 63), "named": EXAMPLE in v.lower()} for s, k, e, v in spans])
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("k"), b.column("text_key"), b.column("owner"), pa.array(out, pa.list_(kind))], ["row", "k", "text_key", "owner", "found"])
 
     return run
@@ -70,11 +75,14 @@ def _scan(text_col: str):
 
 def scan_secrets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", keep: tuple[str, ...] = ("doc_id",), most_owners: int = MOST_OWNERS,
+    most_texts: int = 1, hot_texts: int = HOT_TEXTS,
 ) -> DataFrame:
     """One row for each document, with the columns ``keep`` and ``text_key`` (a hash of the text), ``spans``.
 
-    ``spans`` holds start and end (code points, end exclusive), kind, and owners and documents (how many distinct
-    ones have the value anywhere) with ``live`` (at most ``most_owners`` owners). Base kinds are always there.
+    ``spans`` holds start and end (code points, end exclusive), kind, and owners, documents and texts (how many
+    distinct ones have the value anywhere; copies of one text are one) with ``live``. Not live are values of more
+    than ``most_owners`` owners that are in more than ``most_texts`` texts or have EXAMPLE in them, and values in
+    more than ``hot_texts`` texts, be it of one owner. Base kinds are always there.
     Runs of kind ``token`` are added only where live. A null text is empty; null owners are one owner, null ids
     one document; rows that share an id and text have equal spans. Repeated rows stay. Texts are read once and
     not shuffled; only spans are.
@@ -87,17 +95,15 @@ def scan_secrets(
     seen = stored(data.mapInArrow(_scan(text_col), f"row {row_type}, k long, text_key long, owner string, found array<{SPAN}>"), "secrets")
     each = seen.filter(F.size("found") > 0).select("k", "text_key", "owner", F.explode("found").alias("span"))
     # one row for each value and owner or document of a task before anything is shuffled, so copies don't pile up
-    shared = (
-        each.groupBy(F.col("span.h").alias("h"), "owner").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("one").alias("owners"))
-        .join(each.groupBy(F.col("span.h").alias("h"), "k").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("one").alias("documents")), "h")
-    )
+    having = lambda by, name: each.groupBy(F.col("span.h").alias("h"), by).agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("one").alias(name))
+    shared = having("owner", "owners").join(having("k", "documents"), "h").join(having("text_key", "texts"), "h")
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("span.rank") + 1)
     judged = (
         each.select("k", "text_key", "span").distinct().withColumn("h", F.col("span.h")).join(shared, "h")
-        .withColumn("live", F.col("owners") <= most_owners)
+        .withColumn("live", (F.col("texts") <= hot_texts) & ((F.col("owners") <= most_owners) | ((F.col("texts") <= most_texts) & ~F.col("span.named"))))
         .filter(F.col("live") | (F.col("span.rank") < 3))
         .select("k", "text_key", F.struct(
-            F.col("span.start").alias("start"), F.col("span.rank").alias("rank"), F.col("span.end").alias("end"), kind.alias("kind"), "owners", "documents", "live",
+            F.col("span.start").alias("start"), F.col("span.rank").alias("rank"), F.col("span.end").alias("end"), kind.alias("kind"), "owners", "documents", "texts", "live",
         ).alias("span"))
         .groupBy("k", "text_key").agg(F.array_sort(F.collect_list("span")).alias("spans"))
     )

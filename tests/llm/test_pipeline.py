@@ -30,6 +30,11 @@ def test_stages(spark, frame, tmp_path):
     assert out and all(r.text == found[r.doc_id].text and 1 <= r.copy <= 3 for r in out)
 
 
+def test_secret_of_two_sources_is_redacted(spark, frame):
+    docs = frame((1, "token=Zk3Jq9Xw2Lm8Pv5Tn7Rb one", "a"), (2, "two token=Zk3Jq9Xw2Lm8Pv5Tn7Rb", "b"))
+    assert sorted(r.text for r in cp.without_live_secrets(spark, docs, "").collect()) == ["[SECRET] one", "two [SECRET]"]
+
+
 def test_redaction(spark):
     rows = spark.createDataFrame([("0é23456789", [(1, 3), (2, 5), (8, 10)]), ("abc", [(0, 3)]), ("abc", [])], "t string, s array<struct<start:int,end:int>>")
     assert [r[0] for r in rows.select(cp.redacted("t", "s")).collect()] == ["0[SECRET]567[SECRET]", "[SECRET]", "abc"]

@@ -43,6 +43,19 @@ def test_owners_decide(frame):
     assert not any(s.kind == "token" for r in secrets.scan_secrets(frame(*copied)).collect() for s in r.spans)
 
 
+def test_unequal_texts_decide(frame):
+    """Copies of one text count once, a secret of two sources stays live, an example within one hot source is one."""
+    loose = [f"{x}k3Jq9Xw2Lm8Pv5Tn7Rb1c" for x in "ZYX"]
+    copied, two, hot = f"token={loose[0]}", f"see {loose[1]} now", f"password={loose[2]}"
+    rows = [(1, copied, "a"), (2, copied, "b"), (3, copied, "c"), (4, two, "a"), (5, "once more: " + two, "b")]
+    rows += [(100 + i, f"{i} {hot}", "a") for i in range(secrets.HOT_TEXTS + 1)]
+    wide = "secret=Wk3Jq9Xw2Lm8Pv5Tn7Rb1c"
+    rows += [(300 + i, f"{i} {wide}", "ab"[i % 2]) for i in range(secrets.MOST_TEXTS + 1)]
+    out = {(r.doc_id, s.kind, s.owners, s.texts, s.live) for r in secrets.scan_secrets(frame(*rows), most_texts=secrets.MOST_TEXTS).collect() for s in r.spans}
+    assert {(1, "assign", 3, 1, True), (4, "token", 2, 2, True), (5, "token", 2, 2, True)} <= out
+    assert (100, "assign", 1, secrets.HOT_TEXTS + 1, False) in out and (300, "assign", 2, secrets.MOST_TEXTS + 1, False) in out
+
+
 def test_edges(frame):
     assert secrets.scan_secrets(frame()).collect() == []
     row = (None, "token=abcdefghijklmnop")
