@@ -1,14 +1,16 @@
-"""A bigram language model in Elias-Fano tries, one of each shard of the contexts.
+"""A bigram or trigram language model in Elias-Fano tries, one of each shard of the contexts.
 
 Documents are dealt into chunks of bounded size, contexts into shards. A chunk sends each shard its distinct
-bigrams once, packed, with their training counts. The shard adds the counts of all chunks, builds its trie in a
-memory-mapped file and answers every chunk with one byte for each bigram asked for. Word counts take the same
+bigrams, and the trigrams below them, once, packed, with their training counts. The shard adds the counts of all chunks, builds its trie in a
+memory-mapped file and answers every chunk with one byte for each n-gram asked for. Word counts take the same
 way first. So what travels is the distinct n-grams of a chunk, not the tokens, and nothing of the model is ever
-on the driver or broadcast. A frequent context is cut into parts by its successors, so no shard grows hot.
+on the driver or broadcast. A frequent context is cut into parts by its successors, so no shard grows hot;
+a bigram that may be frequent is known to several shards, each with a part of its trigrams.
 
 The trie: a vocabulary level, a context level, monotone pointers into the successor level, and there, relative
-to their context, the ranks of the successors, each with a quantised probability. All levels but the
-probabilities are Elias-Fano sequences; a bigram is found by successor search within its context.
+to their context, the ranks of the successors, each with a quantised probability. The places of the bigrams are
+the contexts of one more such pair of levels, the trigrams. All levels but the probabilities are Elias-Fano
+sequences; an n-gram is found by successor search within its context.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ CHUNK_BYTES = 16_000_000
 PRIOR = 20.0
 #: Occurrences of a context for each part that it is cut into.
 PART = 200_000
+#: Occurrences of a bigram for each part of its trigrams, in PART; its words bound how often it occurs.
+BIGRAM_PARTS = 5
 #: Bits that tell successors of one context apart.
 WORD_BITS = 40
 #: Probabilities are kept as 1 + 254 steps of their logarithm down to this; 0 is none.
@@ -107,13 +111,18 @@ class EliasFano:
         rest = np.where(shift == 0, np.uint64(0), self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)))
         return ((self.low[word] >> shift) | rest) & np.uint64((1 << self.low_bits) - 1)
 
-    def successor(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the first element that is not smaller, whether it is equal), for each value."""
+    def successor(self, values: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the first element that is not smaller, whether it is equal), for each value.
+
+        Given places from ``first`` on and before ``last``, only those are searched; others are never equal.
+        """
         high = (values >> np.uint64(self.low_bits)).astype(np.int64)
         inside = high < len(self.begin) - 1
         high = np.minimum(high, len(self.begin) - 2)
         at, end = self.begin[high].copy(), self.begin[high + 1]
         at[~inside] = end[~inside] = self.n
+        if first is not None:
+            at, end = np.maximum(at, first), np.minimum(end, last)
         wanted = values & np.uint64((1 << self.low_bits) - 1)
         left, right = at, end
         while (open_ := left < right).any():  # halving, all queries at once
@@ -134,20 +143,22 @@ class EliasFano:
 class Trie:
     """Levels of one shard, in a memory-mapped file that goes with the object."""
 
-    def __init__(self, contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray, probability: np.ndarray):
-        """``words`` are the successors, in order within each of the ``contexts``, of which it has ``sizes``."""
-        vocabulary, rank = np.unique(words, return_inverse=True)
+    def __init__(
+        self, contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray, probability: np.ndarray, below: np.ndarray, last: np.ndarray, last_probability: np.ndarray,
+    ):
+        """``words`` are the successors, in order within each of the ``contexts``, of which it has ``sizes``; ``last``
+        those of the bigrams so made, of which each has ``below``."""
+        vocabulary, rank = np.unique(np.concatenate([words, last]), return_inverse=True)
         self.width = max(1, len(vocabulary))
-        relative = np.repeat(np.arange(len(contexts), dtype=np.uint64), sizes) * np.uint64(self.width) + rank.astype(np.uint64)
-        pointers = np.concatenate([[0], np.cumsum(sizes)]).astype(np.uint64)
-        parts = [
-            EliasFano.encode(vocabulary, 1 << WORD_BITS), EliasFano.encode(contexts, 1 << 64), EliasFano.encode(pointers, len(words) + 1),
-            EliasFano.encode(relative, max(1, len(contexts)) * self.width),
-        ]
+        parts = [EliasFano.encode(vocabulary, 1 << WORD_BITS), EliasFano.encode(contexts, 1 << 64)]
+        for n, r in ((sizes, rank[: len(words)]), (below, rank[len(words) :])):
+            relative = np.repeat(np.arange(len(n), dtype=np.uint64), n) * np.uint64(self.width) + r.astype(np.uint64)
+            pointers = np.concatenate([[0], np.cumsum(n)]).astype(np.uint64)
+            parts += [EliasFano.encode(pointers, len(r) + 1), EliasFano.encode(relative, max(1, len(n)) * self.width)]
         self.file = tempfile.TemporaryFile()
         for _, _, low, high in parts:
             self.file.write(low.tobytes() + high.tobytes())
-        self.file.write(quantise(probability).tobytes() + b"\0")
+        self.file.write(quantise(probability).tobytes() + quantise(last_probability).tobytes() + b"\0")
         self.file.flush()
         self.bytes = self.file.tell()
         self.map = mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)
@@ -155,22 +166,37 @@ class Trie:
         for n, low_bits, low, high in parts:
             levels.append(EliasFano(n, low_bits, np.frombuffer(self.map, np.uint64, len(low), offset), np.frombuffer(self.map, np.uint8, len(high), offset + low.nbytes)))
             offset += low.nbytes + high.nbytes
-        self.vocabulary, self.contexts, self.pointers, self.successors = levels
-        self.code = np.frombuffer(self.map, np.uint8, len(words), offset)
-
-    def codes(self, contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The quantised probability of each bigram asked for, 0 if it is not there."""
+        code = np.frombuffer(self.map, np.uint8, len(words) + len(last), offset)
+        self.vocabulary, self.contexts, *rest = levels
+        self.bigrams, self.trigrams = (*rest[:2], code[: len(words)]), (*rest[2:], code[len(words) :])
+
+    def _below(self, level: tuple, above: np.ndarray, known: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, whether it is there, code) of each of the ``words``, searched between the pointers of what is above."""
+        pointers, successors, code = level
+        asked, n, above = np.repeat(known, sizes), sizes[known], above[known]
+        begin, end = (np.repeat(pointers.at(above + i).astype(np.int64), n) for i in (0, 1))
+        rank, met = self.vocabulary.successor(words[asked])
+        at, equal = successors.successor(np.repeat(above.astype(np.uint64), n) * np.uint64(self.width) + rank.astype(np.uint64), begin, end)
+        place, hit, out = np.zeros(len(words), np.int64), np.zeros(len(words), bool), np.zeros(len(words), np.uint8)
+        place[asked], hit[asked] = at, equal & met
+        out[hit] = code[place[hit]]
+        return place, hit, out
+
+    def codes(self, contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray, below: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The quantised probability of each bigram and each trigram asked for, 0 if it is not there."""
         context, known = self.contexts.successor(contexts)
-        rank, met = self.vocabulary.successor(words)
-        known, context = np.repeat(known, sizes) & met, np.repeat(context, sizes)
-        out = np.zeros(len(words), np.uint8)
-        place, equal = self.successors.successor(context[known].astype(np.uint64) * np.uint64(self.width) + rank[known].astype(np.uint64))
-        hit = np.flatnonzero(known)[equal]
-        place = place[equal]
-        # what was found lies between the pointers of its context
-        assert (self.pointers.at(context[hit]) <= place.astype(np.uint64)).all()
-        out[hit] = self.code[place]
-        return out
+        place, hit, out = self._below(self.bigrams, context, known, sizes, words)
+        return out, self._below(self.trigrams, place, hit, below, last)[2]
+
+
+def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct values in order, which of them each is), in less memory than ``np.unique``."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])[: len(order)]
+    which = np.empty(len(order), np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], which
 
 
 # -- chunks ---------------------------------------------------------------------------------------------------
@@ -189,28 +215,66 @@ class Chunk:
         self.sizes = np.array(sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.train = np.repeat(train, self.sizes)
-        self.words, self.word = np.unique(np.concatenate(parts), return_inverse=True)
+        joined = np.concatenate(parts)
+        del parts, hashes
+        self.words, self.word = _ranked(joined)
         self.word_counts = np.bincount(self.word[self.train], minlength=len(self.words))
 
     def bigrams(self) -> None:
         before = np.roll(self.word, 1)
         before[self.starts] = len(self.words)  # the start of a document, after all words
         n = len(self.words) + 1
-        pairs, self.pair = np.unique(before * n + self.word, return_inverse=True)
-        self.context, self.next = pairs // n, pairs % n
+        pairs, self.pair = _ranked(before.astype(np.int64) * n + self.word)
+        self.context, self.next = (pairs // n).astype(np.int32), (pairs % n).astype(np.int32)
         self.pair_counts = np.bincount(self.pair[self.train], minlength=len(pairs))
 
-    def dealt(self, shards: int, context_counts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(shard, places of its bigrams), ordered by context and successor."""
-        hashes = np.append(self.words, START)
-        context, self.successor = hashes[self.context], mixed(hashes[self.next]) >> np.uint64(64 - WORD_BITS)
-        parts = (context_counts // PART + 1)[self.context].astype(np.uint64)
-        shard = mixed(context + self.successor % parts * END) % np.uint64(shards)
-        order = np.lexsort((self.successor, context, shard))
-        cuts = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
-        for s in range(shards):
-            if cuts[s] < cuts[s + 1]:
-                yield s, order[cuts[s] : cuts[s + 1]]
+    def deal(self, shards: int, counts: np.ndarray, order: int) -> None:
+        """Places of the bigrams in shards, by shard, context and successor, and of the trigrams below them.
+
+        A bigram has one place for each part of its trigrams, at most one in a shard.
+        """
+        hashes, n = np.append(self.words, START), len(self.context)
+        short = mixed(hashes) >> np.uint64(64 - WORD_BITS)
+        context, successor = hashes[self.context], short[self.next]
+        ordered = np.lexsort((successor, context))
+        rank = np.empty(n, np.int64)
+        rank[ordered] = np.arange(n)
+        parts = (counts // PART + 1)[self.context].astype(np.uint64)
+        splits = np.ones(n, np.int64)
+        if order > 2:
+            splits += np.where(hashes[self.next] == END, 0, np.minimum(counts[self.context], counts[self.next]) // (BIGRAM_PARTS * PART))
+        offset = np.cumsum(splits) - splits
+        pair = np.repeat(np.arange(n), splits)
+        part = (np.arange(len(pair)) - offset[pair]).astype(np.uint64)
+        shard = mixed((context + successor % parts * END)[pair] + part * mixed(successor + np.uint64(1))[pair]) % np.uint64(shards)
+        places, at = _ranked(shard.astype(np.int64) * n + rank[pair])
+        del context, parts, pair, part, shard, rank
+        self.place_pair, self.pair_place, self.successor = ordered[places % n].astype(np.int32), at[offset], successor
+        self.cuts, below = np.searchsorted(places, np.arange(shards + 1) * n), len(places)
+        del places, ordered
+        # tokens with a bigram before them
+        self.later = np.flatnonzero(np.bincount(self.starts, minlength=len(self.word)) == 0) if order > 2 else np.zeros(0, np.int64)
+        self.later = self.later.astype(np.int32)
+        self.before, word = self.pair[self.later - 1], self.word[self.later]
+        by_hash, n = np.argsort(short[:-1], kind="stable"), len(self.words)
+        rank = np.empty(n, np.int64)
+        rank[by_hash] = np.arange(n)
+        place = at[offset[self.before] + (short[word] % splits[self.before].astype(np.uint64)).astype(np.int64)]
+        del at, offset, splits
+        place = place * np.int64(n) + rank[word]
+        del word
+        triples, self.triple = _ranked(place)
+        del place
+        self.below = np.bincount(triples // n, minlength=below)
+        self.last = short[by_hash[triples % n]]
+        self.triple_counts = np.bincount(self.triple[self.train[self.later]], minlength=len(triples))
+        self.triple_cuts = np.searchsorted(triples, self.cuts * n)
+
+    def dealt(self) -> Iterator[tuple[int, slice, slice]]:
+        """(shard, its places of bigrams, its trigrams) of each shard that has any."""
+        for s, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True)):
+            if a < b:
+                yield s, slice(a, b), slice(self.triple_cuts[s], self.triple_cuts[s + 1])
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -274,42 +338,64 @@ def _answers(table: pa.Table) -> dict[int, list[bytes]]:
     return dict(zip(table["shard"].to_pylist(), table["data"].to_pylist(), strict=True))
 
 
-def _send_bigrams(shards: int, training_docs: int):
+def _send_ngrams(shards: int, training_docs: int, order: int):
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _table([], _BLOB)
         c = Chunk(docs["text"].combine_chunks(), _train(docs))
         c.bigrams()
         total = np.append(_word_totals(c, _answers(counts), shards), training_docs)
+        c.deal(shards, total, order)
         hashes, rows = np.append(c.words, START), []
-        for s, at in c.dealt(shards, total):
+        for s, places, triples in c.dealt():
+            at = c.place_pair[places]
             start, size = _runs(c.context[at])
             first = c.context[at[start]]
-            rows.append((docs["chunk"][0].as_py(), s, [packed(deltas(hashes[first])), packed(size), packed(total[first]), packed(c.successor[at]), packed(c.pair_counts[at])]))
+            rows.append((docs["chunk"][0].as_py(), s, [
+                packed(deltas(hashes[first])), packed(size), packed(total[first]), packed(c.successor[at]), packed(c.pair_counts[at]),
+                packed(c.below[places]), packed(c.last[triples]), packed(c.triple_counts[triples]),
+            ]))
         return _table(rows, _BLOB)
 
     return run
 
 
-def _answer_bigrams(table: pa.Table) -> pa.Table:
+def _merged(high: np.ndarray, low: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a place of each distinct pair, in order; which of them each row is; their summed counts)."""
+    order = np.lexsort((low, high))
+    high, low = high[order], low[order]
+    new = np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))[: len(order)]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    start = np.flatnonzero(new)
+    return order[start], which, np.add.reduceat(counts[order], start).astype(np.float64) if len(start) else np.zeros(0)
+
+
+def _answer_ngrams(table: pa.Table) -> pa.Table:
     asked = []
     for d in table["data"].to_pylist():
-        contexts, sizes, totals, words, counts = map(unpacked, d)
-        asked.append((np.cumsum(contexts), sizes.astype(np.int64), totals, words, counts))
-    each = [(np.repeat(c, s)[seen], np.repeat(t, s)[seen], w[seen], n[seen]) for c, s, t, w, n in asked for seen in [n > 0]]
+        contexts, sizes, totals, words, counts, below, last, last_counts = map(unpacked, d)
+        asked.append((np.cumsum(contexts), sizes.astype(np.int64), totals, words, counts, below.astype(np.int64), last, last_counts))
+    each, triples, n = [], [], 0
+    for c, s, t, w, k, b, x, m in asked:
+        seen = k > 0
+        each.append((np.repeat(c, s)[seen], np.repeat(t, s)[seen], w[seen], k[seen]))
+        triples.append((np.repeat(np.cumsum(seen) - 1 + n, b)[m > 0], x[m > 0], m[m > 0]))
+        n += int(seen.sum())
     context, total, word, count = (np.concatenate([e[i] for e in each]) for i in range(4))
-    order = np.lexsort((word, context))
-    context, total, word, count = context[order], total[order], word[order], count[order]
-    new = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1]))) if len(order) else np.zeros(0, np.int64)
-    count = np.add.reduceat(count, new).astype(np.float64) if len(new) else np.zeros(0)
-    context, total, word = context[new], total[new], word[new]
+    row, last, last_count = (np.concatenate([e[i] for e in triples]) for i in range(3))
+    at, which, count = _merged(context, word, count)
+    context, total, word = context[at], total[at], word[at]
+    pair = which[row]
+    at, _, last_count = _merged(pair, last, last_count)
+    pair, last = pair[at], last[at]
     start, size = _runs(context)
-    trie = Trie(context[start], size, word, count / (total + PRIOR))
+    trie = Trie(context[start], size, word, count / (total + PRIOR), np.bincount(pair, minlength=len(word)), last, last_count / (count[pair] + PRIOR))
     shard = table["shard"][0].as_py()
-    return _table([(c, shard, [packed(trie.codes(a[0], a[1], a[3]))]) for c, a in zip(table["chunk"].to_pylist(), asked, strict=True)], _BLOB)
+    return _table([(c, shard, [packed(x) for x in trie.codes(a[0], a[1], a[3], a[5], a[6])]) for c, a in zip(table["chunk"].to_pylist(), asked, strict=True)], _BLOB)
 
 
-def _score(shards: int, tokens: int, distinct: int, training_docs: int):
+def _score(shards: int, tokens: int, distinct: int, training_docs: int, order: int):
     fields = [("row", None), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -321,27 +407,32 @@ def _score(shards: int, tokens: int, distinct: int, training_docs: int):
         of_words = answers["of_words"].to_numpy()
         total = _word_totals(c, _answers(answers.filter(pa.array(of_words))), shards)
         contexts = np.append(total, training_docs)
-        codes, parts = np.zeros(len(c.pair_counts), np.uint8), _answers(answers.filter(pa.array(~of_words)))
-        for s, at in c.dealt(shards, contexts):
-            codes[at] = unpacked(parts[s][0])
+        c.deal(shards, contexts, order)
+        parts = _answers(answers.filter(pa.array(~of_words)))
+        codes, last = (np.concatenate([unpacked(parts[s][i]) for s, _, _ in c.dealt()]) for i in (0, 1))
+        share, before = LEVELS[codes[c.pair_place]], contexts[c.context] + PRIOR
         word = (total + 1.0) / (tokens + distinct + 1.0)
-        pair = LEVELS[codes] + PRIOR / (contexts[c.context] + PRIOR) * word[c.next]
+        p = (share + PRIOR / before * word[c.next])[c.pair]
+        # how often a bigram was met follows from its share, exactly while the steps of shares are finer than one
+        p[c.later] = LEVELS[last][c.triple] + (PRIOR / (np.rint(share * before) + PRIOR))[c.before] * p[c.later]
         add = lambda x: np.add.reduceat(x, c.starts)
         return pa.table({
             "row": rows, "n_tokens": pa.array(c.sizes, pa.int64()), "n_known": pa.array(add((total > 0).astype(np.int64)[c.word])),
-            "base_score": pa.array(add(np.log10(word)[c.word])), "score": pa.array(add(np.log10(pair)[c.pair])),
+            "base_score": pa.array(add(np.log10(word)[c.word])), "score": pa.array(add(np.log10(p))),
         })
 
     return run
 
 
-def score_texts(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
     """Each row with n_tokens, n_known, train_tokens, base_score and score, log10 probabilities of its text.
 
     Learns from the rows whose ``train_col`` is true. Tokens are words in lower case (ASCII) and one end for each
     text; a null or empty text is an end alone. ``base_score`` is the word model with one added to each count;
     ``score`` mixes in, for each token after the one before it, its share c(before, token) / (c(before) + PRIOR)
-    with weight PRIOR / (c(before) + PRIOR) left to the word model; shares are quantised. Without training rows
+    with weight PRIOR / (c(before) + PRIOR) left to the word model; shares are quantised. With
+    ``order`` 3 that bigram model is in turn what a trigram model of the same form backs off to, with the share
+    c(first, before, token) / (c(first, before) + PRIOR); a first token has no trigram. Without training rows
     all tokens are unknown. Repeated rows are scored, and learned from, as often as they come. Input columns of
     the result's names are replaced.
     """
@@ -358,9 +449,9 @@ def score_texts(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_co
     tokens, distinct = sums.first()
     words = words.filter("chunk >= 0")
     by_chunk = data.groupBy("chunk")
-    sent = by_chunk.cogroup(words.groupBy("chunk")).applyInArrow(_send_bigrams(n, training_docs), _BLOB_DDL)
-    answered = sent.groupBy("shard").applyInArrow(_answer_bigrams, _BLOB_DDL)
+    sent = by_chunk.cogroup(words.groupBy("chunk")).applyInArrow(_send_ngrams(n, training_docs, order), _BLOB_DDL)
+    answered = sent.groupBy("shard").applyInArrow(_answer_ngrams, _BLOB_DDL)
     answers = words.withColumn("of_words", F.lit(True)).union(answered.withColumn("of_words", F.lit(False)))
     row_type = data.schema["row"].dataType.simpleString()
-    out = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_score(n, tokens, distinct, training_docs), f"row {row_type}, n_tokens long, n_known long, base_score double, score double")
+    out = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_score(n, tokens, distinct, training_docs, order), f"row {row_type}, n_tokens long, n_known long, base_score double, score double")
     return out.select("row.*", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -88,7 +88,7 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_back("doc_id", 7, 2)).withColumn("train", ~F.col("held_out"))
-    return score_texts(docs, "train").select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score_texts(docs, "train", order=3).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 @query()

@@ -49,6 +49,48 @@ def texts_long():
     return "a b " * 20_000
 
 
+def brute3(rows):
+    """Scores of the trigram model, rows: (text, train)."""
+    tokens = [[b" start", *(t or "").encode().translate(lm.LOWER).split(), b" end"] for t, _ in rows]
+    train = [x for x, (_, use) in zip(tokens, rows) if use]
+    count = [Counter(tuple(t[i : i + n]) for t in train for i in range(len(t) - n + 1)) for n in (1, 2, 3)]
+    words = {w: k for w, k in count[0].items() if w != (b" start",)}
+    n, v, out = sum(words.values()), len(words), []
+    for t in tokens:
+        total = 0
+        for i in range(1, len(t)):
+            p = (words.get((t[i],), 0) + 1) / (n + v + 1)
+            for k in (1, 2)[: i]:
+                before = tuple(t[i - k : i])
+                p = (count[k][*before, t[i]] + lm.PRIOR * p) / (count[k - 1][before] + lm.PRIOR)
+            total += math.log10(p)
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("size, part", [(300, 5), (300, 1), (10**9, 200_000)])
+def test_trigrams_against_counters(frame, monkeypatch, size, part):
+    monkeypatch.setattr(lm, "CHUNK_BYTES", size)
+    monkeypatch.setattr(lm, "PART", part)
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["a", "B", "b", "c,", "É", "dd d"], rng.integers(0, 30))) for _ in range(60)] + [None, "", "unseen words here", "a b c, " * 500]
+    data = frame(*[(i, t) for i, t in enumerate(texts)]).withColumn("train", (F.col("doc_id") % 7 != 2) & (F.col("doc_id") != 62))
+    got = {r.doc_id: r for r in lm.score_texts(data, "train", order=3).collect()}
+    want = brute3([(t, i % 7 != 2 and i != 62) for i, t in enumerate(texts)])
+    assert len(got) == len(want) and all(abs(got[i].score - w) < 0.02 * got[i].n_tokens + 1e-6 for i, w in enumerate(want))
+    low = {r.doc_id: r.score for r in lm.score_texts(data, "train").collect()}
+    assert got[63].score > low[63] + 50
+
+
+def test_trie_follows_pointers():
+    u = lambda *x: np.array(x, np.uint64)
+    trie = lm.Trie(u(5, 9), np.array([2, 1]), u(1, 3, 1), np.array([0.5, 0.25, 0.125]), np.array([1, 0, 2]), u(7, 3, 7), np.array([0.5, 0.25, 0.125]))
+    pair, last = trie.codes(u(4, 5, 9), np.array([1, 3, 2]), u(1, 1, 2, 3, 1, 3), np.array([1, 2, 1, 1, 2, 1]), u(7, 3, 7, 7, 7, 3, 7, 7))
+    assert (pair == lm.quantise(np.array([0, 0.5, 0, 0.25, 0.125, 0]))).all() and (last == lm.quantise(np.array([0, 0, 0.5, 0, 0, 0.25, 0.125, 0]))).all()
+    ef = lm.EliasFano(*lm.EliasFano.encode(u(1, 4, 6, 8), 10))
+    assert not ef.successor(u(4), np.array([2]), np.array([4]))[1][0] and ef.successor(u(6), np.array([2]), np.array([3]))[1][0]
+
+
 def test_nothing_to_learn_from(frame):
     data = frame((1, "a b"), (None, "a"), (1, "a b")).withColumn("train", F.lit(False))
     check(lm.score_texts(data, "train"), [("a b", False), ("a", False), ("a b", False)])
