@@ -45,6 +45,8 @@ IMPLIED = {
     "tfoot": ("thead tbody tfoot tr td th caption colgroup", "table"), "body": ("head", ""),
 }
 IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
+#: What may come in a head; any other start tag, and text, ends an open one.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 CELLS = frozenset(["td", "th"])
 SCOPE = frozenset("table td th caption button object template".split())
 TABLE_TAGS = frozenset("table thead tbody tfoot tr td th caption".split())
@@ -79,10 +81,15 @@ def events(html: str) -> Iterator[tuple[str, str, str]]:
         open_[name] += 1
         yield "open", name, attrs
 
+    def leave_head() -> Iterator[tuple[str, str, str]]:
+        while stack and stack[-1] == "head":
+            yield pop()
+
     at, tag, last = 0, TAG, html.rfind(">")
     while m := tag.match(html, at):
         if m["text"] == "<" and html[at + 1 : at + 2].isalpha():
             if last < at:  # no tag can end any more
+                yield from leave_head()
                 yield "text", unescape(html[at:]), ""
                 break
             if tag is TAG:
@@ -90,9 +97,13 @@ def events(html: str) -> Iterator[tuple[str, str, str]]:
                 continue
         at = m.end()
         if m["text"] is not None:
+            if not m["text"].isspace():
+                yield from leave_head()
             yield "text", unescape(m["text"]) if "&" in m["text"] else m["text"], ""
         elif m["start"] is not None:
             name, attrs = m["start"].lower(), m["attrs"]
+            if name not in IN_HEAD:
+                yield from leave_head()
             if name in CLOSES_P:
                 yield from close(frozenset(["p"]), SCOPE, False)
             if name in IMPLIED:
@@ -108,6 +119,7 @@ def events(html: str) -> Iterator[tuple[str, str, str]]:
         elif m["end"] is not None:
             name = m["end"].lower()
             if name == "br":
+                yield from leave_head()
                 yield from start("br", "")
                 yield pop()
             else:

@@ -17,6 +17,15 @@ CASES = [
 ]
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<html><head><title>T</title><p>Hello</html>", "Hello"), ("<head><meta charset=utf-8><title>T</title>\n Hello <b>you</b>", "Hello you"),
+    ("<head><script>x</script><style>y</style><template><p>no</template><noscript><img>no</noscript><link rel=a>\n<div>yes", "yes"),
+    ("<html><head><title>T</title></head>Hello", "Hello"), ("<head><head><title>T</title><h1>a</h1>b", "a\n\nb"), ("<head>1 < 2", "1 < 2"), ("<head></br>a", "\na"), ("<head>&amp;", "&"),
+])
+def test_head_without_end(html, text):
+    assert visible_text(html) == text
+
+
 @pytest.mark.parametrize("html, text", CASES)
 def test_layout(html, text):
     assert visible_text(html) == text
