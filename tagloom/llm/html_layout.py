@@ -31,7 +31,7 @@ HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden
 # The sets of elements that the HTML standard and its suggested style sheet treat alike.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-NEVER = frozenset("head script style template title noscript iframe noembed noframes object svg math canvas audio video select datalist textarea".split())
+NEVER = frozenset("head script style template title noscript iframe noembed noframes object canvas audio video datalist annotation annotation-xml mphantom".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl menu table figure fieldset hr".split())
 BLOCKS = SPACED | frozenset(
     "address article aside body center dd details dialog dir div dt figcaption footer form header hgroup html legend li main nav optgroup option search section summary caption".split()
@@ -44,9 +44,19 @@ IMPLIED = {
     "thead": ("thead tbody tfoot tr td th caption colgroup", "table"), "tbody": ("thead tbody tfoot tr td th caption colgroup", "table"),
     "tfoot": ("thead tbody tfoot tr td th caption colgroup", "table"), "body": ("head", ""),
 }
+IMPLIED |= dict.fromkeys("input select textarea".split(), ("select", ""))
 IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
 #: What may come in a head; any other start tag, and text, ends an open one.
 IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
+#: Parts of a drawing that are not drawn where they stand, and those that show text.
+UNDRAWN = frozenset("defs symbol clippath mask pattern marker desc metadata".split())
+LABELS = frozenset(["text", "foreignobject"])
+#: Start tags that end an open drawing or formula, unless in one of its elements that hold HTML.
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+FOREIGN = frozenset(["svg", "math"])
+HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 CELLS = frozenset(["td", "th"])
 SCOPE = frozenset("table td th caption button object template".split())
 TABLE_TAGS = frozenset("table thead tbody tfoot tr td th caption".split())
@@ -102,6 +112,8 @@ def events(html: str) -> Iterator[tuple[str, str, str]]:
             yield "text", unescape(m["text"]) if "&" in m["text"] else m["text"], ""
         elif m["start"] is not None:
             name, attrs = m["start"].lower(), m["attrs"]
+            if name in BREAKS_OUT and (open_["svg"] or open_["math"]) and not any(open_[n] for n in HOLDS_HTML):
+                yield from close(FOREIGN, frozenset(), True)
             if name not in IN_HEAD:
                 yield from leave_head()
             if name in CLOSES_P:
@@ -111,11 +123,13 @@ def events(html: str) -> Iterator[tuple[str, str, str]]:
             if name in CELLS and open_["table"] and not open_["tr"]:
                 yield from start("tr", "")
             yield from start(name, attrs)
-            if name in VOID or (attrs.endswith("/") and name not in BLOCKS and name not in RAW):
+            if name in VOID or (attrs.endswith("/") and name not in BLOCKS and (name not in RAW or open_["svg"])):
                 yield pop()
             elif name in RAW:
                 end = re.compile(rf"</{name}[\s/>]", re.IGNORECASE).search(html, at)
-                at = end.start() if end else len(html)
+                first, at = at, end.start() if end else len(html)
+                if name == "textarea":
+                    yield "text", unescape(html[first:at]).replace("\r\n", "\n").removeprefix("\n"), ""
         elif m["end"] is not None:
             name = m["end"].lower()
             if name == "br":
@@ -136,6 +150,13 @@ def hidden(name: str, attrs: dict[str, str]) -> bool:
     return name in NEVER or "hidden" in attrs or (name == "dialog" and "open" not in attrs) or bool(HIDING.search(attrs.get("style", "")))
 
 
+def shown(options: list[dict], all_: bool) -> list[str]:
+    """What a closed-up list shows: the last selected option, else the first that can be chosen; a list box shows all."""
+    if not all_:
+        options = [o for o in options if o["selected"]][-1:] or [o for o in options if not o["disabled"]][:1]
+    return [" ".join((o["label"] or o["text"]).split()) for o in options]
+
+
 def width(text: str) -> int:
     """Columns of a fixed-width font."""
     return len(text) if text.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
@@ -198,6 +219,8 @@ def visible_text(html: str) -> str:
     boxes, tables, lists = [Box()], [], []
     skipped: list[str] = []  # open elements from the outermost hidden one on
     pre = 0
+    drawn: list[bool] = []  # open drawings and texts in them: whether text shows
+    choice: dict | None = None  # an open select
     details: list[list[bool]] = []  # open ones: whether closed up, and whether in the summary
     for kind, name, attrs in events(html):
         box = boxes[-1]
@@ -207,7 +230,32 @@ def visible_text(html: str) -> str:
             elif kind == "close":
                 skipped.pop()
             continue
-        if kind == "text":
+        if choice is not None:
+            if kind == "text":
+                if choice["open"]:
+                    choice["options"][-1]["text"] += name
+            elif kind == "open":
+                known = attributes(attrs) if attrs else {}
+                if hidden(name, known):
+                    skipped.append(name)
+                elif name == "optgroup":
+                    choice["disabled"] = "disabled" in known
+                    if choice["all"] and known.get("label"):
+                        choice["options"].append({"selected": False, "disabled": True, "label": known["label"], "text": ""})
+                elif name == "option":
+                    choice["open"] = True
+                    choice["options"].append({"selected": "selected" in known, "disabled": choice["disabled"] or "disabled" in known, "label": known.get("label", ""), "text": ""})
+            elif name == "option":
+                choice["open"] = False
+            elif name == "optgroup":
+                choice["disabled"] = False
+            elif name == "select":
+                for text in shown(choice["options"], choice["all"]):
+                    box.write(f" {text} ", False)
+                choice = None
+        elif kind == "text":
+            if drawn and not drawn[-1]:
+                continue
             if not (details and details[-1] == [True, False]) and not (tables and tables[-1]["box"] is box and not name.strip()):
                 box.write(name, pre > 0)
         elif kind == "open":
@@ -215,7 +263,18 @@ def visible_text(html: str) -> str:
             if hidden(name, known) or (details and details[-1] == [True, False] and name != "summary"):
                 skipped.append(name)
                 continue
-            if name == "br":
+            if drawn and (name in UNDRAWN or known.get("display") == "none" or known.get("visibility") in ("hidden", "collapse")):
+                skipped.append(name)
+            elif name == "svg" or (drawn and name in LABELS):
+                drawn.append(name != "svg")
+                box.write(" " * (name != "svg"), False)
+            elif name == "textarea":
+                box.write(" ", False)
+                pre += 1
+            elif name == "select":
+                size = known.get("size", "1")
+                choice = {"all": "multiple" in known or (size.isdecimal() and int(size) > 1), "options": [], "open": False, "disabled": False}
+            elif name == "br":
                 box.end_line(True)
             elif name == "hr":
                 box.block(1)
@@ -248,6 +307,12 @@ def visible_text(html: str) -> str:
                     details.append(["open" not in known, False])
                 elif name == "summary" and details:
                     details[-1][1] = True
+        elif name == "svg" or (drawn and name in LABELS):
+            drawn.pop()
+            box.write(" " * (name != "svg"), False)
+        elif name == "textarea":
+            pre -= 1
+            box.write(" ", False)
         elif name in CELLS and len(boxes) > 1 and tables and tables[-1]["box"] is boxes[-2]:
             box.end_line()
             boxes.pop()
@@ -281,7 +346,8 @@ def visible_text(html: str) -> str:
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Each row with ``text``, the laid-out visible text of its page.
 
-    A null page has null text, an empty one ''. Broken markup is read as browsers do, as far as names of open
+    A null page has null text, an empty one ''. Formulas give their text without annotations, drawings their text
+    elements, a textarea its content, a select the option that it shows, or all in a list box. Broken markup is read as browsers do, as far as names of open
     elements tell. Equal pages have equal texts, repeated rows stay, and other columns are kept; one that is
     called ``text`` is replaced.
     """

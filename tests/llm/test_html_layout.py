@@ -26,6 +26,23 @@ def test_head_without_end(html, text):
     assert visible_text(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding=tex>x=2</annotation></semantics></math> holds", "so x=2 holds"),
+    ("<p>a<svg viewBox='0 0 9 9'><title>no</title><desc>no</desc><style/><defs><text>no</text></defs>no<g><text x=1>North</text><path d=''/><text>So<tspan>uth</tspan></text>"
+     "<text display=none>no</text></g><foreignObject><p>in</p></foreignObject></svg>b", "a North South\n\nin\n\nb"),
+    ("<svg><path><p>out", "out"), ("a <svg><text>b</text><svg>no</svg></svg> c", "a b c"),
+    ("<p>a<textarea rows=2>\nx &lt;b&gt;\n  y</textarea>b", "a x <b>\n  y b"), ("<textarea>open", "open"),
+    ("say <select><option>a<option selected>b <i>c</i><option>d</select>.", "say b c ."), ("<select><option disabled>no<option>yes<option>no</select>", "yes"),
+    ("<select><optgroup label=g disabled><option>no</optgroup><option label=L>no</select>x", "L x"),
+    ("<select multiple><optgroup label=g><option>a<option>b</select>", "g a b"), ("<select size=2><option>a<option hidden>no<option>b</select>", "a b"),
+    ("<select hidden><option>no</select><datalist><option>no</datalist><textarea style='display:none'>no</textarea><select></select>x", "x"),
+])
+def test_shown_elements(html, text):
+    assert visible_text(html) == text
+    opened = [k for k, _, _ in events(html)]
+    assert opened.count("open") == opened.count("close")
+
+
 @pytest.mark.parametrize("html, text", CASES)
 def test_layout(html, text):
     assert visible_text(html) == text
