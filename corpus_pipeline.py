@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.base import bounded, id_key, stored, table
 from tagloom.llm.decontaminate import decontaminate
-from tagloom.llm.language_id import UNKNOWN, identify_language
+from tagloom.llm.language_id import identify_language
 from tagloom.llm.mixing import mixed_sources
 from tagloom.llm.near_dedup import first_of_each_class
 from tagloom.llm.secrets import MOST_TEXTS, scan_secrets
@@ -21,9 +21,12 @@ SECRET = "[SECRET]"
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that have no language: null texts and texts without a letter."""
+    """Drops documents that can have no language: null texts and texts without a letter.
+
+    That is the whole rule. It holds with labels or without; which language is predicted rejects no document.
+    """
     labelled = docs.filter("lang is not null and text is not null").select("text", "lang")
-    return identify_language(docs, labelled).filter(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
+    return identify_language(docs, labelled).filter("has_letter").select(*COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -113,7 +113,7 @@ def train(labelled: DataFrame, text_col: str, lang_col: str) -> Model:
     return Model(languages, np.log(docs + 1.0), log_prob)
 
 
-def predict(model: Model, group: list[str]) -> tuple[list[str], np.ndarray]:
+def predict(model: Model, group: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     slot, starts, has_letter = features(group, len(model.log_prob))
     score = np.zeros((len(group), len(model.languages)))
     for j in range(len(model.languages)):
@@ -122,28 +122,31 @@ def predict(model: Model, group: list[str]) -> tuple[list[str], np.ndarray]:
     best = score.argmax(axis=1)
     odds = np.exp(score - score.max(axis=1, keepdims=True))
     sure = np.where(has_letter, 1 / odds.sum(axis=1), 0.0)
-    return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), has_letter.tolist(), strict=True)], sure
+    return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), has_letter.tolist(), strict=True)], sure, has_letter
 
 
 def identify_language(docs: DataFrame, labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Each row of ``docs`` with ``lang_pred`` and ``score``, the posterior probability of that language.
+    """Each row of ``docs`` with ``lang_pred``, ``score``, the posterior probability of that language, and ``has_letter``.
 
     The model is fitted on all rows of ``labelled`` with a language. A null text, a text without a letter and
-    every text when nothing was learned get ``und`` with score 0. Equal texts get equal results, up to rounding of the score; ties go to the
+    every text when nothing was learned get ``und`` with score 0; ``has_letter`` does not depend on what was learned. Equal texts get equal results, up to rounding of the score; ties go to the
     language that sorts first. Input columns of the result's names are replaced.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(labelled, text_col, lang_col))
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "has_letter")]
     data = docs.select(F.struct(*keep).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, score = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
-            if model.value.languages:
-                for rows, group in pieces(b.column("row").field(text_col)):
-                    found, score[rows] = predict(model.value, group)
+            lang, score, letter = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows), np.zeros(b.num_rows, bool)
+            for rows, group in pieces(b.column("row").field(text_col)):
+                if model.value.languages:
+                    found, score[rows], letter[rows] = predict(model.value, group)
                     for i, x in zip(rows, found, strict=True):
                         lang[i] = x
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(lang, pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
+                else:
+                    letter[rows] = [any(map(str.isalpha, t.lower())) for t in group]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(lang, pa.string()), pa.array(score), pa.array(letter)], ["row", "lang_pred", "score", "has_letter"])
 
-    return data.mapInArrow(run, f"row {data.schema['row'].dataType.simpleString()}, lang_pred string, score double").select("row.*", "lang_pred", "score")
+    row_type = data.schema["row"].dataType.simpleString()
+    return data.mapInArrow(run, f"row {row_type}, lang_pred string, score double, has_letter boolean").select("row.*", "lang_pred", "score", "has_letter")

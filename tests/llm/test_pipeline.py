@@ -56,6 +56,16 @@ def test_rows_without_values_pass_or_go(spark, frame, tmp_path):
         assert sorted(r.text for r in docs.collect()) == ["other words there", "some words here"]
 
 
+def test_documents_without_labels(spark, frame, tmp_path):
+    """lang is null in all rows: texts with a letter pass every stage."""
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = frame((1, "some words here"), (2, "\u00e9\u0442\u043e other 12"), (3, None), (4, "12 !"), (5, "")).withColumn("lang", F.lit(None).cast("string"))
+    for _, stage in cp.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        assert sorted((r.doc_id, r.lang) for r in docs.collect()) == [(1, None), (2, None)]
+    assert {r.doc_id for r in cp.mixed_by_source(spark, docs, "").collect()} <= {1, 2}
+
+
 def test_all_are_registered():
     import __spark_entry__ as entry
 
