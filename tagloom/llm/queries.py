@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+import public_tokenizers
 
 from tagloom.llm.base import held_back, table
 from tagloom.llm.decontaminate import decontaminate
 from tagloom.llm.html_layout import extract_text
 from tagloom.llm.language_id import identify_language
+from tagloom.llm.lexical import ranked_search
+from tagloom.llm.manifest import manifest
 from tagloom.llm.mixing import mixed_sources
 from tagloom.llm.near_dedup import near_duplicates
 from tagloom.llm.ngram_trie import score_texts
+from tagloom.llm.packing import packed
 from tagloom.llm.secrets import MOST_TEXTS, scan_secrets
 from tagloom.llm.substring_dedup import substring_dedup
 from tagloom.llm.topk import exact_topk
@@ -152,3 +156,60 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return exact_topk(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
+@query()
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packed(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("""
+WITH RECURSIVE d AS (
+    SELECT doc_id, lang, n_chars, h.*, doc_id IS NOT NULL AND n_chars IS NOT NULL AND crc % 7 = 0 AS tampered FROM (
+        SELECT *, coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+               || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head, coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail,
+               xor(4294967295::UBIGINT, list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(8 * strlen(doc_id::VARCHAR)),
+                   lambda i: (CASE WHEN i % 8 = 0 THEN ascii(substr(doc_id::VARCHAR, (i // 8)::INT + 1, 1)) ELSE 0 END)::UBIGINT)),
+                   lambda c, x: xor(xor(c, x) >> 1, 3988292384::UBIGINT * (xor(c, x) & 1)))) AS crc
+        FROM documents),
+    LATERAL (SELECT sha256(head || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+                    sha256(head || octet_length(encode((n_chars + 1)::VARCHAR)) || ':' || (n_chars + 1) || tail) AS other) h),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS LAST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n,
+             dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM d),
+t AS (SELECT g, 0 AS lvl, pos, leaf AS h, n FROM p
+      UNION ALL SELECT g, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY g, lvl, pos // 2, n),
+s AS (SELECT g, h AS subroot, lvl AS depth FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, g AS pos, subroot AS h, (SELECT count(*) FROM s) AS n FROM s
+      UNION ALL SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY lvl, pos // 2, n),
+step AS (SELECT p.g, p.pos, t.lvl, (p.pos >> t.lvl) & 1 AS odd, t.h FROM p JOIN t ON t.g = p.g AND t.n > 1 AND t.pos = xor(p.pos >> t.lvl, 1)
+         UNION ALL SELECT p.g, p.pos, s.depth + u.lvl, (p.g >> u.lvl) & 1, u.h FROM p JOIN s ON s.g = p.g JOIN u ON u.n > 1 AND u.pos = xor(p.g >> u.lvl, 1)),
+proof AS (SELECT g, pos, string_agg(h, '' ORDER BY lvl) AS siblings FROM step GROUP BY g, pos),
+f AS (SELECT p.g, p.pos, 0 AS lvl, CASE WHEN tampered THEN other ELSE leaf END AS h, s.depth + (SELECT max(lvl) FROM u) AS height FROM p JOIN s ON s.g = p.g
+      UNION ALL SELECT f.g, f.pos, f.lvl + 1, sha256(CASE WHEN step.h IS NULL THEN f.h WHEN odd = 1 THEN step.h || f.h ELSE f.h || step.h END), height
+      FROM f LEFT JOIN step ON step.g = f.g AND step.pos = f.pos AND step.lvl = f.lvl WHERE f.lvl < height),
+r AS (SELECT h AS root FROM u WHERE n = 1)
+SELECT p.doc_id, p.leaf, s.subroot, r.root, sha256(coalesce(siblings, '')) AS proof_sha256, f.h AS folded_root, f.h = r.root AS verified
+FROM p JOIN s ON s.g = p.g JOIN f ON f.g = p.g AND f.pos = p.pos AND f.lvl = f.height LEFT JOIN proof ON proof.g = p.g AND proof.pos = p.pos, r
+""")
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & F.col("n_chars").isNotNull()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    return manifest(docs, changed=tampered, changed_leaf={"n_chars": F.col("n_chars") + 1}).withColumnRenamed("id", "doc_id")
+
+
+@query("""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT row_number() OVER () AS i, item_id, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS w FROM benchmark WHERE text IS NOT NULL),
+a AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS all_terms FROM d WHERE len(w) > 0),
+q AS (SELECT i, item_id, unnest(w) AS term FROM b),
+tf AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM d) SEMI JOIN q USING (term) GROUP BY r, term),
+wt AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM tf, a GROUP BY term, n_docs),
+c AS (SELECT r, term, doc_id, weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * len(w) * n_docs) // all_terms))) AS part FROM tf JOIN wt USING (term) JOIN d USING (r), a),
+s AS (SELECT i, item_id, r, doc_id, sum(part)::BIGINT AS score FROM q JOIN c USING (term) GROUP BY i, item_id, r, doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, r)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10
+""")
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ranked_search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return out.withColumnRenamed("item", "item_id")
