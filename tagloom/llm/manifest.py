@@ -113,31 +113,34 @@ def digest(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def levels(nodes: list[str], whole: bool) -> list[list[str]]:
-    """The nodes of each level of a block, the given ones first: to a single node if the block is its whole group,
-    else BLOCK_LEVELS times, where a single node is hashed on its own."""
+def levels(nodes: list[str], n: int, depth: int) -> list[list[str]]:
+    """The nodes of each level of a block, the given ones first: to a single node if the n nodes of the group are one
+    block, else ``depth`` times, where a single node is hashed on its own."""
     out = [nodes]
-    while len(out[-1]) > 1 if whole else len(out) <= BLOCK_LEVELS:
+    while len(out[-1]) > 1 if n <= 1 << depth else len(out) <= depth:
         last = out[-1]
         out.append([digest("".join(last[i : i + 2])) for i in range(0, len(last), 2)])
     return out
 
 
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ns = b.column("n").to_pylist()
-        roots = [levels(b.column("nodes")[r].as_py(), n <= 1 << BLOCK_LEVELS)[-1][0] for r, n in enumerate(ns)]
-        up = [-(-n >> BLOCK_LEVELS) if n > 1 << BLOCK_LEVELS else 1 for n in ns]
-        yield pa.RecordBatch.from_arrays([b.column("grp"), pa.array(up, pa.int64()), b.column("block"), pa.array(roots, pa.string())], names=["grp", "n", "pos", "node"])
+def _roots(depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ns = b.column("n").to_pylist()
+            roots = [levels(b.column("nodes")[r].as_py(), n, depth)[-1][0] for r, n in enumerate(ns)]
+            up = pa.array([-(-n >> depth) for n in ns], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("grp"), up, b.column("block"), pa.array(roots, pa.string())], names=["grp", "n", "pos", "node"])
 
+    return run
 
-def ways(nodes: list[str], whole: bool, above: list[str]) -> list[list[str]]:
+
+def ways(nodes: list[str], n: int, depth: int, above: list[str]) -> list[list[str]]:
     """For each slot its siblings from the bottom up: ``L`` or ``R`` and the digest, ``-`` where it has none.
 
     ``above`` is the way of the block's root.
     """
     out = [above]
-    for level in reversed(levels(nodes, whole)[:-1]):
+    for level in reversed(levels(nodes, n, depth)[:-1]):
         out = [["L" + level[i - 1] if i % 2 else "R" + level[i + 1] if i + 1 < len(level) else "-", *out[i // 2]] for i in range(len(level))]
     return out
 
@@ -149,58 +152,63 @@ def folded(node: str, way: list[str]) -> str:
     return node
 
 
-def _ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for r in range(len(b)):
-            grp, n, block, nodes, above = (b.column(c)[r].as_py() for c in ("grp", "n", "block", "nodes", "way"))
-            down = ways(nodes, n <= 1 << BLOCK_LEVELS, above)
-            first = block << BLOCK_LEVELS
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([grp] * len(down), pa.string()), pa.array(range(first, first + len(down)), pa.int64()), pa.array(down, pa.list_(pa.string())), pa.array(nodes, pa.string())],
-                names=["grp", "pos", "way", "node"],
-            )
-
-
-def _proofs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for r in range(len(b)):
-            n, nodes, above, changed, root = (b.column(c)[r].as_py() for c in ("n", "nodes", "way", "changed", "root"))
-            down = ways(nodes, n <= 1 << BLOCK_LEVELS, above)
-            proof = [digest("".join(step[1:] for step in way)) for way in down]
-            again = [folded(new or old, way) for old, new, way in zip(nodes, changed, down)]
-            size = len(nodes)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("ids")[r].values, pa.array(nodes), pa.array([b.column("subroot")[r].as_py()] * size), pa.array([root] * size), pa.array(proof), pa.array(again), pa.array([x == root for x in again])],
-                names=["id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
-            )
-
-
-BLOCK = "grp string, n long, block long, nodes array<string>"
+def _ways(depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(len(b)):
+                grp, n, block, nodes, above = (b.column(c)[r].as_py() for c in ("grp", "n", "block", "nodes", "way"))
+                down = ways(nodes, n, depth, above)
+                first = block << depth
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([grp] * len(down), pa.string()), pa.array(range(first, first + len(down)), pa.int64()), pa.array(down, pa.list_(pa.string()))],
+                    names=["grp", "pos", "way"],
+                )
+
+    return run
+
+
+def _proofs(depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(len(b)):
+                n, nodes, above, changed, subroot, root = (b.column(c)[r].as_py() for c in ("n", "nodes", "way", "changed", "subroot", "root"))
+                down = ways(nodes, n, depth, above)
+                proof = [digest("".join(step[1:] for step in way)) for way in down]
+                again = [folded(new or old, way) for old, new, way in zip(nodes, changed, down)]
+                size = len(nodes)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("ids")[r].values, pa.array(nodes), pa.array([subroot] * size), pa.array([root] * size), pa.array(proof), pa.array(again), pa.array([x == root for x in again])],
+                    names=["id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
+                )
+
+    return run
+
+
 NODE = "grp string, n long, pos long, node string"
-WAY = "grp string, pos long, way array<string>, node string"
+WAY = "grp string, pos long, way array<string>"
 
 
-def in_blocks(nodes: DataFrame, *more: str) -> DataFrame:
-    """The nodes (grp, n, pos, node and more) in slot arrays of 2^BLOCK_LEVELS: (grp, n, block, nodes, more)."""
+def in_blocks(nodes: DataFrame, depth: int, *more: str) -> DataFrame:
+    """The nodes (grp, n, pos, node and more) in slot arrays of 2^depth: (grp, n, block, nodes, more)."""
     slots = F.array_sort(F.collect_list(F.struct("pos", "node", *more)))
-    out = nodes.groupBy("grp", "n", F.shiftright("pos", BLOCK_LEVELS).alias("block")).agg(slots.alias("slots"))
+    out = nodes.groupBy("grp", "n", F.shiftright("pos", depth).alias("block")).agg(slots.alias("slots"))
     return out.select("grp", "n", "block", F.col("slots.node").alias("nodes"), *[F.col(f"slots.{c}").alias(c) for c in more])
 
 
-def reduced(blocks: DataFrame, name: str) -> tuple[list[DataFrame], DataFrame]:
+def reduced(blocks: DataFrame, depth: int, name: str) -> tuple[list[DataFrame], DataFrame]:
     """The tables of blocks of each round, from the given one up, and the last nodes: one of each group."""
     rounds = [blocks]
     while True:
-        nodes = stored(rounds[-1].select("grp", "n", "block", "nodes").mapInArrow(_roots, NODE), name)
+        nodes = stored(rounds[-1].select("grp", "n", "block", "nodes").mapInArrow(_roots(depth), NODE), name)
         if (nodes.agg(F.max("n")).first()[0] or 0) <= 1:
             return rounds, nodes
-        rounds.append(stored(in_blocks(nodes), name))
+        rounds.append(stored(in_blocks(nodes, depth), name))
 
 
-def descended(rounds: list[DataFrame], top: DataFrame, name: str) -> DataFrame:
+def descended(rounds: list[DataFrame], top: DataFrame, depth: int, name: str) -> DataFrame:
     """The blocks of the first round with the way of their root, from that of each group's last node (grp, pos, way)."""
     for blocks in reversed(rounds[1:]):
-        top = stored(blocks.join(top.select("grp", F.col("pos").alias("block"), "way"), ["grp", "block"]).select("grp", "n", "block", "nodes", "way").mapInArrow(_ways, WAY), name)
+        top = stored(blocks.join(top.select("grp", F.col("pos").alias("block"), "way"), ["grp", "block"]).select("grp", "n", "block", "nodes", "way").mapInArrow(_ways(depth), WAY), name)
     return rounds[0].join(top.select("grp", F.col("pos").alias("block"), "way"), ["grp", "block"])
 
 
@@ -215,7 +223,7 @@ def numbered(groups: DataFrame) -> DataFrame:
 
 def manifest(
     docs: DataFrame, fields: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"), id_col: str = "doc_id", group_col: str = "lang",
-    changed: Column | None = None, changed_leaf: dict[str, Column] | None = None,
+    changed: Column | None = None, changed_leaf: dict[str, Column] | None = None, block_levels: int = BLOCK_LEVELS,
 ) -> DataFrame:
     """(id, leaf, subroot, root, proof_sha256, folded_root, verified): a row for each row of ``docs``.
 
@@ -236,15 +244,15 @@ def manifest(
     rows = stored(rows.withColumn("uid", F.monotonically_increasing_id()), "leaves")
     kind = rows.schema["id"].dataType.simpleString()
     placed = with_rank(rows).withColumnsRenamed({"leaf": "node", "id": "ids"})
-    rounds, subroots = reduced(stored(in_blocks(placed, "ids", "changed"), "slots"), "nodes")
+    rounds, subroots = reduced(stored(in_blocks(placed, block_levels, "ids", "changed"), "slots"), block_levels, "nodes")
     groups = stored(numbered(subroots.select("grp", F.col("node").alias("subroot"))), "groups")
     over = groups.select(F.lit("").alias("grp"), F.lit(groups.count()).cast("long").alias("n"), "pos", F.col("subroot").alias("node"))
-    tops, last = reduced(stored(in_blocks(over), "top"), "top")
+    tops, last = reduced(stored(in_blocks(over, block_levels), "top"), block_levels, "top")
     root = (last.select("node").first() or [None])[0]  # a single node
     none = last.select("grp", "pos", F.array().cast("array<string>").alias("way"))
-    top = descended(tops, none, "top").select("grp", "n", "block", "nodes", "way").mapInArrow(_ways, WAY).select("pos", "way")
+    top = descended(tops, none, block_levels, "top").select("grp", "n", "block", "nodes", "way").mapInArrow(_ways(block_levels), WAY).select("pos", "way")
     top = groups.join(top, "pos").select("grp", F.lit(0).cast("long").alias("pos"), "subroot", "way")
     top = bounded(top, BROADCAST_GROUPS, "top")
-    found = descended(rounds, top, "ways").join(top.select("grp", "subroot"), "grp").withColumn("root", F.lit(root))
+    found = descended(rounds, top, block_levels, "ways").join(top.select("grp", "subroot"), "grp").withColumn("root", F.lit(root))
     out = f"id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
-    return found.select("n", "nodes", "ids", "changed", "way", "subroot", "root").mapInArrow(_proofs, out)
+    return found.select("n", "nodes", "ids", "changed", "way", "subroot", "root").mapInArrow(_proofs(block_levels), out)
