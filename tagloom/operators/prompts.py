@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions import tokens as K
-from tagloom.operators.ordered import join_null_safe
-from tagloom.operators.splits import small_side
+from tagloom.operators.ordered import join_null_safe, small_side
 
 
 def extract_prompt(df: DataFrame, batch: str, ids: str, delimiter: Sequence[int], pad_id: int, mask: str | None = None) -> DataFrame:

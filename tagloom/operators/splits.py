@@ -1,9 +1,11 @@
 """Seeded exact splits and samples without a global sort.
 
-Rows are ranked by ``(md5(seed:group:id), id)``. A split is then nothing but a comparison with a *cut key*,
-the key at the split's last rank. Cut keys are found in two cheap passes: rows are counted per key prefix,
-and only the one prefix bucket that holds the wanted rank is ordered. The rows themselves are not shuffled.
-Copies of one id share a key and stay together, so sizes are exact when ids are unique.
+Rows are ranked by ``(md5(seed:group:id), id)``. A split is then nothing but a comparison with a *cut key*, the key
+at the split's last rank. Cut keys are found by radix descent over the digits of the hash, for all cuts at once: rows
+are counted per first digits, the buckets that hold a wanted rank are counted by the next digits, and the cell that
+holds it, some hundred keys of 10^11 rows, is read out. Only tables of counts are put in order. The rows themselves
+are not shuffled, and nothing runs before the result is asked for. Copies of one id share a key and stay together, so
+sizes are exact when ids are unique.
 """
 
 from __future__ import annotations
@@ -15,96 +17,105 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 from pyspark.sql import Window as W
 
+from tagloom.functions.bind import let
 from tagloom.functions.hashing import hash_key, hash_normal, hash_uniform
-from tagloom.operators.ordered import join_null_safe
+from tagloom.operators.ordered import checked_small, join_null_safe
 from tagloom.operators.taxonomy import Taxonomy
 
-PREFIX_DIGITS = 3  # 4,096 buckets
-SMALL_ROWS = 100_000  # tables up to this many rows are joined by broadcast
-BELOW, ABOVE = "", "~"  # sort before and after every hex digest
+#: Hex digits of the two steps of the descent: 4,096 buckets, 65,536 cells in each that is entered.
+STEPS = (3, 4)
+#: Groups whose cuts are broadcast; more are refused unless ``many_groups`` asks for a join by shuffle.
+BROADCAST_GROUPS = 20_000
+BELOW = ""  # sorts before every hex digest
 
 Ranks = Callable[[Column], Sequence[Column]]
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Read a table that should be small. If it proves so it comes back as a counted local relation to be
-    broadcast; otherwise it comes back unchanged and the join shuffles."""
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 def _key(id_col: str, seed, by: Sequence[str]) -> Column:
     return F.struct(hash_key(seed, *[F.col(b) for b in by], F.col(id_col)).alias("m"), F.col(id_col).alias("id"))
 
 
-def cut_keys(df: DataFrame, id_col: str, seed, ranks: Ranks, by: Sequence[str] = (), sizes: DataFrame | None = None) -> DataFrame:
-    """``(by..., part, key)``: for every wanted rank the key of the last row at or below it.
+def cut_keys(
+    df: DataFrame, id_col: str, seed, ranks: Ranks, by: Sequence[str] = (), sizes: DataFrame | None = None, many_groups: bool = False
+) -> DataFrame:
+    """``(by..., key)``: for every wanted rank up to the row count the key of the last row at or below it.
 
-    ``ranks`` maps the row count to increasing ranks. Ranks outside 1..n get a key below or above all rows.
-    ``sizes`` adds columns for ``ranks`` to each group. A NULL in ``by`` is a group like any other.
+    ``ranks`` maps the row count n to increasing ranks. Ranks below 1 get a key below all rows. ``sizes`` adds columns for ``ranks`` to each
+    group. A NULL in ``by`` is a group like any other.
     """
-    by = list(by)
-    keyed = df.select(*by, _key(id_col, seed, by).alias("key")).withColumn("prefix", F.substring("key.m", 1, PREFIX_DIGITS))
-    counts = keyed.groupBy(*by, "prefix").agg(F.count("*").alias("c"))
-    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    counts = counts.withColumns({"upto": F.sum("c").over(group.orderBy("prefix")), "n": F.sum("c").over(group)})
+    by, (first, second) = list(by), STEPS
+    key, bucket = _key(id_col, seed, by), lambda k: F.substring(k["m"], 1, first)
+    counts = df.groupBy(*by, bucket(key).alias("bucket")).agg(F.count("*").alias("c"))
+    tables = counts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("bucket", "c"))).alias("table"), F.sum("c").alias("n"))
     if sizes is not None:
-        counts = join_null_safe(counts, sizes, by)
-    wanted = F.posexplode(F.array(*[r.cast("bigint") for r in ranks(F.col("n"))])).alias("part", "r")
-    seen = counts.select(*by, "prefix", "c", "upto", "n", wanted)
-    r, before, upto = F.col("r"), F.col("upto") - F.col("c"), F.col("upto")
-    inside = (r > before) & (r <= upto)
-    low, high = (r <= 0) & (before == 0), (r > F.col("n")) & (upto == F.col("n"))
-    located = seen.where(inside | low | high).select(
-        *by, "prefix", "part", F.when(inside, r - before).alias("need"), F.when(r <= 0, BELOW).otherwise(ABOVE).alias("edge")
-    )
-    located = small_side(located)
-    near = join_null_safe(keyed, located.where("need IS NOT NULL"), [*by, "prefix"])
+        tables = join_null_safe(tables, sizes, by)
+    none = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("string").alias("bucket"), F.lit(None).cast("bigint").alias("need"))
+
+    def enter(r: Column, part: Column) -> Column:
+        """The bucket of rank r and the rank in it, both NULL outside 1..n."""
+
+        def step(a: Column, b: Column) -> Column:
+            here = (a["seen"] < r) & (r <= a["seen"] + b["c"])
+            return F.struct(
+                (a["seen"] + b["c"]).alias("seen"), F.when(here, b["bucket"]).otherwise(a["bucket"]).alias("bucket"),
+                F.when(here, r - a["seen"]).otherwise(a["need"]).alias("need"),
+            )
+
+        return F.aggregate("table", none, step, lambda a: F.struct(part.alias("part"), r.alias("r"), a["bucket"].alias("bucket"), a["need"].alias("need")))
+
+    wanted = tables.select(*by, F.transform(F.array(*[r.cast("bigint") for r in ranks(F.col("n"))]), enter).alias("w"))
+    if by:
+        entered = wanted.select(*by, F.inline("w")).where("bucket is not null")
+        entered = entered if many_groups else F.broadcast(checked_small(entered, len(ranks(F.lit(1))) * BROADCAST_GROUPS, "split groups"))
+        near = join_null_safe(df.select(*by, key.alias("key"), bucket(key).alias("bucket")), entered, [*by, "bucket"])
+    else:
+        here = F.filter("_w", lambda w: w["bucket"] == F.col("_bucket"))
+        near = df.select(key.alias("key"), bucket(key).alias("_bucket"), wanted.select("w").scalar().alias("_w")).select("key", F.inline(here))
     ties = near.groupBy(*by, "part", "need", "key").agg(F.count("*").alias("c"))
-    reached = ties.withColumn("upto", F.sum("c").over(W.partitionBy(*by, "part").orderBy("key")))
-    found = reached.where("upto >= need").groupBy(*by, "part").agg(F.min("key").alias("key"))
-    no_id = F.lit(None).cast(df.schema[id_col].dataType)
-    edges = located.where("need IS NULL").select(*by, "part", F.struct(F.col("edge").alias("m"), no_id.alias("id")).alias("key"))
-    return found.unionByName(edges)
+    cells = ties.groupBy(*by, "part", "need", F.substring("key.m", first + 1, second).alias("cell")).agg(
+        F.sum("c").alias("c"), F.sort_array(F.collect_list(F.struct("key", "c"))).alias("keys")
+    )
+    still = F.col("need") - (F.sum("c").over(W.partitionBy(*by, "part").orderBy("cell")) - F.col("c"))
+    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast(ties.schema["key"].dataType).alias("key"))
+    step = lambda a, k: F.struct((a["seen"] + k["c"]).alias("seen"), F.when(a["seen"] < F.col("still"), k["key"]).otherwise(a["key"]).alias("key"))
+    found = cells.select(*by, "c", "keys", still.alias("still")).where("still > 0 and still <= c").select(*by, F.aggregate("keys", start, step, lambda a: a["key"]).alias("key"))
+    below = F.transform(F.filter("w", lambda w: w["r"] <= 0), lambda w: F.struct(F.lit(BELOW).alias("m"), F.lit(None).cast(df.schema[id_col].dataType).alias("id")))
+    return found.unionByName(wanted.select(*by, F.explode(below).alias("key")))
 
 
-def with_part(df: DataFrame, id_col: str, seed, ranks: Ranks, by: Sequence[str] = (), name: str = "part", sizes: DataFrame | None = None) -> DataFrame:
-    """Add the 0-based part a row falls into: how many of the wanted ranks its own rank exceeds."""
+def with_part(
+    df: DataFrame, id_col: str, seed, ranks: Ranks, by: Sequence[str] = (), name: str = "part", sizes: DataFrame | None = None,
+    many_groups: bool = False,
+) -> DataFrame:
+    """Add the 0-based part a row falls into: how many of the wanted ranks its own rank exceeds.
+
+    The cuts of up to ``BROADCAST_GROUPS`` groups go to the rows by broadcast, a number that is checked when the query
+    runs; with ``many_groups`` they are joined by shuffle, whatever their number.
+    """
     by = list(by)
-    n_cuts = len(ranks(F.lit(1)))
-    key_type = ST.StructType([ST.StructField("m", ST.StringType()), ST.StructField("id", df.schema[id_col].dataType)])
-    cuts = cut_keys(df, id_col, seed, ranks, by, sizes)
-    if by:
-        lists = cuts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("part", "key"))).alias("_cuts"))
-        joined = join_null_safe(df, small_side(lists), by)
-        bounds = [F.get("_cuts", F.lit(i))["key"].cast(key_type) for i in range(n_cuts)]
+    cuts = cut_keys(df, id_col, seed, ranks, by, sizes, many_groups)
+    lists = cuts.groupBy(*by).agg(F.collect_list("key").alias("_cuts"))
+    if not by:
+        joined = df.withColumn("_cuts", lists.scalar())
+    elif many_groups:
+        joined = join_null_safe(df, lists, by, "left")
     else:
-        joined = df
-        found = {row["part"]: row["key"] for row in cuts.collect()}  # one key per wanted rank
-        bounds = [
-            F.struct(F.lit(found[i]["m"]).alias("m"), F.lit(found[i]["id"]).cast(key_type["id"].dataType).alias("id"))
-            if i in found else F.lit(None).cast(key_type)
-            for i in range(n_cuts)
-        ]
-    part = F.lit(0)
-    for bound in bounds:
-        part = part + F.when(_key(id_col, seed, by) > bound, 1).otherwise(0)
-    return joined.withColumn(name, part).drop("_cuts")
+        joined = join_null_safe(df, F.broadcast(checked_small(lists, BROADCAST_GROUPS, "split groups")), by, "left")
+    below = let(lambda v: F.size(F.filter(F.coalesce("_cuts", F.array().cast(lists.schema["_cuts"].dataType)), lambda c: c < v["key"])), key=_key(id_col, seed, by))
+    return joined.withColumn(name, below).drop("_cuts")
 
 
 def assign_splits(
     df: DataFrame, id_col: str, seed, ranks: Ranks, names: Sequence[str] = ("train", "validation", "test"),
-    by: Sequence[str] = (), name: str = "split", sizes: DataFrame | None = None,
+    by: Sequence[str] = (), name: str = "split", sizes: DataFrame | None = None, many_groups: bool = False,
 ) -> DataFrame:
     labels = F.array(*[F.lit(x) for x in names])
-    return with_part(df, id_col, seed, ranks, by, "_part", sizes).withColumn(name, F.get(labels, F.col("_part"))).drop("_part")
+    return with_part(df, id_col, seed, ranks, by, "_part", sizes, many_groups).withColumn(name, F.get(labels, F.col("_part"))).drop("_part")
 
 
-def keep_first(df: DataFrame, id_col: str, seed, size: Callable[[Column], Column], by: Sequence[str] = ()) -> DataFrame:
+def keep_first(df: DataFrame, id_col: str, seed, size: Callable[[Column], Column], by: Sequence[str] = (), many_groups: bool = False) -> DataFrame:
     """Exactly ``size(n)`` rows of every group, drawn without replacement."""
-    return with_part(df, id_col, seed, lambda n: [size(n)], by, "_part").where("_part = 0").drop("_part")
+    return with_part(df, id_col, seed, lambda n: [size(n)], by, "_part", None, many_groups).where("_part = 0").drop("_part")
 
 
 def ranks_hold_out(test: float, second: float) -> Ranks:
@@ -154,10 +165,10 @@ def held_per_stratum(df: DataFrame, test: float, by: Sequence[str], within: Sequ
     return strata.select(*within, *by, (F.col("whole") + more.cast("bigint")).alias("held"))
 
 
-def stratified_split(df: DataFrame, id_col: str, seed, test: float, by: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+def stratified_split(df: DataFrame, id_col: str, seed, test: float, by: Sequence[str], within: Sequence[str] = (), many_groups: bool = False) -> DataFrame:
     """Train/test split with ``ceil(test * n)`` test rows in all, every stratum as near to its share as that allows."""
     sizes = held_per_stratum(df, test, by, within)
-    return assign_splits(df, id_col, seed, lambda n: [n - F.col("held")], ("train", "test"), [*within, *by], sizes=sizes)
+    return assign_splits(df, id_col, seed, lambda n: [n - F.col("held")], ("train", "test"), [*within, *by], sizes=sizes, many_groups=many_groups)
 
 
 def repeated_splits(df: DataFrame, id_col: str, runs: int, test: float, by: Sequence[str] = ()) -> DataFrame:

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tagloom.operators.ordered import join_null_safe
-from tagloom.operators.splits import small_side
+from tagloom.operators.moments import key_types
+from tagloom.operators.ordered import SMALL_ROWS, checked_small, join_null_safe
 from tagloom.operators.taxonomy import Taxonomy
 
 
+ALL = "_all"  # the key of a table that is one group
+
+
 def describe(df: DataFrame, col: str, by: Sequence[str] = (), probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Count, mean, sample deviation, extremes and interpolated quantiles of a small-integer column.
 
@@ -56,10 +61,12 @@ def value_counts(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
 def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
     """Equal-width bins between the common minimum and maximum of all groups, the last one closed.
 
-    ``density`` is the count over group size and bin width.
+    ``density`` is the count over group size and bin width, NULL if all values are equal; those lie in bin 0. NULL
+    and NaN are no values: they lie in no bin and do not count in the group size.
     """
-    lim = df.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))
-    counted = df.groupBy(*by, F.col(col).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    values = df.select(*by, F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    lim = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    counted = values.groupBy(*by, "v").agg(F.count("*").alias("c"))
     placed = counted.withColumn("_lim", lim.select(F.struct("lo", "hi").alias("s")).scalar())
     placed = placed.select(*by, "c", "v", F.col("_lim.lo").alias("lo"), ((F.col("_lim.hi") - F.col("_lim.lo")) / F.lit(float(bins))).alias("w"))
     at = F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("w")), F.lit(0.0))
@@ -71,31 +78,82 @@ def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = ()) -> Dat
     return binned.select(*by, "bin", left.alias("left_edge"), "n", density.alias("density"))
 
 
+def _bandwidths(df: DataFrame, col: str, by: list[str], cut: float) -> tuple[DataFrame, DataFrame]:
+    """The values (by..., v), NaN as NULL, and (by..., n, h, a, b): numbers, Scott's bandwidth and ends of the grid of
+    each group; h is NULL without a spread."""
+    v = F.col(col).cast("double")
+    values = df.select(*[F.lit(0).alias(b) if b == ALL else b for b in by], F.when(~F.isnan(v), v).alias("v"))
+    per_group = values.groupBy(*by).agg(F.count("v").alias("n"), F.stddev_samp("v").alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    h = F.when(F.col("sd") > 0, F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
+    margin = cut * F.coalesce(h, F.lit(0.0))
+    return values, per_group.select(*by, "n", h.alias("h"), (F.col("lo") - margin).alias("a"), (F.col("hi") + margin).alias("b"))
+
+
+def _with_group(values: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    spread = groups.where("h is not null").drop("n")
+    return join_null_safe(values, F.broadcast(checked_small(spread, SMALL_ROWS, "groups of a density")), by)
+
+
+def _density(sums: DataFrame, groups: DataFrame, by: list[str], points: int) -> DataFrame:
+    """(by..., i, x, density) for every group, from the sums of kernels (by..., i, s)."""
+    grid = groups.select(*by, "n", "h", "a", "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(points - 1).cast("bigint"))).alias("i"))
+    density = F.try_divide("s", F.col("n") * F.col("h") * F.sqrt(F.lit(2.0) * F.pi()))
+    return join_null_safe(grid, sums, [*by, "i"], "left").select(*by, "i", _point(points).alias("x"), density.alias("density")).drop(ALL)
+
+
+def _point(points: int) -> Column:
+    return F.col("a") + F.col("i") * ((F.col("b") - F.col("a")) / F.lit(float(points - 1)))
+
+
 def kde_grid(df: DataFrame, col: str, by: Sequence[str] = (), points: int = 200, cut: float = 3.0) -> DataFrame:
-    """Gaussian density with Scott's bandwidth at evenly spaced points.
+    """``(by..., i, x, density)``: exact Gaussian density with Scott's bandwidth at evenly spaced points.
 
-    Equal values are counted first; every distinct value then adds to all grid points on the map side, so
-    the shuffle carries one partial sum per grid point and task.
+    A task adds the kernels of its distinct values up to one vector over the grid of a group, in numpy; no row is
+    made for a value and a point. NULL and NaN are no values. A group without a spread, of one value or of equal
+    ones, has ``points`` rows at that value with a NULL density; a group without a value has NULL for both.
     """
-    by = list(by)
-    values = df.select(*by, F.col(col).cast("double").alias("v"))
-    per_group = values.groupBy(*by).agg(
-        F.count("*").alias("n"), F.stddev_samp("v").alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi")
-    )
-    h = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
-    per_group = per_group.select(*by, "n", h.alias("h"), (F.col("lo") - cut * h).alias("a"), (F.col("hi") + cut * h).alias("b"))
-    counted = values.groupBy(*by, "v").agg(F.count("*").alias("c"))
-    if by:
-        counted = join_null_safe(counted, small_side(per_group), by)
-    else:
-        for name in ("n", "h", "a", "b"):
-            counted = counted.withColumn(name, per_group.select(name).scalar())
-    step = (F.col("b") - F.col("a")) / F.lit(float(points - 1))
-    each = counted.select(*by, "v", "c", "n", "h", "a", step.alias("step"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
-    x = F.col("a") + F.col("i") * F.col("step")
-    u = (x - F.col("v")) / F.col("h")
-    kernel = F.col("c") * F.exp(F.lit(-0.5) * u * u) / (F.col("n") * F.col("h") * F.sqrt(F.lit(2.0) * F.pi()))
-    return each.groupBy(*by, F.col("i").cast("bigint").alias("i"), x.alias("x")).agg(F.sum(kernel).alias("density"))
+    by = list(by) or [ALL]
+    values, groups = _bandwidths(df, col, by, cut)
+    counted = _with_group(values.where("v is not null").groupBy(*by, "v").agg(F.count("*").alias("c")), groups, by)
+    lead, kinds = key_types(values, by)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            v, c, h, a, b = (batch.column(len(by) + k).to_numpy().astype(np.float64) for k in range(5))
+            index: dict[tuple, list[int]] = {}
+            for at, key in enumerate(zip(*[batch.column(k).to_pylist() for k in range(len(by))])):
+                index.setdefault(key, []).append(at)
+            for key, rows in index.items():
+                at = rows[0]
+                x = a[at] + np.arange(points) * ((b[at] - a[at]) / (points - 1))
+                total = held.setdefault(key, np.zeros(points))
+                for some in np.array_split(rows, -(-len(rows) // 4096)):
+                    total += c[some] @ np.exp(-0.5 * ((x[None, :] - v[some, None]) / h[at]) ** 2)
+        for key, total in held.items():
+            columns = [pa.array([k] * points, kind) for k, kind in zip(key, kinds)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(range(points), pa.int64()), pa.array(total)], names=[*by, "i", "s"])
+
+    parts = counted.select(*by, "v", "c", "h", "a", "b").mapInArrow(partial, f"{lead}i bigint, s double")
+    return _density(parts.groupBy(*by, "i").agg(F.sum("s").alias("s")), groups, by, points)
+
+
+def kde_binned(df: DataFrame, col: str, by: Sequence[str] = (), points: int = 200, cut: float = 3.0, cells: int = 4096) -> DataFrame:
+    """:func:`kde_grid` from linear binning: every value is shared between its two neighbours of ``cells`` fixed nodes
+    on the map side, and one convolution of the nodes with the kernel gives the density. What is shuffled does not grow
+    with the values; the error is about (width of a cell / bandwidth) squared / 8."""
+    by = list(by) or [ALL]
+    values, groups = _bandwidths(df, col, by, cut)
+    placed = _with_group(values.where("v is not null"), groups, by)
+    width = (F.col("b") - F.col("a")) / F.lit(float(cells - 1))
+    at = (F.col("v") - F.col("a")) / width
+    node = F.least(F.floor(at), F.lit(cells - 2))
+    ends = F.array(F.struct(node.alias("node"), (1 - (at - node)).alias("w")), F.struct((node + 1).alias("node"), (at - node).alias("w")))
+    nodes = placed.select(*by, "h", "a", "b", F.inline(ends)).groupBy(*by, "h", "a", "b", "node").agg(F.sum("w").alias("w"))
+    u = (_point(points) - (F.col("a") + F.col("node") * width)) / F.col("h")
+    spots = nodes.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(points - 1).cast("bigint"))).alias("i"))  # cells x points a group
+    sums = spots.groupBy(*by, "i").agg(F.sum(F.col("w") * F.exp(F.lit(-0.5) * u * u)).alias("s"))
+    return _density(sums, groups, by, points)
 
 
 def tag_share(freq: DataFrame, a: str, b: str, dataset_col: str = "dataset") -> DataFrame:
@@ -126,12 +184,11 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
         F.struct(F.lit(float(p)).alias("p"), F.get("e", F.lit(2 * i)).alias("lo"), F.get("e", F.lit(2 * i + 1)).alias("hi"))
         for i, p in enumerate(probs)
     ])
+    table = sketch.select(*by, "n", plans.alias("plans"))
     if by:
-        seen = join_null_safe(values, small_side(sketch.select(*by, "n", plans.alias("plans"))), by)
+        seen = join_null_safe(values, F.broadcast(checked_small(table, SMALL_ROWS, "groups of quantiles")), by)
     else:
-        n, e = sketch.first()  # one row
-        found = F.array(*[F.lit(x) for x in e]) if e else F.lit(None).cast("array<double>")
-        seen = values.withColumns({"n": F.lit(n), "e": found}).withColumn("plans", plans)
+        seen = values.withColumn("_plan", table.select(F.struct("n", "plans").alias("s")).scalar()).select("v", "_plan.n", "_plan.plans")
     seen = seen.select(*by, "v", "n", F.inline("plans"))
     v = F.col("v")
     zone = F.when(v < F.col("lo"), -1).when(v > F.col("hi"), 1).otherwise(0)

@@ -5,17 +5,18 @@ Every pair is scored inside its own row; only the sums over pairs are shuffled.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tagloom.functions.bind import let
 from tagloom.functions.text import multiset_overlap, ngrams, tokens_mteval, tokens_rouge, words
+from tagloom.operators.alignment import matched_words, summary_hits
 
 MAX_ORDER = 4
 
@@ -78,113 +79,44 @@ def rouge_n(pairs: DataFrame, orders=(1, 2)) -> DataFrame:
     return rouge_n_rows(pairs, orders).groupBy("metric").agg(F.avg("f1").alias("f1"))
 
 
-def _lcs_rows(a: list[str], b: list[str]) -> list[int]:
-    """Bit-parallel LCS: after token ``i`` of ``a`` a zero at bit ``j`` marks where row ``i`` steps up."""
-    where: dict[str, int] = defaultdict(int)
-    for j, token in enumerate(b):
-        where[token] |= 1 << j
-    full = (1 << len(b)) - 1
-    row, rows = full, []
-    for token in a:
-        hit = row & where.get(token, 0)
-        row = ((row + hit) | (row - hit)) & full
-        rows.append(row)
-    return rows
-
-
-def lcs_length(a: list[str], b: list[str]) -> int:
-    rows = _lcs_rows(a, b)
-    return len(b) - rows[-1].bit_count() if rows else 0
-
-
-def lcs_positions(ref: list[str], can: list[str]) -> set[int]:
-    """Positions in ``ref`` of one longest common subsequence, read backwards from the end."""
-    rows = _lcs_rows(ref, can)
-    length = lambda i, j: j - (rows[i - 1] & ((1 << j) - 1)).bit_count() if i else 0
-    i, j, found = len(ref), len(can), set()
-    while i and j:
-        if ref[i - 1] == can[j - 1]:
-            i, j = i - 1, j - 1
-            found.add(i)
-        elif length(i, j - 1) > length(i - 1, j):
-            j -= 1
-        else:
-            i -= 1
-    return found
-
-
-def _f(hits: int, n_pred: int, n_ref: int) -> float:
-    if not (hits and n_pred and n_ref):
-        return 0.0
-    p, r = hits / n_pred, hits / n_ref
-    return 2 * p * r / (p + r)
-
-
-def _summary_hits(ref: list[list[str]], can: list[list[str]]) -> int:
-    """Union of the LCS of every reference sentence with all candidate sentences, each token used once."""
-    left_ref: dict[str, int] = defaultdict(int)
-    left_can: dict[str, int] = defaultdict(int)
-    for sents, left in ((ref, left_ref), (can, left_can)):
-        for sent in sents:
-            for token in sent:
-                left[token] += 1
-    hits = 0
-    for sent in ref:
-        union = set().union(*[lcs_positions(sent, c) for c in can]) if can else set()
-        for pos in sorted(union):
-            token = sent[pos]
-            if left_ref[token] > 0 and left_can[token] > 0:
-                left_ref[token] -= 1
-                left_can[token] -= 1
-                hits += 1
-    return hits
+def rouge_l_rows(pairs: DataFrame) -> DataFrame:
+    """``(id, rouge_l, rouge_lsum)``: longest common subsequence F1 of whole texts and of line-split texts.
+
+    A NULL text has no tokens, like an empty one, and scores 0.
+    """
+    split = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), tokens_rouge), lambda s: F.size(s) > 0)
 
+    def f1(hits: np.ndarray, n_pred: np.ndarray, n_ref: np.ndarray) -> pa.Array:
+        return pa.array(np.divide(2.0 * hits, n_pred + n_ref, out=np.zeros(len(hits)), where=hits > 0))
 
-def rouge_l_rows(pairs: DataFrame) -> DataFrame:
-    """``(id, rouge_l, rouge_lsum)``: longest common subsequence F1 of whole texts and of line-split texts."""
-    split = lambda c: F.filter(F.transform(F.split(c, "\n"), tokens_rouge), lambda s: F.size(s) > 0)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            rows = []
-            for ps, rs in zip(d["p"], d["r"]):
-                ps, rs = [list(s) for s in ps], [list(s) for s in rs]
-                p, r = [t for s in ps for t in s], [t for s in rs for t in s]
-                rows.append((_f(lcs_length(p, r), len(p), len(r)), _f(_summary_hits(rs, ps), len(p), len(r))))
-            yield pd.DataFrame({"id": d["id"], "rouge_l": [x[0] for x in rows], "rouge_lsum": [x[1] for x in rows]})
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            whole, hits, n_pred, n_ref = summary_hits(b.column(1), b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), f1(whole, n_pred, n_ref), f1(hits, n_pred, n_ref)], names=["id", "rouge_l", "rouge_lsum"])
 
     d = pairs.select("id", split(F.col("prediction")).alias("p"), split(F.col("reference")).alias("r"))
-    return d.mapInPandas(score, f"id {pairs.schema['id'].dataType.simpleString()}, rouge_l double, rouge_lsum double")
+    return d.mapInArrow(score, f"id {pairs.schema['id'].dataType.simpleString()}, rouge_l double, rouge_lsum double")
 
 
 def rouge_l(pairs: DataFrame) -> DataFrame:
     return rouge_l_rows(pairs).agg(F.avg("rouge_l").alias("rouge_l"), F.avg("rouge_lsum").alias("rouge_lsum"))
 
 
-def meteor_row(pred: list[str], ref: list[str], alpha: float, beta: float, gamma: float) -> float:
-    """Exact-match METEOR: words are matched from the end, each to the last free equal word."""
-    free: dict[str, list[int]] = defaultdict(list)
-    for j, token in enumerate(ref):
-        free[token].append(j)
-    found = [(i, free[t].pop()) for i, t in reversed(list(enumerate(pred))) if free.get(t)]
-    if not found:
-        return 0.0
-    found.reverse()
-    m = len(found)
-    chunks = 1 + sum(1 for (i, j), (k, l) in zip(found, found[1:]) if (k, l) != (i + 1, j + 1))
-    p, r = m / len(pred), m / len(ref)
-    f = p * r / (alpha * p + (1 - alpha) * r)
-    return (1 - gamma * (chunks / m) ** beta) * f
-
-
 def meteor_rows(pairs: DataFrame, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> DataFrame:
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            scores = [meteor_row(list(p), list(r), alpha, beta, gamma) for p, r in zip(d["p"], d["r"])]
-            yield pd.DataFrame({"id": d["id"], "meteor": scores})
-
-    d = pairs.select("id", words(F.lower("prediction")).alias("p"), words(F.lower("reference")).alias("r"))
-    return d.mapInPandas(score, f"id {pairs.schema['id'].dataType.simpleString()}, meteor double")
+    """``(id, meteor)`` from exact matches; a text that is NULL or has no words scores 0."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m, chunks, n_pred, n_ref = (x.astype(float) for x in matched_words(b.column(1), b.column(2)))
+            some = m > 0
+            p, r = (np.divide(m, n, out=np.zeros(len(m)), where=some) for n in (n_pred, n_ref))
+            f = np.divide(p * r, alpha * p + (1 - alpha) * r, out=np.zeros(len(m)), where=some)
+            apart = np.divide(chunks, m, out=np.zeros(len(m)), where=some)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((1 - gamma * apart**beta) * f)], names=["id", "meteor"])
+
+    tokens = lambda c: words(F.lower(F.coalesce(c, F.lit(""))))
+    d = pairs.select("id", tokens(F.col("prediction")).alias("p"), tokens(F.col("reference")).alias("r"))
+    return d.mapInArrow(score, f"id {pairs.schema['id'].dataType.simpleString()}, meteor double")
 
 
 def bertscore_rows(tokens: DataFrame, block: int = 1024) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.vectors import cosine, squared_distance
-from tagloom.operators.splits import small_side
+from tagloom.operators.moments import matrix_moments, vector_moments
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -35,60 +35,29 @@ def score_summary(scores: DataFrame, col: str = "score") -> DataFrame:
 
 
 def mean_vector(df: DataFrame, vec: str, by: Sequence[str] = ()) -> DataFrame:
-    """Mean per dimension, put back together in order."""
-    dims = df.select(*by, F.posexplode(F.col(vec).cast("array<double>")).alias("dim", "x")).groupBy(*by, "dim").agg(F.avg("x").alias("x"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"])
-    return dims.groupBy(*by).agg(ordered.alias("mean"))
+    """Mean per dimension, in order. NULL vectors and elements do not count; a dimension without a number is NULL."""
+    out = vector_moments(df, vec, by)
+    return out.select(*by, F.zip_with("n", "mean", lambda n, m: F.when(n > 0, m)).alias("mean"))
+
+
+def variances(n: str, m2: str) -> Column:
+    """Sample variance per dimension, NULL for fewer than two numbers."""
+    return F.zip_with(n, m2, lambda k, s: F.when(k > 1, s / (k - 1)))
 
 
 def covariance(df: DataFrame, vec: str, by: Sequence[str] = ()) -> DataFrame:
-    """``(by..., i, n, mean, cov)``: row ``i`` of the sample covariance matrix of every group.
+    """``(by..., i, n, mean, cov)``: row ``i`` of the sample covariance matrix of every group, NaN for a single row.
 
-    Each task centres its rows on its own mean and adds up one ``X'X`` per group; the partial matrices are
-    merged row by row with the shift between the means, so nothing cancels and no vector is shuffled.
-    ``by`` names string columns with few values.
+    ``by`` names columns with few values. NULL vectors are left out; the others have one length and no NULL element.
     """
-    by = list(by)
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict[tuple, list] = {}
-        for batch in batches:
-            x = matrix(batch.column(len(by)))
-            keys = list(zip(*[batch.column(i).to_pylist() for i in range(len(by))])) if by else [()] * len(x)
-            index: dict[tuple, list[int]] = {}
-            for pos, key in enumerate(keys):
-                index.setdefault(key, []).append(pos)
-            for key, rows in index.items():
-                part = x[rows]
-                n, mean = len(part), part.mean(axis=0)
-                m2 = (part - mean).T @ (part - mean)
-                if key in acc:
-                    n0, mean0, m20 = acc[key]
-                    d = mean - mean0
-                    m2 = m20 + m2 + np.outer(d, d) * (n0 * n / (n0 + n))
-                    mean = mean0 + d * (n / (n0 + n))
-                    n = n0 + n
-                acc[key] = [n, mean, m2]
-        for key, (n, mean, m2) in acc.items():
-            d = len(mean)
-            cols = [pa.array([k] * d, pa.string()) for k in key]
-            cols += [pa.array(range(d), pa.int32()), pa.array([n] * d, pa.int64()), pa.array([mean] * d, pa.list_(pa.float64())), pa.array(list(m2), pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*by, "i", "n", "mean", "m2"])
-
-    def merge(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
-        i = int(key[-1])
-        n = d["n"].to_numpy(dtype=np.float64)
-        means, m2 = np.stack(d["mean"].to_list()), np.stack(d["m2"].to_list())
-        total = n.sum()
-        mean = (n[:, None] * means).sum(axis=0) / total
-        shift = means - mean
-        row = m2.sum(axis=0) + ((n * shift[:, i])[:, None] * shift).sum(axis=0)
-        cov = row / (total - 1) if total > 1 else np.full_like(row, np.nan)
-        return pd.DataFrame({**{b: [k] for b, k in zip(by, key)}, "i": [i], "n": [int(total)], "mean": [mean], "cov": [cov]})
-
-    lead = "".join(f"{b} string, " for b in by)
-    parts = df.select(*by, F.col(vec).cast("array<double>")).mapInArrow(partial, f"{lead}i int, n bigint, mean array<double>, m2 array<double>")
-    return parts.groupBy(*by, "i").applyInPandas(merge, f"{lead}i int, n bigint, mean array<double>, cov array<double>")
+    out = matrix_moments(df, vec, by)
+    width = F.size("mean")
+    cells = F.transform("m2", lambda x: F.coalesce(F.try_divide(x, F.col("n") - 1), F.lit(math.nan)))
+    rows = F.transform(
+        F.sequence(F.lit(0), (F.size("m2") / width).cast("int") - 1),
+        lambda r: F.struct((F.col("first") + r).alias("i"), F.slice("_cells", r * width + 1, width).alias("cov")),
+    )
+    return out.withColumn("_cells", cells).select(*by, F.col("n").cast("bigint").alias("n"), "mean", F.inline(rows)).select(*by, "i", "n", "mean", "cov")
 
 
 def frechet(mu1: np.ndarray, s1: np.ndarray, mu2: np.ndarray, s2: np.ndarray, eps: float = 1e-6) -> float:
@@ -129,58 +98,61 @@ def frechet_distance(generated: DataFrame, reference: DataFrame, vec: str = "vec
 
 def per_sample_frechet(generated: DataFrame, reference: DataFrame, id_col: str = "id", vec: str = "vec") -> DataFrame:
     """Squared distance to the reference mean plus the trace of the reference covariance."""
-    dims = reference.select(F.posexplode(F.col(vec).cast("array<double>")).alias("dim", "x")).groupBy("dim").agg(
-        F.avg("x").alias("m"), F.var_samp("x").alias("v")
-    )
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"])
-    stats = dims.agg(F.struct(ordered.alias("mean"), F.sum("v").alias("trace")).alias("s"))
+    found = vector_moments(reference, vec)
+    trace = F.aggregate(variances("n", "m2"), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+    stats = found.select(F.struct("mean", F.when(F.exists("n", lambda n: n > 1), trace).alias("trace")).alias("s"))
     d = generated.withColumn("_s", stats.scalar())
     return d.select(id_col, (squared_distance(vec, F.col("_s.mean")) + F.col("_s.trace")).alias("score"))
 
 
-def silhouette(df: DataFrame, id_col: str, vec: str, label: str, block_rows: int = 1024, exclude_self: bool = False) -> DataFrame:
+def silhouette(df: DataFrame, id_col: str, vec: str, label: str, block_rows: int = 8192, exclude_self: bool = False) -> DataFrame:
     """Mean silhouette with Euclidean distances.
 
-    Rows are cut into hashed blocks of about ``block_rows``. Each pair of blocks meets in one task, which
-    sums the distances of its rows to every label there, so what leaves a task is one number per row and
-    label and never a pair of rows. The definition itself needs all distances.
+    Rows are dealt to strips of about ``block_rows``; every unordered pair of strips meets once, in one task, which
+    sums the distances between its rows both ways by label. With t tasks a row is sent to about sqrt(2 t) of them, and
+    what leaves a task is a sum and a count per row and label. The definition itself needs all distances. Rows count
+    one by one, whether or not they share an id; rows without a vector or a label (NULL) are left out.
     """
-    d = df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"), F.col(label).cast("bigint").alias("label"))
-    blocks = max(1, math.ceil(d.count() / block_rows))
-    d = d.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    other = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = d.select(F.col("b").alias("i"), F.explode(other).alias("j"), "id", "v", "label")
-    # own names for the right side: both sides come from one table and must not share columns
-    right = d.select(F.explode(other).alias("i"), F.col("b").alias("j"), F.col("v").alias("w"), F.col("label").alias("cluster"))
-
-    def distances(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "own": [], "label": [], "s": []})
-        x, y = np.stack(a["v"].to_list()), np.stack(b["w"].to_list())
-        labels, code = np.unique(b["cluster"].to_numpy(), return_inverse=True)
-        onehot = np.zeros((len(y), len(labels)))
-        onehot[np.arange(len(y)), code] = 1.0
-        sums = np.empty((len(x), len(labels)))
-        yy = (y**2).sum(axis=1)
-        for lo in range(0, len(x), 1024):
-            part = x[lo : lo + 1024]
-            sq = (part**2).sum(axis=1)[:, None] + yy[None, :] - 2.0 * (part @ y.T)
-            sums[lo : lo + 1024] = np.sqrt(np.maximum(sq, 0.0)) @ onehot
-        return pd.DataFrame({
-            "id": np.repeat(a["id"].to_numpy(), len(labels)), "own": np.repeat(a["label"].to_numpy(), len(labels)),
-            "label": np.tile(labels, len(x)), "s": sums.ravel(),
-        })
-
-    id_type = d.schema["id"].dataType.simpleString()
-    sums = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(distances, f"id {id_type}, own bigint, label bigint, s double")
-    per_label = sums.groupBy("id", "own", "label").agg(F.sum("s").alias("s"))
-    counts = d.groupBy("label").agg(F.count("*").alias("c"))
-    per_label = per_label.join(small_side(counts), "label")
+    d = df.select(F.col(vec).cast("array<double>").alias("v"), F.col(label).cast("bigint").alias("label")).where("v is not null and label is not null")
+    d = d.withColumn("uid", F.monotonically_increasing_id())
+    cores = d.sparkSession.sparkContext.defaultParallelism
+    strips = d.agg(F.greatest(F.ceil(F.count("*") / F.lit(float(block_rows))), F.least(F.lit(math.ceil(math.sqrt(2 * cores))), F.ceil(F.count("*") / F.lit(64.0)))).alias("n")).select("n").scalar()
+    d = d.withColumn("strips", F.greatest(strips, F.lit(1)).cast("int")).withColumn("strip", F.pmod(F.xxhash64("uid"), F.col("strips")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("other")
+    dealt = d.select("uid", "v", "label", "strip", other).select(
+        F.least("strip", "other").alias("i"), F.greatest("strip", "other").alias("j"), (F.col("strip") < F.col("other")).alias("left"), "uid", "v", "label"
+    )
+
+    def distances(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        x, code, uid = matrix(t["v"].combine_chunks()), t["label"].to_numpy(), t["uid"].to_numpy()
+        labels, code = np.unique(code, return_inverse=True)
+        onehot = np.zeros((len(x), len(labels)))
+        onehot[np.arange(len(x)), code] = 1.0
+        left = t["left"].to_numpy()
+        same = key[0] == key[1]
+        out = []
+        for rows, cols in [(~left, ~left)] if same else [(left, ~left), (~left, left)]:
+            a, b, hot = x[rows], x[cols], onehot[cols]
+            bb, count = (b**2).sum(axis=1), hot.sum(axis=0)
+            use = np.flatnonzero(count)
+            for lo in range(0, len(a), 1024) if len(use) else []:
+                part = a[lo : lo + 1024]
+                sq = (part**2).sum(axis=1)[:, None] + bb[None, :] - 2.0 * (part @ b.T)
+                if same:
+                    sq[np.arange(len(part)), lo + np.arange(len(part))] = 0.0  # a row is at no distance from itself
+                sums = np.sqrt(np.maximum(sq, 0.0)) @ hot[:, use]
+                own, who = labels[code[rows][lo : lo + 1024]], uid[rows][lo : lo + 1024]
+                out.append((np.repeat(who, len(use)), np.repeat(own, len(use)), np.tile(labels[use], len(part)), sums.ravel(), np.tile(count[use].astype(np.int64), len(part))))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0), np.zeros(0, np.int64)]
+        return pa.table(cols, names=["uid", "own", "label", "s", "c"])
+
+    sums = dealt.groupBy("i", "j").applyInArrow(distances, "uid bigint, own bigint, label bigint, s double, c bigint")
+    per_label = sums.groupBy("uid", "own", "label").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
     same = F.col("own") == F.col("label")
     size = F.col("c") - 1 if exclude_self else F.col("c")
     a = F.max(F.when(same, F.when(F.col("c") > 1, F.try_divide(F.col("s"), size)).otherwise(F.lit(0.0))))
     b = F.min(F.when(~same, F.col("s") / F.col("c")))
-    rows = per_label.groupBy("id").agg(a.alias("a"), b.alias("b"))
+    rows = per_label.groupBy("uid").agg(a.alias("a"), b.alias("b"))
     score = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
     return rows.agg(F.coalesce(F.avg(F.when(F.col("b").isNull(), F.lit(0.0)).otherwise(score)), F.lit(0.0)).alias("silhouette"))
 

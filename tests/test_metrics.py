@@ -4,16 +4,20 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tagloom.operators import alignment as AL
 from tagloom.operators import concepts as C
 from tagloom.operators import distributions as D
 from tagloom.operators import models as MO
+from tagloom.operators import moments as MM
 from tagloom.operators import runs as R
 from tagloom.operators import stats as S
 from tagloom.operators import textmetrics as M
 from tagloom.operators import vectors as O
+from tagloom.operators.ordered import with_value_range
 
 PAIRS = [
     (1, "the cat sat on the mat", "the cat is on the mat"), (2, "a b c d", "a b c d"), (3, "", "x y"), (4, "x", ""),
@@ -34,15 +38,59 @@ def lcs(a, b):
     return t[-1][-1]
 
 
-def test_lcs_against_table():
+def kept(a, b):
+    """Places in a of the subsequence read backwards from the end of the table."""
+    t = lambda i, j: lcs(a[:i], b[:j])
+    i, j, out = len(a), len(b), set()
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.add(i)
+        elif t(i, j - 1) > t(i - 1, j):
+            j -= 1
+        else:
+            i -= 1
+    return out
+
+
+def brute_hits(ps, rs):
+    left, hits = Counter(t for s in ps for t in s), 0
+    for s in rs:
+        for at in sorted(set().union(*[kept(s, c) for c in ps])) if ps else []:
+            if left[s[at]] > 0:
+                left[s[at]] -= 1
+                hits += 1
+    return hits
+
+
+def brute_matches(p, r):
+    free = {t: [j for j, x in enumerate(r) if x == t] for t in r}
+    found = [(i, free[t].pop()) for i, t in reversed(list(enumerate(p))) if free.get(t)][::-1]
+    return len(found), sum(1 for k, (i, j) in enumerate(found) if not k or found[k - 1] != (i - 1, j - 1))
+
+
+@pytest.mark.parametrize("cells", [1 << 23, 40, 1])
+def test_alignments_against_brute_force(monkeypatch, cells):
+    monkeypatch.setattr(AL, "CELLS", cells)
     rng = np.random.default_rng(0)
-    for _ in range(200):
-        a = [str(x) for x in rng.integers(0, 5, rng.integers(0, 12))]
-        b = [str(x) for x in rng.integers(0, 5, rng.integers(0, 12))]
-        assert M.lcs_length(a, b) == lcs(a, b)
-        found = M.lcs_positions(a, b)
-        assert len(found) == lcs(a, b)
-        assert lcs([a[i] for i in sorted(found)], b) == len(found)
+    sentence = lambda: [str(x) for x in rng.integers(0, 4, rng.integers(1, 9))]
+    text = lambda: [sentence() for _ in range(rng.integers(0, 4))]
+    p, r = [text() for _ in range(60)] + [[], [["x"]]], [text() for _ in range(60)] + [[], []]
+    kind = pa.list_(pa.list_(pa.string()))
+    whole, hits, n_p, n_r = AL.summary_hits(pa.array(p, kind), pa.array(r, kind))
+    flat = lambda text: [t for s in text for t in s]
+    for k, (a, b) in enumerate(zip(p, r)):
+        assert (whole[k], hits[k], n_p[k], n_r[k]) == (lcs(flat(a), flat(b)), brute_hits(a, b), len(flat(a)), len(flat(b)))
+    words = [pa.array([flat(t) for t in x], pa.list_(pa.string())) for x in (p, r)]
+    m, chunks, _, _ = AL.matched_words(*words)
+    assert [(a, b) for a, b in zip(m, chunks)] == [brute_matches(flat(a), flat(b)) for a, b in zip(p, r)]
+
+
+def test_null_texts_score_nothing(spark):
+    d = spark.createDataFrame([(1, None, "a b"), (2, "a", None), (3, None, None), (4, "", ""), (5, "a b", "a b")], "id int, prediction string, reference string")
+    assert {r["id"]: (r["rouge_l"], r["rouge_lsum"]) for r in M.rouge_l_rows(d).collect()} == {1: (0, 0), 2: (0, 0), 3: (0, 0), 4: (0, 0), 5: (1, 1)}
+    assert {r["id"]: r["meteor"] for r in M.meteor_rows(d).where("id < 5").collect()} == {1: 0.0, 2: 0.0, 3: 0.0, 4: 0.0}
+    assert M.rouge_l_rows(d.limit(0)).count() == 0 and M.meteor_rows(d.limit(0)).count() == 0
 
 
 def test_rouge_l(pairs):
@@ -118,11 +166,12 @@ def test_perplexity(spark):
     assert tuple(none) == (0.0, 0.0, 0.0, 0.0)
 
 
-@pytest.mark.parametrize("ranges", [256, 3])
+@pytest.mark.parametrize("ranges", [100_000, 300, 1])
 def test_two_samples(spark, ranges):
     rng = np.random.default_rng(5)
     a, b = np.round(rng.normal(size=700), 1), np.round(rng.normal(0.4, 2, size=400), 1)
     rows = [("a", float(x)) for x in a] + [("b", float(x)) for x in b]
+    rows += [("a", None), ("b", math.nan), (None, 3.0), ("c", 2.0)]  # no values, no sides
     d = spark.createDataFrame(rows, "side string, v double")
     v = np.unique(np.concatenate([a, b]))
     fa, fb = np.searchsorted(np.sort(a), v, "right") / len(a), np.searchsorted(np.sort(b), v, "right") / len(b)
@@ -132,6 +181,22 @@ def test_two_samples(spark, ranges):
     assert D.wasserstein_1d(d, "v", "side", ranges).first()[0] == pytest.approx(np.sum(np.abs(fa - fb)[:-1] * np.diff(v)))
 
 
+def test_two_samples_of_many_values(spark):
+    d = spark.range(100_000).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("side"), (F.col("id") * 7919 % 100_003).cast("double").alias("v"))
+    assert D._cumulative(d, "v", "side", 1000).select(F.count_distinct("v"), F.max("ca"), F.max("cb")).first() == (100_000, 33_334, 66_666)
+    sizes = [r["count"] for r in with_value_range(d, "v", range_rows=1000).groupBy("range").count().collect()]
+    assert 90 <= len(sizes) <= 110 and max(sizes) < 2500
+    a = np.array([r["v"] for r in d.where("side = 'a'").collect()])
+    b = np.array([r["v"] for r in d.where("side = 'b'").collect()])
+    v = np.sort(np.concatenate([a, b]))
+    fa, fb = np.searchsorted(np.sort(a), v, "right") / len(a), np.searchsorted(np.sort(b), v, "right") / len(b)
+    assert D.ks_statistic(d, "v", "side", 1000).first()[0] == pytest.approx(np.abs(fa - fb).max())
+    assert D.ks_statistic(d.where("side = 'a'"), "v", "side").first()[0] is None
+    assert D.wasserstein_1d(d.limit(0), "v", "side").first()[0] is None
+    same = spark.createDataFrame([("a", 2.0), ("b", 2.0)], "side string, v double")
+    assert D.wasserstein_1d(same, "v", "side").first()[0] == 0.0 and D.ks_statistic(same, "v", "side").first()[0] == 0.0
+
+
 @pytest.mark.parametrize("accuracy", [10_000, 20])
 def test_exact_quantiles(spark, accuracy):
     rng = np.random.default_rng(8)
@@ -157,6 +222,32 @@ def test_kde_integrates_to_one(spark):
     assert len(rows) == 200 and np.trapezoid(y, x) == pytest.approx(1.0, abs=0.01)
 
 
+def test_density_of_groups(spark):
+    rng = np.random.default_rng(3)
+    groups = {"x": list(rng.normal(size=300)), "flat": [4.0] * 5, "one": [7.0], "none": [None, math.nan], None: list(rng.exponential(size=50)) + [None, math.nan]}
+    d = spark.createDataFrame([(g, None if v is None else float(v)) for g, vs in groups.items() for v in vs], "g string, v double").repartition(3)
+    for name, tolerance in (("kde_grid", 1e-12), ("kde_binned", 1e-4)):
+        rows = getattr(S, name)(d, "v", ["g"], points=50).collect()
+        got = {g: sorted((r["i"], r["x"], r["density"]) for r in rows if r["g"] == g) for g in groups}
+        assert all(len(v) == 50 for v in got.values())
+        for g in ("x", None):
+            v = np.array([a for a in groups[g] if a is not None and not math.isnan(a)])
+            h = v.std(ddof=1) * len(v) ** -0.2
+            x = np.linspace(v.min() - 3 * h, v.max() + 3 * h, 50)
+            want = np.exp(-0.5 * ((x[:, None] - v) / h) ** 2).sum(axis=1) / (len(v) * h * math.sqrt(2 * math.pi))
+            assert np.allclose([r[1] for r in got[g]], x) and np.allclose([r[2] for r in got[g]], want, atol=tolerance)
+        assert {r[1:] for r in got["flat"]} == {(4.0, None)} and {r[1:] for r in got["one"]} == {(7.0, None)} and {r[1:] for r in got["none"]} == {(None, None)}
+        assert getattr(S, name)(d.limit(0), "v").count() == 0
+
+
+def test_histogram_leaves_out_nulls(spark):
+    d = spark.createDataFrame([(1.0,), (2.0,), (None,), (None,), (math.nan,)], "v double")
+    got = {r["bin"]: (r["n"], r["density"]) for r in S.histogram(d, "v", 2).collect()}
+    assert got == {0: (1, 1.0), 1: (1, 1.0)}
+    assert [(r["bin"], r["n"], r["density"]) for r in S.histogram(d.where("v = 1"), "v", 2).collect()] == [(0, 1, None)]
+    assert S.histogram(d.where("v is null"), "v", 2).count() == 0
+
+
 @pytest.fixture(scope="module")
 def vecs(spark):
     rng = np.random.default_rng(2)
@@ -194,6 +285,38 @@ def test_silhouette_of_one_cluster(vecs):
     assert O.silhouette(vecs[0].where("label = 0"), "id", "vec", "label").first()[0] == 0.0
 
 
+def test_silhouette_counts_rows(spark, vecs):
+    """Rows that share an id count apart; rows without a label or a vector are left out."""
+    d, x, label = vecs
+    want = O.silhouette(d, "id", "vec", "label", 16).first()[0]
+    more = d.withColumn("id", F.lit(1)).unionByName(spark.createDataFrame([(1, [9.0] * 5, None), (2, None, 0)], d.schema))
+    assert O.silhouette(more, "id", "vec", "label", 16).first()[0] == pytest.approx(want)
+    assert O.silhouette(d.limit(0), "id", "vec", "label").first()[0] == 0.0
+
+
+@pytest.mark.parametrize("fan_in, held", [(256, 1 << 23), (2, 8)])
+def test_moments_in_a_tree(spark, monkeypatch, fan_in, held):
+    monkeypatch.setattr(MM, "FAN_IN", fan_in)
+    rng = np.random.default_rng(11)
+    rows = [("a" if i % 3 else None, [float(v) for v in rng.normal(size=3) + 1e5]) for i in range(200)]
+    x = {k: np.array([v for g, v in rows if g == k]) for k in ("a", None)}
+    more = [("a", None), ("short", [1.0, None]), ("short", [3.0]), ("short", [])]
+    d = spark.createDataFrame(rows + more, "g string, v array<double>").repartition(11)
+    got = {r["g"]: r for r in MM.vector_moments(d, "v", ["g"]).collect()}
+    for k, v in x.items():
+        assert got[k]["n"] == [len(v)] * 3 and np.allclose(got[k]["mean"], v.mean(axis=0)) and np.allclose(got[k]["m2"], v.var(axis=0) * len(v))
+    assert (got["short"]["n"], got["short"]["mean"], got["short"]["m2"]) == ([2.0, 0.0], [2.0, 0.0], [2.0, 0.0])
+    assert {r["g"]: r["mean"] for r in O.mean_vector(d, "v", ["g"]).collect()}["short"] == [2.0, None]
+    monkeypatch.setattr(MM, "BLOCK_CELLS", held)
+    whole = d.where("g is null or g = 'a'")
+    cov = {(r["g"], r["i"]): r["cov"] for r in O.covariance(whole, "v", ["g"]).collect()}
+    for k, v in x.items():
+        assert np.allclose([cov[k, i] for i in range(3)], np.cov(v, rowvar=False))
+    plan = O.covariance(whole, "v", ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "Generate posexplode" not in plan and "FlatMapGroups" not in plan
+    assert MM.vector_moments(d.limit(0), "v").count() == 0 and O.covariance(d.limit(0), "v").count() == 0
+
+
 def test_covariance_and_frechet(spark, vecs):
     d, x, _ = vecs
     rows = sorted(O.covariance(d, "vec").collect(), key=lambda r: r["i"])

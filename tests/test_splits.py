@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.operators import splits as R
+from tagloom.operators.ordered import small_side
 
 
 def sizes(df, col="split"):
@@ -82,10 +83,39 @@ def test_sample_n_both_ways(spark):
 
 def test_large_side_is_not_broadcast(spark):
     df = spark.range(50)
-    assert R.small_side(df, 10) is df
-    assert R.small_side(df, 50).count() == 50
+    assert small_side(df, 10) is df
+    assert small_side(df, 50).count() == 50
+
+
+def test_many_groups(spark, monkeypatch):
+    """More groups than may be broadcast: refused by name, and the same splits by a shuffled join."""
+    df = spark.range(400).withColumn("y", F.col("id") % 40)
+    want = {(r["id"], r["part"]) for r in R.with_part(df, "id", 3, lambda n: [n / 2], ["y"]).select("id", "part").collect()}
+    monkeypatch.setattr(R, "BROADCAST_GROUPS", 30)
+    with pytest.raises(Exception, match="more than 30 split groups"):
+        R.with_part(df, "id", 3, lambda n: [n / 2], ["y"]).collect()
+    assert {(r["id"], r["part"]) for r in R.with_part(df, "id", 3, lambda n: [n / 2], ["y"], many_groups=True).select("id", "part").collect()} == want
+
+
+def test_keys_of_one_prefix(spark, monkeypatch):
+    """A million ids whose hashes begin alike: the descent goes on inside the bucket, sizes stay exact."""
+    plain = R.hash_key
+    monkeypatch.setattr(R, "hash_key", lambda *a: F.concat(F.lit("abc"), F.substring(plain(*a), 4, 29)))
+    out = R.assign_splits(spark.range(1_000_000), "id", 7, R.ranks_balanced(0.7, 0.15, 0.15))
+    assert sizes(out) == {"train": 700_000, "validation": 150_000, "test": 150_000}
+
+
+def test_nothing_runs_while_built(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("built", "")
+    split = R.assign_splits(spark.range(1000), "id", 42, R.ranks_balanced(0.7, 0.15, 0.15))
+    R.keep_first(split, "id", "s", lambda n: F.floor(F.lit(0.25) * n), ["split"])
+    R.repeated_splits(split.withColumn("y", F.col("id") % 2), "id", 3, 0.2, ["y"])
+    assert len(tracker.getJobIdsForGroup("built")) == 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_rows_are_not_shuffled(spark):
     plan = R.assign_splits(spark.range(1000), "id", 1, R.ranks_balanced(0.7, 0.15, 0.15))._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Join" not in plan
+    rows = [line for line in plan.splitlines() if ":" not in line.split("+-")[0]]  # lines of the search for the cuts begin with a colon
+    assert any("Range" in line for line in rows) and not any("Exchange" in line or "Join" in line for line in rows)
