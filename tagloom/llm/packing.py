@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,8 +32,9 @@ from tagloom.llm.base import bounded, lists, stored
 CLASSES = 128
 MOST_PIECES = 3
 CACHED_PARTS = 400_000
-#: Token ids that a task gathers before it sends them on.
-BATCH_IDS = 2_000_000
+#: Characters of the texts that a task tokenises at a time.
+BATCH_CHARS = 1_000_000
+END = " "  # no other word is empty after its blank
 #: Offsets of (task, length) up to this number are broadcast, more are joined by shuffle.
 BROADCAST_OFFSETS = 500_000
 #: Fixed values of the vocabulary file: its pre-tokens, for text of ASCII and Latin-1 letters in lower case. Such
@@ -43,77 +44,109 @@ PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\t\n\r\x20a
 
 
 class PartIds(dict):
-    """Text to token ids by the parts of a tokenizer file that drops white space, remembered for each pre-token.
+    """Pre-tokens to their places in one growing list of token ids, by the parts of a tokenizer file that drops white space.
 
     Nothing in such a file looks across white space, so a text has the ids of its words in a row. Text of SIMPLE
     characters is cut by PARTS; of other text only the words with other characters go through the file's own
-    normaliser and cutter, which are slow. Words end at spaces and line ends; any other white space is left to the file.
+    normaliser and cutter, which are slow; such a word is a key after a blank. Words end at spaces and line ends; any
+    other white space is left to the file.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         super().__init__()
         whole = Tokenizer.from_file(path)
         self.model, self.normalise, self.cut = whole.model, whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
         self.mapped = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-
-    def __missing__(self, part: str) -> tuple[int, ...]:
-        if len(self) >= CACHED_PARTS:
-            self.clear()
-        text = part if part.isascii() else self.mapped(part)[0][0]
-        ids = tuple(t.id for t in self.model.tokenize(text))
+        self.end_id, self.ids, self.ends = end_id, array("i"), array("q", [0])
+
+    def __missing__(self, part: str) -> int:
+        if part == END:
+            self.ids.append(self.end_id)
+        elif part[0] == " ":
+            for piece, _ in self.cut(self.normalise(part[1:])):
+                self.ids.extend([t.id for t in self.model.tokenize(piece)])
+        else:
+            self.ids.extend([t.id for t in self.model.tokenize(part if part.isascii() else self.mapped(part)[0][0])])
+        self.ends.append(len(self.ids))
+        code = len(self.ends) - 2
         if len(part) <= 64:
-            self[part] = ids
-        return ids
-
-    def of_word(self, word: str) -> Iterable[tuple[int, ...]]:
-        if SIMPLE.fullmatch(word):
-            return map(self.__getitem__, PARTS.findall(word.lower()))
-        return (tuple(t.id for t in self.model.tokenize(part)) for part, _ in self.cut(self.normalise(word)))
+            self[part] = code
+        return code
 
-    def of(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
+    def parts(self, text: str) -> list[str]:
         if SIMPLE.fullmatch(text):
-            found: Iterable = self.of_word(text)
-        else:
-            found = chain.from_iterable(map(self.of_word, text.replace("\n", " ").split(" ")))
-        return np.fromiter(chain.from_iterable(found), np.int32)
+            return PARTS.findall(text.lower())
+        out: list[str] = []
+        for word in text.replace("\n", " ").split(" "):
+            if SIMPLE.fullmatch(word):
+                out += PARTS.findall(word.lower())
+            else:
+                out.append(" " + word)
+        return out
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts in a row, with an end after each; their number for each text)."""
+        if len(self) >= CACHED_PARTS:
+            self.clear()
+            self.ids, self.ends = array("i"), array("q", [0])
+        parts, counts = [], []
+        for text in texts:
+            found = self.parts(text) if text else []
+            parts += found
+            parts.append(END)
+            counts.append(len(found) + 1)
+        codes = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
+        ends = np.array(self.ends)
+        sizes = ends[codes + 1] - ends[codes]
+        last = np.cumsum(sizes)
+        ids = np.array(self.ids, np.int32)[np.repeat(ends[codes] - last + sizes, sizes) + np.arange(last[-1] if len(last) else 0)]
+        return ids.astype("<i4", copy=False), np.diff(last[np.cumsum(counts) - 1], prepend=0) if counts else np.zeros(0, np.int64)
 
 
 @cache
-def part_ids(path: str) -> PartIds:
+def part_ids(path: str, end_id: int) -> PartIds:
     """One for each Python worker, kept from task to task."""
-    return PartIds(path)
+    return PartIds(path, end_id)
 
 
-def _pieces(path: str, max_len: int, end_id: int):
-    def send(rows: list, ids: list) -> pa.RecordBatch:
-        keys, piece, start, size, crc, at = zip(*rows)
-        return pa.RecordBatch.from_arrays(
-            [pa.concat_arrays(keys), *(pa.array(c, pa.int64()) for c in (piece, start, size, crc)), lists(np.concatenate(ids), np.array(size)),
-             pa.array([TaskContext.get().partitionId()] * len(rows), pa.int32()), pa.array(at, pa.int64())],
-            names=["id", "piece", "start", "length", "ids_crc32", "ids", "part", "at"],
-        )
+def _some(texts: list[str | None]) -> Iterator[slice]:
+    """Consecutive texts of about BATCH_CHARS characters, or one longer text."""
+    first = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text or "") > BATCH_CHARS:
+            yield slice(first, i)
+            first, size = i, 0
+        size += len(text or "") + 1
+    if first < len(texts):
+        yield slice(first, len(texts))
 
+
+def _pieces(path: str, max_len: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = part_ids(path)
+        words, task = part_ids(path, end_id), TaskContext.get().partitionId()
         seen = np.zeros(max_len + 1, np.int64)
-        rows, ids, held = [], [], 0
         for b in batches:
-            key, text = b.column("id"), b.column("text")
-            for i in range(len(b)):
-                all_ids = np.append(words.of(text[i].as_py()), np.int32(end_id)).astype("<i4")
-                for k, start in enumerate(range(0, len(all_ids), max_len)):
-                    part = all_ids[start : start + max_len]
-                    rows.append((key.slice(i, 1), k, start, len(part), zlib.crc32(part.tobytes()), int(seen[len(part)])))
-                    ids.append(part)
-                    seen[len(part)] += 1
-                    held += len(part)
-                    if held >= BATCH_IDS:
-                        yield send(rows, ids)
-                        rows, ids, held = [], [], 0
-        if rows:
-            yield send(rows, ids)
+            texts = b.column("text").to_pylist()
+            for some in _some(texts):
+                ids, total = words.of(texts[some])
+                n = -(-total // max_len)
+                doc = np.repeat(np.arange(len(total)), n)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                length = np.minimum(total[doc] - piece * max_len, max_len)
+                order = np.argsort(length, kind="stable")  # how many of its length come before a piece
+                met = np.bincount(length, minlength=max_len + 1)
+                at = np.empty(len(doc), np.int64)
+                at[order] = np.arange(len(doc)) - np.repeat(np.cumsum(met) - met, met)
+                at += seen[length]
+                seen += met
+                stop = np.cumsum(length)
+                raw = memoryview(ids).cast("B")
+                crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip((stop - length).tolist(), stop.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id")[some.start : some.stop].take(pa.array(doc)), *(pa.array(c, pa.int64()) for c in (piece, piece * max_len, length, crc)),
+                     lists(ids, length), pa.array(np.full(len(doc), task, np.int32)), pa.array(at)],
+                    names=["id", "piece", "start", "length", "ids_crc32", "ids", "part", "at"],
+                )
 
     return run
 

@@ -26,12 +26,28 @@ ODD = ["Don't  STOP\tnow\x1c\x85 İstanbul ΣΑΣ é <|endoftext|> ١٢3  x y​
 @settings(max_examples=150, deadline=None)
 @given(st.one_of(st.text(max_size=40), st.text(alphabet="aA'sS tT1.\n\tÉß´̂Σé", max_size=40)))
 def test_ids_are_those_of_the_whole_tokenizer(text):
-    assert list(K.part_ids(PATH).of(text)) == ids_of(text)[:-1]
+    ids, sizes = K.part_ids(PATH, 0).of([text, None, "", text + " a"])
+    want = [ids_of(text), [0], [0], ids_of(text + " a")]
+    assert [list(x) for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
 
 
 def test_ids_of_odd_texts():
     for text in ODD:
-        assert list(K.part_ids(PATH).of(text)) == ids_of(text)[:-1]
+        assert list(K.part_ids(PATH, 0).of([text])[0]) == ids_of(text)
+
+
+def test_forgetting_changes_no_ids(monkeypatch):
+    monkeypatch.setattr(K, "CACHED_PARTS", 3)
+    parts = K.PartIds(PATH, 0)
+    for text in ODD + ["one two three four", "one two " * 3, "x" * 100]:
+        assert list(parts.of([text])[0]) == ids_of(text)
+
+
+def test_texts_in_batches(monkeypatch):
+    monkeypatch.setattr(K, "BATCH_CHARS", 5)
+    texts = ["abc", None, "a long text of its own", "", "ab", "abcd", "x"]
+    cuts = list(K._some(texts))
+    assert [t for c in cuts for t in texts[c]] == texts and len(cuts) > 2 and list(K._some([])) == []
 
 
 def brute_fit(columns, b):
