@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.base import bounded, id_key, stored, table
 from tagloom.llm.decontaminate import decontaminate
-from tagloom.llm.language_id import identify_language
+from tagloom.llm.language_id import UNKNOWN, identify_language
 from tagloom.llm.mixing import mixed_sources
 from tagloom.llm.near_dedup import first_of_each_class
 from tagloom.llm.secrets import MOST_TEXTS, scan_secrets
@@ -23,10 +23,13 @@ SECRET = "[SECRET]"
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that can have no language: null texts and texts without a letter.
 
-    That is the whole rule. It holds with labels or without; which language is predicted rejects no document.
+    That is the whole rule for rejecting: it holds with labels or without, and which language is predicted rejects no
+    document. A document without a label takes the predicted language, if one was learned.
     """
     labelled = docs.filter("lang is not null and text is not null").select("text", "lang")
-    return identify_language(docs, labelled).filter("has_letter").select(*COLUMNS)
+    found = identify_language(docs.select(*COLUMNS), labelled).filter("has_letter")
+    learned = F.when(F.col("lang_pred") != UNKNOWN, F.col("lang_pred"))
+    return found.withColumn("lang", F.coalesce("lang", learned)).select(*COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +54,7 @@ def redacted(text: str, spans: str) -> Column:
 
 def without_live_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets that few unequal texts or a single source have; widely copied examples stay, and so do all documents."""
+    docs = docs.select(*COLUMNS)  # an input may have columns of any other names
     live = scan_secrets(docs, most_texts=MOST_TEXTS).select(id_key("doc_id").alias("k"), "text_key", F.filter("spans", lambda s: s["live"]).alias("live"))
     live = bounded(live.filter(F.size("live") > 0).dropDuplicates(["k", "text_key"]), BROADCAST_SECRETS, "live")
     rows = docs.withColumn("k", id_key("doc_id")).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))).join(live, ["k", "text_key"], "left")
