@@ -66,8 +66,25 @@ def test_documents_without_labels(spark, frame, tmp_path):
     assert {r.doc_id for r in cp.mixed_by_source(spark, docs, "").collect()} <= {1, 2}
 
 
+def test_prediction_fills_missing_labels(spark, frame):
+    docs = frame((1, "the cat and the dog and the bird", "a", "en"), (2, "le chat et le chien et la souris", "a", "fr"), (3, "le chien et le chat", "a"), (4, "the dog and the cat", "a"), (5, "12", "a"))
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") < 3, F.col("lang")))
+    assert sorted((r.doc_id, r.lang) for r in cp.known_language(spark, docs, "").collect()) == [(1, "en"), (2, "fr"), (3, "fr"), (4, "en")]
+
+
+def test_columns_of_any_names(spark, frame, tmp_path):
+    spark.createDataFrame([(1, "x", 0)], "item_id long, text string, words int").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = frame((1, "some words and token=Zk3Jq9Xw2Lm8Pv5Tn7Rb", "a"), (2, "other words here", "b"))
+    for name in ("live", "k", "text_key", "lang_pred", "class_id", "copies", "size", "spans", "row", "n_hit", "has_letter", "target"):
+        docs = docs.withColumn(name, F.lit(7))
+    for _, stage in cp.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == list(cp.COLUMNS) and {r.doc_id for r in out.collect()} == {1, 2}
+    assert {r.doc_id for r in cp.mixed_by_source(spark, docs, str(tmp_path)).collect()} <= {1, 2}
+
+
 def test_all_are_registered():
     import __spark_entry__ as entry
 
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES} and set(ORACLES) <= set(QUERIES)
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES} and set(ORACLES) <= set(QUERIES)
     assert "pipeline" in entry.queries() and set(QUERIES) <= set(entry.queries())
