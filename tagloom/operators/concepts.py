@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from tagloom.functions.hashing import hash_key
 from tagloom.functions.vectors import l2_normalize
 from tagloom.operators import splits
 from tagloom.operators.ordered import join_null_safe
+from tagloom.operators.tags import top_per_group
 from tagloom.operators.vectors import matrix, mean_vector
 
 # Acceptance of a single run, of a concept, and the alignment threshold of a score.
@@ -22,27 +26,34 @@ ALIGNED = 0.1
 MAX_CONCEPTS = 10_000
 MAX_GROUP = 4_000
 ROWS_PER_TASK = 20_000
+BETWEEN = "\x01"  # between a category and a concept in one name
 
 
 def train_cav(df: DataFrame, vec: str, y: str, c: float = 0.1, max_iter: int = 30) -> DataFrame:
     """Unit normal of a class-balanced linear SVM over any number of rows, trained on the cluster.
 
-    One row: ``(cav, intercept, accuracy)`` with the accuracy on the rows given.
+    One row: ``(cav, intercept, accuracy, converged)`` with the accuracy on the rows given; ``converged`` is false if the
+    solver used up ``max_iter``. Rows without a vector or a class (1 or 0) are left out. Rows of a single class, or none,
+    have no plane between them: all columns are NULL.
     """
     from pyspark.ml.classification import LinearSVC
     from pyspark.ml.functions import array_to_vector
 
-    counts = {r[y]: r["count"] for r in df.groupBy(y).count().collect()}  # two classes
+    rows = df.where(F.col(vec).isNotNull() & F.col(y).isin(0, 1))
+    counts = {int(r[y]): r["count"] for r in rows.groupBy(y).count().collect()}  # two classes
+    if len(counts) < 2:
+        return df.sparkSession.createDataFrame([(None, None, None, None)], "cav array<double>, intercept double, accuracy double, converged boolean")
     n = sum(counts.values())
     weight = F.when(F.col(y) == 1, n / (2.0 * counts[1])).otherwise(n / (2.0 * counts[0]))
-    x = df.select(array_to_vector(l2_normalize(vec)).alias("features"), F.col(y).cast("double").alias("label"), weight.alias("w"))
+    x = rows.select(array_to_vector(l2_normalize(vec)).alias("features"), F.col(y).cast("double").alias("label"), weight.alias("w"))
     x = x.coalesce(n // ROWS_PER_TASK + 1)  # every step is a pass over all tasks
     svm = LinearSVC(maxIter=max_iter, tol=1e-4, regParam=1.0 / (c * n), standardization=False, weightCol="w")
     model = svm.fit(x)
     coef = np.asarray(model.coefficients.toArray())
     unit = coef / (np.linalg.norm(coef) + 1e-8)
     right = model.transform(x).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
-    return right.select(F.lit([float(v) for v in unit]).alias("cav"), F.lit(float(model.intercept)).alias("intercept"), "accuracy")
+    done = model.summary().totalIterations < max_iter
+    return right.select(F.lit([float(v) for v in unit]).alias("cav"), F.lit(float(model.intercept)).alias("intercept"), "accuracy", F.lit(done).alias("converged"))
 
 
 def largest_eigenvalue(gram: np.ndarray, steps: int = 100) -> float:
@@ -83,33 +94,51 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float, steps: int = 1000, bias: flo
     return w
 
 
-def train_cavs(concepts: DataFrame, random: DataFrame, runs: int, test: float = 0.2, c: float = 0.1, max_rows: int = MAX_GROUP) -> DataFrame:
+def fit_means(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the plane halfway between the means of both classes; the last one is the intercept."""
+    a, b = x[y > 0].mean(axis=0), x[y < 0].mean(axis=0)
+    return np.append(a - b, -(a - b) @ (a + b) / 2)
+
+
+def train_cavs(
+    concepts: DataFrame, random: DataFrame, runs: int, test: float = 0.2, c: float = 0.1, max_rows: int = MAX_GROUP, method: str = "svm"
+) -> DataFrame:
     """``(concept, run, cav, accuracy)``: repeated stratified fits of every concept against the random set.
 
     ``concepts`` is ``(concept, id, vec)`` with a fixed number of samples per concept, ``random`` is
     ``(id, vec)``. Both come from the samplers, so a fit sees a bounded number of rows, ``max_rows`` at most: its
-    solver holds a matrix of rows by rows. Larger sets belong to :func:`train_cav`.
+    solver holds a matrix of rows by rows. Larger sets belong to :func:`train_cav`. ``method`` is ``svm``, on features
+    scaled by quartiles and to unit length, or ``means``, the difference of the class means on the features as they
+    are. A fit without rows of both classes to train on has accuracy 0 and a vector of zeros.
     """
     names = concepts.select("concept").distinct().withColumn("_all", F.lit(1))
     # every concept meets the whole random set: one side has a row per concept, the other a bounded sample
     packed = random.groupBy().agg(F.collect_list(F.struct("id", "vec")).alias("sample"))
     against = names.withColumn("sample", packed.select("sample").scalar()).select("concept", F.inline("sample"), F.lit(0).alias("y"))
     rows = concepts.select("concept", "id", "vec", F.lit(1).alias("y")).unionByName(against)
-    parts = splits.repeated_splits(rows, "id", runs, test, ["concept", "y"])
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    parts = parts.repartition(max(cores, 200), "concept", "run")  # fits are costly, their rows few
+    many = rows.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    held = splits.held_per_stratum(many, test, ["concept", "y"], ["run"])
+    # a fit sees all rows of its strata, so it ranks them itself, by the same keys as a split of a table
+    parts = join_null_safe(many.withColumn("key", hash_key("run", F.col("run"), F.col("concept"), F.col("y"), F.col("id"))), held, ["run", "concept", "y"])
 
     def fit(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
         if len(d) > max_rows:
             raise ValueError(f"more than {max_rows} rows in a fit: use train_cav")
+        d = d.sort_values(["y", "key", "id"])
         x, y = np.stack(d["vec"].to_list()).astype(float), np.where(d["y"].to_numpy() == 1, 1.0, -1.0)
-        train = (d["split"] == "train").to_numpy()
-        q1, mid, q3 = np.quantile(x[train], [0.25, 0.5, 0.75], axis=0)
-        scale = np.where(q3 - q1 == 0, 1.0, q3 - q1)
-        x = (x - mid) / scale
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-        w = fit_svm(x[train], y[train], c)
+        side = d.groupby("y")["key"]
+        train = (side.cumcount() < side.transform("size") - d["held"]).to_numpy()
+        if len(set(y[train])) < 2:
+            return pd.DataFrame({"concept": [key[0]], "run": [key[1]], "cav": [np.zeros(x.shape[1])], "accuracy": [0.0]})
+        if method == "means":
+            w = fit_means(x[train], y[train])
+        else:
+            q1, mid, q3 = np.quantile(x[train], [0.25, 0.5, 0.75], axis=0)
+            scale = np.where(q3 - q1 == 0, 1.0, q3 - q1)
+            x = (x - mid) / scale
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+            w = fit_svm(x[train], y[train], c)
         held = ~train
         hit = np.where(x[held] @ w[:-1] + w[-1] > 0, 1.0, -1.0) == y[held]
         cav = w[:-1] / (np.linalg.norm(w[:-1]) + 1e-8)
@@ -138,28 +167,50 @@ def concept_gate(aggregated: DataFrame, found: DataFrame, n_samples: int, min_ac
     return aggregated.join(found, "concept").where((F.col("n") >= n_samples) & (F.col("accuracy") >= min_accuracy))
 
 
-def _cav_matrix(cavs: DataFrame, most: int) -> tuple[list, np.ndarray]:
-    rows = cavs.where(F.col("cav").isNotNull()).select("concept", "cav").limit(most + 1).toArrow()
-    if rows.num_rows > most:
-        raise ValueError(f"more than {most} concept vectors: raise max_concepts if they fit in a task")
-    return rows.column("concept").to_pylist(), matrix(rows.column("cav").combine_chunks())
+def _with_cavs(rows: DataFrame, keep: Sequence[Column], cavs: DataFrame, block: int, blocks: int, most: int) -> DataFrame:
+    """The rows with a column of all ``(concept, cav)`` of a block, filled in the first row of every task only.
+
+    The vectors are a scalar subquery, found when the query runs. More than ``most`` of them in a block fail.
+    """
+    mine = cavs.where(F.col("cav").isNotNull() & (F.pmod(F.xxhash64("concept"), F.lit(blocks)) == block)).limit(most + 1)
+    packed = mine.groupBy().agg(F.collect_list(F.struct("concept", F.col("cav").cast("array<double>").alias("cav"))).alias("m"))
+    fits = F.when(F.size("m") > most, F.raise_error(F.lit(f"more than {most} concept vectors in a block: ask for more blocks"))).otherwise(F.col("m"))
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    return rows.select(*keep, F.when(first, packed.select(fits.alias("m")).scalar()).alias("_cavs"))
+
+
+class _Cavs:
+    """The concepts and their vectors as a matrix, once the first row of a task has come by."""
+
+    def __init__(self):
+        self.names, self.vectors = pa.nulls(0), None
 
+    def seen(self, column: pa.Array) -> bool:
+        if self.vectors is None and column[0].is_valid:
+            entries = column[0].values
+            self.names = entries.field("concept")
+            self.vectors = matrix(entries.field("cav")) if len(entries) else None
+        return self.vectors is not None
 
-def tcav_scores(acts: DataFrame, cavs: DataFrame, vec: str, cls: str, threshold: float = ALIGNED, max_concepts: int = MAX_CONCEPTS) -> DataFrame:
+
+def tcav_scores(
+    acts: DataFrame, cavs: DataFrame, vec: str, cls: str, threshold: float = ALIGNED, max_concepts: int = MAX_CONCEPTS, blocks: int = 1
+) -> DataFrame:
     """``(concept, class, n, score)``: share of activations aligned with each concept vector.
 
-    The few concept vectors travel with the task as one matrix; a task ships two counts per concept and class.
+    The concept vectors travel with the task as one matrix; a task ships two counts per concept and class. Nothing
+    runs before the result is asked for. More concepts than fit in a task are dealt to ``blocks``, each a pass over
+    the activations.
     """
-    names, c = _cav_matrix(cavs, max_concepts)
-    c = c / (np.linalg.norm(c, axis=1, keepdims=True) + 1e-8)
     name_type, cls_type = cavs.schema["concept"].dataType, acts.schema[cls].dataType
+    arrow = pa.schema([("concept", to_arrow_type(name_type)), ("class", to_arrow_type(cls_type)), ("n", pa.int64()), ("hits", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits: dict = {}
-        totals: dict = {}
+        known, hits, totals = _Cavs(), {}, {}
         for batch in batches:
-            if not batch.num_rows:
+            if not batch.num_rows or not known.seen(batch.column(2)):
                 continue
+            c = known.vectors / (np.linalg.norm(known.vectors, axis=1, keepdims=True) + 1e-8)
             x = matrix(batch.column(1))
             norm = np.linalg.norm(x, axis=1, keepdims=True)
             x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
@@ -169,36 +220,63 @@ def tcav_scores(acts: DataFrame, cavs: DataFrame, vec: str, cls: str, threshold:
                 mine = keys == k
                 hits[k] = hits.get(k, 0) + aligned[mine].sum(axis=0)
                 totals[k] = totals.get(k, 0) + int(mine.sum())
-        out = [(n, k, totals[k], int(hits[k][i])) for k in totals for i, n in enumerate(names)]
-        cols = list(zip(*out)) if out else [[], [], [], []]
-        yield pa.RecordBatch.from_pydict({"concept": list(cols[0]), "class": list(cols[1]), "n": list(cols[2]), "hits": list(cols[3])}, schema=arrow)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrow = pa.schema([("concept", to_arrow_type(name_type)), ("class", to_arrow_type(cls_type)), ("n", pa.int64()), ("hits", pa.int64())])
-    parts = acts.select(cls, F.col(vec).cast("array<double>")).mapInArrow(
-        count, f"concept {name_type.simpleString()}, class {cls_type.simpleString()}, n bigint, hits bigint"
-    )
-    sums = parts.groupBy("concept", "class").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+        for k, n in totals.items():
+            size = len(known.names)
+            yield pa.RecordBatch.from_arrays([known.names, pa.array([k] * size, arrow.field("class").type), pa.array([n] * size), pa.array(hits[k])], schema=arrow)
+
+    schema = f"concept {name_type.simpleString()}, class {cls_type.simpleString()}, n bigint, hits bigint"
+    keep = [F.col(cls), F.col(vec).cast("array<double>").alias("_x")]
+    parts = [_with_cavs(acts, keep, cavs, b, blocks, max_concepts).mapInArrow(count, schema) for b in range(blocks)]
+    sums = reduce(DataFrame.unionByName, parts).groupBy("concept", "class").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
     return sums.select("concept", "class", "n", (F.col("hits") / F.col("n")).alias("score"))
 
 
-def directional_derivative(grads: DataFrame, cavs: DataFrame, id_col: str, grad: str, max_concepts: int = MAX_CONCEPTS) -> DataFrame:
-    """``(id, concept, derivative)``: gradient times concept vector."""
-    names, c = _cav_matrix(cavs, max_concepts)
+def directional_derivative(grads: DataFrame, cavs: DataFrame, id_col: str, grad: str, max_concepts: int = MAX_CONCEPTS, blocks: int = 1) -> DataFrame:
+    """``(id, concept, derivative)``: gradient times concept vector; blocks as in :func:`tcav_scores`."""
     id_type, name_type = grads.schema[id_col].dataType, cavs.schema["concept"].dataType
 
     def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Cavs()
         for batch in batches:
-            if not batch.num_rows:
+            if not batch.num_rows or not known.seen(batch.column(2)):
                 continue
-            d = matrix(batch.column(1)) @ c.T
-            ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), len(names))))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(names * batch.num_rows), pa.array(d.ravel())], names=["id", "concept", "derivative"])
-
-    return grads.select(id_col, F.col(grad).cast("array<double>")).mapInArrow(
-        dot, f"id {id_type.simpleString()}, concept {name_type.simpleString()}, derivative double"
-    )
+            size = len(known.names)
+            d = matrix(batch.column(1)) @ known.vectors.T
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), size)))
+            names = known.names.take(pa.array(np.tile(np.arange(size), batch.num_rows)))
+            yield pa.RecordBatch.from_arrays([ids, names, pa.array(d.ravel())], names=["id", "concept", "derivative"])
+
+    schema = f"id {id_type.simpleString()}, concept {name_type.simpleString()}, derivative double"
+    keep = [F.col(id_col), F.col(grad).cast("array<double>").alias("_x")]
+    parts = [_with_cavs(grads, keep, cavs, b, blocks, max_concepts).mapInArrow(dot, schema) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def concept_analysis(
+    tagged: DataFrame, vectors: DataFrame, top: int = 15, n_samples: int = 50, n_random: int = 150, runs: int = 40, seed=0,
+    min_accuracy: float = MIN_CONCEPT_ACCURACY, method: str = "svm",
+) -> DataFrame:
+    """``(category, concept, cav_accuracy, genre, n, score)``: which genres a concept points to, from start to end.
+
+    ``tagged`` is ``(id, category, concept)``, ``vectors`` is ``(id, genre, vec)`` with one row for each id. The ``top``
+    concepts of every category by frequency are taken, their first ``n_samples`` rows by id, and ``n_random`` rows of
+    all; a vector is fitted in each of ``runs`` splits, concepts with enough rows and a mean accuracy of at least
+    ``min_accuracy`` stay, and each is scored on all rows of every genre.
+    """
+    counts = tagged.groupBy("category", "concept").agg(F.count("*").alias("n"))
+    chosen = top_per_group(counts, ["category"], [F.desc("n"), F.col("concept")], top).select("category", "concept", "n")
+    # one name for both parts; a row for each chosen concept, their number is that of the categories times ``top``
+    whole = F.concat(F.col("category"), F.lit(BETWEEN), F.col("concept")).alias("concept")
+    rows = tagged.join(F.broadcast(chosen.select("category", "concept")), ["category", "concept"]).select(whole, "id")
+    samples = top_per_group(rows, ["concept"], [F.col("id")], n_samples).select("concept", "id").join(vectors.select("id", "vec"), "id")
+    samples = samples.select("concept", F.concat(F.lit("c"), F.col("id").cast("string")).alias("id"), "vec")
+    random = splits.sample_n(vectors.select("id", "vec"), "id", n_random, seed).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("id"), "vec")
+    fitted = aggregate_cavs(train_cavs(samples, random, runs, method=method))
+    passed = concept_gate(fitted, chosen.select(whole, "n"), n_samples, min_accuracy)
+    # the accuracy goes along in the name, so that the vectors are fitted once
+    out = tcav_scores(vectors, passed.select(F.struct("concept", "accuracy").alias("concept"), "cav"), "vec", "genre")
+    name = F.split("concept.concept", BETWEEN, 2)
+    return out.select(name[0].alias("category"), name[1].alias("concept"), F.col("concept.accuracy").alias("cav_accuracy"), F.col("class").alias("genre"), "n", "score")
 
 
 def score_matrix(scores: DataFrame, genres: Sequence[str]) -> DataFrame:
@@ -208,10 +286,9 @@ def score_matrix(scores: DataFrame, genres: Sequence[str]) -> DataFrame:
 
 
 def nested_results(scores: DataFrame, accuracy: Column) -> DataFrame:
-    """The published JSON: category, concept, then accuracy and scores per genre; one row per category."""
+    """The published JSON, a line for each concept: category, concept, then accuracy and scores per genre. A reader
+    that merges the lines of a category has the nested object; no category is gathered in one row."""
     per_concept = scores.groupBy("category", "concept").agg(
         F.max(accuracy).alias("cav_accuracy"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("genre", "score")))).alias("genre_scores")
     )
-    entry = F.struct(F.col("concept").alias("key"), F.struct("cav_accuracy", "genre_scores").alias("value"))
-    per_cat = per_concept.groupBy("category").agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
-    return per_cat.select(F.to_json(F.create_map("category", "m")).alias("json"))
+    return per_concept.select(F.to_json(F.create_map("category", F.create_map("concept", F.struct("cav_accuracy", "genre_scores")))).alias("json"))

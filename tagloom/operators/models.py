@@ -60,14 +60,20 @@ def reconstruct(df: DataFrame, keys: Sequence[str], x: str, w: Weights) -> DataF
 
 def decode_grid(
     df: DataFrame, keys: Sequence[str], z: str, seeds: str, w: Weights, temperatures: Sequence[float], threshold: float,
-    ranges: Sequence[tuple[int, int]], min_categories: int, apply_sigmoid: int = 2,
+    ranges: Sequence[tuple[int, int]], min_categories: int, apply_sigmoid: int = 2, free: Sequence[float] = (),
 ) -> DataFrame:
-    """``(keys..., slot, temperature, idx)``: positions at or above the threshold, or seeded, at every temperature.
+    """``(keys..., seeded, temperature, slots, idx)``: positions at or above the threshold, or seeded, at every
+    temperature, and at those of ``free`` without the seeds.
 
-    Sets that touch fewer than ``min_categories`` of the index ranges are left out before they leave the task.
+    A temperature that is listed several times is decoded once; ``slots`` are its places in the list, those of ``free``
+    counted on from the end of the first. Sets that touch fewer than ``min_categories`` of the index ranges are left
+    out before they leave the task.
     """
     keys = list(keys)
-    schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + ["slot int", "temperature double", "idx array<int>"])
+    lead = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+    wanted: dict[tuple[bool, float], list[int]] = {}
+    for slot, (with_seeds, t) in enumerate([(True, float(t)) for t in temperatures] + [(False, float(t)) for t in free]):
+        wanted.setdefault((with_seeds, t), []).append(slot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,18 +86,19 @@ def decode_grid(
             forced = np.zeros(raw.shape, dtype=bool)
             sizes = np.diff(lists.offsets.to_numpy())
             forced[np.repeat(np.arange(n), sizes), lists.flatten().to_numpy(zero_copy_only=False)] = True
-            for slot, t in enumerate(temperatures):
-                on = (_sigmoid(raw / t) >= threshold) | forced
+            for (with_seeds, t), slots in wanted.items():
+                on = _sigmoid(raw / t) >= threshold
+                on = on | forced if with_seeds else on
                 touched = sum(on[:, lo:hi].any(axis=1).astype(int) for lo, hi in ranges)
                 rows = np.nonzero(touched >= min_categories)[0]
                 on = on[rows]
                 offsets = np.concatenate([[0], on.sum(axis=1).cumsum()]).astype(np.int32)
                 idx = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(on)[1].astype(np.int32)))
-                take = pa.array(rows)
-                cols = [batch.column(i).take(take) for i in range(len(keys))]
-                cols += [pa.array([slot] * len(rows), pa.int32()), pa.array([float(t)] * len(rows), pa.float64()), idx]
-                yield pa.RecordBatch.from_arrays(cols, names=[*keys, "slot", "temperature", "idx"])
+                cols = [batch.column(i).take(pa.array(rows)) for i in range(len(keys))]
+                cols += [pa.array([with_seeds] * len(rows), pa.bool_()), pa.array([t] * len(rows), pa.float64()), pa.array([slots] * len(rows), pa.list_(pa.int32())), idx]
+                yield pa.RecordBatch.from_arrays(cols, names=[*keys, "seeded", "temperature", "slots", "idx"])
 
+    schema = f"{lead}seeded boolean, temperature double, slots array<int>, idx array<int>"
     return df.select(*keys, F.col(z).cast("array<double>"), F.col(seeds).cast("array<int>")).mapInArrow(run, schema)
 
 
@@ -114,10 +121,9 @@ def generate_tag_sets(
     for category, _, _, _, idx in tax.rows:
         spans.setdefault(category, [idx, idx])[1] = idx + 1
     ranges = [(lo, hi) for lo, hi in spans.values()]
-    rest = (threshold, ranges, min_categories)
-    seeded = decode_grid(base, ["id", "original"], "z", "seed_idx", w, temperatures, *rest)
-    free = base.select("id", F.lit("[]").alias("original"), "z", F.array().cast("array<int>").alias("seed_idx"))
-    prior = decode_grid(free, ["id", "original"], "z", "seed_idx", w, [temperatures[-1]] * len(temperatures), *rest)
-    both = seeded.unionByName(prior.withColumn("slot", F.col("slot") + len(temperatures)))
-    key = F.md5(F.concat_ws("_", F.col("id").cast("string"), "original", F.col("temperature").cast("string")))
-    return both.select("id", "slot", "temperature", "idx", F.array_sort(tax.decode("idx")).alias("aspect_list"), key.alias("key"))
+    free = [temperatures[-1]] * len(temperatures)
+    sets = decode_grid(base, ["id", "original"], "z", "seed_idx", w, temperatures, threshold, ranges, min_categories, free=free)
+    original = F.when(F.col("seeded"), F.col("original")).otherwise(F.lit("[]"))
+    key = F.md5(F.concat_ws("_", F.col("id").cast("string"), original, F.col("temperature").cast("string")))
+    sets = sets.select("id", "slots", "temperature", "idx", F.array_sort(tax.decode("idx")).alias("aspect_list"), key.alias("key"))
+    return sets.select("id", F.explode("slots").alias("slot"), "temperature", "idx", "aspect_list", "key")

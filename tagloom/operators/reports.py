@@ -60,6 +60,19 @@ def text_metric_report(pairs: DataFrame, metrics: Sequence[dict], extra: dict[st
     return reduce(DataFrame.unionByName, parts)
 
 
+def quality_metrics(rows: DataFrame, split: str, columns: Sequence[str]) -> DataFrame:
+    """``(split, name, value)``: mean, standard deviation and extremes of the finite values of each column in a split.
+
+    Names are ``split/column_statistic``. A column without a finite value in a split has no rows there, and the lists
+    of the rows themselves are left out.
+    """
+    statistics = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
+    finite = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double"))
+    found = rows.groupBy(split).agg(*[fn(finite(c)).alias(f"{c}_{name}") for c in columns for name, fn in statistics.items()])
+    pairs = F.array(*[F.struct(F.concat_ws("/", split, F.lit(f"{c}_{name}")).alias("name"), F.col(f"{c}_{name}").alias("value")) for c in columns for name in statistics])
+    return found.select(split, F.inline(pairs)).where("value is not null")
+
+
 def _quoted(text: Column) -> Column:
     """A JSON string."""
     inside = F.to_json(F.array(text))

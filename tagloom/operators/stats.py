@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tagloom.operators.moments import key_types
+from tagloom.operators.moments import key_types, padded
 from tagloom.operators.ordered import SMALL_ROWS, checked_small, join_null_safe
 from tagloom.operators.taxonomy import Taxonomy
 
@@ -195,6 +196,12 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     cells = seen.withColumn("zone", zone).groupBy(*by, "p", "n", "zone", F.when(F.col("zone") == 0, v).alias("at")).agg(
         F.count("*").alias("c"), F.min("v").alias("first"), F.max("v").alias("last")
     )
+    return _interpolated(cells, by)
+
+
+def _interpolated(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``(by..., p, value)`` from counts ``c`` of n values: those below and above a bracket together (zone -1 and 1), those
+    in it (zone 0) one by one at their value."""
     order = W.partitionBy(*by, "p").orderBy("zone", "at")
     cells = cells.withColumn("upto", F.sum("c").over(order))
     rank = F.col("p") * (F.col("n") - 1)
@@ -208,6 +215,58 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     return out.select(*by, "p", (F.col("x0") + F.col("f") * (F.col("x1") - F.col("x0"))).alias("value"))
 
 
+def vector_quantiles(df: DataFrame, vec: str, probs: Sequence[float], accuracy: int = 2_000) -> DataFrame:
+    """``(dim, p, value)``: exact interpolated quantiles of every dimension; NULL and NaN elements do not count.
+
+    As :func:`exact_quantiles`, but no element becomes a row: a sketch for each dimension brackets its quantiles, in
+    one aggregate; then a task compares whole batches with the brackets and sends, for each dimension and quantile,
+    two counts and the values inside. The number of dimensions is taken from the longest vector.
+    """
+    slack = 2.0 / accuracy
+    edges = [e for p in probs for e in (max(0.0, p - slack), min(1.0, p + slack))]
+    width = df.agg(F.max(F.size(vec))).first()[0] or 0
+    number = lambda x: F.when(~F.isnan(x), x)
+    at = lambda i: number(F.get(F.col(vec), F.lit(i)).cast("double"))
+    sketch = [F.percentile_approx(at(i), F.lit(np.array(edges)), F.lit(accuracy)).alias(f"d{i}") for i in range(width)]
+    brackets = df.agg(*sketch).select(F.array(*[f"d{i}" for i in range(width)]).alias("b")) if width else None
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    schema = "dim int, p double, zone int, at double, c bigint, first double, last double"
+    if brackets is None:
+        return df.sparkSession.createDataFrame([], "dim int, p double, value double")
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = high = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if low is None:
+                ends = [e if e else [math.nan] * len(edges) for e in batch.column(1)[0].as_py()]
+                low, high = np.array(ends, float)[:, 0::2], np.array(ends, float)[:, 1::2]
+            x, there = padded(batch.column(0))
+            there &= ~np.isnan(x)
+            for d in range(x.shape[1]):
+                v = np.sort(x[there[:, d], d])
+                if not len(v):
+                    continue
+                for q, p in enumerate(probs):
+                    a, b = np.searchsorted(v, low[d, q], "left"), np.searchsorted(v, high[d, q], "right")
+                    value, count = np.unique(v[a:b], return_counts=True)
+                    rows = [(-1, None, a, v[0], v[a - 1])] if a else []
+                    rows += [(0, w, c, w, w) for w, c in zip(value.tolist(), count.tolist())]
+                    rows += [(1, None, len(v) - b, v[b], v[-1])] if b < len(v) else []
+                    zone, spot, c, least, most = zip(*rows)
+                    size = len(rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([d] * size, pa.int32()), pa.array([float(p)] * size), pa.array(zone, pa.int32()), pa.array(spot, pa.float64()), pa.array(c, pa.int64()), pa.array(least, pa.float64()), pa.array(most, pa.float64())],
+                        names=["dim", "p", "zone", "at", "c", "first", "last"],
+                    )
+
+    rows = df.where(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>"), F.when(first, brackets.scalar()).alias("_b"))
+    cells = rows.mapInArrow(inside, schema).groupBy("dim", "p", "zone", "at").agg(F.sum("c").alias("c"), F.min("first").alias("first"), F.max("last").alias("last"))
+    cells = cells.withColumn("n", F.sum("c").over(W.partitionBy("dim", "p")))
+    return _interpolated(cells, ["dim"])
+
+
 def dataset_profile(df: DataFrame, id_col: str, temperature_col: str) -> DataFrame:
     """Row count, distinct temperatures and the first row by id, as ``sample``. Temperatures are a setting with few values."""
     return df.agg(

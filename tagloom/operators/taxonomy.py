@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -55,8 +57,7 @@ class Taxonomy:
         return [r[2] for r in self.rows if category is None or r[0] == category]
 
     def tags_column(self, category: str | None = None) -> Column:
-        names = self.tags(category)
-        return F.array(*[F.lit(t) for t in names]) if names else F.array().cast("array<string>")
+        return _constant([_quoted(t) for t in self.tags(category)], "string")
 
     def ranges(self) -> DataFrame:
         """Half-open index range of every category."""
@@ -70,13 +71,19 @@ class Taxonomy:
         return df.join(F.broadcast(dim), tag_col, how)
 
     def encode(self, df: DataFrame, tags_col: str, normalize_case: bool = False) -> DataFrame:
-        """Add ``tag_idx``: the sorted taxonomy positions of the row's known tags, without a shuffle."""
-        tags = F.col(tags_col)
-        if normalize_case:
-            tags = F.transform(tags, F.lower)
-        known = F.array_intersect(self.tags_column(), tags)
-        index = F.create_map(*[F.lit(x) for r in self.rows for x in (r[2], r[4])])
-        return df.withColumn("tag_idx", F.transform(known, lambda t: F.element_at(index, t)))
+        """Add ``tag_idx``: the sorted taxonomy positions of the row's known tags, without a shuffle.
+
+        The dimension is one constant, tags dealt to buckets by their CRC; a tag is compared with those of its bucket.
+        """
+        buckets: list[list[str]] = [[] for _ in range(max(1, self.size))]
+        for _, _, tag, _, idx in self.rows:
+            buckets[zlib.crc32(tag.encode()) % len(buckets)].append(f"named_struct('t', {_quoted(tag)}, 'i', {int(idx)})")
+        kind = "struct<t:string,i:int>"
+        index = F.expr("array(" + ", ".join(f"CAST(array({', '.join(b)}) AS array<{kind}>)" for b in buckets) + ")")
+        own = (lambda t: F.lower(t)) if normalize_case else (lambda t: t)
+        near = lambda t: F.get(index, F.pmod(F.crc32(t.cast("binary")), F.lit(len(buckets))).cast("int"))
+        found = lambda t: F.transform(F.filter(F.coalesce(near(own(t)), F.array().cast(f"array<{kind}>")), lambda e: e["t"] == own(t)), lambda e: e["i"])
+        return df.withColumn("tag_idx", F.array_sort(F.array_distinct(F.flatten(F.transform(F.col(tags_col), found)))))
 
     def decode(self, idx_col) -> Column:
         names = self.tags_column()
@@ -90,6 +97,16 @@ class Taxonomy:
         )
 
 
+def _quoted(text: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _constant(items: Sequence[str], kind: str) -> Column:
+    """An array of SQL literals as one expression, which the optimizer folds to one constant."""
+    return F.expr(f"CAST(array({', '.join(items)}) AS array<{kind}>)")
+
+
 def explode_taxonomy_json(df: DataFrame, json_col: str) -> DataFrame:
     """``(category, cat_pos, tag, tag_pos)`` of a JSON object column, in the order of the text."""
     parsed = F.from_json(F.col(json_col), "map<string,array<string>>")

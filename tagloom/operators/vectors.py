@@ -159,10 +159,9 @@ def silhouette(df: DataFrame, id_col: str, vec: str, label: str, block_rows: int
 
 def robust_scale(df: DataFrame, id_col: str, vec: str) -> DataFrame:
     """Subtract the median and divide by the interquartile range of every dimension; a flat one is only centred."""
-    from tagloom.operators.stats import exact_quantiles
+    from tagloom.operators.stats import vector_quantiles
 
-    long = df.select(F.posexplode(F.col(vec).cast("array<double>")).alias("dim", "x"))
-    q = exact_quantiles(long, "x", [0.25, 0.5, 0.75], ["dim"])
+    q = vector_quantiles(df, vec, [0.25, 0.5, 0.75])
     at = lambda p: F.max(F.when(F.col("p") == p, F.col("value")))
     per_dim = q.groupBy("dim").agg(at(0.5).alias("m"), (at(0.75) - at(0.25)).alias("r"))
     dims = per_dim.agg(F.array_sort(F.collect_list(F.struct("dim", "m", F.when(F.col("r") != 0, F.col("r")).otherwise(F.lit(1.0)).alias("r")))).alias("d"))

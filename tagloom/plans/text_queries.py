@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from tagloom.functions import text as X
 from tagloom.functions import tokens as K
 from tagloom.functions.hashing import hash_uniform
+from tagloom.operators import runs as R
+from tagloom.operators import sets as J
 from tagloom.operators import textmetrics as M
 from tagloom.plans.registry import ORACLES, query
 from tagloom.plans.stat_queries import rounded
+from tagloom.session import scratch_path
+from tagloom.sources import documents as JS
 from tagloom.plans.views import (
     captions, doc_tokens, embeddings, judge_replies, sql_words, table, text_pairs, with_views, WS,
 )
@@ -201,7 +205,29 @@ def rouge_n(spark, sf):
     return rounded(M.rouge_n(text_pairs(spark, sf)), "f1")
 
 
-@query("rouge_l")
+# Whole texts: rows of the table one token of the reference after the other, the running maximum by a window. Sentences:
+# the whole table as a list of rows, then the way back from its end; places are counted from 1.
+LCS_ROW = "[0] || list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(acc[-1][k + 1], acc[-1][k] + (b[k] = e[1][1])::INT))))"
+LCS_SQL = f"""sent AS (SELECT id, [t FOR t IN list_transform(string_split(prediction, {LF}), lambda x: {ROUGE_TOKENS('x')}) IF len(t) > 0] AS ps,
+      [t FOR t IN list_transform(string_split(reference, {LF}), lambda x: {ROUGE_TOKENS('x')}) IF len(t) > 0] AS rs FROM pairs),
+    flat AS (SELECT id, flatten(ps) AS p, flatten(rs) AS r FROM sent),
+    code AS (SELECT id, list_transform(p, lambda x: list_position(p, x)) AS p, list_transform(r, lambda x: coalesce(list_position(p, x), 0)) AS r FROM flat),
+    steps AS (SELECT id, 0 AS i, unnest(range(len(p) + 1)) AS j, 0 AS v FROM code
+      UNION ALL SELECT s.id, s.i + 1, s.j, max(greatest(s.v, coalesce(s.pv, 0) + (s.j > 0 AND c.p[s.j] = c.r[s.i + 1])::INT)) OVER (PARTITION BY s.id ORDER BY s.j)
+      FROM (SELECT *, lag(v) OVER (PARTITION BY id ORDER BY j) AS pv FROM steps) s JOIN code c ON c.id = s.id WHERE s.i < len(c.r)),
+    whole AS (SELECT s.id, s.v AS lcs FROM steps s JOIN code c ON c.id = s.id WHERE s.i = len(c.r) AND s.j = len(c.p)),
+    cut AS (SELECT id, si, list_transform(a, lambda x: list_position(w, x)) AS a, list_transform(b, lambda x: list_position(w, x)) AS b FROM (
+      SELECT s.id, x.si, f.r || f.p AS w, s.rs[x.si] AS a, s.ps[y.sj] AS b FROM sent s JOIN flat f ON f.id = s.id, LATERAL (SELECT unnest(range(1, len(s.rs) + 1)) AS si) x, LATERAL (SELECT unnest(range(1, len(s.ps) + 1)) AS sj) y)),
+    tables AS (SELECT id, si, a, b, list_reduce(list_transform(a, lambda x: [[x]]), lambda acc, e: list_append(acc, {LCS_ROW}), [list_transform(range(len(b) + 1), lambda z: 0::BIGINT)]) AS t FROM cut),
+    back AS (SELECT id, si, a, list_reduce(list_transform(range(len(a) + len(b)), lambda z: [z]), lambda w, e: CASE WHEN w[1] = 0 OR w[2] = 0 THEN w
+      WHEN a[w[1]] = b[w[2]] THEN [w[1] - 1, w[2] - 1] || w[3:] || [w[1]] WHEN t[w[1] + 1][w[2]] > t[w[1]][w[2] + 1] THEN [w[1], w[2] - 1] || w[3:] ELSE [w[1] - 1, w[2]] || w[3:] END, [len(a), len(b)])[3:] AS pos FROM tables),
+    marked AS (SELECT id, tok, count(*) AS c FROM (SELECT DISTINCT b.id, b.si, u.pos, f.w[b.a[u.pos]] AS tok FROM back b JOIN (SELECT id, r || p AS w FROM flat) f ON f.id = b.id, LATERAL (SELECT unnest(b.pos) AS pos) u) GROUP BY 1, 2),
+    held AS (SELECT id, tok, count(*) AS c FROM (SELECT id, unnest(p) AS tok FROM flat) GROUP BY 1, 2),
+    hits AS (SELECT m.id, sum(least(m.c, h.c)) AS h FROM marked m JOIN held h ON h.id = m.id AND h.tok = m.tok GROUP BY 1)"""
+
+
+@query("rouge_l", with_views("pairs", """SELECT round(avg(coalesce(2 * w.lcs / nullif(len(f.p) + len(f.r), 0)::DOUBLE, 0)), 6) AS rouge_l, round(avg(coalesce(2 * h.h / nullif(len(f.p) + len(f.r), 0)::DOUBLE, 0)), 6) AS rouge_lsum
+    FROM flat f LEFT JOIN whole w ON w.id = f.id LEFT JOIN hits h ON h.id = f.id""", LCS_SQL, recursive=True))
 def rouge_l(spark, sf):
     return rounded(M.rouge_l(text_pairs(spark, sf)), "rouge_l", "rouge_lsum")
 
@@ -261,6 +287,17 @@ def mauve_curve(spark, sf):
     return rounded(M.mauve_curve(d, "label", "side"), "x", "y")
 
 
+MAUVE_CURVE = ORACLES["mauve_curve"]
+
+
+@query("mauve_area", f"""SELECT round(0.5::DOUBLE * (sum(ax) + sum(ay)), 5) AS mauve FROM (
+    SELECT (x - lag(x) OVER (ORDER BY x, y DESC)) * (y + lag(y) OVER (ORDER BY x, y DESC)) / 2 AS ax, (y - lag(y) OVER (ORDER BY y, x DESC)) * (x + lag(x) OVER (ORDER BY y, x DESC)) / 2 AS ay FROM ({MAUVE_CURVE}))""")
+def mauve_area(spark, sf):
+    """MAUVE on given clusters."""
+    d = embeddings(spark, sf).select("label", F.when(F.col("id") % 2 == 0, "p").otherwise("q").alias("side"))
+    return M.mauve_from_curve(M.mauve_curve(d, "label", "side")).select(F.round("mauve", 5).alias("mauve"))
+
+
 @query("mauve")
 def mauve(spark, sf):
     d = embeddings(spark, sf).select("vec", F.when(F.col("id") % 2 == 0, "p").otherwise("q").alias("side"))
@@ -289,3 +326,39 @@ def perplexity_stats(spark, sf):
     failed = F.when(F.col("score") > 0.5, F.lit(float("inf"))).otherwise(F.exp("score"))
     out = M.perplexity_stats(model_scores(spark, sf).select(failed.alias("p")), "p")
     return rounded(out, *out.columns)
+
+
+def judged(spark, sf):
+    """Captions with the judge's score and reasoning and their perplexity, joined by id."""
+    d = captions(spark, sf).select("id", "split", "caption")
+    verdicts = judge_replies(spark, sf).select("id", X.parse_judge_score("reply").alias("score"), X.parse_judge_reasoning("reply").alias("reasoning"))
+    surprise = M.perplexity(token_logp(spark, sf), "id", "pos", "logp").select("id", "perplexity")
+    return J.zip_by_id(d, verdicts, surprise)
+
+
+JUDGED = f"""SELECT d.doc_id AS id, d.lang AS split, md5(d.text) AS caption, j.score, j.reasoning, p.perplexity
+    FROM documents d LEFT JOIN ({JUDGE_SQL}) j ON j.id = d.doc_id LEFT JOIN ({ORACLES['perplexity']}) p ON p.id = d.doc_id"""
+
+
+@query("judged_predictions", JUDGED)
+def judged_predictions(spark, sf):
+    path = scratch_path(spark, "judged")
+    rows = judged(spark, sf)
+    rows.write.json(path)
+    back = spark.read.schema(rows.schema).json(path)
+    return back.withColumns({"caption": F.md5("caption"), "perplexity": F.round("perplexity", 6)})
+
+
+@query("quality_metrics", f"""SELECT split, split || '/' || name AS name, round(value, 5) AS value FROM (
+    SELECT split, unnest(['score_mean', 'score_std', 'score_min', 'score_max', 'perplexity_mean', 'perplexity_std', 'perplexity_min', 'perplexity_max']) AS name,
+      unnest([avg(score), stddev_pop(score), min(score), max(score), avg(perplexity), stddev_pop(perplexity), min(perplexity), max(perplexity)]) AS value FROM ({JUDGED}) GROUP BY split) WHERE value IS NOT NULL""")
+def quality_metrics(spark, sf):
+    """A metrics file for each split, written and read back."""
+    from tagloom.operators.reports import quality_metrics as summary
+
+    path = scratch_path(spark, "quality")
+    found = summary(judged(spark, sf), "split", ["score", "perplexity"])
+    files = JS.metrics_json(found, "split", "name", "value")
+    files.write.partitionBy("split").text(path)
+    back = R.flatten_metrics(spark.read.option("wholetext", True).text(path), ["split"], "value")
+    return back.withColumn("value", F.round("value", 5))

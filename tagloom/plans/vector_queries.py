@@ -13,10 +13,13 @@ from tagloom.operators import sets as J
 from tagloom.operators import splits as R
 from tagloom.operators import tags as T
 from tagloom.operators import vectors as O
-from tagloom.plans.registry import query
+from tagloom.plans.registry import ORACLES, query
+from tagloom.plans.split_queries import held
 from tagloom.plans.stat_queries import rounded
 from tagloom.plans.tag_queries import SEED_SQL, TEMPS, joined
-from tagloom.plans.views import embeddings, samples, taxonomy, with_views
+from tagloom.plans.views import captions, embeddings, samples, table, taxonomy, with_views
+from tagloom.session import scratch_path
+from tagloom.sources import documents as JS
 
 DOT = "list_dot_product({0}, {1})"
 COS = "list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1})))"
@@ -114,9 +117,38 @@ def robust_scale(spark, sf):
     return d.select("id", F.round(V.total("scaled"), 5).alias("total"))
 
 
-@query("project_2d")
+def powers(name: str, matrix: str) -> str:
+    """SQL: the projector on the first principal direction, by squaring the covariance until nothing else is left."""
+    return f"""{name}_pow AS (SELECT 0 AS k, i, j, c / (SELECT sum(c) FROM {matrix} WHERE i = j) AS c FROM {matrix}
+      UNION ALL SELECT k + 1, i, j, c / sum(CASE WHEN i = j THEN c END) OVER () FROM (SELECT a.k, a.i, b.j, sum(a.c * b.c) AS c FROM {name}_pow a JOIN {name}_pow b ON a.j = b.i WHERE a.k < 16 GROUP BY ALL)),
+    {name} AS (SELECT i, j, c FROM {name}_pow WHERE k = 16)"""
+
+
+@query("project_2d", with_views("vecs", """SELECT x.id, round(sqrt(greatest(x.s, 0)), 4) AS x, round(sqrt(greatest(y.s, 0)), 4) AS y FROM
+    (SELECT a.id, sum(a.x * p.c * b.x) AS s FROM d a JOIN one p ON p.i = a.dim JOIN d b ON b.id = a.id AND b.dim = p.j GROUP BY 1) x JOIN
+    (SELECT a.id, sum(a.x * p.c * b.x) AS s FROM d a JOIN two p ON p.i = a.dim JOIN d b ON b.id = a.id AND b.dim = p.j GROUP BY 1) y ON y.id = x.id""",
+    "d AS (SELECT id, unnest(vec) AS x, unnest(range(64)) AS dim FROM vecs), cov AS (SELECT a.dim AS i, b.dim AS j, covar_samp(a.x, b.x) AS c FROM d a JOIN d b ON a.id = b.id GROUP BY 1, 2), "
+    + powers("one", "cov") + ", rest AS (SELECT c.i, c.j, c.c - (SELECT sum(a.c * b.c) FROM cov a JOIN one b ON a.i = b.j AND a.j = b.i) * o.c AS c FROM cov c JOIN one o ON o.i = c.i AND o.j = c.j), "
+    + powers("two", "rest"), recursive=True))
 def project_2d(spark, sf):
-    return rounded(O.project_2d(embeddings(spark, sf), "id", "vec"), "x", "y")
+    """Coordinates without their sign, which no definition fixes."""
+    d = O.project_2d(embeddings(spark, sf), "id", "vec")
+    return d.select("id", F.round(F.abs("x"), 4).alias("x"), F.round(F.abs("y"), 4).alias("y"))
+
+
+@query("scored_predictions", f"""SELECT d.doc_id AS id, md5(d.text) AS reference, md5(n.text) AS prediction, c.score AS similarity, f.score AS distance
+    FROM documents d JOIN ({ORACLES['paired_cosine']}) c ON c.id = d.doc_id LEFT JOIN documents n ON n.doc_id = d.doc_id + 1 LEFT JOIN ({ORACLES['per_sample_frechet']}) f ON f.id = d.doc_id""")
+def scored_predictions(spark, sf):
+    """The per-sample table: texts, similarity of each pair and distance to the reference set, joined by id and written."""
+    d = captions(spark, sf)
+    similarity = O.paired_cosine(embeddings(spark, sf), next_vectors(spark, sf))
+    distance = O.per_sample_frechet(*halves(spark, sf))
+    rows = d.join(embeddings(spark, sf).select("id"), "id", "left_semi").select("id", F.md5("caption").alias("reference"))
+    predictions = d.select((F.col("id") - 1).alias("id"), F.md5("caption").alias("prediction"))
+    out = J.zip_by_id(rows, predictions, similarity.withColumnRenamed("score", "similarity"), distance.withColumnRenamed("score", "distance"))
+    path = scratch_path(spark, "scored")
+    out.write.parquet(path)
+    return rounded(spark.read.schema(out.schema).parquet(path), "similarity", "distance")
 
 
 CONCEPT = 3
@@ -201,6 +233,60 @@ def directional_derivative(spark, sf):
     return out.withColumn("derivative", F.round("derivative", 6) + 0.0)
 
 
+# The splits of a run: rows of all its strata (concept and side), 20 % of them held back by largest remainder.
+ANALYSIS = """tg AS (SELECT doc_id AS id, 'lang' AS category, lang AS concept FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents),
+    v AS (SELECT vec_id AS id, label % 3 AS genre, list_transform(embedding, lambda x, i: x::DOUBLE + CASE WHEN i <= 8 THEN d.shift[i] ELSE 0 END) AS vec FROM embeddings e
+      JOIN (SELECT doc_id, list_transform(range(8), lambda i: CASE WHEN ascii(substr(md5(lang || source), 1 + i::INT, 1)) % 2 = 0 THEN 0.5::DOUBLE ELSE 0 END) AS shift FROM documents) d ON d.doc_id = e.vec_id),
+    n AS (SELECT category, concept, count(*) AS n, row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, concept) AS rnk FROM tg JOIN v USING (id) GROUP BY 1, 2),
+    sm AS (SELECT category || chr(1) || concept AS concept, 'c' || id AS id, 1 AS y, vec FROM (SELECT tg.*, v.vec, row_number() OVER (PARTITION BY tg.category, tg.concept ORDER BY tg.id) AS r FROM tg JOIN v USING (id) JOIN n USING (category, concept) WHERE rnk <= 4) WHERE r <= 20),
+    z AS (SELECT 'r' || id AS id, vec FROM v ORDER BY md5('0:' || id), id LIMIT 60)"""
+
+
+def analysed(spark, sf):
+    """Documents by language and source as concepts, vectors moved by both, and three genres."""
+    d = table(spark, sf, "documents")
+    pair = F.concat("lang", "source")
+    moved = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.when(F.ascii(F.substring(F.md5(pair), i, F.lit(1))) % 2 == 0, F.lit(0.5)).otherwise(F.lit(0.0)))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") % 3).cast("bigint").alias("genre"), "embedding")
+    both = e.join(d.select(F.col("doc_id").alias("id"), moved.alias("shift"), "lang", "source"), "id")
+    vec = F.transform("embedding", lambda x, i: x.cast("double") + F.coalesce(F.get("shift", i), F.lit(0.0)))
+    concepts = F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("concept")) for c in ("lang", "source")])
+    return both.select("id", F.inline(concepts)), both.select("id", "genre", vec.alias("vec"))
+
+
+ANALYSIS_SQL = f"""WITH {ANALYSIS},
+    e AS (SELECT concept, id, y, vec, run FROM (SELECT concept, id, y, vec FROM sm UNION ALL SELECT c.concept, z.id, 0, z.vec FROM z, (SELECT DISTINCT concept FROM sm) c), (SELECT unnest(range(3)) AS run)),
+    {held('e', 'concept, y', 'run')},
+    m AS (SELECT *, r <= cnt - held AS train FROM (SELECT *, row_number() OVER (PARTITION BY run, concept, y ORDER BY md5('run:' || run || ':' || concept || ':' || y || ':' || id), id) AS r,
+      count(*) OVER (PARTITION BY run, concept, y) AS cnt FROM e) JOIN h USING (run, concept, y)),
+    w AS (SELECT run, concept, list(a - b ORDER BY dim) AS w, -sum((a - b) * (a + b) / 2) AS w0 FROM (SELECT run, concept, dim, avg(x) FILTER (y = 1) AS a, avg(x) FILTER (y = 0) AS b
+      FROM (SELECT run, concept, y, unnest(vec) AS x, unnest(range(64)) AS dim FROM m WHERE train) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    runs AS (SELECT run, concept, any_value(w) AS w, avg(((list_dot_product(m.vec, w.w) + w0 > 0) = (y = 1))::INT) AS accuracy FROM m JOIN w USING (run, concept) WHERE NOT train GROUP BY 1, 2),
+    cavs AS (SELECT concept, list(x ORDER BY dim) AS cav, any_value(accuracy) AS accuracy FROM (SELECT concept, dim, avg(x / (len + 1e-8::DOUBLE)) AS x, avg(accuracy) AS accuracy FROM (
+      SELECT concept, accuracy, sqrt(list_dot_product(w, w)) AS len, unnest(w) AS x, unnest(range(64)) AS dim FROM runs WHERE accuracy > 0.6) GROUP BY 1, 2) GROUP BY 1),
+    passed AS (SELECT n.category, n.concept, c.cav, c.accuracy FROM cavs c JOIN n ON c.concept = n.category || chr(1) || n.concept WHERE n.n >= 20 AND c.accuracy >= 0.65)
+    SELECT category, concept, round(accuracy, 6) AS cav_accuracy, genre, count(*) AS n, round(avg((list_dot_product(vec, cav) / (sqrt(list_dot_product(vec, vec)) * sqrt(list_dot_product(cav, cav))) > 0.1)::INT), 6) AS score
+    FROM passed, v GROUP BY category, concept, accuracy, genre"""
+
+
+def analysis(spark, sf):
+    tagged, vectors = analysed(spark, sf)
+    return C.concept_analysis(tagged, vectors, top=4, n_samples=20, n_random=60, runs=3, method="means")
+
+
+@query("concept_analysis", ANALYSIS_SQL)
+def concept_analysis(spark, sf):
+    return rounded(analysis(spark, sf), "cav_accuracy", "score")
+
+
+@query("concept_results", f"SELECT category, concept, cav_accuracy, genre::VARCHAR AS genre, score FROM ({ANALYSIS_SQL})")
+def concept_results(spark, sf):
+    """The same results written as nested JSON text and read back."""
+    path = scratch_path(spark, "results")
+    JS.write_json_text(C.nested_results(analysis(spark, sf).withColumn("genre", F.col("genre").cast("string")), F.col("cav_accuracy")), path)
+    return rounded(JS.results_long(spark.read.text(path), "value"), "cav_accuracy", "score")
+
+
 def small_weights(rows: int, cols: int, a: int, b: int) -> np.ndarray:
     """Weights by rule, so that SQL can state them: ``((a*i + b*j) % 11 - 5) / 10``."""
     i, j = np.arange(rows)[:, None], np.arange(cols)[None, :]

@@ -246,7 +246,7 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-def with_views(names: str, body: str, extra: str = "") -> str:
+def with_views(names: str, body: str, extra: str = "", recursive: bool = False) -> str:
     """Prefix ``body`` with the named views, what they need first, and further common table expressions."""
     ordered: list[str] = []
 
@@ -261,4 +261,4 @@ def with_views(names: str, body: str, extra: str = "") -> str:
     ctes = [f"{n} AS ({_VIEWS[n][1]})" for n in ordered]
     if extra:
         ctes.append(extra)
-    return f"WITH {', '.join(ctes)} {body}" if ctes else body
+    return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(ctes)} {body}" if ctes else body

@@ -347,6 +347,21 @@ def test_robust_scale_and_projection(spark, vecs):
     assert np.allclose(np.sort(got.var(axis=0, ddof=1)), w[-2:], rtol=1e-6)
 
 
+@pytest.mark.parametrize("accuracy", [2_000, 10])
+def test_vector_quantiles(spark, accuracy):
+    rng = np.random.default_rng(12)
+    x = np.round(rng.exponential(size=(300, 3)), 1)
+    rows = [[float(v) for v in r] for r in x] + [None, [None, math.nan, 5.0], [7.0], []]
+    d = spark.createDataFrame([(v,) for v in rows], "v array<double>").repartition(4)
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    columns = [np.append(x[:, 0], 7.0), x[:, 1], np.append(x[:, 2], 5.0)]
+    got = {(r["dim"], r["p"]): r["value"] for r in S.vector_quantiles(d, "v", probs, accuracy).collect()}
+    assert len(got) == 15 and all(got[k, p] == pytest.approx(np.quantile(columns[k], p)) for k in range(3) for p in probs)
+    plan = S.vector_quantiles(d, "v", probs)._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan
+    assert S.vector_quantiles(d.limit(0), "v", probs).count() == 0 and S.vector_quantiles(d.where("size(v) = 0"), "v", probs).count() == 0
+
+
 def test_concept_vectors(spark):
     rng = np.random.default_rng(4)
     side = lambda n, shift: [[float(v) for v in rng.normal(size=6) + np.eye(6)[0] * shift] for _ in range(n)]
@@ -368,6 +383,32 @@ def test_concept_vectors(spark):
     assert score["n"] == 40 and score["score"] > 0.9
 
 
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_concept_scores_in_blocks(spark, blocks):
+    rng = np.random.default_rng(14)
+    x, c = rng.normal(size=(60, 4)), rng.normal(size=(8, 4))
+    acts = spark.createDataFrame([(i, "ab"[i % 2], [float(v) for v in x[i]]) for i in range(60)], "id int, cls string, vec array<double>").repartition(5)
+    cavs = spark.createDataFrame([(f"c{k}", [float(v) for v in c[k]]) for k in range(8)] + [("none", None)], "concept string, cav array<double>")
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = unit(x) @ unit(c).T > 0.1
+    spark.sparkContext.setJobGroup("lazy", "")
+    scores, slopes = C.tcav_scores(acts, cavs, "vec", "cls", blocks=blocks), C.directional_derivative(acts, cavs, "id", "vec", blocks=blocks)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")) == 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    got = {(r["concept"], r["class"]): (r["n"], r["score"]) for r in scores.collect()}
+    assert got == {(f"c{k}", "ab"[s]): (30, pytest.approx(want[s::2, k].mean())) for k in range(8) for s in (0, 1)}
+    found = {(r["id"], r["concept"]): r["derivative"] for r in slopes.collect()}
+    assert len(found) == 480 and all(found[i, f"c{k}"] == pytest.approx(x[i] @ c[k]) for i in range(60) for k in range(8))
+    assert C.tcav_scores(acts, cavs.limit(0), "vec", "cls").count() == 0
+    with pytest.raises(Exception, match="ask for more blocks"):
+        C.tcav_scores(acts, cavs, "vec", "cls", max_concepts=5).collect()
+
+
+def test_one_class_has_no_plane(spark):
+    d = spark.createDataFrame([([1.0, 0.0], 1), ([0.5, 0.1], 1), (None, 0), ([1.0, 1.0], None)], "vec array<double>, y int")
+    assert tuple(C.train_cav(d, "vec", "y").first()) == (None, None, None, None)
+
+
 def test_decoder(spark):
     rng = np.random.default_rng(6)
     w = {"w3": rng.normal(size=(3, 4)), "b3": rng.normal(size=4), "w4": rng.normal(size=(4, 5)), "b4": rng.normal(size=5)}
@@ -407,6 +448,28 @@ def test_early_stop(spark, size):
     assert {r["run"]: r["stop_step"] for r in R.early_stop_step(null, patience=5, per_range=size).collect()} == {**{k: v for k, v in got.items() if k != 6}, None: got[6]}
 
 
+def stop_with(values, patience, delta):
+    best, last = None, 0
+    for i, v in enumerate(values):
+        if best is None or (v is not None and v < best - delta):
+            best, last = v, i + 1
+        if (v is not None and not math.isfinite(v)) or i + 1 - last >= patience:
+            return i
+    return None
+
+
+@pytest.mark.parametrize("size", [1_000_000, 7, 1])
+def test_early_stop_with_least_improvement(spark, size):
+    rng = np.random.default_rng(10)
+    runs = {k: [float(x) for x in rng.random(40) + 4 * np.exp(-np.arange(40) / 9)] for k in range(8)}
+    runs[8] = [float(50 - 0.03 * i) for i in range(100)]
+    runs[9], runs[10], runs[11] = [5.0, math.nan, 1.0], [None, None, 3.0, None, 2.99, None, None, None], [7.0] * 3
+    d = spark.createDataFrame([(k, i, v) for k, vs in runs.items() for i, v in enumerate(vs)], "run int, step int, value double")
+    for patience, delta in ((4, 0.1), (3, 0.02), (6, 0.5)):
+        got = {r["run"]: r["stop_step"] for r in R.early_stop_step(d, patience=patience, min_delta=delta, per_range=size).collect()}
+        assert got == {k: stop_with(vs, patience, delta) for k, vs in runs.items()}
+
+
 def test_early_stop_limits(spark):
     values = [5.0, 4.9, 4.85, 4.0, 3.99, 3.98, 3.97, 2.0, 9.0, 0.5]
     d = spark.createDataFrame([("r", i, v) for i, v in enumerate(values)], "run string, step int, value double")
@@ -423,4 +486,6 @@ def test_run_logs(spark):
     assert [r["step"] for r in R.best_checkpoints(d, ["run"], 1).orderBy("run").collect()] == [2, 1]
     text = '{"bleu": 0.5, "p": [1, 2], "rouge": {"r1": 0.25, "note": "x", "all": [1, 3]}, "name": "y", "empty": []}'
     flat = R.flatten_metrics(spark.createDataFrame([(1, text)], "id int, j string"), ["id"], "j")
+    odd = R.flatten_metrics(spark.createDataFrame([(1, '{"p": [1, null, 3], "q": [null], "r": {"s": [2, null]}}')], "id int, j string"), ["id"], "j")
+    assert {r["name"]: r["value"] for r in odd.collect()} == {"p": 2.0, "r_s": 2.0}
     assert {r["name"]: r["value"] for r in flat.collect()} == {"bleu": 0.5, "p": 1.5, "rouge_r1": 0.25, "rouge_all": 2.0}

@@ -202,3 +202,17 @@ def test_pairs_of_a_hot_sample(spark):
     for i in range(9000):
         rows.setdefault(0 if i % 3 == 0 else i, set()).add(i % 7)
     assert got == Counter(p for s in rows.values() for p in itertools.product(s, s))
+
+
+def test_encode_by_buckets(spark):
+    """Quotes, backslashes and unknown or NULL tags; the plan holds the dimension as one constant."""
+    from tagloom.operators.taxonomy import Taxonomy
+
+    names = ["it's", "back\\slash", 'dou"ble', "plain", "é", ""]
+    dim = spark.createDataFrame([("c", 0, t, i) for i, t in enumerate(names)], "category string, cat_pos int, tag string, tag_pos int")
+    tax = Taxonomy.from_frame(dim)
+    rows = [(1, names[::-1]), (2, ["plain", "plain", "none", None]), (3, []), (4, None), (5, ["É", "PLAIN"])]
+    df = spark.createDataFrame(rows, "id int, t array<string>")
+    assert {r["id"]: r["tag_idx"] for r in tax.encode(df, "t").collect()} == {1: [0, 1, 2, 3, 4, 5], 2: [3], 3: [], 4: None, 5: []}
+    assert {r["id"]: r["tag_idx"] for r in tax.encode(df, "t", normalize_case=True).collect()}[5] == [3, 4]
+    assert spark.range(1).select(tax.tags_column().alias("x")).first()["x"] == names
