@@ -336,11 +336,11 @@ def judged(spark, sf):
     return J.zip_by_id(d, verdicts, surprise)
 
 
-JUDGED = f"""SELECT d.doc_id AS id, d.lang AS split, md5(d.text) AS caption, j.score, j.reasoning, p.perplexity
-    FROM documents d LEFT JOIN ({JUDGE_SQL}) j ON j.id = d.doc_id LEFT JOIN ({ORACLES['perplexity']}) p ON p.id = d.doc_id"""
+JUDGED = with_views("doc_tokens", f"""SELECT d.doc_id AS id, d.lang AS split, md5(d.text) AS caption, j.score, j.reasoning, p.perplexity
+    FROM documents d LEFT JOIN ({JUDGE_SQL}) j ON j.id = d.doc_id LEFT JOIN ({PPL}) p ON p.id = d.doc_id""")
 
 
-@query("judged_predictions", JUDGED)
+@query("judged_predictions", f"SELECT id, split, caption, score, reasoning, round(perplexity, 6) AS perplexity FROM ({JUDGED})")
 def judged_predictions(spark, sf):
     path = scratch_path(spark, "judged")
     rows = judged(spark, sf)
