@@ -161,7 +161,7 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packed(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
-    return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return out.select(F.col("id").alias("doc_id"), F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 @query("""
