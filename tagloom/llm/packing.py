@@ -34,6 +34,8 @@ MOST_PIECES = 3
 CACHED_PARTS = 400_000
 #: Characters of the texts that a task tokenises at a time.
 BATCH_CHARS = 1_000_000
+#: Pre-tokens held as strings at a time.
+HELD_PARTS = 500_000
 END = " "  # no other word is empty after its blank
 #: Offsets of (task, length) up to this number are broadcast, more are joined by shuffle.
 BROADCAST_OFFSETS = 500_000
@@ -43,6 +45,21 @@ SIMPLE = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\t\n\r\x20a-z0-9ß-öø-ÿ]+")
 
 
+def slices(text: str) -> Iterator[str]:
+    """A text cut at blanks or line ends into pieces of about BATCH_CHARS characters; a longer word is not cut."""
+    first = 0
+    while len(text) - first > BATCH_CHARS:
+        end = first + BATCH_CHARS
+        cut = max(text.rfind(" ", first + 1, end), text.rfind("\n", first + 1, end))
+        if cut < 0:
+            after = [at for at in (text.find(" ", end), text.find("\n", end)) if at >= 0]
+            cut = min(after, default=len(text))
+        yield text[first:cut]
+        first = cut
+    if first < len(text):
+        yield text[first:]
+
+
 class PartIds(dict):
     """Pre-tokens to their places in one growing list of token ids, by the parts of a tokenizer file that drops white space.
 
@@ -89,13 +106,19 @@ class PartIds(dict):
         if len(self) >= CACHED_PARTS:
             self.clear()
             self.ids, self.ends = array("i"), array("q", [0])
-        parts, counts = [], []
+        parts, counts, codes = [], [], [np.zeros(0, np.int64)]
         for text in texts:
-            found = self.parts(text) if text else []
-            parts += found
+            n = 1
+            for some in slices(text or ""):
+                found = self.parts(some)
+                parts += found
+                n += len(found)
+                if len(parts) > HELD_PARTS:
+                    codes.append(np.fromiter(map(self.__getitem__, parts), np.int64, len(parts)))
+                    parts = []
             parts.append(END)
-            counts.append(len(found) + 1)
-        codes = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
+            counts.append(n)
+        codes = np.concatenate([*codes, np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))])
         ends = np.array(self.ends)
         sizes = ends[codes + 1] - ends[codes]
         last = np.cumsum(sizes)

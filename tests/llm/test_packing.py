@@ -43,6 +43,16 @@ def test_forgetting_changes_no_ids(monkeypatch):
         assert list(parts.of([text])[0]) == ids_of(text)
 
 
+def test_long_texts_are_cut_at_blanks(monkeypatch):
+    monkeypatch.setattr(K, "BATCH_CHARS", 7)
+    monkeypatch.setattr(K, "HELD_PARTS", 3)
+    whole = "a word, andoneverylongword é日本\n\n12 it's  over\n" * 5
+    for text in [whole, " " * 30, "x" * 40, whole + "y" * 20, "\n".join(ODD)]:
+        assert "".join(K.slices(text)) == text
+        ids, sizes = K.PartIds(PATH, 0).of([text, "b", text])
+        assert list(ids) == ids_of(text) + ids_of("b") + ids_of(text) and list(sizes) == [len(ids_of(text)), len(ids_of("b")), len(ids_of(text))]
+
+
 def test_texts_in_batches(monkeypatch):
     monkeypatch.setattr(K, "BATCH_CHARS", 5)
     texts = ["abc", None, "a long text of its own", "", "ab", "abcd", "x"]
