@@ -281,6 +281,22 @@ def test_silhouette(vecs, block, exclude_self):
     assert got == pytest.approx(brute_silhouette(x, label, exclude_self), abs=1e-7)
 
 
+@pytest.mark.parametrize("rows", [7, 64])
+def test_silhouette_leaves_one_row_per_strip(rows):
+    """Labels go on over batches; a task sends one sum, whatever the numbers of rows and labels."""
+    rng = np.random.default_rng(3)
+    x, label = rng.normal(size=(60, 3)), np.sort(rng.integers(0, 20, 60))
+    names = ["strip", "own", "label", "uid", "v"]
+    some = lambda strip, own, at: [(strip, own, int(label[i]), int(i), x[i].tolist()) for i in at]
+    strips = [rng.permutation(60)[:25], np.arange(60), np.arange(0)]
+    table = [r for k, own in enumerate(strips) for r in some(k, True, own) + some(k, False, np.arange(60))]
+    kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*table[i : i + rows]), kinds)], names=names) for i in range(0, len(table), rows)]
+    got = pa.Table.from_batches(O._strip_scores(False)(iter(batches))).to_pylist()
+    assert [r["n"] for r in got] == [25, 60]
+    assert got[1]["s"] / 60 == pytest.approx(brute_silhouette(x, label, False), abs=1e-9)
+
+
 def test_silhouette_of_one_cluster(vecs):
     assert O.silhouette(vecs[0].where("label = 0"), "id", "vec", "label").first()[0] == 0.0
 
