@@ -13,6 +13,8 @@ import pyarrow as pa
 
 #: Cells of the tables of a chunk of pairs; a pair that needs more is a chunk of its own.
 CELLS = 1 << 23
+#: Words of the rows that are taken at a time; a row of more is taken alone.
+WORDS = 1 << 17
 
 
 def ragged(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,6 +37,16 @@ def sizes_of(column: pa.ListArray) -> np.ndarray:
     return np.diff(column.offsets.to_numpy()).astype(np.int64)
 
 
+def portions(sizes: np.ndarray) -> Iterator[slice]:
+    """Consecutive rows of these numbers of words, at most WORDS of them at a time; no rows are one portion."""
+    total, begin = np.cumsum(sizes), 0
+    while begin < len(sizes) or not begin:
+        before = total[begin - 1] if begin else 0
+        end = max(int(np.searchsorted(total, before + WORDS, side="right")), begin + 1)
+        yield slice(begin, min(end, len(sizes)))
+        begin = end
+
+
 def gathered(codes: np.ndarray, start: np.ndarray, size: np.ndarray, fill: int) -> np.ndarray:
     """Runs of codes as the rows of a matrix, filled up at the end."""
     out = np.full((len(start), int(size.max(initial=0))), fill, np.int64)
@@ -127,19 +139,18 @@ def summary_hits(p: pa.ListArray, r: pa.ListArray) -> tuple[np.ndarray, np.ndarr
 def matched_words(p: pa.ListArray, r: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(matches, chunks, words of p, words of r) of rows of words: words are matched from the end, the last of p to the
     last equal one of r; a chunk is a run of matches that follow each other on both sides."""
-    n, (cp, cr), sizes = len(p), numbered(p.flatten(), r.flatten())[0], (sizes_of(p), sizes_of(r))
-    sides = []
+    n, ((cp, cr), kinds), sizes = len(p), numbered(p.flatten(), r.flatten()), (sizes_of(p), sizes_of(r))
+    sides, most = [], int(max(x.max(initial=0) for x in sizes)) + 1
     for codes, size in zip((cp, cr), sizes):
         row, place = ragged(size)
-        order = np.lexsort((-place, codes, row))
-        first = np.append(True, (row[order][1:] != row[order][:-1]) | (codes[order][1:] != codes[order][:-1]))[: len(order)]
+        word = row * kinds + codes
+        order = np.lexsort((-place, word))
+        word = word[order]
+        first = np.append(True, word[1:] != word[:-1])[: len(order)]
         nth = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-        sides.append((row[order], codes[order], nth, place[order]))
-    keys = np.concatenate([np.stack(s[:3]) for s in sides], axis=1)
-    _, code = np.unique(keys, axis=1, return_inverse=True)
-    code = code.reshape(-1)
-    _, a, b = np.intersect1d(code[: len(cp)], code[len(cp) :], assume_unique=True, return_indices=True)
-    row, i, j = sides[0][0][a], sides[0][3][a], sides[1][3][b]
+        sides.append((word * most + nth, row[order], place[order]))
+    _, a, b = np.intersect1d(sides[0][0], sides[1][0], assume_unique=True, return_indices=True)
+    row, i, j = sides[0][1][a], sides[0][2][a], sides[1][2][b]
     order = np.lexsort((i, row))
     row, i, j = row[order], i[order], j[order]
     follows = (row[1:] == row[:-1]) & (i[1:] == i[:-1] + 1) & (j[1:] == j[:-1] + 1)

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 
 from tagloom.functions.bind import let
 from tagloom.functions.text import multiset_overlap, ngrams, tokens_mteval, tokens_rouge, words
-from tagloom.operators.alignment import matched_words, summary_hits
+from tagloom.operators.alignment import matched_words, portions, sizes_of, summary_hits
 
 MAX_ORDER = 4
 
@@ -106,7 +106,7 @@ def meteor_rows(pairs: DataFrame, alpha: float = 0.9, beta: float = 3.0, gamma:
     """``(id, meteor)`` from exact matches; a text that is NULL or has no words scores 0."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(some.start, some.stop - some.start) for b in batches for some in portions(sizes_of(b.column(1)) + sizes_of(b.column(2)))):
             m, chunks, n_pred, n_ref = (x.astype(float) for x in matched_words(b.column(1), b.column(2)))
             some = m > 0
             p, r = (np.divide(m, n, out=np.zeros(len(m)), where=some) for n in (n_pred, n_ref))

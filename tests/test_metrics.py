@@ -86,6 +86,21 @@ def test_alignments_against_brute_force(monkeypatch, cells):
     assert [(a, b) for a, b in zip(m, chunks)] == [brute_matches(flat(a), flat(b)) for a, b in zip(p, r)]
 
 
+def test_portions_hold_few_words(monkeypatch):
+    """Batches are matched a bounded number of words at a time, with the same result."""
+    rng = np.random.default_rng(1)
+    p, r = (pa.array([[str(x) for x in rng.integers(0, 5, n)] for n in rng.integers(0, 12, 80)], pa.list_(pa.string())) for _ in range(2))
+    sizes, whole = AL.sizes_of(p) + AL.sizes_of(r), AL.matched_words(p, r)
+    for words in (1, 30, 10_000):
+        monkeypatch.setattr(AL, "WORDS", words)
+        parts = list(AL.portions(sizes))
+        assert [i for s in parts for i in range(s.start, s.stop)] == list(range(80))
+        assert all(sizes[s].sum() <= words or s.stop == s.start + 1 for s in parts)
+        found = zip(*[AL.matched_words(p[s.start : s.stop], r[s.start : s.stop]) for s in parts])
+        assert all(np.array_equal(np.concatenate(x), y) for x, y in zip(found, whole))
+    assert list(AL.portions(sizes[:0])) == [slice(0, 0)]
+
+
 def test_null_texts_score_nothing(spark):
     d = spark.createDataFrame([(1, None, "a b"), (2, "a", None), (3, None, None), (4, "", ""), (5, "a b", "a b")], "id int, prediction string, reference string")
     assert {r["id"]: (r["rouge_l"], r["rouge_lsum"]) for r in M.rouge_l_rows(d).collect()} == {1: (0, 0), 2: (0, 0), 3: (0, 0), 4: (0, 0), 5: (1, 1)}
