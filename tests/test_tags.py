@@ -172,6 +172,22 @@ def test_loss_terms(spark):
     assert M.vae_loss_terms(df, "mu", "lv", squared=True).first().bce == pytest.approx(0 + 1 + 0.09)
 
 
+def test_vae_loss_terms_of_odd_rows(spark):
+    """Nulls, unequal lengths, tags out of range and tags that come twice; the terms are summed per batch, not in lambdas."""
+    rows = [
+        (1, [0.5, 0.25], [1, 1, 7, -1, None], [1.0], [0.0]), (2, None, [0], [1.0, 2.0], [0.0]), (3, [0.5], None, None, [0.0]),
+        (4, [], [0], [], []), (5, [None, 0.0, 1.5], [1], [None], [0.0]),
+    ]
+    d = spark.createDataFrame(rows, "id int, probs array<double>, tag_idx array<int>, mu array<double>, lv array<double>").coalesce(1)
+    out = M.vae_loss_terms(d, "mu", "lv")
+    got = out.first()
+    assert got.bce == pytest.approx(math.log(2) + math.log(4) + math.log(2) + 100 + 100 + 100)
+    assert got.kld == pytest.approx(0.5)
+    assert M.vae_loss_terms(d, "mu", "lv", squared=True).first().bce == pytest.approx(0.25 + 0.75**2 + 0.25)
+    assert M.vae_loss_terms(d.limit(0), "mu", "lv").first().loss is None
+    assert "lambdafunction" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_conditional_model(spark, preds):
     df, _ = preds
     model = {(r["a"], r["b"]): r["prob"] for r in co.conditional_tag_model(co.cooccurrence(df, 4)).collect()}
