@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tagloom.llm.base import WordHashes, mixed, nullable, stored, texts
 
 #: Text bytes of a chunk; a task needs some ten times that memory.
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 10_000_000
 #: Weight of the word probability in that of a bigram (a Dirichlet prior).
 PRIOR = 20.0
 #: Occurrences of a context for each part that it is cut into.
@@ -42,6 +42,9 @@ WORD_BITS = 40
 LOWEST = -9.0
 #: No word has a blank in it.
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" end", b" start"))
+END_TOKEN = np.array([END])
+#: Texts of a chunk that are held as strings at a time.
+HELD_TEXTS = 256
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -208,10 +211,11 @@ class Chunk:
     def __init__(self, column: pa.Array, train: np.ndarray):
         hashes = WordHashes()
         parts, sizes = [], []
-        for text in texts(column):
-            words = text.translate(LOWER).split() if text else []
-            parts += [hashes.of(words), np.array([END])]
-            sizes.append(len(words) + 1)
+        for at in range(0, len(column), HELD_TEXTS):
+            for text in texts(column.slice(at, HELD_TEXTS)):
+                words = text.translate(LOWER).split() if text else []
+                parts += [hashes.of(words), END_TOKEN]
+                sizes.append(len(words) + 1)
         self.sizes = np.array(sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.train = np.repeat(train, self.sizes)

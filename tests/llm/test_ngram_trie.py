@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +130,13 @@ def test_query_splits_by_crc(spark):
     out = QUERIES["op5_language_model"](spark, "/root/testdata/sf0.001").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2) for r in out) and len(out) == 200
     assert sum(r.score for r in out if r.held_out) > sum(r.base_score for r in out if r.held_out)
+
+
+def test_chunk_holds_few_texts_as_strings(monkeypatch):
+    """The texts of a chunk are cut into words a few at a time, with the same numbers."""
+    column, train = pa.array(["a b a", None, "", "B c", "d a b"]), np.array([True, False, True, True, False])
+    whole = lm.Chunk(column, train)
+    monkeypatch.setattr(lm, "HELD_TEXTS", 2)
+    some = lm.Chunk(column, train)
+    assert all(np.array_equal(getattr(whole, n), getattr(some, n)) for n in ("sizes", "starts", "words", "word", "word_counts"))
+    assert whole.sizes.tolist() == [4, 1, 1, 3, 4]
