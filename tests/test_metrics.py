@@ -312,6 +312,17 @@ def test_silhouette_leaves_one_row_per_strip(rows):
     assert got[1]["s"] / 60 == pytest.approx(brute_silhouette(x, label, False), abs=1e-9)
 
 
+def test_strip_keeps_one_sum_per_row():
+    """What the task of a strip holds goes with its own rows, not with the rows and labels that it reads."""
+    rng = np.random.default_rng(5)
+    strip = O.Strip([(rng.normal(size=(10, 2)), np.arange(10), np.arange(10))], False)
+    held = lambda: sum(v.nbytes for v in vars(strip).values() if isinstance(v, np.ndarray))
+    before = held()
+    for k in range(50):
+        strip.read(rng.normal(size=(40, 2)), np.repeat(np.arange(20 * k, 20 * k + 20), 2), np.arange(40 * k, 40 * k + 40))
+    assert held() == before
+
+
 def test_silhouette_of_one_cluster(vecs):
     assert O.silhouette(vecs[0].where("label = 0"), "id", "vec", "label").first()[0] == 0.0
 
