@@ -34,7 +34,7 @@ MOST_PIECES = 3
 CACHED_PARTS = 400_000
 #: Characters of the texts that a task tokenises at a time.
 BATCH_CHARS = 1_000_000
-#: Pre-tokens held as strings at a time.
+#: Words held as strings at a time.
 HELD_PARTS = 500_000
 END = " "  # no other word is empty after its blank
 #: Offsets of (task, length) up to this number are broadcast, more are joined by shuffle.
@@ -61,10 +61,10 @@ def slices(text: str) -> Iterator[str]:
 
 
 class PartIds(dict):
-    """Pre-tokens to their places in one growing list of token ids, by the parts of a tokenizer file that drops white space.
+    """Words to their places in one growing list of token ids, by the parts of a tokenizer file that drops white space.
 
-    Nothing in such a file looks across white space, so a text has the ids of its words in a row. Text of SIMPLE
-    characters is cut by PARTS; of other text only the words with other characters go through the file's own
+    Nothing in such a file looks across white space, so a text has the ids of its words in a row. A word of SIMPLE
+    characters that is new is cut by PARTS; of other text only the words with other characters go through the file's own
     normaliser and cutter, which are slow; such a word is a key after a blank. Words end at spaces and line ends; any
     other white space is left to the file.
     """
@@ -82,6 +82,9 @@ class PartIds(dict):
         elif part[0] == " ":
             for piece, _ in self.cut(self.normalise(part[1:])):
                 self.ids.extend([t.id for t in self.model.tokenize(piece)])
+        elif len(found := PARTS.findall(part)) > 1:
+            for code in [self[p] for p in found]:
+                self.ids.extend(self.ids[self.ends[code] : self.ends[code + 1]])
         else:
             self.ids.extend([t.id for t in self.model.tokenize(part if part.isascii() else self.mapped(part)[0][0])])
         self.ends.append(len(self.ids))
@@ -90,13 +93,14 @@ class PartIds(dict):
             self[part] = code
         return code
 
-    def parts(self, text: str) -> list[str]:
+    @staticmethod
+    def words(text: str) -> list[str]:
         if SIMPLE.fullmatch(text):
-            return PARTS.findall(text.lower())
+            return text.lower().split()
         out: list[str] = []
         for word in text.replace("\n", " ").split(" "):
             if SIMPLE.fullmatch(word):
-                out += PARTS.findall(word.lower())
+                out += word.lower().split()  # a tab may be in it
             else:
                 out.append(" " + word)
         return out
@@ -110,7 +114,7 @@ class PartIds(dict):
         for text in texts:
             n = 1
             for some in slices(text or ""):
-                found = self.parts(some)
+                found = self.words(some)
                 parts += found
                 n += len(found)
                 if len(parts) > HELD_PARTS:

@@ -144,3 +144,16 @@ def test_packed_sequences(spark):
             end += length
         assert end <= 64
     assert K.packed(df.limit(0), PATH, max_len=64).count() == 0
+
+
+def test_a_word_is_looked_up_once():
+    """A word of several pre-tokens is one key, with the ids of its parts."""
+    for text in ["don't it's 12.5% (a.b),", "'s'sx d'll12é!? don't", "Ünder\t12.5% İx.y don't\x0b12.5%"]:
+        parts = K.PartIds(PATH, 0)
+        ids, sizes = parts.of([text])
+        assert list(ids) == ids_of(text) and list(sizes) == [len(ids)]
+    parts = K.PartIds(PATH, 0)
+    parts.of(["don't 12.5%"])
+    before = len(parts.ends)
+    assert list(parts.of(["12.5% Don't"])[0]) == ids_of("12.5% Don't")
+    assert {"don't", "12.5%"} <= parts.keys() and len(parts.ends) == before
