@@ -9,8 +9,9 @@
    class then, whatever their size. In buckets that still hold several classes, every member outside the largest
    one is compared with all members of other classes, by signatures inside the join, and by their texts if the
    keys that agree may mean a similarity at the threshold (fewest_keys). That is done twice, for likely links
-   first, as these leave few classes. So each pair of a bucket is compared or in one class, and only pairs that
-   look alike are emitted.
+   first, as these leave few classes. In a large bucket blocks of members are compared inside a task instead, which
+   emits only links that join classes. So each pair of a bucket is compared or in one class, and the rows made
+   grow with the members of a bucket, not with its pairs.
 4. Classes are the connected components of pairs whose weighted Jaccard similarity reaches the threshold.
 """
 
@@ -41,6 +42,10 @@ PIECE = 60_000
 CACHED_SHINGLES = 3_000_000
 #: Ids of texts to compare are broadcast up to so many, else joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Buckets of up to so many members are compared pair by pair, larger ones in blocks.
+SMALL_BUCKET = 16
+#: Members of a block, and weights of their shingles.
+BLOCK, BLOCK_WEIGHT = 512, 500_000
 #: Ids from here on stand for rows without one.
 NO_ID = LAST_ID - (1 << 44)
 
@@ -237,16 +242,26 @@ def _verified(shared, n: int, threshold: float) -> Callable:
     return run
 
 
-def _across_classes(member: DataFrame, unique: DataFrame, labels: DataFrame, threshold: float, rows: int, least: int) -> DataFrame:
+def _live(member: DataFrame, unique: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets with several classes, with the bucket's size, its largest class, and in how many blocks that and the others go."""
+    now = member.join(labels, F.col("node") == F.col("k"), "left").select("band", "place", "node", "weight", F.coalesce("label", "node").alias("label"))
+    several = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band")
+    live = stored(now.join(several, "band").join(unique.select("node", "keys").dropDuplicates(["node"]), "node"), "live")
+    classes = live.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    buckets = classes.groupBy("band").agg(F.max(F.struct("n", "label", "w")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_WEIGHT))
+    top = lambda c: F.col(f"top.{c}")
+    buckets = buckets.select(
+        "band", "n", top("label").alias("largest"), blocks(F.col("n") - top("n"), F.col("w") - top("w")).alias("others"), blocks(top("n"), top("w")).alias("tops")
+    )
+    return live.join(buckets, "band")
+
+
+def _across_classes(live: DataFrame, threshold: float, rows: int, least: int) -> DataFrame:
     """Pairs of a bucket and of different classes of which ``least`` keys agree, one end outside the bucket's largest class.
 
     A pair comes from the first band that it shares only. Of the members of one class none are paired.
     """
-    now = member.join(labels, F.col("node") == F.col("k"), "left").select("band", "place", "node", "weight", F.coalesce("label", "node").alias("label"))
-    several = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band")
-    live = stored(now.join(several, "band").join(unique.select("node", "keys").dropDuplicates(["node"]), "node"), "live")
-    largest = live.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "label"))["label"].alias("largest"))
-    live = live.join(largest, "band")
     other = live.filter("label <> largest").select("band", *[F.col(c).alias(f"{c}_p") for c in ("node", "weight", "label", "keys")])
     same = F.zip_with("keys", "keys_p", lambda x, y: x == y)
     earlier = F.exists(F.sequence(F.lit(0), F.col("place")), lambda j: (j < F.col("place")) & F.forall(F.slice(same, j * rows + 1, rows), lambda x: x))
@@ -256,6 +271,53 @@ def _across_classes(member: DataFrame, unique: DataFrame, labels: DataFrame, thr
     return pairs.select(F.greatest("node", "node_p").alias("a"), F.least("node", "node_p").alias("p")).distinct()
 
 
+def _links(shared, n: int, threshold: float, rows: int, least: int) -> Callable:
+    """Compares two blocks of a bucket as pairs are by ``_across_classes`` and ``_verified``, and gives the links that join
+    classes: fewer than there are members, whatever the pairs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        hashes, held, found = WordHashes(), {}, []
+        node, weight, block = (table[c].to_numpy() for c in ("node", "weight", "block"))
+        i, j, place = (table[c][0].as_py() for c in ("i", "j", "place"))
+        keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        group, text = np.unique(table["label"].to_numpy(), return_inverse=True)[1], texts(table["text"].combine_chunks())
+
+        def weighed(k: int):
+            if k not in held:
+                h, times = shingles(hashes.of(words_of(text[k])), n)
+                w = shared.value.weights(h, times)
+                held[k] = h, w, float(w.sum())
+            return held[k]
+
+        others = np.flatnonzero(block == j)
+        for a in np.flatnonzero(block == i).tolist():
+            right = others[(group[others] != group[a]) & (others > a if i == j else True)]
+            right = right[np.minimum(weight[right], weight[a]) >= threshold * np.maximum(weight[right], weight[a])]
+            same = keys[right] == keys[a]
+            agreed = same.sum(axis=1)
+            earlier = same[:, : place * rows].reshape(len(right), place, rows).all(axis=2).any(axis=1)
+            wanted = np.flatnonzero((agreed >= least) & ~earlier)
+            for b in right[wanted[np.argsort(-agreed[wanted], kind="stable")]].tolist():
+                if group[b] != group[a] and similarity(weighed(a), weighed(b)) >= threshold:
+                    found.append((node[a], node[b]))
+                    group[group == group[b]] = group[a]
+        left, right = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return run
+
+
+def _block_links(live: DataFrame, text: DataFrame, links: Callable) -> DataFrame:
+    """Links in large buckets: the members outside the largest class are dealt to blocks, those in it to others, and each
+    two blocks of which one is outside meet in one task. No row is made for a pair."""
+    outside = F.col("label") != F.col("largest")
+    spot = lambda blocks: F.pmod(F.xxhash64("node", "band"), F.col(blocks))
+    rows = live.withColumn("block", F.when(outside, spot("others")).otherwise(F.col("others") + spot("tops")))
+    rows = rows.join(text, "node").withColumn("meets", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1 + F.when(outside, F.col("tops")).otherwise(0))))
+    rows = rows.select("band", F.least("block", "meets").alias("i"), F.greatest("block", "meets").alias("j"), "block", "place", "node", "weight", "label", "keys", "text")
+    return stored(rows.groupBy("band", "i", "j").applyInArrow(links, "a long, b long"), "links")
+
+
 def text_key(text_col: str) -> Column:
     return F.md5(F.coalesce(text_col, F.lit("")))
 
@@ -304,7 +366,9 @@ def near_duplicates(
     labels = components(edges)
     # what is left: buckets with several classes. First the pairs that look like links, then all that may be one
     for least in (math.ceil(threshold * bands * rows), fewest_keys(bands * rows, threshold)):
-        found = verify(_across_classes(member, unique, labels, threshold, rows, least)).select("a", "b")
+        live = _live(member, unique, labels)
+        found = verify(_across_classes(live.filter(F.col("n") <= SMALL_BUCKET), threshold, rows, least)).select("a", "b")
+        found = found.union(_block_links(live.filter(F.col("n") > SMALL_BUCKET), text, _links(shared, n, threshold, rows, least)))
         if not found.isEmpty():
             edges = edges.union(found)
             labels = components(edges)

@@ -63,6 +63,31 @@ def test_every_pair_of_a_bucket_is_compared_or_in_one_class(frame):
     assert out == classes_by_brute_force(rows)
 
 
+def test_pairs_of_a_large_bucket_make_no_rows(frame, monkeypatch):
+    """Texts that are 0.7 to 0.9 alike share buckets without being one class: rows go with the members, not with the pairs."""
+    rng = random.Random(5)
+    base, rows = words(rng, 120), []
+    for i in range(70):
+        text = rows[-1][1].split() if i % 5 == 4 else list(base)
+        for _ in range(1 if i % 3 == 0 or i % 5 == 4 else 2):
+            text[rng.randrange(len(text))] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    made, across = [], nd._across_classes
+    monkeypatch.setattr(nd, "SMALL_BUCKET", 6, raising=False)
+    monkeypatch.setattr(nd, "BLOCK", 8, raising=False)
+
+    def counted(*args):
+        pairs = across(*args)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(nd, "_across_classes", counted)
+    out = {r.doc_id: r.class_id for r in nd.near_duplicates(frame(*rows)).collect()}
+    assert out == classes_by_brute_force(rows)
+    assert 5 < len(set(out.values())) < 70
+    assert max(made) < 70 * 6
+
+
 def test_edges(frame):
     assert nd.near_duplicates(frame()).collect() == []
     a, b = "a b c d e f g", "h i j k l m n"
