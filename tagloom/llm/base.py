@@ -20,10 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """The rows written as Parquet to the shared folder and read again: cuts lineage, survives lost executors.
+
+    At most so many ``files``, if given. Where Spark does not merge small partitions, each of them would be a file, and
+    for each file an executor starts commands, which for a moment count as large as the executor itself.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -98,7 +102,7 @@ def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(values))
 
 
-def bounded(df: DataFrame, rows: int, name: str) -> DataFrame:
+def bounded(df: DataFrame, rows: int, name: str, files: int | None = None) -> DataFrame:
     """The table, stored; marked for broadcast only if it has at most so many rows, else joined by shuffle."""
-    kept = stored(df, name)
+    kept = stored(df, name, files)
     return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept

@@ -46,6 +46,8 @@ BROADCAST_IDS = 500_000
 SMALL_BUCKET = 16
 #: Members of a block, and weights of their shingles.
 BLOCK, BLOCK_WEIGHT = 512, 500_000
+#: Documents for each file of a stored table.
+FILE_DOCUMENTS = 10_000
 #: Ids from here on stand for rows without one.
 NO_ID = LAST_ID - (1 << 44)
 
@@ -242,11 +244,11 @@ def _verified(shared, n: int, threshold: float) -> Callable:
     return run
 
 
-def _live(member: DataFrame, unique: DataFrame, labels: DataFrame) -> DataFrame:
+def _live(member: DataFrame, unique: DataFrame, labels: DataFrame, files: int) -> DataFrame:
     """The members of buckets with several classes, with the bucket's size, its largest class, and in how many blocks that and the others go."""
     now = member.join(labels, F.col("node") == F.col("k"), "left").select("band", "place", "node", "weight", F.coalesce("label", "node").alias("label"))
     several = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band")
-    live = stored(now.join(several, "band").join(unique.select("node", "keys").dropDuplicates(["node"]), "node"), "live")
+    live = stored(now.join(several, "band").join(unique.select("node", "keys").dropDuplicates(["node"]), "node"), "live", files)
     classes = live.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
     buckets = classes.groupBy("band").agg(F.max(F.struct("n", "label", "w")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"))
     blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_WEIGHT))
@@ -307,7 +309,7 @@ def _links(shared, n: int, threshold: float, rows: int, least: int) -> Callable:
     return run
 
 
-def _block_links(live: DataFrame, text: DataFrame, links: Callable) -> DataFrame:
+def _block_links(live: DataFrame, text: DataFrame, links: Callable, files: int) -> DataFrame:
     """Links in large buckets: the members outside the largest class are dealt to blocks, those in it to others, and each
     two blocks of which one is outside meet in one task. No row is made for a pair."""
     outside = F.col("label") != F.col("largest")
@@ -315,7 +317,7 @@ def _block_links(live: DataFrame, text: DataFrame, links: Callable) -> DataFrame
     rows = live.withColumn("block", F.when(outside, spot("others")).otherwise(F.col("others") + spot("tops")))
     rows = rows.join(text, "node").withColumn("meets", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1 + F.when(outside, F.col("tops")).otherwise(0))))
     rows = rows.select("band", F.least("block", "meets").alias("i"), F.greatest("block", "meets").alias("j"), "block", "place", "node", "weight", "label", "keys", "text")
-    return stored(rows.groupBy("band", "i", "j").applyInArrow(links, "a long, b long"), "links")
+    return stored(rows.groupBy("band", "i", "j").applyInArrow(links, "a long, b long").repartition(files), "links")
 
 
 def text_key(text_col: str) -> Column:
@@ -341,37 +343,38 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     data = keyed(docs, id_col, text_col).select(F.col(id_col).alias("id"), "k", F.col(text_col).alias("text"), "tk")
-    shared = spark.sparkContext.broadcast(document_frequencies(data, "text", n))
+    sketch = document_frequencies(data, "text", n)
+    shared, files = spark.sparkContext.broadcast(sketch), sketch.documents // FILE_DOCUMENTS + 1
     signed = data.select("k", "tk", "text").mapInArrow(_signatures(shared, "text", n, bands, rows), "k long, tk string, weight double, bands array<long>, keys array<int>")
     unique = signed.groupBy("tk").agg(F.min("k").alias("id_of"), F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("keys").alias("keys"))
-    unique = stored(unique.withColumn("node", F.xxhash64("tk")), "signatures")  # a node is a text
+    unique = stored(unique.withColumn("node", F.xxhash64("tk")), "signatures", files)  # a node is a text
 
     member = unique.select("node", "id_of", "weight", F.posexplode("bands").alias("place", "band"))
     many = member.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    member = stored(member.join(many, "band"), "buckets")
-    wanted = bounded(member.select(F.col("node").alias("of"), "id_of").distinct(), BROADCAST_IDS, "members")
+    member = stored(member.join(many, "band"), "buckets", files)
+    wanted = bounded(member.select(F.col("node").alias("of"), "id_of").distinct(), BROADCAST_IDS, "members", files)
     rows_of = data.select("k", "text", F.xxhash64("tk").alias("node"))
     text = rows_of.join(wanted, (F.col("node") == F.col("of")) & (F.col("k") == F.col("id_of")), "left_semi")
-    text = stored(text.dropDuplicates(["node"]).select("node", "text"), "texts")
+    text = stored(text.dropDuplicates(["node"]).select("node", "text"), "texts", files)
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = pairs.join(text.withColumnRenamed("text", "text_a"), F.col("a") == F.col("node")).drop("node")
         both = left.join(text.withColumnRenamed("text", "text_p"), F.col("p") == F.col("node")).select("a", "text_a", "p", "text_p")
-        return stored(both.mapInArrow(_verified(shared, n, threshold), "a long, b long, similarity double"), "pairs")
+        return stored(both.mapInArrow(_verified(shared, n, threshold), "a long, b long, similarity double").repartition(files), "pairs")
 
     near = lambda: F.least("weight", "pivot_weight") >= F.lit(threshold) * F.greatest("weight", "pivot_weight")
     pivot = member.groupBy("band").agg(F.min("node").alias("p"), F.min_by("weight", "node").alias("pivot_weight"))
     pairs = member.join(pivot, "band").filter(F.col("node") != F.col("p")).filter(near()).select(F.col("node").alias("a"), "p").distinct()
     edges = verify(pairs).select("a", "b")
-    labels = components(edges)
+    labels = components(edges, files)
     # what is left: buckets with several classes. First the pairs that look like links, then all that may be one
     for least in (math.ceil(threshold * bands * rows), fewest_keys(bands * rows, threshold)):
-        live = _live(member, unique, labels)
+        live = _live(member, unique, labels, files)
         found = verify(_across_classes(live.filter(F.col("n") <= SMALL_BUCKET), threshold, rows, least)).select("a", "b")
-        found = found.union(_block_links(live.filter(F.col("n") > SMALL_BUCKET), text, _links(shared, n, threshold, rows, least)))
+        found = found.union(_block_links(live.filter(F.col("n") > SMALL_BUCKET), text, _links(shared, n, threshold, rows, least), files))
         if not found.isEmpty():
             edges = edges.union(found)
-            labels = components(edges)
+            labels = components(edges, files)
     label = unique.join(labels, F.col("node") == F.col("k"), "left").select("tk", "id_of", F.coalesce("label", "node").alias("label"))
     classes = label.join(label.groupBy("label").agg(F.min("id_of").alias("class_id")), "label").select("tk", "class_id")
     out = data.select("id", "k", "tk").join(classes, "tk", "left")

@@ -112,3 +112,26 @@ def test_components(spark):
     out = {r.k: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100, 150: 150, 175: 150, 200: 150}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_many_partitions_leave_few_files(frame, monkeypatch, tmp_path):
+    """Stored tables have files for their documents, not for the partitions of a shuffle."""
+    from tagloom.llm import base
+
+    monkeypatch.setattr(base, "scratch_path", lambda spark, name: str(tmp_path / f"{name}-{len(list(tmp_path.iterdir()))}"))
+    monkeypatch.setattr(nd, "SMALL_BUCKET", 4)
+    rng = random.Random(8)
+    texts = [words(rng, 60) for _ in range(12)]
+    rows = [(10 * i + j, " ".join([*t[: 60 - 5 * j], *words(rng, 5 * j)])) for i, t in enumerate(texts) for j in range(4)]
+    data = frame(*rows)
+    old = {k: data.sparkSession.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(old, ("40", "false")):
+            data.sparkSession.conf.set(k, v)
+        out = {r.doc_id: r.class_id for r in nd.near_duplicates(data).collect()}
+    finally:
+        for k, v in old.items():
+            data.sparkSession.conf.set(k, v)
+    assert out == classes_by_brute_force(rows)
+    files = {d.name: len(list(d.glob("part-*"))) for d in tmp_path.iterdir()}
+    assert len(files) > 8 and max(files.values()) <= 1, files
