@@ -1,7 +1,8 @@
 """A bigram or trigram language model in Elias-Fano tries, one of each shard of the contexts.
 
-Documents are dealt into chunks of bounded size, contexts into shards. A chunk sends each shard its distinct
-bigrams, and the trigrams below them, once, packed, with their training counts. The shard adds the counts of all chunks, builds its trie in a
+Documents are dealt into chunks of bounded size, contexts into shards. A chunk is cut into words once and stored as
+numbers. It sends each shard its distinct bigrams, and the trigrams below them, once, packed, with their training counts;
+their words are places in a list of numbers that goes with them. The shard adds the counts of all chunks, builds its trie in a
 memory-mapped file and answers every chunk with one byte for each n-gram asked for. Word counts take the same
 way first. So what travels is the distinct n-grams of a chunk, not the tokens, and nothing of the model is ever
 on the driver or broadcast. A frequent context is cut into parts by its successors, so no shard grows hot;
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import mmap
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -148,10 +149,13 @@ class Trie:
 
     def __init__(
         self, contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray, probability: np.ndarray, below: np.ndarray, last: np.ndarray, last_probability: np.ndarray,
+        vocabulary: np.ndarray | None = None,
     ):
         """``words`` are the successors, in order within each of the ``contexts``, of which it has ``sizes``; ``last``
-        those of the bigrams so made, of which each has ``below``."""
-        vocabulary, rank = np.unique(np.concatenate([words, last]), return_inverse=True)
+        those of the bigrams so made, of which each has ``below``. Given a ``vocabulary``, both are places in it."""
+        rank = np.concatenate([words, last])
+        if vocabulary is None:
+            vocabulary, rank = np.unique(rank, return_inverse=True)
         self.width = max(1, len(vocabulary))
         parts = [EliasFano.encode(vocabulary, 1 << WORD_BITS), EliasFano.encode(contexts, 1 << 64)]
         for n, r in ((sizes, rank[: len(words)]), (below, rank[len(words) :])):
@@ -173,23 +177,30 @@ class Trie:
         self.vocabulary, self.contexts, *rest = levels
         self.bigrams, self.trigrams = (*rest[:2], code[: len(words)]), (*rest[2:], code[len(words) :])
 
-    def _below(self, level: tuple, above: np.ndarray, known: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, whether it is there, code) of each of the ``words``, searched between the pointers of what is above."""
+    def _below(
+        self, level: tuple, above: np.ndarray, known: np.ndarray, sizes: np.ndarray, rank: np.ndarray, met: np.ndarray,
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, whether it is there, code) of each word, given by its rank, searched between the pointers of what is above."""
         pointers, successors, code = level
         asked, n, above = np.repeat(known, sizes), sizes[known], above[known]
         begin, end = (np.repeat(pointers.at(above + i).astype(np.int64), n) for i in (0, 1))
-        rank, met = self.vocabulary.successor(words[asked])
-        at, equal = successors.successor(np.repeat(above.astype(np.uint64), n) * np.uint64(self.width) + rank.astype(np.uint64), begin, end)
-        place, hit, out = np.zeros(len(words), np.int64), np.zeros(len(words), bool), np.zeros(len(words), np.uint8)
-        place[asked], hit[asked] = at, equal & met
+        at, equal = successors.successor(np.repeat(above.astype(np.uint64), n) * np.uint64(self.width) + rank[asked].astype(np.uint64), begin, end)
+        place, hit, out = np.zeros(len(rank), np.int64), np.zeros(len(rank), bool), np.zeros(len(rank), np.uint8)
+        place[asked], hit[asked] = at, equal & met[asked]
         out[hit] = code[place[hit]]
         return place, hit, out
 
-    def codes(self, contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray, below: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The quantised probability of each bigram and each trigram asked for, 0 if it is not there."""
+    def codes(self, contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray, below: np.ndarray, last: np.ndarray, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The quantised probability of each bigram and each trigram asked for, 0 if it is not there.
+
+        Given ``names``, the words are places among them, and each name is looked up once.
+        """
         context, known = self.contexts.successor(contexts)
-        place, hit, out = self._below(self.bigrams, context, known, sizes, words)
-        return out, self._below(self.trigrams, place, hit, below, last)[2]
+        if names is None:
+            names, (words, last) = np.concatenate([words, last]), np.split(np.arange(len(words) + len(last)), [len(words)])
+        rank, met = self.vocabulary.successor(names)
+        place, hit, out = self._below(self.bigrams, context, known, sizes, rank[words], met[words])
+        return out, self._below(self.trigrams, place, hit, below, rank[last], met[last])[2]
 
 
 def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,14 +227,31 @@ class Chunk:
                 words = text.translate(LOWER).split() if text else []
                 parts += [hashes.of(words), END_TOKEN]
                 sizes.append(len(words) + 1)
-        self.sizes = np.array(sizes)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.train = np.repeat(train, self.sizes)
         joined = np.concatenate(parts)
         del parts, hashes
-        self.words, self.word = _ranked(joined)
+        self._hold(*_ranked(joined), np.array(sizes), train)
+
+    def _hold(self, words: np.ndarray, word: np.ndarray, sizes: np.ndarray, train: np.ndarray) -> None:
+        self.words, self.word, self.sizes, self.learned = words, word, sizes, train
+        self.starts = np.cumsum(sizes) - sizes
+        self.train = np.repeat(train, sizes)
         self.word_counts = np.bincount(self.word[self.train], minlength=len(self.words))
 
+    def saved(self) -> list[bytes]:
+        """What ``load`` makes the same chunk of; frequent words have small numbers there."""
+        order = np.argsort(-np.bincount(self.word, minlength=len(self.words)), kind="stable")
+        number = np.empty(len(order), np.int32)
+        number[order] = np.arange(len(order))
+        return [packed(self.words[order]), packed(number[self.word]), packed(self.sizes), packed(self.learned)]
+
+    @classmethod
+    def load(cls, data: list[bytes]) -> Chunk:
+        hashes, number, sizes, train = map(unpacked, data)
+        words, which = _ranked(hashes)
+        chunk = cls.__new__(cls)
+        chunk._hold(words, which[number], sizes.astype(np.int64), train.astype(bool))
+        return chunk
+
     def bigrams(self) -> None:
         before = np.roll(self.word, 1)
         before[self.starts] = len(self.words)  # the start of a document, after all words
@@ -232,17 +260,15 @@ class Chunk:
         self.context, self.next = (pairs // n).astype(np.int32), (pairs % n).astype(np.int32)
         self.pair_counts = np.bincount(self.pair[self.train], minlength=len(pairs))
 
-    def deal(self, shards: int, counts: np.ndarray, order: int) -> None:
-        """Places of the bigrams in shards, by shard, context and successor, and of the trigrams below them.
+    def deal(self, shards: int, counts: np.ndarray, numbers: np.ndarray, order: int) -> None:
+        """Places of the bigrams in shards, by shard and context, and of the trigrams below them. Successors are places in
+        ``names``, the ``numbers`` of the words in order.
 
         A bigram has one place for each part of its trigrams, at most one in a shard.
         """
         hashes, n = np.append(self.words, START), len(self.context)
         short = mixed(hashes) >> np.uint64(64 - WORD_BITS)
         context, successor = hashes[self.context], short[self.next]
-        ordered = np.lexsort((successor, context))
-        rank = np.empty(n, np.int64)
-        rank[ordered] = np.arange(n)
         parts = (counts // PART + 1)[self.context].astype(np.uint64)
         splits = np.ones(n, np.int64)
         if order > 2:
@@ -251,18 +277,19 @@ class Chunk:
         pair = np.repeat(np.arange(n), splits)
         part = (np.arange(len(pair)) - offset[pair]).astype(np.uint64)
         shard = mixed((context + successor % parts * END)[pair] + part * mixed(successor + np.uint64(1))[pair]) % np.uint64(shards)
-        places, at = _ranked(shard.astype(np.int64) * n + rank[pair])
-        del context, parts, pair, part, shard, rank
-        self.place_pair, self.pair_place, self.successor = ordered[places % n].astype(np.int32), at[offset], successor
+        places, at = _ranked(shard.astype(np.int64) * n + pair)
+        del context, successor, parts, pair, part, shard
+        self.place_pair, self.pair_place = (places % n).astype(np.int32), at[offset]
         self.cuts, below = np.searchsorted(places, np.arange(shards + 1) * n), len(places)
-        del places, ordered
+        del places
         # tokens with a bigram before them
         self.later = np.flatnonzero(np.bincount(self.starts, minlength=len(self.word)) == 0) if order > 2 else np.zeros(0, np.int64)
         self.later = self.later.astype(np.int32)
         self.before, word = self.pair[self.later - 1], self.word[self.later]
-        by_hash, n = np.argsort(short[:-1], kind="stable"), len(self.words)
-        rank = np.empty(n, np.int64)
-        rank[by_hash] = np.arange(n)
+        by_number, n = np.argsort(numbers), len(self.words)
+        rank = np.empty(n, np.int32)
+        rank[by_number] = np.arange(n)
+        self.names, self.successor = numbers[by_number], rank[self.next]
         place = at[offset[self.before] + (short[word] % splits[self.before].astype(np.uint64)).astype(np.int64)]
         del at, offset, splits
         place = place * np.int64(n) + rank[word]
@@ -270,7 +297,7 @@ class Chunk:
         triples, self.triple = _ranked(place)
         del place
         self.below = np.bincount(triples // n, minlength=below)
-        self.last = short[by_hash[triples % n]]
+        self.last = (triples % n).astype(np.int32)
         self.triple_counts = np.bincount(self.triple[self.train[self.later]], minlength=len(triples))
         self.triple_cuts = np.searchsorted(triples, self.cuts * n)
 
@@ -280,6 +307,19 @@ class Chunk:
             if a < b:
                 yield s, slice(a, b), slice(self.triple_cuts[s], self.triple_cuts[s + 1])
 
+    def named(self) -> Callable:
+        """Turns two arrays of words into (the names of those that occur, in order, and the arrays as places among them)."""
+        place, used = np.empty(len(self.names), np.int32), np.zeros(len(self.names), bool)
+
+        def run(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            used[a] = used[b] = True
+            found = np.flatnonzero(used)
+            used[found] = False
+            place[found] = np.arange(len(found))
+            return self.names[found], place[a], place[b]
+
+        return run
+
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
@@ -299,28 +339,40 @@ def _train(table: pa.Table) -> np.ndarray:
     return table["train"].combine_chunks().to_numpy(zero_copy_only=False)
 
 
+def _read(table: pa.Table) -> pa.Table:
+    """The chunk as numbers, and its rows, in one row."""
+    rows, chunk = table["row"].cast(nullable(table["row"].type)).combine_chunks(), Chunk(table["text"].combine_chunks(), _train(table))
+    rows = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+    return pa.table({"chunk": table["chunk"][:1], "data": pa.array([chunk.saved()], pa.list_(pa.binary())), "rows": rows})
+
+
+def _loaded(table: pa.Table) -> Chunk:
+    return Chunk.load(table["data"][0].as_py())
+
+
 def _send_words(shards: int):
-    def run(table: pa.Table) -> pa.Table:
-        c = Chunk(table["text"].combine_chunks(), _train(table))
-        shard = mixed(c.words) % np.uint64(shards)
-        order = np.argsort(shard, kind="stable")  # by hash within a shard
-        start, size = _runs(shard[order])
-        at = [order[s : s + n] for s, n in zip(start, size, strict=True)]
-        number = table["chunk"][0].as_py()
-        return _table([(number, int(shard[a[0]]), [packed(deltas(c.words[a])), packed(c.word_counts[a])]) for a in at], _BLOB)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, data in ((n, d) for b in batches for n, d in zip(b.column("chunk").to_pylist(), b.column("data"), strict=True)):
+            c = Chunk.load(data.as_py())
+            shard = mixed(c.words) % np.uint64(shards)
+            order = np.argsort(shard, kind="stable")  # by hash within a shard
+            start, size = _runs(shard[order])
+            at = [order[s : s + n] for s, n in zip(start, size, strict=True)]
+            yield from _table([(number, int(shard[a[0]]), [packed(deltas(c.words[a])), packed(c.word_counts[a])]) for a in at], _BLOB).to_batches()
 
     return run
 
 
 def _count_words(table: pa.Table) -> pa.Table:
-    """Answers each chunk with the counts over all chunks; one more row holds the tokens and the distinct words."""
+    """Answers each chunk with the counts over all chunks and the words' ranks in the shard; one more row holds the
+    tokens and the distinct words."""
     asked = [(np.cumsum(unpacked(d[0])), unpacked(d[1])) for d in table["data"].to_pylist()]
     words, place = np.unique(np.concatenate([a for a, _ in asked]), return_inverse=True)
     total = np.zeros(len(words), np.int64)
     np.add.at(total, place, np.concatenate([n for _, n in asked]).astype(np.int64))
     cuts = np.cumsum([len(a) for a, _ in asked])[:-1]
     shard = table["shard"][0].as_py()
-    rows = [(c, shard, [packed(total[p])]) for c, p in zip(table["chunk"].to_pylist(), np.split(place, cuts), strict=True)]
+    rows = [(c, shard, [packed(total[p]), packed(deltas(p.astype(np.uint64)))]) for c, p in zip(table["chunk"].to_pylist(), np.split(place, cuts), strict=True)]
     return _table([*rows, (-1, shard, [packed(np.array([total.sum(), (total > 0).sum()]))])], _BLOB)
 
 
@@ -330,12 +382,13 @@ def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"tokens": pa.array([int(r[0]) for r in rows], pa.int64()), "distinct_": pa.array([int(r[1]) for r in rows], pa.int64())})
 
 
-def _word_totals(c: Chunk, answers: dict[int, list[bytes]], shards: int) -> np.ndarray:
-    shard = mixed(c.words) % np.uint64(shards)
-    order = np.argsort(shard, kind="stable")
-    total = np.zeros(len(c.words), np.int64)
+def _word_totals(c: Chunk, answers: dict[int, list[bytes]], shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Count of each word over all chunks, and a number that no other word has."""
+    order = np.argsort(mixed(c.words) % np.uint64(shards), kind="stable")
+    total, number = np.zeros(len(c.words), np.int64), np.zeros(len(c.words), np.uint64)
     total[order] = np.concatenate([unpacked(answers[s][0]) for s in sorted(answers)]).astype(np.int64)
-    return total
+    number[order] = np.concatenate([np.cumsum(unpacked(answers[s][1])) * np.uint64(shards) + np.uint64(s) for s in sorted(answers)])
+    return total, number
 
 
 def _answers(table: pa.Table) -> dict[int, list[bytes]]:
@@ -346,72 +399,77 @@ def _send_ngrams(shards: int, training_docs: int, order: int):
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _table([], _BLOB)
-        c = Chunk(docs["text"].combine_chunks(), _train(docs))
+        c = _loaded(docs)
         c.bigrams()
-        total = np.append(_word_totals(c, _answers(counts), shards), training_docs)
-        c.deal(shards, total, order)
-        hashes, rows = np.append(c.words, START), []
+        total, numbers = _word_totals(c, _answers(counts), shards)
+        total = np.append(total, training_docs)
+        c.deal(shards, total, numbers, order)
+        hashes, named, rows = np.append(c.words, START), c.named(), []
         for s, places, triples in c.dealt():
             at = c.place_pair[places]
             start, size = _runs(c.context[at])
             first = c.context[at[start]]
+            names, words, last = named(c.successor[at], c.last[triples])
             rows.append((docs["chunk"][0].as_py(), s, [
-                packed(deltas(hashes[first])), packed(size), packed(total[first]), packed(c.successor[at]), packed(c.pair_counts[at]),
-                packed(c.below[places]), packed(c.last[triples]), packed(c.triple_counts[triples]),
+                packed(deltas(hashes[first])), packed(size), packed(total[first]), packed(deltas(names)), packed(words), packed(c.pair_counts[at]),
+                packed(c.below[places]), packed(last), packed(c.triple_counts[triples]),
             ]))
         return _table(rows, _BLOB)
 
     return run
 
 
-def _merged(high: np.ndarray, low: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a place of each distinct pair, in order; which of them each row is; their summed counts)."""
-    order = np.lexsort((low, high))
-    high, low = high[order], low[order]
-    new = np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))[: len(order)]
-    which = np.empty(len(order), np.int64)
-    which[order] = np.cumsum(new) - 1
-    start = np.flatnonzero(new)
-    return order[start], which, np.add.reduceat(counts[order], start).astype(np.float64) if len(start) else np.zeros(0)
+def _merged(high: np.ndarray, low: np.ndarray, width: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(high and low of each distinct pair, in order; which of them each row is; their summed counts); low is below the width."""
+    pairs, which = _ranked(high * np.int64(width) + low)
+    return *np.divmod(pairs, max(width, 1)), which, np.bincount(which, counts, len(pairs))
 
 
 def _answer_ngrams(table: pa.Table) -> pa.Table:
     asked = []
     for d in table["data"].to_pylist():
-        contexts, sizes, totals, words, counts, below, last, last_counts = map(unpacked, d)
-        asked.append((np.cumsum(contexts), sizes.astype(np.int64), totals, words, counts, below.astype(np.int64), last, last_counts))
-    each, triples, n = [], [], 0
-    for c, s, t, w, k, b, x, m in asked:
-        seen = k > 0
-        each.append((np.repeat(c, s)[seen], np.repeat(t, s)[seen], w[seen], k[seen]))
-        triples.append((np.repeat(np.cumsum(seen) - 1 + n, b)[m > 0], x[m > 0], m[m > 0]))
+        contexts, sizes, totals, names, words, counts, below, last, last_counts = map(unpacked, d)
+        sizes, words, below, last = (x.astype(np.int64) for x in (sizes, words, below, last))
+        asked.append((np.cumsum(contexts), sizes, totals, np.cumsum(names), words, counts, below, last, last_counts))
+    (contexts, context), (vocabulary, name) = (_ranked(np.concatenate([a[i] for a in asked])) for i in (0, 3))
+    total = np.empty(len(contexts), np.int64)
+    total[context] = np.concatenate([a[2] for a in asked])  # the same in all chunks
+    each, triples, n, at = [], [], 0, np.zeros(2, np.int64)
+    for c, s, _, v, w, k, b, x, m in asked:
+        own, known = context[at[0] :][: len(c)], name[at[1] :][: len(v)]
+        seen, met = k > 0, m > 0
+        each.append((np.repeat(own, s)[seen], known[w[seen]], k[seen]))
+        triples.append((np.repeat(np.cumsum(seen) - 1 + n, b)[met], known[x[met]], m[met]))
         n += int(seen.sum())
-    context, total, word, count = (np.concatenate([e[i] for e in each]) for i in range(4))
+        at += len(c), len(v)
+    context, word, count = (np.concatenate([e[i] for e in each]) for i in range(3))
     row, last, last_count = (np.concatenate([e[i] for e in triples]) for i in range(3))
-    at, which, count = _merged(context, word, count)
-    context, total, word = context[at], total[at], word[at]
-    pair = which[row]
-    at, _, last_count = _merged(pair, last, last_count)
-    pair, last = pair[at], last[at]
+    del each, triples
+    context, word, which, count = _merged(context, word, len(vocabulary), count)
+    pair, last, _, last_count = _merged(which[row], last, len(vocabulary), last_count)
     start, size = _runs(context)
-    trie = Trie(context[start], size, word, count / (total + PRIOR), np.bincount(pair, minlength=len(word)), last, last_count / (count[pair] + PRIOR))
+    trie = Trie(
+        contexts[context[start]], size, word, count / (total[context] + PRIOR),
+        np.bincount(pair, minlength=len(word)), last, last_count / (count[pair] + PRIOR), vocabulary,
+    )
     shard = table["shard"][0].as_py()
-    return _table([(c, shard, [packed(x) for x in trie.codes(a[0], a[1], a[3], a[5], a[6])]) for c, a in zip(table["chunk"].to_pylist(), asked, strict=True)], _BLOB)
+    return _table([(c, shard, [packed(x) for x in trie.codes(a[0], a[1], a[4], a[6], a[7], a[3])]) for c, a in zip(table["chunk"].to_pylist(), asked, strict=True)], _BLOB)
 
 
 def _score(shards: int, tokens: int, distinct: int, training_docs: int, order: int):
     fields = [("row", None), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = docs["row"].cast(nullable(docs["row"].type))
+        rows = docs["rows"].combine_chunks().flatten()
+        rows = rows.cast(nullable(rows.type))
         if not docs.num_rows:
             return pa.table({"row": rows, **{n: pa.array([], t) for n, t in fields[1:]}})
-        c = Chunk(docs["text"].combine_chunks(), _train(docs))
+        c = _loaded(docs)
         c.bigrams()
         of_words = answers["of_words"].to_numpy()
-        total = _word_totals(c, _answers(answers.filter(pa.array(of_words))), shards)
+        total, numbers = _word_totals(c, _answers(answers.filter(pa.array(of_words))), shards)
         contexts = np.append(total, training_docs)
-        c.deal(shards, contexts, order)
+        c.deal(shards, contexts, numbers, order)
         parts = _answers(answers.filter(pa.array(~of_words)))
         codes, last = (np.concatenate([unpacked(parts[s][i]) for s, _, _ in c.dealt()]) for i in (0, 1))
         share, before = LEVELS[codes[c.pair_place]], contexts[c.context] + PRIOR
@@ -448,14 +506,15 @@ def score_texts(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_co
     carried = F.struct(*[c for c in keep if c != text_col])
     data = docs.select(carried.alias("row"), text.alias("text"), train.alias("train"), F.pmod(F.xxhash64(id_col, text_col), F.lit(n)).cast("int").alias("chunk"))
 
-    words = stored(data.groupBy("chunk").applyInArrow(_send_words(n), _BLOB_DDL).groupBy("shard").applyInArrow(_count_words, _BLOB_DDL), "words")
+    row_type = data.schema["row"].dataType.simpleString()
+    chunks = stored(data.groupBy("chunk").applyInArrow(_read, f"chunk int, data array<binary>, rows array<{row_type}>"), "chunks")
+    words = stored(chunks.select("chunk", "data").mapInArrow(_send_words(n), _BLOB_DDL).groupBy("shard").applyInArrow(_count_words, _BLOB_DDL), "words")
     sums = words.filter("chunk = -1").mapInArrow(_numbers, "tokens long, distinct_ long").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct_"), F.lit(0)))
     tokens, distinct = sums.first()
     words = words.filter("chunk >= 0")
-    by_chunk = data.groupBy("chunk")
+    by_chunk = chunks.groupBy("chunk")
     sent = by_chunk.cogroup(words.groupBy("chunk")).applyInArrow(_send_ngrams(n, training_docs, order), _BLOB_DDL)
     answered = sent.groupBy("shard").applyInArrow(_answer_ngrams, _BLOB_DDL)
     answers = words.withColumn("of_words", F.lit(True)).union(answered.withColumn("of_words", F.lit(False)))
-    row_type = data.schema["row"].dataType.simpleString()
     out = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_score(n, tokens, distinct, training_docs, order), f"row {row_type}, n_tokens long, n_known long, base_score double, score double")
     return out.select("row.*", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

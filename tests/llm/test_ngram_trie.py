@@ -140,3 +140,32 @@ def test_chunk_holds_few_texts_as_strings(monkeypatch):
     some = lm.Chunk(column, train)
     assert all(np.array_equal(getattr(whole, n), getattr(some, n)) for n in ("sizes", "starts", "words", "word", "word_counts"))
     assert whole.sizes.tolist() == [4, 1, 1, 3, 4]
+
+
+def test_texts_are_cut_into_words_once(frame, monkeypatch):
+    """A chunk is read from its numbers, with the same words and tokens, and texts are cut only to make them."""
+    column, train = pa.array(["a b a", None, "", "B c", "d a b"]), np.array([True, False, True, True, False])
+    whole = lm.Chunk(column, train)
+    again = lm.Chunk.load(whole.saved())
+    assert all(np.array_equal(getattr(whole, n), getattr(again, n)) for n in ("sizes", "starts", "words", "word", "word_counts", "train"))
+    rows = frame(*[(i, f"a b w{i} a b") for i in range(20)]).withColumn("train", F.col("doc_id") > 4)
+    plan = lm.score_texts(rows, "train", order=3)._jdf.queryExecution().toString()
+    assert "text" not in plan
+
+
+def test_ngrams_name_a_word_once():
+    """What is sent for each shard lists its words once; bigrams and trigrams hold places in the list."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(40)]
+    texts = pa.array([" ".join(rng.choice(words, 300)) for _ in range(5)])
+    rows = pa.array([{"doc_id": i} for i in range(5)])
+    chunk = lm._read(pa.table({"text": texts, "train": pa.array([True] * 5), "chunk": pa.array([0] * 5, pa.int32()), "row": rows}))
+    sent = pa.Table.from_batches(list(lm._send_words(2)(iter(chunk.select(["chunk", "data"]).to_batches()))))
+    counts = pa.concat_tables([lm._count_words(sent.slice(i, 1)) for i in range(sent.num_rows)])
+    counts = counts.filter(pa.array([c >= 0 for c in counts["chunk"].to_pylist()]))
+    seen = set()
+    for data in lm._send_ngrams(2, 5, 3)(chunk, counts)["data"].to_pylist():
+        names, successors, last = np.cumsum(lm.unpacked(data[3])), lm.unpacked(data[4]), lm.unpacked(data[7])
+        assert len(set(names.tolist())) == len(names) <= 41 and max(successors.max(), last.max()) < len(names)
+        seen |= set(names.tolist())
+    assert len(seen) == 41
