@@ -323,6 +323,45 @@ def test_strip_keeps_one_sum_per_row():
     assert held() == before
 
 
+def test_strip_reads_labels_in_any_order():
+    """A label that is in several blocks is averaged once all of them were read, whatever comes between."""
+    rng = np.random.default_rng(7)
+    x, label, uid = rng.normal(size=(60, 3)), np.sort(rng.integers(0, 9, 60)), np.arange(60)
+    label[20:45] = label[20]  # over several blocks of 7
+    label[45:] = np.maximum(label[45:], label[20])
+    cuts = [slice(lo, lo + 7) for lo in range(0, 60, 7)]
+    batch = pa.RecordBatch.from_pydict({"label": label, "uid": uid, "v": x.tolist()})
+    packed = list(O._blocks(7)(iter([batch.slice(0, 25), batch.slice(25)])))
+    shared = O._shared_labels([[(e["label"], e["n"]) for e in b.column(0)[0].as_py()] for b in packed])
+    assert len(packed) == len(cuts) and shared.items() <= {int(k): int((label == k).sum()) for k in label}.items()
+    for exclude_self in (False, True):
+        strip = O.Strip([(x, label, uid)], exclude_self, shared)
+        for k in rng.permutation(len(cuts)):
+            strip.read(x[cuts[k]], label[cuts[k]], uid[cuts[k]])
+        assert not strip.sums
+        assert strip.score() / 60 == pytest.approx(brute_silhouette(x, label, exclude_self), abs=1e-9)
+    half = O.Strip([(x, label, uid)], False, shared)
+    half.read(x[cuts[3]], label[cuts[3]], uid[cuts[3]])
+    with pytest.raises(RuntimeError):
+        half.score()
+
+
+def test_silhouette_disk_goes_with_the_rows(spark):
+    """A row is stored and shuffled once, however many strips read it."""
+    rng = np.random.default_rng(8)
+    x, label = rng.normal(size=(2000, 8)), rng.integers(0, 5, 2000)
+    d = spark.createDataFrame([(i, x[i].tolist(), int(label[i])) for i in range(2000)], "id long, vec array<double>, label long")
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName(): f.length() for f in (found.apply(i) for i in range(found.size()))}
+
+    before = files()
+    got = O.silhouette(d, "id", "vec", "label", 40).first()[0]
+    assert got == pytest.approx(brute_silhouette(x, label, False), abs=1e-9)
+    assert sum(n for k, n in files().items() if k not in before) < 10 * x.nbytes  # 50 strips
+
+
 def test_silhouette_of_one_cluster(vecs):
     assert O.silhouette(vecs[0].where("label = 0"), "id", "vec", "label").first()[0] == 0.0
 
